@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folium.llm import queries_native as native
+from folium.llm import queries_text as text
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_exact_dedup": native.op3_exact_dedup, "op4_mixing": native.op4_mixing}
+    return {
+        "op2_decontamination": text.op2_decontamination,
+        "op3_exact_dedup": native.op3_exact_dedup,
+        "op4_mixing": native.op4_mixing,
+        "op5_simhash": text.op5_simhash,
+        "op7_token_counts": text.op7_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

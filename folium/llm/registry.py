@@ -7,18 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folium.llm import queries_native as native
+from folium.llm import queries_secrets as secrets
 from folium.llm import queries_text as text
+from folium.llm import queries_urls as urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filters": urls.op1_url_filters,
         "op2_decontamination": text.op2_decontamination,
         "op3_exact_dedup": native.op3_exact_dedup,
         "op4_mixing": native.op4_mixing,
         "op5_simhash": text.op5_simhash,
         "op7_token_counts": text.op7_token_counts,
+        "op8_secret_scan": secrets.op8_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": native.OP3_SQL, "op4_mixing": native.OP4_SQL}
+    return {"op1_url_filters": urls.OP1_SQL, "op3_exact_dedup": native.OP3_SQL, "op4_mixing": native.OP4_SQL}

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folium.llm import queries_models as models
 from folium.llm import queries_native as native
 from folium.llm import queries_secrets as secrets
 from folium.llm import queries_text as text
@@ -19,8 +20,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": native.op3_exact_dedup,
         "op4_mixing": native.op4_mixing,
         "op5_simhash": text.op5_simhash,
+        "op6_toxicity": models.op6_toxicity,
         "op7_token_counts": text.op7_token_counts,
         "op8_secret_scan": secrets.op8_secret_scan,
+        "op9_license_scan": models.op9_license_scan,
+        "op10_quality": models.op10_quality,
     }
 
 

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folium.catalog import documents, structure, values
+
+ALL = [*documents.CATALOG, *structure.CATALOG, *values.CATALOG]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for name, query, _ in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, _, sql in ALL if sql}

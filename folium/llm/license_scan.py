@@ -87,7 +87,7 @@ ORDINARY = [
 ]
 #: A prediction needs this probability, and this share of its word 3-grams among the family's.
 LEAST, SHARED = 0.5, 0.5
-SEGMENT = r"\n+|(?<=[.!?;:])\s+(?=[A-Z])"
+SEGMENT = r"\n+|(?<=[.!?])\s+(?=[A-Z])"
 
 
 def words_of(text: str) -> list[str]:
@@ -156,7 +156,7 @@ def anchors() -> tuple[str, ...]:
     chosen: list[str] = []
     while left:
         counts = Counter(w for n in left for w in n if len(w) > 2 and not w.isdigit())
-        best = max(counts, key=lambda w: (counts[w] / (1 + common[w]), w))
+        best = max(counts, key=lambda w: (counts[w] / (1 + 100 * common[w]), w))
         chosen.append(best)
         left = [n for n in left if best not in n]
     return tuple(chosen)

@@ -92,7 +92,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seeds
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs, each row as many times as the mix takes it, numbered by `copy` from 0."""
+    """docs, each row as many times as the mix takes it, numbered by `copy` from 0 (a column of that name is replaced)."""
     taken = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).dropDuplicates(["_id"])
     joined = docs.join(taken, docs["doc_id"] == taken["_id"])
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int")))).drop("_id", "_copies")
+    numbered = joined.withColumn("copy", F.explode(F.sequence(F.lit(0), (taken["_copies"] - 1).cast("int"))))
+    return numbered.drop(taken["_id"]).drop(taken["_copies"])

@@ -93,7 +93,8 @@ def battery(found: DataFrame) -> DataFrame:
     z = (F.col("changes") - expected) / F.sqrt(F.greatest(expected * F.greatest(1.0 - F.col("mixed"), F.lit(0.05)), F.lit(0.25)))
     # symbols of one class only tell nothing if the alphabet has few others, and much if it has many
     alone = F.when(F.col("k") <= 16, F.lit(0.05)).otherwise(F.lit(1e-4))
-    out = out.withColumn("p_runs", F.when(F.col("mixed") < 0.05, alone).otherwise(normal_tail(z)))
+    # ordinary text keeps to its class, so only too few changes speak against randomness
+    out = out.withColumn("p_runs", F.when(F.col("mixed") < 0.05, alone).when(z >= 0, 1.0).otherwise(normal_tail(z)))
     mean = F.aggregate("codes", F.lit(0.0), lambda s, c: s + c) / F.col("n")
     out = out.withColumn("mean", mean)
     spread = F.aggregate("codes", F.lit(0.0), lambda s, c: s + (c - F.col("mean")) * (c - F.col("mean")))

@@ -40,7 +40,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
     if not ids:
         return [], np.zeros(0), np.array([counts.get(0, 0), counts.get(1, 0)])
     chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "_id long, label int"))  # at most 2 * most rows
-    rows = docs.join(chosen, docs["doc_id"] == chosen["_id"]).filter(F.length("text") <= LONGEST).select("_id", "text", "label").dropDuplicates(["_id"]).collect()
+    plain = docs.select("doc_id", "text")  # nothing else, so that no column's name clashes
+    rows = plain.join(chosen, plain["doc_id"] == chosen["_id"]).filter(F.length("text") <= LONGEST).select("_id", "text", "label").dropDuplicates(["_id"]).collect()
     rows.sort(key=lambda r: r["_id"])
     return [r["text"] for r in rows], np.array([r["label"] for r in rows]), np.array([counts.get(0, 0), counts.get(1, 0)])
 
@@ -66,6 +67,19 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
 
 
+def shortened(windows_: np.ndarray, marks: np.ndarray, hint: np.ndarray, rng) -> np.ndarray:
+    """A stretch of 1 to 24 words of each window; a positive's is around its most telling word."""
+    out = np.full_like(windows_, -1)
+    for k, row in enumerate(windows_):
+        own = row[row >= 0]
+        size = int(rng.integers(1, 25))
+        middle = int(np.argmax(hint[own])) if marks[k] else int(rng.integers(len(own)))
+        start = max(0, middle - int(rng.integers(0, size)))
+        part = own[start : start + size]
+        out[k, : len(part)] = part
+    return out
+
+
 class ToxicityModel:
     """The network, its calibration, and scores of a batch of texts."""
 
@@ -94,7 +108,9 @@ class ToxicityModel:
             if len(own):
                 chosen += own[:2].tolist() if labels[k] else {own[0], own[rng.integers(len(own))]}
         chosen = np.array(chosen)
-        self.net.train(known, cut[chosen], labels[text[chosen]])
+        parts, marks = cut[chosen], labels[text[chosen]]
+        short = shortened(parts, marks, hint, rng)  # texts may be of a few words
+        self.net.train(known, np.concatenate([parts, short]), np.concatenate([marks, marks]))
         self.net.stats = associations(each, labels, known)
         gates = self.net.project(self.net.inputs(known))
         rest = ~half

@@ -27,11 +27,11 @@ def bare(word: str) -> bytes:
 
 @dataclass
 class Words:
-    """Distinct words as bucket numbers and their byte n-grams as (word, hash) pairs."""
+    """Distinct words as hashes, and the hashes of their byte n-grams: those of word k are grams[first[k]:first[k + 1]]."""
 
     hashes: np.ndarray
-    owner: np.ndarray
     grams: np.ndarray
+    first: np.ndarray
 
     @classmethod
     def of(cls, words: list[str]) -> Words:
@@ -39,32 +39,46 @@ class Words:
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
         ends = np.cumsum(sizes)
-        of = np.repeat(np.arange(len(parts)), sizes)
-        left = ends[of] - np.arange(len(raw)) if len(raw) else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+        at = np.arange(len(raw))
+        left = ends[of] - at
         prime = np.uint64(0x100000001B3)
-        owner, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        owner, grams = [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)]
         rolled, taken = np.zeros(len(raw), np.uint64), 0
         for n in GRAMS:
             while taken < n:
-                rolled[: max(0, len(raw) - taken)] = rolled[: max(0, len(raw) - taken)] * prime + raw[taken:] + np.uint64(7)
+                live = max(0, len(raw) - taken)
+                rolled[:live] = rolled[:live] * prime + raw[taken:] + np.uint64(7)
                 taken += 1
             good = left >= n
             owner.append(of[good])
-            grams.append(_scramble(rolled[good] + np.uint64(n)))
+            grams.append(_scramble(rolled[good] + np.uint64(n)).astype(np.uint32))
         # a whole word's hash: its bytes weighted by place
-        place = (np.arange(len(raw)) - (ends - sizes)[of]).astype(np.uint64)
-        mixed = _scramble(raw * np.uint64(0x9E3779B1) + place * np.uint64(0x85EBCA77C2B2AE63))
+        place = (at - (ends - sizes)[of]).astype(np.uint64)
         sums = np.zeros(len(parts), np.uint64)
-        np.add.at(sums, of, mixed)
-        return cls(_scramble(sums), np.concatenate(owner), np.concatenate(grams))
+        np.add.at(sums, of, _scramble(raw * np.uint64(0x9E3779B1) + place * np.uint64(0x85EBCA77C2B2AE63)))
+        whose = np.concatenate(owner)
+        order = np.argsort(whose, kind="stable")
+        first = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(parts)))])
+        return cls(_scramble(sums), np.concatenate(grams)[order], first)
 
+    @property
+    def counts(self) -> np.ndarray:
+        return np.diff(self.first)
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.hashes), dtype=np.int32), self.counts)
 
     def take(self, chosen: np.ndarray) -> Words:
-        """The words of the given (sorted) numbers, renumbered."""
-        place = np.full(len(self.hashes), -1)
-        place[chosen] = np.arange(len(chosen))
-        keep = place[self.owner] >= 0
-        return Words(self.hashes[chosen], place[self.owner[keep]], self.grams[keep])
+        """The words of the given numbers, renumbered."""
+        counts = self.counts[chosen]
+        first = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat(self.first[chosen] - first[:-1], counts) + np.arange(first[-1])
+        return Words(self.hashes[chosen], self.grams[at], first)
+
+    def part(self, a: int, b: int) -> Words:
+        return Words(self.hashes[a:b], self.grams[self.first[a] : self.first[b]], self.first[a : b + 1] - self.first[a])
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -78,18 +92,12 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 def associations(texts: list[np.ndarray], labels: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Shrunk log odds of the label, per hashed word and per hashed n-gram, over texts given as word numbers."""
     tables = []
-    order = np.argsort(words.owner, kind="stable")
-    owner, grams = words.owner[order], words.grams[order]
-    first = np.searchsorted(owner, np.arange(len(words.hashes) + 1))
     for kind, size in (("word", STAT_WORDS), ("gram", STAT_GRAMS)):
         count = np.zeros((2, size))
         for text, label in zip(texts, labels):
             seen = np.unique(text)
-            if kind == "word":
-                hashed = words.hashes[seen]
-            else:
-                hashed = np.concatenate([grams[first[k] : first[k + 1]] for k in seen.tolist()]) if len(seen) else np.zeros(0, np.uint64)
-            count[int(label), np.unique(hashed & np.uint64(size - 1)).astype(np.int64)] += 1
+            hashed = words.hashes[seen].astype(np.uint32) if kind == "word" else words.take(seen).grams
+            count[int(label), np.unique(hashed & np.uint32(size - 1))] += 1
         total = np.bincount(labels.astype(int), minlength=2) + 1.0
         odds = np.log((count[1] + 0.5) / total[1]) - np.log((count[0] + 0.5) / total[0])
         n = count.sum(0)
@@ -118,20 +126,23 @@ class Network:
         }
         self.stats = (np.zeros(STAT_WORDS, F32), np.zeros(STAT_GRAMS, F32))
 
-    def inputs(self, words: Words) -> np.ndarray:
-        """One row of inputs per distinct word; the last row is of padding."""
+    def inputs(self, words: Words, block: int = 32_768) -> np.ndarray:
+        """One row of inputs per distinct word; the last row is of padding. In blocks, which bound the memory."""
         n = len(words.hashes)
         x = np.zeros((n + 1, 3 + 2 * EMB), F32)
-        x[:n, 0] = self.stats[0][(words.hashes & np.uint64(STAT_WORDS - 1)).astype(np.int64)]
-        odds = self.stats[1][(words.grams & np.uint64(STAT_GRAMS - 1)).astype(np.int64)]
-        most = np.zeros(n, F32)
-        np.maximum.at(most, words.owner, odds)
-        count = np.maximum(np.bincount(words.owner, minlength=n), 1)
-        x[:n, 1], x[:n, 2] = most, np.bincount(words.owner, odds, n) / count
-        x[:n, 3 : 3 + EMB] = self.p["we"][(words.hashes & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)]
-        table = self.p["ge"][(words.grams & np.uint64(GRAM_BUCKETS - 1)).astype(np.int64)]
-        for k in range(EMB):
-            x[:n, 3 + EMB + k] = np.bincount(words.owner, table[:, k], n) / np.sqrt(count)
+        for a in range(0, n, block):
+            part = words.part(a, min(n, a + block))
+            size, owner, to = len(part.hashes), part.owner, x[a : a + block][: min(block, n - a)]
+            to[:, 0] = self.stats[0][part.hashes.astype(np.uint32) & np.uint32(STAT_WORDS - 1)]
+            odds = self.stats[1][part.grams & np.uint32(STAT_GRAMS - 1)]
+            most = np.zeros(size, F32)
+            np.maximum.at(most, owner, odds)
+            count = np.maximum(part.counts, 1)
+            to[:, 1], to[:, 2] = most, np.bincount(owner, odds, size) / count
+            to[:, 3 : 3 + EMB] = self.p["we"][part.hashes.astype(np.uint32) & np.uint32(WORD_BUCKETS - 1)]
+            buckets = part.grams & np.uint32(GRAM_BUCKETS - 1)
+            for k in range(EMB):
+                to[:, 3 + EMB + k] = np.bincount(owner, self.p["ge"][buckets, k], size) / np.sqrt(count)
         return x
 
     def project(self, x: np.ndarray) -> np.ndarray:
@@ -215,12 +226,10 @@ class Network:
         g["w"] = np.einsum("vd,vkh->kdh", x, dgate, optimize=True)
         dx = np.einsum("vkh,kdh->vd", dgate, p["w"], optimize=True)[:-1]
         g["we"] = np.zeros_like(p["we"])
-        np.add.at(g["we"], (words.hashes & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), dx[:, 3 : 3 + EMB])
-        count = np.sqrt(np.maximum(np.bincount(words.owner, minlength=len(words.hashes)), 1))[:, None]
+        np.add.at(g["we"], words.hashes.astype(np.uint32) & np.uint32(WORD_BUCKETS - 1), dx[:, 3 : 3 + EMB])
+        count = np.sqrt(np.maximum(words.counts, 1))[:, None]
         g["ge"] = np.zeros_like(p["ge"])
-        used = np.nonzero(np.abs(dx).sum(1) > 0)[0]
-        live = np.isin(words.owner, used)
-        np.add.at(g["ge"], (words.grams[live] & np.uint64(GRAM_BUCKETS - 1)).astype(np.int64), (dx[:, 3 + EMB :] / count)[words.owner[live]])
+        np.add.at(g["ge"], words.grams & np.uint32(GRAM_BUCKETS - 1), (dx[:, 3 + EMB :] / count)[words.owner])
         loss = float(-(labels * np.log(prob + 1e-9) + (1 - labels) * np.log(1 - prob + 1e-9)).mean())
         return g, loss
 

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from folium.catalog.values import table
 from folium.plans import convert as P
+from folium.session import spread
 from folium.sources import documents as D
 
 
 def _nodes(spark, sf_dir):
-    return D.nodes(table(spark, sf_dir, "pages"), "page_id", "html")
+    return D.nodes(spread(table(spark, sf_dir, "pages")), "page_id", "html")
 
 
 def html_outline(spark, sf_dir):
@@ -46,18 +47,18 @@ def html_blocks(spark, sf_dir):
 
 
 def html_serialize(spark, sf_dir):
-    return D.to_html(table(spark, sf_dir, "pages"), "page_id", "html", "html").select(F.col("doc_id").alias("page_id"), "body")
+    return D.to_html(spread(table(spark, sf_dir, "pages")), "page_id", "html", "html").select(F.col("doc_id").alias("page_id"), "body")
 
 
 def html_tables(spark, sf_dir):
     """Orders as HTML tables with a row span, parsed back into cells."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 1")
+    o = spread(table(spark, sf_dir, "orders"))
     html = F.expr("concat('<table><tr><td rowspan=2>', o_orderpriority, '<td>', cast(o_orderkey AS STRING), '<tr><td colspan=\"2\"> a &amp; b </td></tr></table>')")
     return P.table_cells(D.nodes(o.select("o_orderkey", html.alias("html")), "o_orderkey", "html")).select("doc_id", "row", "col", "text", "row_span", "grid_span")
 
 
 HTML_TABLES_SQL = """
-WITH o AS (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 4 = 1)
+WITH o AS (SELECT o_orderkey, o_orderpriority FROM orders)
 SELECT o_orderkey AS doc_id, 0 AS row, 0 AS col, o_orderpriority AS text, 2 AS row_span, 1 AS grid_span FROM o
 UNION ALL SELECT o_orderkey, 0, 1, CAST(o_orderkey AS VARCHAR), 1, 1 FROM o UNION ALL SELECT o_orderkey, 1, 1, ' a & b ', 1, 2 FROM o
 """
@@ -65,7 +66,7 @@ UNION ALL SELECT o_orderkey, 0, 1, CAST(o_orderkey AS VARCHAR), 1, 1 FROM o UNIO
 
 def docx_text_roundtrip(spark, sf_dir):
     """Documents written as packages and read back: text runs joined, breaks counted."""
-    packed = D.text_to_docx(table(spark, sf_dir, "documents"), "doc_id", "text")
+    packed = D.text_to_docx(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
     n = D.nodes(packed, "doc_id", "content", "docx")
     runs = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "run", F.struct("node_id", "text")))), lambda r: r["text"]), "")
     return n.groupBy("doc_id").agg(F.md5(runs).alias("text_md5"), F.count_if(F.col("kind") == "br").alias("breaks"))
@@ -78,7 +79,7 @@ SELECT doc_id, md5(regexp_replace(text, '\n', '', 'g')) AS text_md5, len(regexp_
 
 def docx_deterministic(spark, sf_dir):
     """Two writes of every page give the same bytes."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     digest = lambda name: D.to_docx(pages, "page_id", "html").select("doc_id", F.sha2("content", 256).alias(name))
     return digest("a").join(digest("b"), "doc_id").select(F.col("doc_id").alias("page_id"), (F.col("a") == F.col("b")).alias("same"))
 
@@ -89,7 +90,7 @@ DOCX_DETERMINISTIC_SQL = "SELECT page_id, true AS same FROM pages"
 def docx_variables(spark, sf_dir):
     """Templates derived from customers, packed, and their variables read back."""
     html = F.expr("concat('<p>Dear {{name.', c_mktsegment, '}}, <b>${id</b>_', cast(c_custkey % 7 AS STRING), '}</p><p>%seg% {{name.', c_mktsegment, '}}</p>')")
-    packed = D.to_docx(table(spark, sf_dir, "customer").select("c_custkey", html.alias("html")), "c_custkey", "html")
+    packed = D.to_docx(spread(table(spark, sf_dir, "customer")).select("c_custkey", html.alias("html")), "c_custkey", "html")
     return D.variables(packed, "doc_id", "content").select("doc_id", "ord", "source", "name", "placeholder")
 
 
@@ -101,7 +102,7 @@ SELECT doc_id, CAST(k.i - 1 AS INT) AS ord, 'textPattern' AS source, n[k.i] AS n
 
 def docx_relationships(spark, sf_dir):
     """Links of packed pages, in rId order."""
-    packed = D.to_docx(table(spark, sf_dir, "pages"), "page_id", "html")
+    packed = D.to_docx(spread(table(spark, sf_dir, "pages")), "page_id", "html")
     return D.relationships(packed, "doc_id", "content").filter("external").select(F.col("doc_id").alias("page_id"), F.regexp_replace("rid", "rId", "").cast("int").alias("rid"), "target")
 
 
@@ -112,7 +113,7 @@ SELECT page_id, CAST(k.i AS INT) AS rid, h[k.i] AS target FROM l, range(1, 500)
 
 
 def docx_parts(spark, sf_dir):
-    packed = D.to_docx(table(spark, sf_dir, "pages"), "page_id", "html")
+    packed = D.to_docx(spread(table(spark, sf_dir, "pages")), "page_id", "html")
     return D.parts(packed, "doc_id", "content").groupBy("role").agg(F.countDistinct("doc_id").alias("documents"))
 
 
@@ -134,7 +135,7 @@ CONVERSATIONS_DOCX_SQL = "SELECT conv_id, 2 AS level, turn || ' ' || role AS tex
 
 
 def fidelity_report(spark, sf_dir):
-    return P.fidelity_report(table(spark, sf_dir, "pages"), "page_id", "html")
+    return P.fidelity_report(spread(table(spark, sf_dir, "pages")), "page_id", "html")
 
 
 FIDELITY_REPORT_SQL = "SELECT page_id AS doc_id, true AS reads, true AS covered, true AS fixed_point FROM pages"

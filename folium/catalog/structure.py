@@ -118,13 +118,13 @@ SELECT user_id, part, count(*) AS n FROM s WHERE event_id % 5 <> 0 GROUP BY user
 #: Orders as tables of three columns: cells by line, spans and merges from quantities.
 CELLS = """doc_id, CAST((ord - 1) // 3 AS INT) AS row, CAST((ord - 1) % 3 AS INT) AS ord, CASE WHEN qty % 5 = 0 THEN 2 ELSE 1 END AS span,
   CASE WHEN qty % 3 = 0 THEN 'restart' WHEN qty % 3 = 1 AND ord > 3 THEN 'continue' END AS merge, CASE WHEN qty % 4 = 0 THEN NULL ELSE qty * 100 END AS width, CAST(qty % 3 + 1 AS INT) AS height"""
-CELLS_BASE = "SELECT l_orderkey % 500 AS doc_id, row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_discount, l_tax, l_quantity) AS ord, CAST(l_quantity AS INT) AS qty FROM lineitem WHERE l_linenumber <= 2"
+CELLS_BASE = "SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_discount, l_tax, l_quantity) AS ord, CAST(l_quantity AS INT) AS qty FROM lineitem"
 
 
 def _cells(spark, sf_dir):
-    base = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
+    base = table(spark, sf_dir, "lineitem")
     numbered = base.selectExpr(
-        "l_orderkey % 500 AS doc_id", "row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_discount, l_tax, l_quantity) AS ord", "CAST(l_quantity AS INT) AS qty"
+        "l_orderkey AS doc_id", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_discount, l_tax, l_quantity) AS ord", "CAST(l_quantity AS INT) AS qty"
     )
     return numbered.selectExpr(*[x.replace("//", "div") for x in (
         "doc_id", "CAST((ord - 1) // 3 AS INT) AS row", "CAST((ord - 1) % 3 AS INT) AS ord", "CASE WHEN qty % 5 = 0 THEN 2 ELSE 1 END AS span",
@@ -234,10 +234,10 @@ SELECT c.c_custkey AS doc_id, 'rId' || c.c_custkey % 3 AS rid, r.target FROM cus
 
 def numbering_levels(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    docs = "CAST(o_custkey % 100 AS INT) AS doc_id"
-    nums = o.selectExpr(docs, "CAST(o_orderkey AS INT) AS num_id", "CAST(o_orderkey % 5 AS INT) AS abstract_id").filter("num_id % 10 = 1")
-    levels = spark.range(5).selectExpr("CAST(id AS INT) AS abstract_id").crossJoin(spark.range(3).selectExpr("CAST(id AS INT) AS ilvl"))  # 15 constant rows
-    abstract = nums.select("doc_id").distinct().crossJoin(F.broadcast(levels)).selectExpr("doc_id", "abstract_id", "ilvl", "element_at(array('decimal','bullet','lowerRoman'), (abstract_id + ilvl) % 3 + 1) AS fmt", "ilvl + 1 AS start_at", "concat('%', cast(ilvl + 1 AS STRING), '.') AS level_text")
+    docs = "o_custkey AS doc_id"
+    nums = o.selectExpr(docs, "CAST(o_orderkey AS INT) AS num_id", "CAST(o_orderkey % 5 AS INT) AS abstract_id")
+    kinds = nums.select("doc_id").distinct().selectExpr("doc_id", "explode(sequence(0, 4)) AS abstract_id")
+    abstract = kinds.selectExpr("doc_id", "abstract_id", "explode(sequence(0, 2)) AS ilvl").selectExpr("doc_id", "abstract_id", "ilvl", "element_at(array('decimal','bullet','lowerRoman'), (abstract_id + ilvl) % 3 + 1) AS fmt", "ilvl + 1 AS start_at", "concat('%', cast(ilvl + 1 AS STRING), '.') AS level_text")
     own = nums.filter("num_id % 3 = 0").selectExpr("doc_id", "num_id", "num_id % 3 AS ilvl", "num_id % 7 AS start_override", "CAST(NULL AS STRING) AS fmt", "CAST(NULL AS INT) AS start_at", "CAST(NULL AS STRING) AS level_text")
     found = S.numbering_levels(nums, abstract, own)
     items = nums.select("doc_id", "num_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("ilvl"))
@@ -245,7 +245,7 @@ def numbering_levels(spark, sf_dir):
 
 
 NUMBERING_LEVELS_SQL = """
-WITH n AS (SELECT CAST(o_custkey % 100 AS INT) AS doc_id, CAST(o_orderkey AS INT) AS num_id, CAST(o_orderkey % 5 AS INT) AS a FROM orders WHERE o_orderkey % 10 = 1),
+WITH n AS (SELECT o_custkey AS doc_id, CAST(o_orderkey AS INT) AS num_id, CAST(o_orderkey % 5 AS INT) AS a FROM orders),
 i AS (SELECT n.*, CAST(k.l AS INT) AS ilvl, CASE WHEN k.l <= 2 THEN k.l ELSE 0 END AS eff FROM n, range(5) k(l))
 SELECT doc_id, num_id, ilvl, list_extract(['decimal','bullet','lowerRoman'], (a + eff) % 3 + 1) AS format,
   CAST(CASE WHEN num_id % 3 = 0 AND eff = 0 THEN num_id % 7 ELSE eff + 1 END AS INT) AS start_at, list_extract(['decimal','bullet','lowerRoman'], (a + eff) % 3 + 1) <> 'bullet' AS ordered FROM i
@@ -277,11 +277,11 @@ SELECT o_custkey AS doc_id, o_orderstatus AS kind, o_orderkey AS sec, last_value
 
 def template_variables(spark, sf_dir):
     text = "concat('Dear {{ name.', c_mktsegment, ' }}, ${id_', cast(c_custkey % 7 AS STRING), '} and %seg_', lower(substr(c_mktsegment, 1, 2)), '% {{name.', c_mktsegment, '}} {but not} 100%')"
-    return S.text_variables(table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey % 50 AS INT) AS doc_id", "c_custkey AS ord", f"{text} AS text").withColumnRenamed("ord", "par"), "doc_id", ["par"], "text")
+    return S.text_variables(table(spark, sf_dir, "customer").selectExpr("c_custkey div 8 AS doc_id", "c_custkey AS ord", f"{text} AS text").withColumnRenamed("ord", "par"), "doc_id", ["par"], "text")
 
 
 TEMPLATE_VARIABLES_SQL = """
-WITH t AS (SELECT CAST(c_custkey % 50 AS INT) AS doc_id, c_custkey AS par, [
+WITH t AS (SELECT c_custkey // 8 AS doc_id, c_custkey AS par, [
   {'name': 'name.' || c_mktsegment, 'placeholder': '{{ name.' || c_mktsegment || ' }}'}, {'name': 'id_' || c_custkey % 7, 'placeholder': '${id_' || c_custkey % 7 || '}'},
   {'name': 'seg_' || lower(substr(c_mktsegment, 1, 2)), 'placeholder': '%seg_' || lower(substr(c_mktsegment, 1, 2)) || '%'}] AS v FROM customer),
 p AS (SELECT doc_id, par, k.i AS place, v[k.i].name AS name, v[k.i].placeholder AS placeholder FROM t, range(1, 4) k(i)),
@@ -302,14 +302,14 @@ SELECT doc_id, v[k.i] AS name, '[[' || v[k.i] || ']]' AS placeholder, CAST(k.i A
 
 
 def fidelity_missing(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     rendered = d.select("doc_id", F.expr("CASE WHEN doc_id % 3 = 0 THEN replace(text, ' the ', ' ') ELSE text END").alias("html"))
     return S.missing_lines(lines, rendered, "doc_id", "line", "html").groupBy("doc_id").agg(F.count(F.lit(1)).alias("missing"))
 
 
 FIDELITY_MISSING_SQL = r"""
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN replace(text, ' the ', ' ') ELSE text END, '[ \t\n\r\f\v]+', '', 'g') AS whole FROM documents WHERE lang = 'en'),
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN replace(text, ' the ', ' ') ELSE text END, '[ \t\n\r\f\v]+', '', 'g') AS whole FROM documents),
 l AS (SELECT doc_id, whole, unnest(lines) AS line FROM d)
 SELECT doc_id, count(*) AS missing FROM l WHERE NOT contains(whole, regexp_replace(line, '[ \t\n\r\f\v]+', '', 'g')) GROUP BY doc_id
 """

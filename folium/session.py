@@ -46,6 +46,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: A writer's usual row group; a reader cannot split below one.
+ROW_GROUP = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table just read, dealt out over all cores if its files are too few and too small to occupy them.
+
+    A large table, or one of many files, is returned as it is: its scan is parallel already, and dealing it
+    out would only move it.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= cores * ROW_GROUP or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 

@@ -10,7 +10,11 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from folium.kernels import docx_read, html_read, html_write
 from folium.kernels.docx_write import write_docx
@@ -27,20 +31,33 @@ def read_docx_files(spark: SparkSession, path: str, glob: str = "*.docx") -> Dat
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def _map(df: DataFrame, id: str, value: str, one: Callable[[int, object], list[dict]], schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+def _parts(batch: pa.RecordBatch, limit: int = 1 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `limit` bytes of content, which bounds the rows held at once."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    start = held = 0
+    for k, size in enumerate(sizes):
+        if k > start and (held + size > limit or k - start >= rows):
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start)
 
-    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k in range(0, len(frame), 64):  # bounds the rows held at once
-                part = frame.iloc[k : k + 64]
-                rows = [row for key, x in zip(part.iloc[:, 0], part.iloc[:, 1]) if x is not None for row in one(int(key), x)]
-                out = pd.DataFrame(rows, columns=names)
-                for name, kind in (c.split(" ", 1) for c in schema.split(", ")):
-                    out[name] = out[name].astype({"int": "Int32", "long": "Int64", "boolean": "boolean"}.get(kind, object)) if kind in ("int", "long", "boolean") else out[name].astype(object).where(out[name].notna(), None)
-                yield out
-
-    return df.select(df[id].cast("long").alias("doc_id"), df[value]).mapInPandas(kernel, schema)
+
+def _map(df: DataFrame, id: str, value: str, one: Callable[[int, object], list[dict]], schema: str) -> DataFrame:
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    maps = [f.name for f in arrow if pa.types.is_map(f.type)]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                found = [row for key, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if x is not None for row in one(key, x)]
+                for name in maps:
+                    for row in found:
+                        row[name] = list((row.get(name) or {}).items())
+                yield pa.RecordBatch.from_pylist(found, schema=arrow)
+
+    return df.select(df[id].cast("long").alias("doc_id"), df[value]).mapInArrow(kernel, schema)
 
 
 def _document(kind: str) -> Callable[[object], Document]:

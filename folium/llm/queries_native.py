@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folium.llm.exact_dedup import exact_dedup
 from folium.llm.mixing import mix
+from folium.session import spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

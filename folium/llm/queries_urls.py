@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folium.llm.url_filters import filter_urls, parse_rules
+from folium.session import spread
 
 #: The rules that the query's contract fixes.
 RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return filter_urls(pages, parse_rules(RULES)).select("page_id", "host", "path", "rule", "verdict", "template")
 
 

@@ -261,14 +261,16 @@ class Network:
         return losses
 
 
-def windows(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows(codes: np.ndarray, offsets: np.ndarray, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """(text, word numbers) of every overlapping window; together they cover all words; a text without words has none."""
     sizes = np.diff(offsets)
     count = np.where(sizes == 0, 0, np.maximum(1, -(-(sizes - WINDOW) // STRIDE) + 1))
     text = np.repeat(np.arange(len(sizes)), count)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    start = nth * STRIDE
-    at = start[:, None] + np.arange(WINDOW)
-    inside = at < sizes[text][:, None]
-    found = np.where(inside, codes[np.minimum(at + offsets[:-1][text][:, None], max(len(codes) - 1, 0))] if len(codes) else -1, -1)
+    found = np.full((len(text), WINDOW), -1, np.int32)
+    for a in range(0, len(text), block):  # the places of all windows at once would take several times the memory of the result
+        own = text[a : a + block]
+        at = (nth[a : a + block] * STRIDE)[:, None] + np.arange(WINDOW)
+        inside = at < sizes[own][:, None]
+        found[a : a + block][inside] = codes[(at + offsets[:-1][own][:, None])[inside]]
     return text, found

@@ -96,9 +96,9 @@ class ToxicityModel:
         # statistics from one half, the network from the other, so that it does not trust them too much
         self.net.stats = associations([x for x, h in zip(each, half) if h], labels[half], known)
         x = self.net.inputs(known)
-        hint = np.append(x[:-1, 0] + x[:-1, 1], 0.0)
+        hint = np.append(x[:-1, 0] + x[:-1, 1], np.float32(0))
         text, cut = windows(codes, offsets)
-        weight = np.sort(hint[cut], axis=1)[:, -3:].sum(1)
+        weight = np.concatenate([np.sort(hint[part], axis=1)[:, -3:].sum(1) for part in np.split(cut, range(4096, len(cut), 4096))])
         chosen = []
         order = np.lexsort((-weight, text))
         first = np.searchsorted(text[order], np.arange(len(texts) + 1))

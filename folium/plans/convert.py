@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.sources import documents as D
@@ -20,9 +20,12 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def table_cells(nodes: DataFrame) -> DataFrame:
     """(doc_id, table_id, row, col, text) of table cells, continuing cells left out."""
-    rows = nodes.filter("kind = 'row'").select("doc_id", F.col("node_id").alias("_row"), F.col("parent_id").alias("table_id"), F.col("ord").alias("row"))
-    cells = nodes.filter("kind = 'cell' AND NOT is_continue").select("doc_id", F.col("parent_id").alias("_row"), F.col("ord").alias("col"), "text", "row_span", "grid_span")
-    return cells.join(rows, ["doc_id", "_row"]).drop("_row")
+    is_row = F.col("kind") == "row"
+    kept = nodes.filter("kind = 'row' OR (kind = 'cell' AND NOT is_continue)")
+    of = Window.partitionBy("doc_id", "_row")  # one row's cells; a join would parse every document twice
+    placed = kept.withColumn("_row", F.when(is_row, F.col("node_id")).otherwise(F.col("parent_id")))
+    placed = placed.withColumns({"table_id": F.max(F.when(is_row, F.col("parent_id"))).over(of), "row": F.max(F.when(is_row, F.col("ord"))).over(of)})
+    return placed.filter(~is_row).select("doc_id", F.col("ord").alias("col"), "text", "row_span", "grid_span", "table_id", "row")
 
 
 def fidelity_report(pages: DataFrame, id: str, html: str) -> DataFrame:

@@ -6,6 +6,9 @@ with the windows of the benchmark items. Where they meet, the document and the i
 behind the placeholders must be consistent: one value of the item always stands for one value in the document.
 So a question whose numbers, names or units were replaced is found as well as a copy.
 
+Beside each typed window stands an exact one of the values themselves, with case folded. It needs no literal
+words, so copies are found however rich in numbers, units or names they are.
+
 The benchmark's window hashes go to the tasks only while they number at most MAX_SHIPPED; beyond, every
 document emits its windows and Spark joins them by hash. Both ways verify with the same function.
 """
@@ -26,7 +29,7 @@ from folium.llm.words import slices, split_words
 from folium.session import cut
 
 WINDOW = 8
-#: A window needs so many words that are not placeholders.
+#: A typed window needs so many words that are not placeholders.
 LITERAL = 4
 #: A document holds an item if it covers this share of the item's windows ...
 COVERAGE = 0.5
@@ -115,12 +118,13 @@ class Reader(dict):
 
     def _reset(self) -> None:
         self.clear()
-        self.kinds, self.codes = np.zeros(4096, np.uint8), np.zeros(4096, np.uint64)
+        self.kinds = np.zeros(4096, np.uint8)
+        self.codes, self.units = np.zeros(4096, np.uint64), np.zeros(4096, np.uint64)
 
     def __missing__(self, raw: str) -> int:
         n = len(self)
         if n >= len(self.kinds):
-            self.kinds, self.codes = np.concatenate([self.kinds, np.zeros_like(self.kinds)]), np.concatenate([self.codes, np.zeros_like(self.codes)])
+            self.kinds, self.codes, self.units = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kinds, self.codes, self.units))
         bare = _EDGE.sub("", raw)
         low = bare.lower()
         glued = _GLUED.match(low)
@@ -133,23 +137,30 @@ class Reader(dict):
             kind |= _IS_GLUED
         else:
             kind |= (_IS_UNIT if low in UNITS else 0) | (_CAN_NAME if bare[0].isupper() and _NAME.match(bare) else 0)
-        self.kinds[n], self.codes[n] = kind, _hash(low)
+        self.kinds[n], self.codes[n] = kind, _hash(glued[1] if kind & _IS_GLUED else low)
+        if kind & _IS_GLUED:
+            self.units[n] = _hash(glued[2])
         self[raw] = n
         return n
 
     def hashes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts in a row: hash of each template word, whether it is a literal one, each text's offset."""
+        typed, literal, _, offsets = self.readings(texts)
+        return typed, literal, offsets
+
+    def readings(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """hashes() with the hash of each word's value before the offsets."""
         if len(self) > self.most:
             self._reset()
         codes, offsets, words = split_words(texts)
         at = np.array([self[w] if w else 0 for w in words], np.int64)[codes]
-        kinds, codes = self.kinds[at], self.codes[at]
+        kinds, codes, units = self.kinds[at], self.codes[at], self.units[at]
         starts = np.ones(len(kinds), np.bool_)
         starts[1:] = kinds[:-1] & _ENDS > 0
         first = offsets[:-1][np.diff(offsets) > 0]
         starts[first] = True
         full = kinds & _EMPTY == 0
-        kinds, codes, starts = kinds[full], codes[full], starts[full]
+        kinds, codes, units, starts = kinds[full], codes[full], units[full], starts[full]
         offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
         first = offsets[:-1][np.diff(offsets) > 0]
         after = np.zeros(len(kinds), np.bool_)
@@ -158,15 +169,16 @@ class Reader(dict):
         number, glued = kinds & (_IS_NUMBER | _IS_GLUED) > 0, kinds & _IS_GLUED > 0
         unit = (kinds & _IS_UNIT > 0) & after
         name = (kinds & _CAN_NAME > 0) & ~starts & ~unit
-        codes = np.where(number, _NUMBER_CODE, np.where(unit, _UNIT_CODE, np.where(name, _NAME_CODE, codes)))
+        typed = np.where(number, _NUMBER_CODE, np.where(unit, _UNIT_CODE, np.where(name, _NAME_CODE, codes)))
         literal = ~(number | unit | name)
         if glued.any():
             times = glued + 1
             ends = np.cumsum(times)
             offsets = np.concatenate([[0], ends])[offsets]
-            codes, literal = np.repeat(codes, times), np.repeat(literal, times)
-            codes[ends[glued] - 1] = _UNIT_CODE
-        return codes, literal, offsets
+            last = ends[glued] - 1
+            typed, literal, codes = np.repeat(typed, times), np.repeat(literal, times), np.repeat(codes, times)
+            typed[last], codes[last] = _UNIT_CODE, units[glued]
+        return typed, literal, codes, offsets
 
 
 @lru_cache(maxsize=1)
@@ -175,16 +187,26 @@ def reader() -> Reader:
     return Reader()
 
 
-def windows(codes: np.ndarray, literal: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of each window that lies in one text and holds enough literal words."""
-    found = _mix(codes, window)
+def windows(codes: np.ndarray, literal: np.ndarray, offsets: np.ndarray, window: int, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each window that lies in one text and holds enough literal words.
+
+    With `other`, a second reading of the same words: of its windows that hold a word which is not literal.
+    """
+    found = _mix(codes if other is None else other, window)
     total = np.concatenate([[0], np.cumsum(literal)])
-    good = total[window:] - total[: max(0, len(total) - window)] >= min(LITERAL, window)
+    held = total[window:] - total[: max(0, len(total) - window)]
+    good = held >= min(LITERAL, window) if other is None else held < window
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(found)]
     good &= np.arange(len(found)) + window <= offsets[1:][text]
     return text[good], found[good]
 
 
+def every_window(typed: np.ndarray, literal: np.ndarray, exact: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each typed window and of each exact one; where they are the same, once."""
+    parts = [windows(typed, literal, offsets, window), windows(typed, literal, offsets, window, exact)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 class Table:
     """A set of hashes with a bit map before the exact look-up."""
 
@@ -205,35 +227,54 @@ def _window_of(n: int, window: int) -> int:
     return min(window, n)
 
 
-def verify(doc: tuple[list[str], list[str]], item: tuple[list[str], list[str]], window: int) -> dict | None:
+def readings(text: str) -> tuple[list[str], list[str], str]:
+    """templates() of a text, and its words with all marks, case folded, in one line."""
+    return *templates(text), " ".join(_WORD.findall(text)).lower()
+
+
+def _stands(line: str, item: str) -> bool:
+    """Whether the item, without marks at its ends, stands in the line as whole words."""
+    bare = _EDGE.sub("", item)
+    return bool(re.search(rf"(?<!\w){re.escape(bare)}(?!\w)", line))
+
+
+def _places(words: list[str], want: list[str], starts: list[int], w: int) -> dict[int, list[int]]:
+    """Starts of the item's windows by diagonal, where the document has the same window."""
+    at = defaultdict(list)
+    for i in starts:
+        at[tuple(want[i : i + w])].append(i)
+    diagonals = defaultdict(list)
+    first = {p[0] for p in at}
+    for j in range(len(words) - w + 1):
+        if words[j] in first:
+            for i in at.get(tuple(words[j : j + w]), ()):
+                diagonals[j - i].append(i)
+    return diagonals
+
+
+def verify(doc: tuple, item: tuple, window: int) -> dict | None:
     """Align a document with an item; None unless enough of the item is there with consistent slots.
 
-    The item's windows are looked up in the document and grouped by diagonal (document place minus item
-    place). On a diagonal, a window counts while every placeholder's value maps to one value only.
+    doc and item are readings() or templates(). The item's windows are looked up in the document and grouped by
+    diagonal (document place minus item place). On a diagonal, a typed window counts while every placeholder's
+    value maps to one value only; a window of equal values counts always. Coverage is of the typed windows or of
+    all, whichever is more. An item shorter than a window without a typed one must stand there with its marks.
     """
-    (words, values), (want, had) = doc, item
+    (words, values), (want, had) = doc[:2], item[:2]
     w = _window_of(len(want), window)
     if w < 2:
         return None
-    at = defaultdict(list)
-    for i in range(len(want) - w + 1):
-        part = tuple(want[i : i + w])
-        if sum(x[0] != "<" for x in part) >= min(LITERAL, w):
-            at[part].append(i)
-    total = sum(map(len, at.values()))
-    diagonals = defaultdict(list)
-    if total:
-        first = {p[0] for p in at}
-        for j in range(len(words) - w + 1):
-            if words[j] in first:
-                for i in at.get(tuple(words[j : j + w]), ()):
-                    diagonals[j - i].append(i)
+    every = range(len(want) - w + 1)
+    typed = [i for i in every if sum(x[0] != "<" for x in want[i : i + w]) >= min(LITERAL, w)]
+    if not typed and w < window and len(doc) > 2 and not _stands(doc[2], item[2]):
+        return None
+    by_type, by_value = _places(words, want, typed, w), _places(values, had, list(every), w)
     best = None
     covered: set[int] = set()
-    for shift, starts in diagonals.items():
+    for shift in by_type.keys() | by_value.keys():
         slots: dict[tuple[str, str], str] = {}
-        good, changed = [], set()
-        for i in sorted(starts):
+        good, changed = set(), set()
+        for i in sorted(by_type.get(shift, ())):
             own: dict[tuple[str, str], str] = {}
             fits = True
             for k in range(i, i + w):
@@ -246,23 +287,33 @@ def verify(doc: tuple[list[str], list[str]], item: tuple[list[str], list[str]],
                     own[key] = value
             if fits:
                 slots.update(own)
-                good.append(i)
+                good.add(i)
                 changed.update(k for k, v in own.items() if k[1] != v)
+        for i in by_value.get(shift, ()):
+            good.add(i)
+            for k in range(i, i + w):
+                if want[k][0] == "<":
+                    slots.setdefault((want[k], had[k]), had[k])
         if not good:
             continue
         run = longest = 1
-        for a, b in zip(good, good[1:]):
+        ordered = sorted(good)
+        for a, b in zip(ordered, ordered[1:]):
             run = run + 1 if b == a + 1 else 1
             longest = max(longest, run)
-        covered.update(good)
+        covered |= good
         found = (longest + w - 1, len(slots), bool(changed))
         best = max(best, found) if best else found
     if best is None:
         return None
-    coverage = len(covered) / total
+    matched, total = len(covered), len(every)
+    some = len(covered.intersection(typed))
+    if typed and some * total >= matched * len(typed):
+        matched, total = some, len(typed)
+    coverage = matched / total
     if coverage < COVERAGE and best[0] < RUN:
         return None
-    return {"n_matched": len(covered), "n_windows": total, "coverage": coverage, "longest_run": best[0], "n_slots": best[1], "reparameterised": best[2]}
+    return {"n_matched": matched, "n_windows": total, "coverage": coverage, "longest_run": best[0], "n_slots": best[1], "reparameterised": best[2]}
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -281,26 +332,26 @@ def _shipped(docs: DataFrame, items: list[tuple[int, str]], window: int) -> Data
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, read = {}, reader().hashes
+        known, read = {}, reader().readings
         owner: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for item_id, text in sent.value:
-            known[item_id] = templates(text)
-            codes, literal, offsets = read(pa.array([text]))
-            if (w := _window_of(len(codes), window)) >= 2:
-                for h in windows(codes, literal, offsets, w)[1].tolist():
+            known[item_id] = readings(text)
+            found = read(pa.array([text]))
+            if (w := _window_of(len(found[0]), window)) >= 2:
+                for h in every_window(*found, w)[1].tolist():
                     owner[w][h].add(item_id)
         tables = {w: Table(set(x)) for w, x in owner.items() if x}
         for batch in batches:
             rows = []
             for part in slices(batch):
-                codes, literal, offsets = read(part.column(1))
+                seen = read(part.column(1))
                 here: dict[int, set[int]] = defaultdict(set)
                 for w, table in tables.items():
-                    texts, found = windows(codes, literal, offsets, w)
+                    texts, found = every_window(*seen, w)
                     for k in table.among(found).tolist():
                         here[int(texts[k])] |= owner[w][int(found[k])]
                 for k in sorted(here):
-                    doc = templates(part.column(1)[k].as_py())
+                    doc = readings(part.column(1)[k].as_py())
                     doc_id = part.column(0)[k].as_py()
                     rows += [_row(doc_id, i, hit) for i in sorted(here[k]) if (hit := verify(doc, known[i], window))]
             yield _batch(rows)
@@ -316,10 +367,10 @@ def _joined(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
                 ids, sizes, hashed = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
                 for part in slices(batch):
                     keys = part.column(0).to_numpy(zero_copy_only=False)
-                    codes, literal, offsets = reader().hashes(part.column(1))
-                    own = np.minimum(np.diff(offsets), window)
+                    seen = reader().readings(part.column(1))
+                    own = np.minimum(np.diff(seen[-1]), window)
                     for w in lengths or sorted({int(x) for x in own if x >= 2}):
-                        texts, found = windows(codes, literal, offsets, w)
+                        texts, found = every_window(*seen, w)
                         if lengths is None:
                             texts, found = texts[own[texts] == w], found[own[texts] == w]
                         ids.append(keys[texts])
@@ -340,7 +391,7 @@ def _joined(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                if hit := verify(templates(row["text"] or ""), templates(row["item_text"] or ""), window):
+                if hit := verify(readings(row["text"] or ""), readings(row["item_text"] or ""), window):
                     rows.append(_row(row["doc_id"], row["item_id"], hit))
             yield _batch(rows)
 

@@ -6,6 +6,7 @@ with the windows of the benchmark items. Where they meet, the document and the i
 behind the placeholders must be consistent: one value of the item always stands for one value in the document.
 So a question whose numbers, names or units were replaced is found as well as a copy.
 
+A capitalised word that begins a sentence may be a name or not, so windows are typed both ways.
 Beside each typed window stands an exact one of the values themselves, with case folded. It needs no literal
 words, so copies are found however rich in numbers, units or names they are.
 
@@ -55,8 +56,11 @@ _ENDINGS = frozenset(".!?:;\"'…")
 SCHEMA = "doc_id long, item_id long, contaminated boolean, n_matched long, n_windows long, coverage double, longest_run long, n_slots long, reparameterised boolean"
 
 
-def templates(text: str) -> tuple[list[str], list[str]]:
-    """The template words of a text and, beside each, the value behind it."""
+def templates(text: str, initial: bool = False) -> tuple[list[str], list[str]]:
+    """The template words of a text and, beside each, the value behind it.
+
+    With `initial`, a word that begins a sentence can be a name too.
+    """
     words: list[str] = []
     values: list[str] = []
     starts = True  # the next word begins a sentence
@@ -74,7 +78,7 @@ def templates(text: str) -> tuple[list[str], list[str]]:
                 low = glued[2]
             elif low in UNITS and words and words[-1] == NUMBER:
                 words.append(UNIT)
-            elif not starts and bare[0].isupper() and _NAME.match(bare):
+            elif (initial or not starts) and bare[0].isupper() and _NAME.match(bare):
                 words.append(NAME)
             else:
                 words.append(low)
@@ -145,11 +149,11 @@ class Reader(dict):
 
     def hashes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts in a row: hash of each template word, whether it is a literal one, each text's offset."""
-        typed, literal, _, offsets = self.readings(texts)
+        typed, literal, *_, offsets = self.readings(texts)
         return typed, literal, offsets
 
-    def readings(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """hashes() with the hash of each word's value before the offsets."""
+    def readings(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """hashes(); before the offsets the hashes and literal words with initial names, and the hash of each value."""
         if len(self) > self.most:
             self._reset()
         codes, offsets, words = split_words(texts)
@@ -168,17 +172,20 @@ class Reader(dict):
         after[first] = False
         number, glued = kinds & (_IS_NUMBER | _IS_GLUED) > 0, kinds & _IS_GLUED > 0
         unit = (kinds & _IS_UNIT > 0) & after
-        name = (kinds & _CAN_NAME > 0) & ~starts & ~unit
+        shaped = (kinds & _CAN_NAME > 0) & ~unit
+        name = shaped & ~starts
         typed = np.where(number, _NUMBER_CODE, np.where(unit, _UNIT_CODE, np.where(name, _NAME_CODE, codes)))
         literal = ~(number | unit | name)
+        loose, fixed = np.where(shaped, _NAME_CODE, typed), literal & ~shaped
         if glued.any():
             times = glued + 1
             ends = np.cumsum(times)
             offsets = np.concatenate([[0], ends])[offsets]
             last = ends[glued] - 1
-            typed, literal, codes = np.repeat(typed, times), np.repeat(literal, times), np.repeat(codes, times)
-            typed[last], codes[last] = _UNIT_CODE, units[glued]
-        return typed, literal, codes, offsets
+            typed, literal, loose, fixed, codes = (np.repeat(x, times) for x in (typed, literal, loose, fixed, codes))
+            typed[last] = loose[last] = _UNIT_CODE
+            codes[last] = units[glued]
+        return typed, literal, loose, fixed, codes, offsets
 
 
 @lru_cache(maxsize=1)
@@ -187,23 +194,28 @@ def reader() -> Reader:
     return Reader()
 
 
-def windows(codes: np.ndarray, literal: np.ndarray, offsets: np.ndarray, window: int, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def windows(codes: np.ndarray, literal: np.ndarray, offsets: np.ndarray, window: int, least: int | None = None, unlike: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of each window that lies in one text and holds enough literal words.
 
-    With `other`, a second reading of the same words: of its windows that hold a word which is not literal.
+    With `unlike`, marks of words, only of windows that hold one of them.
     """
-    found = _mix(codes if other is None else other, window)
-    total = np.concatenate([[0], np.cumsum(literal)])
-    held = total[window:] - total[: max(0, len(total) - window)]
-    good = held >= min(LITERAL, window) if other is None else held < window
+    found = _mix(codes, window)
+    count = lambda marks: (t := np.concatenate([[0], np.cumsum(marks)]))[window:] - t[: max(0, len(t) - window)]
+    good = count(literal) >= (min(LITERAL, window) if least is None else least)
+    if unlike is not None:
+        good &= count(unlike) > 0
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(found)]
     good &= np.arange(len(found)) + window <= offsets[1:][text]
     return text[good], found[good]
 
 
-def every_window(typed: np.ndarray, literal: np.ndarray, exact: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of each typed window and of each exact one; where they are the same, once."""
-    parts = [windows(typed, literal, offsets, window), windows(typed, literal, offsets, window, exact)]
+def every_window(typed: np.ndarray, literal: np.ndarray, loose: np.ndarray, fixed: np.ndarray, exact: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each window in the three readings of Reader.readings(); where a reading changes nothing, once."""
+    parts = [
+        windows(typed, literal, offsets, window),
+        windows(loose, fixed, offsets, window, unlike=literal & ~fixed),
+        windows(exact, literal, offsets, window, least=0, unlike=~literal),
+    ]
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -227,9 +239,9 @@ def _window_of(n: int, window: int) -> int:
     return min(window, n)
 
 
-def readings(text: str) -> tuple[list[str], list[str], str]:
-    """templates() of a text, and its words with all marks, case folded, in one line."""
-    return *templates(text), " ".join(_WORD.findall(text)).lower()
+def readings(text: str) -> tuple[list[str], list[str], list[str], str]:
+    """templates() of a text, its template words with initial names, and its words with all marks, case folded, in one line."""
+    return *templates(text), templates(text, True)[0], " ".join(_WORD.findall(text)).lower()
 
 
 def _stands(line: str, item: str) -> bool:
@@ -252,57 +264,68 @@ def _places(words: list[str], want: list[str], starts: list[int], w: int) -> dic
     return diagonals
 
 
+def _consistent(starts: list[int], shift: int, want: list[str], had: list[str], values: list[str], w: int) -> tuple[list[int], dict]:
+    """The windows of a diagonal that agree on the value of each of the item's slots, and the slots."""
+    slots: dict[tuple[str, str], str] = {}
+    good = []
+    for i in sorted(starts):
+        own: dict[tuple[str, str], str] = {}
+        fits = True
+        for k in range(i, i + w):
+            if want[k][0] == "<":
+                key = (want[k], had[k])
+                value = values[k + shift]
+                if slots.get(key, own.get(key, value)) != value:
+                    fits = False
+                    break
+                own[key] = value
+        if fits:
+            slots.update(own)
+            good.append(i)
+    return good, slots
+
+
 def verify(doc: tuple, item: tuple, window: int) -> dict | None:
     """Align a document with an item; None unless enough of the item is there with consistent slots.
 
     doc and item are readings() or templates(). The item's windows are looked up in the document and grouped by
-    diagonal (document place minus item place). On a diagonal, a typed window counts while every placeholder's
-    value maps to one value only; a window of equal values counts always. Coverage is of the typed windows or of
-    all, whichever is more. An item shorter than a window without a typed one must stand there with its marks.
+    diagonal (document place minus item place). On a diagonal, a window counts if it is typed alike in one of the
+    two ways and every placeholder's value maps to one value only, or if its values are equal. Coverage is of the
+    windows with enough literal words or of all, whichever is more. An item shorter than a window without a typed
+    one must stand there with its marks.
     """
     (words, values), (want, had) = doc[:2], item[:2]
     w = _window_of(len(want), window)
     if w < 2:
         return None
-    every = range(len(want) - w + 1)
-    typed = [i for i in every if sum(x[0] != "<" for x in want[i : i + w]) >= min(LITERAL, w)]
-    if not typed and w < window and len(doc) > 2 and not _stands(doc[2], item[2]):
+    every = list(range(len(want) - w + 1))
+    enough = lambda named: [i for i in every if sum(x[0] != "<" for x in named[i : i + w]) >= min(LITERAL, w)]
+    typed = enough(want)
+    if not typed and w < window and len(doc) > 2 and not _stands(doc[3], item[3]):
         return None
-    by_type, by_value = _places(words, want, typed, w), _places(values, had, list(every), w)
+    ways = [(want, _places(words, want, typed, w)), (had, _places(values, had, every, w))]
+    if len(doc) > 2 and item[2] != want:
+        ways.append((item[2], _places(doc[2], item[2], enough(item[2]), w)))
     best = None
     covered: set[int] = set()
-    for shift in by_type.keys() | by_value.keys():
+    for shift in {d for _, places in ways for d in places}:
+        good: set[int] = set()
         slots: dict[tuple[str, str], str] = {}
-        good, changed = set(), set()
-        for i in sorted(by_type.get(shift, ())):
-            own: dict[tuple[str, str], str] = {}
-            fits = True
-            for k in range(i, i + w):
-                if want[k][0] == "<":
-                    key = (want[k], had[k])
-                    value = values[k + shift]
-                    if slots.get(key, own.get(key, value)) != value:
-                        fits = False
-                        break
-                    own[key] = value
-            if fits:
-                slots.update(own)
-                good.add(i)
-                changed.update(k for k, v in own.items() if k[1] != v)
-        for i in by_value.get(shift, ()):
-            good.add(i)
-            for k in range(i, i + w):
-                if want[k][0] == "<":
-                    slots.setdefault((want[k], had[k]), had[k])
+        for named, places in ways:
+            held, own = _consistent(places.get(shift, []), shift, named, had, values, w)
+            good.update(held)
+            slots = own | slots
         if not good:
             continue
+        for k in {k for i in good for k in range(i, i + w) if want[k][0] == "<"}:
+            slots.setdefault((want[k], had[k]), values[k + shift])
         run = longest = 1
         ordered = sorted(good)
         for a, b in zip(ordered, ordered[1:]):
             run = run + 1 if b == a + 1 else 1
             longest = max(longest, run)
         covered |= good
-        found = (longest + w - 1, len(slots), bool(changed))
+        found = (longest + w - 1, len(slots), any(k[1] != v for k, v in slots.items()))
         best = max(best, found) if best else found
     if best is None:
         return None

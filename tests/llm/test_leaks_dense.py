@@ -22,8 +22,22 @@ def test_lower_case_copy(spark, options):
     assert set(leaks(spark, ["er las: " + item.lower() + " so", item.upper(), "etwas anderes ganz ohne Bezug"], [item], **options)) == {(0, 0), (1, 0)}
 
 
-def test_reader_knows_the_values():
+def test_reader_knows_names_and_values():
     texts = ["The 5kg bag, and Bob Smith paid 3.5 km to 20 dollars. The Cat | sat; Then 5 m", "", None, "x 10 kg. Kg 5 5kg Mm "]
-    *_, exact, offsets = D.Reader().readings(pa.array(texts, pa.string()))
+    *_, loose, fixed, exact, offsets = D.Reader().readings(pa.array(texts, pa.string()))
     for k, text in enumerate(texts):
-        assert [D._hash(v) for v in D.templates(text or "")[1]] == exact[offsets[k] : offsets[k + 1]].tolist()
+        part = slice(offsets[k], offsets[k + 1])
+        words, values = D.templates(text or "", True)
+        assert [D._hash(w) for w in words] == loose[part].tolist() and [w[0] != "<" for w in words] == fixed[part].tolist()
+        assert [D._hash(v) for v in values] == exact[part].tolist()
+
+
+MARY = "Mary has 12 eggs and 3 pans. Mary sells 5 eggs. Mary buys 4 pans. How many pans does Mary own?"
+
+
+@pytest.mark.parametrize("options", [{}, {"max_shipped": 0}])
+def test_names_that_begin_sentences(spark, options):
+    other = MARY.replace("Mary", "Peter").replace("12", "31").replace("3 pans", "8 pans").replace("5", "6").replace("4", "9")
+    mixed = "Ann has 12 eggs and 3 pans. Bob sells 5 eggs. Cid buys 4 pans. How many pans does Dan own?"
+    got = leaks(spark, ["He asked. " + other + " Then he left.", mixed, "Mary has eggs and pans of her own to sell"], [MARY], **options)
+    assert set(got) == {(0, 0)} and got[0, 0]["coverage"] > 0.8 and got[0, 0]["reparameterised"]

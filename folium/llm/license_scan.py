@@ -88,6 +88,8 @@ ORDINARY = [
 #: A prediction needs this probability, and this share of its word 3-grams among the family's.
 LEAST, SHARED = 0.5, 0.5
 SEGMENT = r"\n+|(?<=[.!?])\s+(?=[A-Z])"
+#: As SEGMENT, but a single line break that follows no end of a sentence divides nothing.
+SENTENCE = r"\n{2,}|(?<=[.!?])(?:\n|\s+(?=[A-Z]))"
 
 
 def words_of(text: str) -> list[str]:
@@ -146,20 +148,20 @@ def model() -> dict:
 
 
 @lru_cache(maxsize=1)
-def anchors() -> tuple[str, ...]:
-    """A few words of which every notice holds one: a paragraph without any is never a licence paragraph.
+def held_pattern() -> str:
+    """Finds a word 3-gram of any notice in a lower-cased text: a paragraph without one can never reach SHARED."""
+    tree: dict = {}
+    for triple in sorted({t for notices in NOTICES.values() for n in notices for t in triples_of(words_of(n))}):
+        at = tree
+        for c in triple:
+            at = at.setdefault(c, {})
+        at[""] = {}
 
-    Chosen greedily from words that ordinary sentences hold least.
-    """
-    left = [set(words_of(n)) for notices in NOTICES.values() for n in notices]
-    common = Counter(w for s in ORDINARY for w in set(words_of(s)))
-    chosen: list[str] = []
-    while left:
-        counts = Counter(w for n in left for w in n if len(w) > 2 and not w.isdigit())
-        best = max(counts, key=lambda w: (counts[w] / (1 + 100 * common[w]), w))
-        chosen.append(best)
-        left = [n for n in left if best not in n]
-    return tuple(chosen)
+    def pattern(at: dict) -> str:
+        ways = [(r"(?![a-z0-9])" if c == "" else "[^a-z0-9]+" if c == " " else c) + (pattern(below) if below else "") for c, below in at.items()]
+        return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+    return "(?<![a-z0-9])" + pattern(tree)
 
 
 def table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
@@ -176,10 +178,24 @@ def _ngrams(words: Column, n: int) -> Column:
     return F.array_distinct(F.transform(tails, lambda i: F.array_join(F.slice(words, i, n), " ")))
 
 
+def _wrapped(text: Column) -> Column:
+    """Array of (paragraph, paragraph_text) of the sentences that run over several lines, the number being the first line's."""
+    kind = "array<struct<paragraph:int,paragraph_text:string>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
+
+    def step(state: Column, x: Column) -> Column:
+        lines = F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))) + 1
+        one = F.struct(state["at"].alias("paragraph"), F.replace(x, F.lit("\n"), F.lit(" ")).alias("paragraph_text"))
+        return F.struct((state["at"] + lines).alias("at"), F.when(lines > 1, F.concat(state["found"], F.array(one))).otherwise(state["found"]).alias("found"))
+
+    return F.aggregate(F.split(text, SENTENCE), start, step, lambda s: s["found"])
+
+
 def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per licence paragraph: doc_id, paragraph (0-based), family, probability, shared, paragraph_text.
 
-    Paragraphs are lines, and sentences within lines. Null and empty texts, and texts without licence
+    Paragraphs are lines, and sentences within lines; a sentence that is wrapped over lines is one too, beside
+    its lines, under the first one's number and with its lines joined by spaces. Null and empty texts, and texts without licence
     paragraphs, give no row. Ties of probability go to the earlier family name. A repeated row gives its
     paragraphs once per (doc_id, paragraph, text). Other columns are not read; an empty table gives an empty
     result. Scores are sums over a paragraph's own n-grams, so no group is larger than a paragraph; the model
@@ -187,9 +203,10 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     """
     spark = docs.sparkSession
     m = model()
-    anchor = r"(?i)\b(?:" + "|".join(anchors()) + r")\b"
-    held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).filter(F.col("_t").rlike(anchor))
-    parts = held.select("doc_id", F.posexplode(F.split("_t", SEGMENT)).alias("paragraph", "paragraph_text")).filter(F.col("paragraph_text").rlike(anchor))
+    holds = lambda c: F.lower(c).rlike(held_pattern())
+    held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).filter(holds("_t"))
+    lines = held.select("doc_id", F.posexplode(F.split("_t", SEGMENT)).alias("paragraph", "paragraph_text"))
+    parts = lines.union(held.select("doc_id", F.inline(_wrapped(F.col("_t"))))).filter(holds("paragraph_text"))
     parts = cut(parts.distinct(), "paragraphs")
     words = _words(F.col("paragraph_text"))
     key = ["doc_id", "paragraph", "paragraph_text"]

@@ -10,23 +10,25 @@ A capitalised word that begins a sentence may be a name or not, so windows are t
 Beside each typed window stands an exact one of the values themselves, with case folded. It needs no literal
 words, so copies are found however rich in numbers, units or names they are.
 
-The benchmark's window hashes go to the tasks only while they number at most MAX_SHIPPED; beyond, every
-document emits its windows and Spark joins them by hash. Both ways verify with the same function.
+The join by hash is a broadcast one of checked size: the benchmark goes to the tasks in parts of at most
+MAX_SHIPPED words, and every part meets all documents, so nothing of a document is moved.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.words import slices, split_words
+from folium.llm.text import count_words
+from folium.llm.words import filter_rows, slices, split_words
 from folium.session import cut
 
 WINDOW = 8
@@ -36,7 +38,7 @@ LITERAL = 4
 COVERAGE = 0.5
 #: ... or so many template words of it in one run.
 RUN = 13
-#: Benchmark windows that may be shipped to tasks (8 bytes a hash and some 100 a word).
+#: Benchmark words, hence windows, that are shipped to tasks at once (8 bytes a hash and some 100 a word).
 MAX_SHIPPED = 2_000_000
 
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
@@ -346,96 +348,123 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _row(doc_id: int, item_id: int, found: dict) -> tuple:
-    return (doc_id, item_id, True, found["n_matched"], found["n_windows"], found["coverage"], found["longest_run"], found["n_slots"], found["reparameterised"])
+class Index:
+    """The windows of item rows by hash. Rows count by their place in `items`, so repeated and null ids do not matter."""
+
+    def __init__(self, items: list[tuple[int | None, str]], window: int):
+        self.window, self.ids, self.known = window, [i for i, _ in items], [readings(t) for _, t in items]
+        self.owner: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for k, (_, text) in enumerate(items):
+            found = reader().readings(pa.array([text]))
+            if (w := _window_of(len(found[0]), window)) >= 2:
+                for h in set(every_window(*found, w)[1].tolist()):
+                    self.owner[w][h].append(k)
+        self.tables = {w: Table(set(x)) for w, x in self.owner.items() if x}
+
+    def meet(self, texts: pa.Array) -> dict[int, list[int]]:
+        """text -> item rows that share a window with it."""
+        here: dict[int, set[int]] = defaultdict(set)
+        seen = reader().readings(texts)
+        for w, table in self.tables.items():
+            at, found = every_window(*seen, w)
+            for k in table.among(found).tolist():
+                here[int(at[k])].update(self.owner[w][int(found[k])])
+        return {k: sorted(v) for k, v in sorted(here.items())}
+
+    def hits(self, texts: pa.Array, all_of: bool = True) -> Iterator[tuple[int, int, dict]]:
+        """(text, item row, evidence) of every item that a text holds; without `all_of`, the first of each text."""
+        for k, rows in self.meet(texts).items():
+            doc = readings(texts[k].as_py())
+            for row in rows:
+                if hit := verify(doc, self.known[row], self.window):
+                    yield k, row, hit
+                    if not all_of:
+                        break
+
+
+_built: dict[str, Index] = {}
+
+
+def _index(key: str, shared, window: int) -> Index:
+    """The worker's index of a shipped part: built once, kept for later tasks; two at most are kept."""
+    if key not in _built:
+        while len(_built) > 1:
+            del _built[next(iter(_built))]
+        _built[key] = Index(shared.value, window)
+    return _built[key]
+
+
+def parts_of(items: DataFrame, most: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The item rows in parts of at most `most` words (a single longer item is a part of its own).
+
+    Rows are dealt to buckets by a hash; buckets that are too large are dealt again. Only one part is on the
+    driver at a time, so neither the driver nor a broadcast grows with the benchmark.
+    """
+    sized = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text <> ''")
+    sized = sized.withColumn("_n", count_words(F.col("text")) + 1)
+    total, most = sized.agg(F.sum("_n")).first()[0] or 0, max(1, most)
+    if total > most:
+        sized = cut(sized, "items")
+    pending = [(sized, total, 1)] if total else []
+    while pending:
+        rows, size, salt = pending.pop()
+        if size <= most or rows.limit(2).count() == 1:
+            yield [(r["item_id"], r["text"]) for r in rows.select("item_id", "text").collect()]
+            continue
+        into = max(2, -(-2 * size // most))
+        # equal rows would share a bucket for ever, so from the second deal on a row's place in its file counts too
+        spot = F.pmod(F.xxhash64("text", "item_id", F.lit(salt), *([F.monotonically_increasing_id()] if salt > 1 else [])), F.lit(into))
+        dealt = cut(rows.withColumn("_b", spot), "items")
+        sizes = dealt.groupBy("_b").agg(F.sum("_n").alias("n")).collect()  # one row a bucket
+        pending += [(dealt.filter(F.col("_b") == r["_b"]).drop("_b"), r["n"], salt + 1) for r in sizes]
 
 
-def _shipped(docs: DataFrame, items: list[tuple[int, str]], window: int) -> DataFrame:
-    """The way for a benchmark of bounded size: look its windows up while a text is at hand."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+def _shipped(docs: DataFrame, items: list[tuple[int | None, str]], window: int) -> DataFrame:
+    """The evidence rows of one part of the benchmark: its windows are looked up while a text is at hand."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, read = {}, reader().readings
-        owner: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for item_id, text in sent.value:
-            known[item_id] = readings(text)
-            found = read(pa.array([text]))
-            if (w := _window_of(len(found[0]), window)) >= 2:
-                for h in every_window(*found, w)[1].tolist():
-                    owner[w][h].add(item_id)
-        tables = {w: Table(set(x)) for w, x in owner.items() if x}
+        index = _index(key, sent, window)
         for batch in batches:
             rows = []
             for part in slices(batch):
-                seen = read(part.column(1))
-                here: dict[int, set[int]] = defaultdict(set)
-                for w, table in tables.items():
-                    texts, found = every_window(*seen, w)
-                    for k in table.among(found).tolist():
-                        here[int(texts[k])] |= owner[w][int(found[k])]
-                for k in sorted(here):
-                    doc = readings(part.column(1)[k].as_py())
-                    doc_id = part.column(0)[k].as_py()
-                    rows += [_row(doc_id, i, hit) for i in sorted(here[k]) if (hit := verify(doc, known[i], window))]
+                ids = part.column(0).to_pylist()
+                rows += [
+                    (ids[k], index.ids[row], True, x["n_matched"], x["n_windows"], x["coverage"], x["longest_run"], x["n_slots"], x["reparameterised"]) for k, row, x in index.hits(part.column(1))
+                ]
             yield _batch(rows)
 
     return docs.select("doc_id", "text").mapInArrow(kernel, SCHEMA)
 
 
-def _joined(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """The way for a benchmark of any size: windows of both sides meet in a join by hash."""
-    def emit(lengths: list[int] | None):
-        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, sizes, hashed = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-                for part in slices(batch):
-                    keys = part.column(0).to_numpy(zero_copy_only=False)
-                    seen = reader().readings(part.column(1))
-                    own = np.minimum(np.diff(seen[-1]), window)
-                    for w in lengths or sorted({int(x) for x in own if x >= 2}):
-                        texts, found = every_window(*seen, w)
-                        if lengths is None:
-                            texts, found = texts[own[texts] == w], found[own[texts] == w]
-                        ids.append(keys[texts])
-                        sizes.append(np.full(len(texts), w, np.int32))
-                        hashed.append(found.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, sizes, hashed)], names=["key", "w", "h"])
-
-        return kernel
-
-    ours = items.select(F.col("item_id").cast("long"), "text")
-    right = cut(ours.mapInArrow(emit(None), "key long, w int, h long").select(F.col("key").alias("item_id"), "w", "h"), "benchmark")
-    lengths = sorted(r[0] for r in right.select("w").distinct().collect())  # at most `window` values
-    left = docs.mapInArrow(emit(lengths or [window]), "key long, w int, h long").select(F.col("key").alias("doc_id"), "w", "h")
-    pairs = left.join(right, ["w", "h"]).select("doc_id", "item_id").distinct()
-    whole = pairs.join(docs.select("doc_id", "text"), "doc_id").join(ours.withColumnRenamed("text", "item_text"), "item_id")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                if hit := verify(readings(row["text"] or ""), readings(row["item_text"] or ""), window):
-                    rows.append(_row(row["doc_id"], row["item_id"], hit))
-            yield _batch(rows)
-
-    return whole.select("doc_id", "item_id", "text", "item_text").mapInArrow(check, SCHEMA)
+def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_shipped: int = MAX_SHIPPED) -> DataFrame:
+    """One row per document row and benchmark row that it holds, with the evidence; clean documents give no row.
+
+    docs needs doc_id and text, items item_id and text; other columns are not read, so clashing names do not
+    matter. Null and empty texts hold nothing, items with fewer than two words match nothing, items shorter than
+    a window are matched as a whole. Rows with null ids count like any other and give rows with null ids.
+    Repeated items or documents give repeated rows, also where one id has several texts. Empty tables give an
+    empty result. A benchmark of more than `max_shipped` words is read in parts, each against all documents;
+    the rows are the same however it is divided.
+    """
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = [_shipped(plain, part, window) for part in parts_of(items, max_shipped)]
+    return reduce(DataFrame.union, found) if found else plain.sparkSession.createDataFrame([], SCHEMA)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_shipped: int = MAX_SHIPPED) -> DataFrame:
-    """One row per document and benchmark item that it holds, with the evidence; clean documents give no row.
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_shipped: int = MAX_SHIPPED) -> DataFrame:
+    """docs without the rows whose text holds a benchmark item; all columns stay, and nothing is shuffled.
 
-    docs needs doc_id and text, items item_id and text; other columns are not read. Null and empty texts hold
-    nothing, items with fewer than two words match nothing, items shorter than a window are matched as a
-    whole. Repeated items or documents give repeated rows. Empty tables give an empty result.
+    Each row is judged by its own text, so null and repeated ids do not matter; null and empty texts stay.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size // 4 > max_shipped:  # at most so many words, hence windows
-        return _joined(docs, items, window)
-    return _shipped(docs, [(r["item_id"], r["text"]) for r in items.select("item_id", "text").collect() if r["text"]], window)
+    out = docs
+    for part in parts_of(items, max_shipped):
+        sent, key, at = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex, docs.columns.index("text")
 
+        def held(texts: pa.Array, sent=sent, key=key) -> np.ndarray:
+            bad = np.zeros(len(texts), np.bool_)
+            bad[[k for k, _, _ in _index(key, sent, window).hits(texts, all_of=False)]] = True
+            return ~bad
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a benchmark item."""
-    held = contaminated(docs, items, **options).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, docs["doc_id"] == held["_held"], "left_anti")
+        out = filter_rows(out, at, held)
+    return out

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that a kernel works on at once (one longer text is a slice of its own).
 SLICE = 4 << 20
@@ -37,3 +38,14 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
         codes = codes[full]
     return codes, offsets, words
+
+
+def filter_rows(docs: DataFrame, at: int, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """docs with the rows that `keep` marks, given the texts in column number `at`; all columns stay, in a map without a shuffle."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(keep(part.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(kernel, docs.schema)

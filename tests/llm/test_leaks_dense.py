@@ -9,14 +9,14 @@ from tests.llm.test_near_and_leaks import leaks
 DENSE = ["Compute 12 + 35 * 4 - 7 + 19 * 3 - 6", "List the Primes 2, 3, 5, 7, 11, 13, 17, 19, 23", "3 + 4 * 5 = ?", "The Old Man And The Sea By Ernest Hemingway"]
 
 
-@pytest.mark.parametrize("options", [{}, {"max_shipped": 0}])
+@pytest.mark.parametrize("options", [{}, {"max_shipped": 40}])
 def test_dense_items_match_as_copies(spark, options):
     texts = [f"so it began . {item} and then it went on" for item in DENSE]
     others = ["Compute 12 + 35 * 4 - 8 + 19 * 3 - 6", "List the Primes 29, 31, 37, 41, 43, 47, 53, 59, 61", "the numbers 3 4 5 and 13 + 4 * 5"]
     assert set(leaks(spark, texts + others, DENSE, **options)) == {(k, k) for k in range(len(DENSE))}
 
 
-@pytest.mark.parametrize("options", [{}, {"max_shipped": 0}])
+@pytest.mark.parametrize("options", [{}, {"max_shipped": 40}])
 def test_lower_case_copy(spark, options):
     item = "Der alte Mann ging mit seinem Hund durch den Wald zum Markt und kaufte Brot und Milch"
     assert set(leaks(spark, ["er las: " + item.lower() + " so", item.upper(), "etwas anderes ganz ohne Bezug"], [item], **options)) == {(0, 0), (1, 0)}
@@ -35,7 +35,7 @@ def test_reader_knows_names_and_values():
 MARY = "Mary has 12 eggs and 3 pans. Mary sells 5 eggs. Mary buys 4 pans. How many pans does Mary own?"
 
 
-@pytest.mark.parametrize("options", [{}, {"max_shipped": 0}])
+@pytest.mark.parametrize("options", [{}, {"max_shipped": 40}])
 def test_names_that_begin_sentences(spark, options):
     other = MARY.replace("Mary", "Peter").replace("12", "31").replace("3 pans", "8 pans").replace("5", "6").replace("4", "9")
     mixed = "Ann has 12 eggs and 3 pans. Bob sells 5 eggs. Cid buys 4 pans. How many pans does Dan own?"

@@ -1,12 +1,15 @@
 """SimHash near-duplicates with vantage-point trees.
 
 1. Each text becomes a 64-bit fingerprint in an Arrow kernel; from then on only ids and fingerprints move.
-2. Fingerprints are made distinct, each standing for its smallest doc_id.
+2. Fingerprints are made distinct, each with its smallest doc_id.
 3. Two trees deal them into shards. If two fingerprints differ in at most R bits, their upper or their lower
    halves differ in at most R // 2, so one tree searches upper halves and the other lower halves, each with
    radius R // 2. A node holds a vantage point and a distance; a fingerprint goes to its own side, and also to
-   the other wherever the triangle bound cannot exclude a partner there. Where half a fingerprint no longer
-   separates points (many share it), the tree goes on with whole fingerprints and radius R.
+   the other wherever the triangle bound cannot exclude a partner there. With R // 2 = 1 the shards beyond the
+   border are looked up exactly: those where one of the 32 halves that differ in one bit is at home, so a
+   fingerprint visits 33 shards of a tree at most, however many there are. Where half a fingerprint no longer
+   separates points (many share it), the tree goes on with whole fingerprints and radius R. The trees are
+   grown from a sample that keeps pace with the input (one in 512, up to SAMPLE_MOST), so shards keep their size.
 4. In a shard the same rule goes on in memory down to small leaves, where pairs are compared exactly. A shard
    returns a spanning forest of its links, never all pairs.
 5. Components come from contraction rounds over those links; no link, component or fingerprint set is collected.
@@ -15,9 +18,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +30,11 @@ from folium.session import cut
 SEED = 42
 BITS = 3
 SHINGLE = 3
-#: Fingerprints the trees are built from, at most; the sample bounds the driver's memory, not what is searched.
-SAMPLE = 20_000
 #: Distinct fingerprints a shard holds on average (its own, without visitors).
 SHARD = 8_192
+#: Fingerprints the trees are grown from: at least SAMPLE, 16 a shard, at most SAMPLE_MOST (32 MB). The sample bounds
+#: the driver's memory and the trees' (some 25 bytes a shard in a task), not what is searched.
+SAMPLE, SAMPLE_MOST = 20_000, 1 << 22
 #: In a shard, leaves of so many points are compared pair by pair.
 LEAF = 384
 BLOCK = 4096
@@ -101,27 +105,109 @@ def sides(points: np.ndarray, home: np.ndarray, node: tuple) -> list[tuple[np.nd
     return [(d - radius < edge, home & (d < edge)), (d + radius >= edge, home & (d >= edge))]
 
 
-def grow(sample: np.ndarray, leaf: int, masks: list, seed: int = 7):
-    """A tree over the sample as nested tuples (node, inside, outside); a leaf is None."""
-    if len(sample) <= leaf:
-        return None
-    rng = np.random.default_rng(seed)
-    node = split(sample, rng.choice(sample, min(12, len(sample)), replace=False), masks)
-    if node is None:
-        return None
-    d = distance(sample, node[0], node[1])
-    return node, grow(sample[d < node[3]], leaf, masks, seed + 1), grow(sample[d >= node[3]], leaf, masks, seed + 2)
+def sampled(points: np.ndarray, rng) -> np.ndarray:
+    return points if len(points) < 4096 else rng.choice(points, 4096, replace=False)
 
 
-def deal(tree, points: np.ndarray, index: np.ndarray, home: np.ndarray, path: int, out: list) -> None:
-    """Append (shard, index, home) for every shard that a point belongs to or visits."""
-    if tree is None:
-        out.append((path, index, home))
+def grow(sample: np.ndarray, leaf: int, masks: list, numbers: Iterator[int], rng):
+    """A tree over the sample as nested tuples (node, inside, outside); a leaf is its number."""
+    if len(sample) > leaf and (node := split(sampled(sample, rng), rng.choice(sample, min(12, len(sample)), replace=False), masks)) is not None:
+        d = distance(sample, node[0], node[1])
+        return node, grow(sample[d < node[3]], leaf, masks, numbers, rng), grow(sample[d >= node[3]], leaf, masks, numbers, rng)
+    return next(numbers)
+
+
+def deal(tree, points: np.ndarray, index: np.ndarray, home: np.ndarray, out: list) -> None:
+    """Append (leaf, index, home) for every leaf that a point belongs to or, by the triangle bound, visits."""
+    if isinstance(tree, int):
+        out.append((tree, index, home))
         return
     node, *below = tree
     for k, (goes, own) in enumerate(sides(points, home, node)):
         if goes.any():
-            deal(below[k], points[goes], index[goes], own[goes], 2 * path + k, out)
+            deal(below[k], points[goes], index[goes], own[goes], out)
+
+
+class Tree:
+    """A vantage-point tree over one half of the fingerprints, in arrays; a leaf may go on as a tree over whole ones."""
+
+    def __init__(self, sample: np.ndarray, leaf: int, half: np.uint64, bits: int, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.half, self.bits, self.radius = half, bits, bits // 2
+        vantage, edge, below = [], [], []
+        self.deeper: dict[int, object] = {}
+        self.leaves = 0
+        stack = [(sample, -1, 0)]
+        while stack:
+            points, parent, side = stack.pop()
+            node = split(sampled(points, rng), rng.choice(points, min(12, len(points)), replace=False), [(half, self.radius)]) if len(points) > leaf else None
+            if node is None:
+                name = -(self.leaves + 1)
+                if len(points) > leaf:
+                    self.deeper[self.leaves] = grow(points, leaf, [(ALL, bits)], count(), rng)
+                self.leaves += 1
+            else:
+                name = len(vantage)
+                vantage.append(node[0])
+                edge.append(node[3])
+                below.append([0, 0])
+                d = distance(points, node[0], half)
+                stack += [(points[d < node[3]], name, 0), (points[d >= node[3]], name, 1)]
+            if parent >= 0:
+                below[parent][side] = name
+        self.vantage, self.edge = np.array(vantage, np.uint64), np.array(edge, np.uint8)
+        self.below = np.array(below, np.int32).reshape(-1, 2)
+
+    def homes(self, points: np.ndarray) -> np.ndarray:
+        """The leaf that each point belongs to."""
+        at = np.zeros(len(points), np.int32) if len(self.vantage) else np.full(len(points), -1, np.int32)
+        live = np.nonzero(at >= 0)[0]
+        while len(live):
+            here = at[live]
+            at[live] = self.below[here, (distance(points[live], self.vantage[here], self.half) >= self.edge[here]).astype(np.int8)]
+            live = live[at[live] >= 0]
+        return -1 - at.astype(np.int64)
+
+    def visits(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index, leaf, home) of every leaf of this tree where a point belongs or can have a partner."""
+        if self.radius > 1:
+            return self._by_bound(points)
+        flips = np.array([0] + [1 << k for k in range(64) if int(self.half) >> k & 1], np.uint64)[: 1 if self.radius == 0 else None]
+        parts = []
+        for a in range(0, len(points), BLOCK):
+            leaf = self.homes((points[a : a + BLOCK, None] ^ flips[None, :]).ravel()).reshape(-1, len(flips))
+            index = np.repeat(np.arange(a, a + len(leaf)), len(flips))
+            key = np.unique(index * np.int64(self.leaves) + leaf.ravel())
+            own, found = key // self.leaves, key % self.leaves
+            parts.append((own, found, found == leaf[own - a, 0]))
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.bool_))
+
+    def _by_bound(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        stack = [(0 if len(self.vantage) else -1, np.arange(len(points)), np.ones(len(points), np.bool_))]
+        while stack:
+            at, index, home = stack.pop()
+            if at < 0:
+                out.append((index, np.full(len(index), -1 - at, np.int64), home))
+                continue
+            for k, (goes, own) in enumerate(sides(points[index], home, (self.vantage[at], self.half, self.radius, int(self.edge[at])))):
+                if goes.any():
+                    stack.append((int(self.below[at, k]), index[goes], own[goes]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def shards(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index, shard, home): visits(), and below leaves that go on, the leaves of their trees."""
+        index, leaf, home = self.visits(points)
+        if not self.deeper:
+            return index, leaf << 24, home
+        plain = ~np.isin(leaf, np.fromiter(self.deeper, np.int64))
+        parts = [(index[plain], leaf[plain] << 24, home[plain])]
+        for number in np.unique(leaf[~plain]).tolist():
+            own = leaf == number
+            out: list = []
+            deal(self.deeper[number], points[index[own]], index[own], home[own], out)
+            parts += [(i, np.full(len(i), (number << 24) + k, np.int64), h) for k, i, h in out]
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 class Forest:
@@ -161,7 +247,7 @@ def search(points: np.ndarray, index: np.ndarray, home: np.ndarray, masks: list,
         forest.link(index, np.full(len(index), index[0]))
         return
     if len(points) > LEAF:
-        node = split(points if len(points) < 4096 else rng.choice(points, 4096, replace=False), rng.choice(points, 6), masks)
+        node = split(sampled(points, rng), rng.choice(points, 6), masks)
         if node is not None:
             for goes, own in sides(points, home, node):
                 if own.any():
@@ -178,36 +264,38 @@ def _masks(tree: int, bits: int) -> list:
     return [(HIGH if tree == 0 else LOW, bits // 2), (ALL, bits)]
 
 
-def shard_links(distinct: DataFrame, bits: int = BITS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """Links (a, b), a > b, among the `rep` ids of distinct (fp, rep): a spanning forest of each shard's pairs."""
+def shard_trees(distinct: DataFrame, bits: int, sample: int, most: int, shard: int) -> list[Tree]:
     n = distinct.count()
-    part = max(1, -(-n // sample))
+    wanted = min(max(sample, 16 * n // shard), most)
+    part = max(1, -(-n // wanted))
     chosen = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(part)) == 0) if part > 1 else distinct
-    taken = np.array([r[0] for r in chosen.select("fp").limit(2 * sample).collect()], np.int64).view(np.uint64)
+    taken = np.array([r[0] for r in chosen.select("fp").limit(2 * wanted).collect()], np.int64).view(np.uint64)
     leaf = max(16, int(len(taken) * shard / max(n, 1)))
-    trees = [grow(taken, leaf, _masks(t, bits)) for t in (0, 1)]
-
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            points, rep = frame["fp"].to_numpy(np.int64).view(np.uint64), frame["rep"].to_numpy(np.int64)
-            for t, tree in enumerate(trees):
-                out: list = []
-                deal(tree, points, np.arange(len(points)), np.ones(len(points), bool), 1, out)
-                for path, index, home in out:
-                    yield pd.DataFrame({"tree": np.int32(t), "shard": np.int64(path), "fp": points[index].view(np.int64), "rep": rep[index], "home": home})
-
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        points, rep = frame["fp"].to_numpy(np.int64).view(np.uint64), frame["rep"].to_numpy(np.int64)
-        order = np.argsort(rep, kind="stable")  # so that a root is the smallest id
-        points, rep, home = points[order], rep[order], frame["home"].to_numpy(bool)[order]
+    return [Tree(taken, leaf, half, bits) for half in (HIGH, LOW)]
+
+
+def shard_links(distinct: DataFrame, bits: int = BITS, sample: int = SAMPLE, shard: int = SHARD, most: int = SAMPLE_MOST) -> DataFrame:
+    """Links (a, b) among distinct fingerprints `fp`: a spanning forest of each shard's pairs."""
+    trees = distinct.sparkSession.sparkContext.broadcast(shard_trees(distinct, bits, sample, most, shard))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = batch.column(0).to_numpy().view(np.uint64)
+            for t, tree in enumerate(trees.value):
+                index, number, home = tree.shards(points)
+                columns = [pa.array(np.full(len(index), t, np.int32)), pa.array(number), pa.array(points[index].view(np.int64)), pa.array(home)]
+                yield pa.RecordBatch.from_arrays(columns, names=["tree", "shard", "fp", "home"])
+
+    def join(table: pa.Table) -> pa.Table:
+        points, home = table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy()
         forest = Forest(len(points))
-        search(points, np.arange(len(points)), home, _masks(int(frame["tree"].iloc[0]), bits), bits, forest, np.random.default_rng(11))
+        search(points, np.arange(len(points)), home, _masks(table.column("tree")[0].as_py(), bits), bits, forest, np.random.default_rng(11))
         root = forest.roots(np.arange(len(points)))
         linked = root != np.arange(len(points))
-        return pd.DataFrame({"a": rep[linked], "b": rep[root[linked]]})
+        return pa.table({"a": pa.array(points[linked].view(np.int64)), "b": pa.array(points[root[linked]].view(np.int64))})
 
-    dealt = distinct.select("fp", "rep").mapInPandas(spread, "tree int, shard long, fp long, rep long, home boolean")
-    return dealt.groupBy("tree", "shard").applyInPandas(join, "a long, b long")
+    dealt = distinct.select("fp").mapInArrow(spread, "tree int, shard long, fp long, home boolean")
+    return dealt.groupBy("tree", "shard").applyInArrow(join, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,19 +329,24 @@ def simhash_groups(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, te
 
     Words are runs without ASCII white space, A-Z lower-cased; shingles count as often as they occur; a text
     with fewer words than a shingle is one shingle, and a text without words (or null) has fingerprint zero,
-    linked like any other. Ids must not be null. Rows that repeat an id keep one row each, and their
-    fingerprints are linked only by distance. An empty table gives an empty result.
+    linked like any other. Rows without an id link nothing; they get the component of the rows with an id that
+    share their fingerprint, else null. Rows that repeat an id keep one row each, and their fingerprints are
+    linked only by distance. An empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, shingle, text, doc_id), "fingerprints")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    linked = components(shard_links(distinct, bits))
-    merged = distinct.join(linked, distinct["rep"] == linked["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("component_id"))
-    merged = cut(merged, "merged")
-    out = prints.join(merged, prints["fp"] == merged["_fp"])
+    distinct = prints.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    distinct = cut(distinct, "distinct")
+    linked = cut(components(shard_links(distinct, bits)), "linked")
+    rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    rooted = cut(rooted, "rooted")
+    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id")).withColumnRenamed("root", "_root")
+    merged = cut(rooted.join(smallest, rooted["root"] == smallest["_root"]).select(F.col("fp").alias("_fp"), "component_id"), "merged")
+    out = prints.join(merged, prints["fp"] == merged["_fp"], "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_near(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each component, its smallest id."""
-    lost = simhash_groups(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti")
+    """docs with one document of each component, its smallest id; rows without an id stay unless an id shares their component."""
+    lost = simhash_groups(docs, **options).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost")).distinct()
+    lost = cut(lost, "lost")
+    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["_lost"]), "left_anti")

@@ -82,10 +82,13 @@ def test_search_against_brute_force():
     n = len(points)
     forest, exact = S.Forest(n), S.Forest(n)
     for t in (0, 1):
-        out: list = []
-        S.deal(S.grow(points[::5], 60, S._masks(t, 3)), points, np.arange(n), np.ones(n, bool), 1, out)
-        assert sum(int(home.sum()) for _, _, home in out) == n  # each point has one home
-        for _, index, home in out:
+        tree = S.Tree(points[::5], 60, (S.HIGH, S.LOW)[t], 3)
+        for found in (tree.shards(points), tree._by_bound(points)):
+            assert int(found[2].sum()) == n and tree.leaves > 8  # each point has one home
+        every, shard, own = tree.shards(points)
+        assert len(every) <= 33 * n
+        for one in np.unique(shard):
+            index, home = every[shard == one], own[shard == one]
             S.search(points[index], index, home, S._masks(t, 3), 3, forest, rng)
     for k in range(0, n, 100):
         a, b = np.nonzero(np.bitwise_count(points[k : k + 100, None] ^ points[None, :]) <= 3)
@@ -93,6 +96,45 @@ def test_search_against_brute_force():
     assert np.array_equal(forest.roots(np.arange(n)), exact.roots(np.arange(n)))
 
 
+def test_shards_keep_their_size():
+    """Ten and a hundred times the fingerprints: as many more shards, none larger, and no more visits than the halves allow."""
+    rng = np.random.default_rng(3)
+    largest = {}
+    for n in (20_000, 200_000, 1_000_000):
+        points = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        tree = S.Tree(points[:: max(1, n // (16 * n // 512))], 16, S.HIGH, 3)
+        index, shard, home = tree.shards(points[:: n // 20_000])
+        assert len(index) <= 33 * len(np.unique(index))
+        largest[n] = np.unique(tree.homes(points), return_counts=True)[1].max(), tree.leaves
+    assert largest[1_000_000][1] > 30 * largest[20_000][1] and max(x for x, _ in largest.values()) < 8 * 512
+
+
+def test_hot_halves_go_on_with_whole_fingerprints():
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 2**32, 3000, dtype=np.uint64)
+    points = np.unique(np.concatenate([low | np.uint64(0xABCDEF01 << 32), rng.integers(0, 2**63, 2000, dtype=np.uint64)]))
+    tree = S.Tree(points, 100, S.HIGH, 3)
+    assert tree.deeper
+    n, forest, exact = len(points), S.Forest(len(points)), S.Forest(len(points))
+    for half, t in ((S.HIGH, 0), (S.LOW, 1)):
+        every, shard, own = S.Tree(points, 100, half, 3).shards(points)
+        for one in np.unique(shard):
+            index, home = every[shard == one], own[shard == one]
+            S.search(points[index], index, home, S._masks(t, 3), 3, forest, rng)
+    for k in range(0, n, 100):
+        a, b = np.nonzero(np.bitwise_count(points[k : k + 100, None] ^ points[None, :]) <= 3)
+        exact.link(a + k, b)
+    assert np.array_equal(forest.roots(np.arange(n)), exact.roots(np.arange(n)))
+
+
+def test_simhash_null_and_repeated_ids(spark):
+    one, two = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    big = 2**53 + 1
+    rows = [(big, one), (big + 2, one), (None, one), (None, "alone here now"), (7, one), (7, two), (9, two), (big, "far off words " * 9)]
+    got = S.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit("x"))).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted([(big, 7), (big + 2, 7), (None, 7), (None, None), (7, 7), (7, 7), (9, 7), (big, big)], key=str)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(40)] + [(1000, k) for k in range(1001, 1200)] + [(5000 - k, 5001 - k) for k in range(30)] + [(9, 9)]

@@ -45,6 +45,33 @@ def test_chunks_join_to_the_text(spark):
         assert "".join(r["c"]) == r["t"] and all(1 <= len(c) <= 8192 for c in r["c"])
 
 
+def test_recipes_alone_decide(spark, monkeypatch):
+    """Equal recipes are one group whatever the whole text's digest says; a key of two contents is told apart by digests."""
+    from folium.llm import exact_dedup as X
+
+    body = "".join(f"Sentence number {k} is here. " for k in range(200))
+    table = docs(spark, [(1, body, "a"), (2, body.upper(), "a"), (3, body + "x", "a")])
+    monkeypatch.setattr(X, "chunks", lambda text: F.array(F.substring(text, 1, 10)))  # too short on purpose: all recipes are equal
+    with pytest.raises(Exception, match="one recipe, two texts"):
+        X.exact_dedup(table).collect()
+    monkeypatch.undo()
+    recipe = X.recipes(docs(spark, [(1, "abc", "a"), (2, "abd", "a"), (3, "abc", "a"), (4, body, "a")]))
+    same_key = recipe.withColumn("chunks", F.transform("chunks", lambda c: F.struct(F.lit(7).cast("long").alias("key"), c["digest"].alias("digest"))))
+    ids = {r["doc_id"]: str(r["ids"]) for r in X.identified(same_key).select("doc_id", "ids").collect()}
+    assert ids[1] == ids[3] != ids[2]
+
+
+def test_chunks_of_text_without_marks(spark):
+    import random
+
+    rng = random.Random(4)
+    for alphabet in ("".join(chr(0x4E00 + k) for k in range(3000)), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "word other thing "):
+        body = "".join(rng.choice(alphabet) for _ in range(40_000))
+        rows = spark.createDataFrame([(body,), (body[:50] + "QQ" + body[50:],)], "t string").select(chunks(F.col("t")).alias("c")).collect()
+        a, b = (set(r["c"]) for r in rows)
+        assert "".join(rows[0]["c"]) == body and len(a & b) > 0.5 * len(a)
+
+
 def test_chunks_realign_after_an_insertion(spark):
     body = "".join(f"Sentence number {k} is here. " for k in range(900))
     a, b = (set(r["c"]) for r in spark.createDataFrame([(body,), ("Inserted words stand here! " + body,)], "t string").select(chunks(F.col("t")).alias("c")).collect())

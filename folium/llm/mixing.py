@@ -7,6 +7,7 @@ one further copy with probability equal to the rate's fraction, drawn from a has
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -58,9 +59,26 @@ def uniform(doc_id: Column, seed: int | Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def _copies(seed: int | Column) -> Column:
-    whole = F.floor("rate")
-    return whole + F.when(uniform(F.col("doc_id"), seed) < F.col("rate") - whole, 1).otherwise(0)
+def _copies(seed: int | Column, rate: Column | None = None, doc_id: Column | None = None) -> Column:
+    rate = F.col("rate") if rate is None else rate
+    whole = F.floor(rate)
+    return whole + F.when(uniform(F.col("doc_id") if doc_id is None else doc_id, seed) < rate - whole, 1).otherwise(0)
+
+
+def rates(docs: DataFrame, weights: Sequence[int], cap: int, seeds: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size) of every document, and per source (_source, source_size, target, rate, seed)."""
+    slim = cut(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")), "sizes")
+    sources = ordered_index(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "source", "place")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    sources = cut(sources.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * cap).alias("cap")), "sources")
+    share = level(sources)
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(share))
+    rate = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(0.0))
+    sources = sources.select("source", "source_size", target.alias("target"), rate.alias("rate")).withColumnRenamed("source", "_source")
+    rated = slim.join(sources, slim["source"].eqNullSafe(sources["_source"]))
+    sums = rated.groupBy("_source", "source_size", "target", "rate").agg(F.array(*[F.sum(F.col("size") * _copies(k)) for k in range(seeds)]).alias("totals"))
+    misses = F.transform("totals", lambda t, k: F.struct(F.abs(t - F.col("target")).alias("miss"), k.alias("seed")))
+    return slim, cut(sums.select("_source", "source_size", "target", "rate", F.array_min(misses)["seed"].alias("seed")), "rates")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seeds: int = SEEDS) -> DataFrame:
@@ -75,25 +93,23 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seeds
     Only ids, sources and sizes move, pre-aggregated; a source with any share of the rows is never gathered.
     The source table is written first, so Spark broadcasts it when its size is small and else splits hot keys.
     """
-    slim = cut(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")), "sizes")
-    sources = ordered_index(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "source", "place")
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    sources = cut(sources.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * cap).alias("cap")), "sources")
-    share = level(sources)
-    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(share))
-    rate = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(0.0))
-    sources = sources.select("source", "source_size", target.alias("target"), rate.alias("rate")).withColumnRenamed("source", "_source")
-    rated = slim.join(sources, slim["source"].eqNullSafe(sources["_source"]))
-    sums = rated.groupBy("_source", "source_size", "target", "rate").agg(F.array(*[F.sum(F.col("size") * _copies(k)) for k in range(seeds)]).alias("totals"))
-    misses = F.transform("totals", lambda t, k: F.struct(F.abs(t - F.col("target")).alias("miss"), k.alias("seed")))
-    seeded = cut(sums.select("_source", "source_size", "target", "rate", F.array_min(misses)["seed"].alias("seed")), "rates")
+    slim, seeded = rates(docs, weights, cap, seeds)
     out = slim.join(seeded, slim["source"].eqNullSafe(seeded["_source"])).withColumn("copies", _copies(F.col("seed")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "rate", "seed", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs, each row as many times as the mix takes it, numbered by `copy` from 0 (a column of that name is replaced)."""
-    taken = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).dropDuplicates(["_id"])
-    joined = docs.join(taken, docs["doc_id"] == taken["_id"])
-    numbered = joined.withColumn("copy", F.explode(F.sequence(F.lit(0), (taken["_copies"] - 1).cast("int"))))
-    return numbered.drop(taken["_id"]).drop(taken["_copies"])
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seeds: int = SEEDS) -> DataFrame:
+    """docs, each row as many times as mix() takes it, numbered by `copy` from 0 (a column of that name is replaced).
+
+    A row's copies follow from its own id and its source's rate, so only the table of sources is joined and no
+    text is moved. Rows with a null id draw as the empty id, rows that repeat an id once each. Texts that are null or
+    have no words are taken as often as their source's rate says, though they add no words. An empty table
+    gives an empty result.
+    """
+    _, seeded = rates(docs, weights, cap, seeds)
+    rate, seed, source = (f"_{x}_{uuid.uuid4().hex[:8]}" for x in ("rate", "seed", "source"))  # clash with no column of docs
+    table = seeded.select(F.col("_source").alias(source), F.col("rate").alias(rate), F.col("seed").alias(seed))
+    joined = docs.join(table, docs["source"].eqNullSafe(table[source]))
+    copies = _copies(F.col(seed), F.col(rate), docs["doc_id"]).cast("int")
+    others = [docs[c] for c in docs.columns if c != "copy"]
+    return joined.filter(copies > 0).select(*others, F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from folium.llm.recurrent import WINDOW, Network, Words, associations, windows
 from folium.llm.text import crc_mod
-from folium.llm.words import slices, split_words
+from folium.llm.words import filter_rows, slices, split_words
 
 #: Labelled rows per class that training reads at most, and the longest text among them.
 SAMPLE, LONGEST = 2000, 100_000
@@ -25,11 +25,11 @@ FOLDS, HELD = 4, 2
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int = SAMPLE, longest: int = LONGEST) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts and 0/1 labels of a bounded sample of training rows, and all training labels' counts by class.
 
-    Per class the `most` ids with the smallest hashes are taken, so reruns agree; several labels of one id
-    count as their largest.
+    Per class the `most` ids with the smallest hashes are taken, of several texts of an id the smallest, so reruns
+    agree; several labels of one id count as their largest. Texts of over `longest` characters are not among them.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (crc_mod(F.col("doc_id"), folds) != held))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
@@ -41,7 +41,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
         return [], np.zeros(0), np.array([counts.get(0, 0), counts.get(1, 0)])
     chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "_id long, label int"))  # at most 2 * most rows
     plain = docs.select("doc_id", "text")  # nothing else, so that no column's name clashes
-    rows = plain.join(chosen, plain["doc_id"] == chosen["_id"]).filter(F.length("text") <= LONGEST).select("_id", "text", "label").dropDuplicates(["_id"]).collect()
+    held_texts = plain.join(chosen, plain["doc_id"] == chosen["_id"]).filter(F.length("text") <= longest)
+    rows = held_texts.groupBy("_id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["_id"])
     return [r["text"] for r in rows], np.array([r["label"] for r in rows]), np.array([counts.get(0, 0), counts.get(1, 0)])
 
@@ -86,7 +87,7 @@ class ToxicityModel:
     def __init__(self, texts: list[str], labels: np.ndarray, counts: np.ndarray, seed: int = 9):
         self.net, self.calibration = Network(), np.array([0.0, 0.0, 0.0, -2.2])
         if len(set(labels.tolist())) < 2:
-            rate = float(counts[1] + 1) / float(counts.sum() + 2)
+            rate = (float(counts[1]) + 0.1) / (float(counts.sum()) + 1.0)  # few labels of one class say little: not toxic
             self.calibration[-1] = np.log(rate / (1 - rate))
             return
         codes, offsets, words = split_words(pa.array(texts, pa.string()))
@@ -163,6 +164,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFram
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """docs without the documents predicted toxic."""
-    bad = toxicity(docs, labels, most).filter("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """docs without the rows whose text is predicted toxic; all columns stay, and nothing of them is shuffled.
+
+    Each row is judged by its own text, so null and repeated ids do not matter; null and empty texts are judged
+    as texts without windows. An empty table gives an empty result.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, most))
+    return filter_rows(docs, docs.columns.index("text"), lambda texts: shared.value.score(texts) < THRESHOLD)

@@ -133,10 +133,12 @@ def test_licence_notices_are_recognised(spark):
 
 @here
 def test_pipeline_against_its_parts(spark):
+    """Every stage against a version of its own on the driver: labels by the scoring query, the rest by brute force."""
     import corpus_pipeline as P
 
-    from folium.llm.decontamination import contaminated
-    from folium.llm.simhash import fingerprint
+    from folium.llm import decontamination as D
+    from folium.llm.mixing import mix
+    from tests.llm.test_similar import brute
 
     read = lambda n: spark.read.parquet(f"{SF}/{n}.parquet")
     rows = {r["doc_id"]: r for r in read("documents").collect()}
@@ -145,34 +147,50 @@ def test_pipeline_against_its_parts(spark):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     by_text: dict = {}
     for k, v in left.items():
-        key = v["text"].translate(lower)
+        key = (v["text"] or "").translate(lower)
         by_text[key] = max(by_text.get(key, k), k)
-    left = {k: left[k] for k in by_text.values()}
-    prints = {k: fingerprint(v["text"].encode()) for k, v in left.items()}
-    up = {k: k for k in left}
-
-    def root(k):
-        while up[k] != k:
-            k = up[k]
-        return k
-
-    ids, values = np.array(sorted(prints)), np.array([prints[k] for k in sorted(prints)], np.uint64)
-    for i, v in enumerate(values):
-        for j in np.nonzero(np.bitwise_count(values[i + 1 :] ^ v) <= 3)[0] + i + 1:
-            a, b = sorted((root(int(ids[i])), root(int(ids[j]))))
-            up[b] = a
-    left = {k: v for k, v in left.items() if root(k) == k}
-    held = {r["doc_id"] for r in contaminated(read("documents"), read("benchmark")).collect()}
+    ids = sorted(by_text.values())
+    group = brute([rows[k]["text"] for k in ids])
+    left = {ids[k]: rows[ids[k]] for k in range(len(ids)) if group[k] == k}
+    items = [D.readings(r["text"]) for r in read("benchmark").collect() if r["text"]]
+    index = D.Index([(k, r["text"]) for k, r in enumerate(read("benchmark").collect())], D.WINDOW)
+    maybe = {k for k, v in left.items() if index.meet(pa.array([v["text"]], pa.string()))}
+    held = {k for k in maybe for doc in [D.readings(left[k]["text"])] if any(D.verify(doc, item, D.WINDOW) for item in items)}
     left = {k: v for k, v in left.items() if k not in held}
-    docs_in = spark.createDataFrame([tuple(v) for v in left.values()], SCHEMA)
-    from folium.llm.mixing import mix
-
-    expected = {r["doc_id"]: r["copies"] for r in mix(docs_in).collect() if r["copies"]}
+    expected = {r["doc_id"]: r["copies"] for r in mix(spark.createDataFrame([tuple(v) for v in left.values()], SCHEMA)).collect() if r["copies"]}
     got = P.run(spark, SF).groupBy("doc_id").count().collect()
-    assert {r["doc_id"]: r["count"] for r in got} == expected
+    assert {r["doc_id"]: r["count"] for r in got} == expected and toxic and held
     assert [n for n, _ in P.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "mixing"]
 
 
+ODD = [(None, None, None), (None, "", "s"), (4, "", "t"), (4, "a b", "s"), (4, "a b", "s"), (5, "A b", "s"), (None, "a b", None), (9, "long word " * 60_000, "s"), (9, "other words are here now", "t")]
+
+
+def test_stages_on_odd_rows(spark):
+    import corpus_pipeline as P
+
+    from folium.llm import exact_dedup as X
+    from folium.llm.decontamination import drop_contaminated
+    from folium.llm.mixing import mix, mixed_documents
+
+    table = spark.createDataFrame(ODD, "doc_id long, text string, source string").withColumn("lang", F.lit("en")).withColumn("n_chars", F.lit(1))
+    for extra in ("_lost", "_key", "copies", "text_key", "keep_id", "score", "label", "_id", "rate", "_source"):
+        table = table.withColumn(extra, F.lit("clash"))
+    show = lambda df: sorted(((r["doc_id"], (r["text"] or "")[:5]) for r in df.collect()), key=str)
+    labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    whole = show(table)
+    assert show(drop_toxic(table, labels)) == whole
+    assert show(drop_contaminated(table, spark.createDataFrame([(None, "other words are here now"), (1, None)], "item_id long, text string"))) == [x for x in whole if x[1] != "other"]
+    # of the empty texts id 4 stays, of "a b" id 5
+    assert show(X.keep_one_of_equal(table)) == sorted([(4, ""), (5, "A b"), (9, "long "), (9, "other")], key=str)
+    assert show(P.near_dedup(spark, table, "")) == sorted([(4, ""), (4, "a b"), (4, "a b"), (9, "long "), (9, "other")], key=str)
+    taken = mix(table).collect()
+    mixed = mixed_documents(table)
+    assert len(taken) == len(ODD) and mixed.count() == sum(r["copies"] for r in taken) and set(mixed.columns) == {*table.columns, "copy"}
+    for stage in (lambda t: drop_toxic(t, labels), X.keep_one_of_equal, lambda t: P.near_dedup(spark, t, ""), lambda t: drop_contaminated(t, labels.selectExpr("doc_id item_id", "'x y' text")), mixed_documents):
+        assert stage(table.limit(0)).count() == 0
+
+
 @here
 def test_stages_keep_the_columns(spark):
     import corpus_pipeline as P
@@ -180,6 +198,7 @@ def test_stages_keep_the_columns(spark):
     small = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
     for name, stage in P.STAGES[:-1]:
         assert stage(spark, small, SF).columns == P.COLUMNS, name
+        assert "Exchange hashpartitioning(doc_id" not in stage(spark, small, SF)._jdf.queryExecution().toString(), name
 
 
 def test_drop_toxic_keeps_columns(spark):

@@ -117,7 +117,7 @@ class Reader(dict):
     template words, in arrays instead of a loop over words.
     """
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
         self._reset()
@@ -459,12 +459,12 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, m
     """
     out = docs
     for part in parts_of(items, max_shipped):
-        sent, key, at = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex, docs.columns.index("text")
+        sent, key = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
 
         def held(texts: pa.Array, sent=sent, key=key) -> np.ndarray:
             bad = np.zeros(len(texts), np.bool_)
             bad[[k for k, _, _ in _index(key, sent, window).hits(texts, all_of=False)]] = True
             return ~bad
 
-        out = filter_rows(out, at, held)
+        out = filter_rows(out, "text", held)
     return out

@@ -170,4 +170,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFr
     as texts without windows. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, most))
-    return filter_rows(docs, docs.columns.index("text"), lambda texts: shared.value.score(texts) < THRESHOLD)
+    return filter_rows(docs, "text", lambda texts: shared.value.score(texts) < THRESHOLD)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once (one longer text is a slice of its own).
 SLICE = 4 << 20
@@ -40,12 +41,13 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return codes, offsets, words
 
 
-def filter_rows(docs: DataFrame, at: int, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """docs with the rows that `keep` marks, given the texts in column number `at`; all columns stay, in a map without a shuffle."""
+def filter_rows(docs: DataFrame, column: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """docs with the rows that `keep` marks, given the texts of `column`; only that column goes to Python, and nothing is shuffled."""
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, at):
-                yield part.filter(pa.array(keep(part.column(at)), pa.bool_()))
+    def kernel(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            parts = slices(pa.RecordBatch.from_arrays([batch], names=["text"]), 0)
+            yield pa.array(np.concatenate([np.zeros(0, np.bool_), *[keep(part.column(0)) for part in parts]]), pa.bool_())
 
-    return docs.mapInArrow(kernel, docs.schema)
+    kernel.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.filter(F.arrow_udf(kernel, "boolean")(F.coalesce(docs[column].cast("string"), F.lit(""))))

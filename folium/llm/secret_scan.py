@@ -1,11 +1,16 @@
 """Secret scans by a randomness test battery, in DataFrame operations only.
 
 Three base rules find assignments, access keys and long hex runs. The method adds spans: every long run of key
-characters gets an inferred encoding (hex, base32, base36, base64), and three tests ask whether its symbols look
-drawn at random from that alphabet: chi-squared uniformity, a runs test over character classes, and
-lag-1 serial correlation. Their p-values are combined by Fisher's rule. Ordinary long words of the same corpus
-(letters of one case) are decoys: per length band, the least strict threshold is taken at which passing
-decoys stay under Q of passing candidates.
+characters gets an inferred encoding (decimal, hex, base32, letters of one or both cases, base36, base64), and three
+tests ask whether its symbols look drawn at random from that alphabet: chi-squared uniformity, a runs test over
+character classes (for letters a test of the share of vowels), and lag-1 serial correlation. Their p-values are
+combined by Fisher's rule.
+
+False discoveries are controlled with decoys: every document gives some runs that are not secret, made of its own
+words (one case, CamelCase, with a number at the end) and of counted-up digits, long enough to be candidates. In a
+length band the share of decoys that pass a threshold, (passing + 1) / (decoys + 1), times the band's candidates
+estimates how many passing candidates are not random. The least strict threshold is taken at which they are at most
+Q of those that pass; a band without enough decoys to show that takes none, so it reports nothing.
 
 Positions are code points, computed from the matches and the gaps between them.
 """
@@ -25,10 +30,12 @@ SPANS = "array<struct<start:int,end:int,kind:string,value:string>>"
 KINDS = ("assign", "access", "hex", "random")
 #: A candidate of the method: a whole run of key characters of at least MIN_RUN.
 MIN_RUN = 20
-RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{MIN_RUN},}}={{0,2}}(?![A-Za-z0-9+/_=-])"
+RUN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_RUN},}}={{0,2}}(?![A-Za-z0-9+/_=-])"
 #: Thresholds tried for the combined p-value, the strictest first, and the share of false finds allowed.
-GRID = (0.5, 0.3, 0.2, 0.1, 0.05, 0.02, 0.01, 0.003, 0.001)
+GRID = (0.9, 0.7, 0.5, 0.3, 0.2, 0.1, 0.05, 0.03, 0.02, 0.01, 0.003)
 Q = 0.05
+#: Vowels of the languages at hand, in either case.
+VOWELS = "aeiouyAEIOUY"
 #: Upper ends of the length bands.
 BANDS = (24, 32, 40, 48, 64, 96, 128)
 
@@ -59,16 +66,20 @@ def normal_tail(z: Column) -> Column:
     return F.least(F.lit(1.0), 2.0 * 0.3989422804014327 * F.exp(-z * z / 2.0) * poly)
 
 
-def _class(c: Column) -> Column:
-    return F.when(c.between("0", "9"), 0).when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).otherwise(3)
+def _class(c: Column, k: Column) -> Column:
+    """Digits, lower, upper, others; for letters only vowels and consonants."""
+    plain = F.when(c.between("0", "9"), 0).when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).otherwise(3)
+    return F.when(k.isin(26.0, 52.0), F.lit(VOWELS).contains(c).cast("int")).otherwise(plain)
 
 
 def alphabet(value: Column) -> Column:
     """The number of symbols of the inferred encoding."""
     return (
-        F.when(value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-F]+$"), 16.0)
+        F.when(value.rlike("^[0-9]+$"), 10.0)
+        .when(value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-F]+$"), 16.0)
+        .when(value.rlike("^[a-z_-]+$") | value.rlike("^[A-Z_-]+$"), 26.0)
         .when(value.rlike("^[A-Z2-7]+=*$"), 32.0)
-        .when(value.rlike("^[a-z]+$") | value.rlike("^[A-Z]?[a-z]+$"), 26.0)
+        .when(value.rlike("^[A-Za-z/_-]+$"), 52.0)
         .when(value.rlike("^[0-9a-z_-]+$") | value.rlike("^[0-9A-Z_-]+$"), 36.0)
         .otherwise(64.0)
     )
@@ -79,7 +90,7 @@ def battery(found: DataFrame) -> DataFrame:
     chars = F.filter(F.split(F.regexp_replace("value", "=+$", ""), ""), lambda c: c != "")
     out = found.withColumn("chars", chars).withColumn("n", F.size("chars").cast("double")).withColumn("k", alphabet(F.col("value")))
     codes = F.transform("chars", lambda c: F.ascii(c).cast("double"))
-    out = out.withColumn("codes", codes).withColumn("classes", F.transform("chars", _class))
+    out = out.withColumn("codes", codes).withColumn("classes", F.transform("chars", lambda c: _class(c, F.col("k"))))
     tally = F.aggregate(F.array_distinct("chars"), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter("chars", lambda x: x == c)).cast("double"), F.lit(2.0)))
     out = out.withColumn("chi", tally * F.col("k") / F.col("n") - F.col("n"))
     # Wilson-Hilferty: a chi-squared value as a normal one; only too much clumping counts against randomness
@@ -91,10 +102,14 @@ def battery(found: DataFrame) -> DataFrame:
     out = out.withColumn("changes", changes).withColumn("mixed", F.lit(1.0) - share)
     expected = (F.col("n") - 1) * F.col("mixed")
     z = (F.col("changes") - expected) / F.sqrt(F.greatest(expected * F.greatest(1.0 - F.col("mixed"), F.lit(0.05)), F.lit(0.25)))
-    # symbols of one class only tell nothing if the alphabet has few others, and much if it has many
-    alone = F.when(F.col("k") <= 16, F.lit(0.05)).otherwise(F.lit(1e-4))
+    # symbols of one class tell nothing of a small alphabet, and much where others were to be expected
+    alone = F.when(F.col("k") == 16, F.lit(0.05)).otherwise(F.lit(1e-4))
     # ordinary text keeps to its class, so only too few changes speak against randomness
-    out = out.withColumn("p_runs", F.when(F.col("mixed") < 0.05, alone).when(z >= 0, 1.0).otherwise(normal_tail(z)))
+    runs = F.when(F.col("mixed") < 0.05, alone).when(z >= 0, 1.0).otherwise(normal_tail(z))
+    # of random letters 12 in 52 are vowels, of words some two in five
+    vowels, chance = F.size(F.filter("classes", lambda x: x == 1)), 12.0 / 52.0
+    v = (vowels - F.col("n") * chance) / F.sqrt(F.col("n") * chance * (1 - chance))
+    out = out.withColumn("p_runs", F.when(F.col("k").isin(26.0, 52.0), normal_tail(v)).otherwise(runs))
     mean = F.aggregate("codes", F.lit(0.0), lambda s, c: s + c) / F.col("n")
     out = out.withColumn("mean", mean)
     spread = F.aggregate("codes", F.lit(0.0), lambda s, c: s + (c - F.col("mean")) * (c - F.col("mean")))
@@ -112,12 +127,26 @@ def band_of(n: Column) -> Column:
     return out
 
 
+def decoys_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(value) runs that are no secrets, four a document, from three to seven of its own words at a place that a hash fixes."""
+    words = F.filter(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^A-Za-z ]+", " "), " +"), lambda w: F.length(w).between(2, 12))
+    seeded = docs.select(words.alias("w"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h")).filter(F.size("w") >= 8)
+    start = (F.pmod(F.col("h"), F.size("w") - 7) + 1).cast("int")
+    some = seeded.select("h", F.slice("w", start, F.pmod(F.shiftright("h", 17), F.lit(5)).cast("int") + 3).alias("w"))
+    camel = F.array_join(F.transform("w", lambda x: F.initcap(x)), "")
+    first = F.pmod(F.col("h"), F.lit(90)).cast("int") + 10
+    counted = F.array_join(F.transform(F.sequence(first, first + F.pmod(F.shiftright("h", 9), F.lit(12)).cast("int") + 9), lambda x: x.cast("string")), "")
+    kinds = F.array(camel, F.lower(F.when(F.col("h") % 2 == 0, F.array_join("w", "")).otherwise(F.array_join("w", "_"))), F.concat(camel, F.pmod("h", F.lit(100)).cast("string")), counted)
+    return some.select(F.explode(kinds).alias("value")).filter(F.length("value") >= MIN_RUN)
+
+
 def thresholds(tested: DataFrame) -> dict[int, float]:
-    """Per length band, the least strict threshold whose decoys stay under Q of the candidates that pass."""
-    counts = tested.groupBy("band").agg(*[F.count_if((F.col("p") >= a) & F.col("decoy")).alias(f"d{k}") for k, a in enumerate(GRID)], *[F.count_if((F.col("p") >= a) & ~F.col("decoy")).alias(f"t{k}") for k, a in enumerate(GRID)])
+    """Per length band, the least strict threshold at which the expected false finds stay under Q; tested: value, p, band, decoy."""
+    at = lambda decoy: [F.count_if((F.col("p") >= a) & (F.col("decoy") == decoy)) for a in (0.0, *GRID)]
     out = {}
-    for row in counts.collect():  # one row per band
-        allowed = [a for k, a in enumerate(GRID) if row[f"d{k}"] <= Q * row[f"t{k}"]]
+    for row in tested.groupBy("band").agg(F.array(*at(True)).alias("d"), F.array(*at(False)).alias("t")).collect():  # one row per band
+        d, t = row["d"], row["t"]
+        allowed = [a for k, a in enumerate(GRID, 1) if t[k] and (d[k] + 1) / (d[0] + 1) * t[0] <= Q * t[k]]
         out[row["band"]] = min(allowed) if allowed else 2.0
     return out
 
@@ -128,7 +157,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     Kinds are listed in KINDS' order; "random" is the method's, and a random run that a base span covers is
     not repeated. Null texts count as empty; ends are exclusive; positions count code points. Repeated rows
     give repeated results; other columns are not read; an empty table gives an empty result. Thresholds are
-    fixed per run from all candidates of the whole table; only one row per length band reaches the driver.
+    fixed per run from all candidates and decoys of the whole table, so a text's added spans depend on the others; in
+    a table of few documents decoys may not suffice to allow any. Only one row per length band reaches the driver.
     """
     rules = {"assign": (ASSIGN, 2, 8), "access": (ACCESS[:-1] + "{12,}", 0, 1), "hex": ("(?<![0-9a-f])" + HEX[:-1] + "{32,}", 0, 1), "random": (RUN, 0, 1)}
     matched = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
@@ -136,8 +166,9 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     placed = {kind: spans(F.col("_t"), p, F.col(f"_{kind}"), kind, group, least) for kind, (p, group, least) in rules.items()}
     read = cut(matched.select("doc_id", F.concat(placed["assign"], placed["access"], placed["hex"]).alias("base"), placed["random"].alias("runs")), "spans")
     values = cut(read.select(F.explode("runs.value").alias("value")).groupBy("value").count(), "candidates")
-    tested = battery(values).select("value", "p", band_of(F.col("n")).alias("band"), F.col("value").rlike("^[A-Z]?[a-z]+$|^[A-Z]+$|^[A-Za-z]?[a-z]*([-_/][A-Z]?[a-z]*)+$").alias("decoy"))
-    tested = cut(tested, "tested")
+    made = decoys_of(docs, text, doc_id).groupBy("value").count().withColumn("decoy", F.lit(True))
+    every = values.withColumn("decoy", F.lit(False)).unionByName(made)
+    tested = cut(battery(every).select("value", "decoy", "p", band_of(F.col("n")).alias("band")), "tested")
     pass_at = F.lit(2.0)
     for band, least in thresholds(tested).items():
         pass_at = F.when(F.col("band") == band, least).otherwise(pass_at)

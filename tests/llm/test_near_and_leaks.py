@@ -229,7 +229,7 @@ def test_secret_spans(spark):
     found = {r["doc_id"]: r["s"] for r in scan(docs(spark, SECRETS).withColumn("runs", F.lit(1))).select("doc_id", digest(F.col("found")).alias("s")).collect()}
     for k, text in enumerate(SECRETS):
         assert ",".join(s for s in found[k].split(",") if not s.startswith("random")) == base_spans(text or ""), k
-    assert "random:" in found[12] and "random:" not in found[14]
+    assert not any("random:" in s for s in found.values())  # too few decoys to allow any; see test_secret_battery
     assert scan(docs(spark, [])).count() == 0
 
 

@@ -2,8 +2,13 @@
 
 A multinomial logistic regression over sparse word 1- and 2-grams tells licence families from each other and
 from ordinary text. It is fitted on the driver from the notices below, variants of them and ordinary sentences,
-all fixed and small; its weights enter the plan as a table of bounded size. A paragraph's family must reach the
-calibrated probability, else it is unknown, and it must share enough word 3-grams with the family's notices.
+all fixed and small. The unknown class is calibrated on variants and sentences that training did not see: the
+probability that a family needs is the least at which at most FALSE of the ordinary ones would be named. A named
+paragraph must also share enough word 3-grams with the family's notices, its templates.
+
+Scoring needs no shuffle: the n-grams' weights and the templates' 3-grams are constants of some thousand entries,
+looked up by XXH64 in arrays of buckets, and a paragraph's score is a sum over its own n-grams. Paragraphs without
+any 3-gram of a notice cannot share enough of them and are left out before scoring, which changes no result.
 """
 
 from __future__ import annotations
@@ -11,14 +16,13 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.session import cut
-
 UNKNOWN = "unknown"
 #: Notices by family, in the words in which these licences are commonly announced.
 NOTICES: dict[str, list[str]] = {
@@ -28,6 +32,8 @@ NOTICES: dict[str, list[str]] = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
         "Released under the Apache License 2.0.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
     ],
     "MIT": [
         "Released under the MIT License.",
@@ -36,6 +42,10 @@ NOTICES: dict[str, list[str]] = {
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
         "This project is distributed under the terms of the MIT license.",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -44,11 +54,15 @@ NOTICES: dict[str, list[str]] = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "Licensed under the GNU General Public License version 2.",
         "Released under the GPL, version 2 or later.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/",
     ],
     "LGPL": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "See the GNU Lesser General Public License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library",
     ],
     "AGPL": ["Licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0-only"],
     "BSD": [
@@ -56,9 +70,30 @@ NOTICES: dict[str, list[str]] = {
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Licensed under the BSD 3-Clause License.",
         "Released under the BSD License.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
-    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "EPL": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ],
+    "Zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "BSL": ["Distributed under the Boost Software License, Version 1.0.", "See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt", "SPDX-License-Identifier: BSL-1.0"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC"],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License"],
@@ -85,8 +120,10 @@ ORDINARY = [
     "the of and to in is it that for with as by on at from this be are",
     "copyright law is taught at the school of law in the second year",
 ]
-#: A prediction needs this probability, and this share of its word 3-grams among the family's.
-LEAST, SHARED = 0.5, 0.5
+#: A prediction needs this share of its word 3-grams among the family's notices. Share of held-out ordinary texts that may be named.
+SHARED, FALSE = 0.5, 0.01
+#: Buckets of the look-up arrays; variants of a notice in training, and as many again for calibration.
+BUCKETS, VARIANTS = 4096, 16
 SEGMENT = r"\n+|(?<=[.!?])\s+(?=[A-Z])"
 #: As SEGMENT, but a single line break that follows no end of a sentence divides nothing.
 SENTENCE = r"\n{2,}|(?<=[.!?])(?:\n|\s+(?=[A-Z]))"
@@ -105,19 +142,20 @@ def triples_of(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + 3]) for i in range(len(words) - 2)} or ({" ".join(words)} if words else set())
 
 
-@lru_cache(maxsize=1)
-def model() -> dict:
-    """vocabulary -> weights per class, intercepts and families, from the fixed texts and seeded variants."""
-    rng = np.random.default_rng(2)
-    families = [*NOTICES, UNKNOWN]
-    rows: list[tuple[set[str], int]] = []
+def examples(seed: int, families: list[str]) -> tuple[list[set[str]], np.ndarray]:
+    """Seeded variants of the notices (parts, with ordinary words before them) and ordinary texts, with their classes."""
+    rng = np.random.default_rng(seed)
     filler = [w for s in ORDINARY for w in words_of(s)]
-    for k, family in enumerate(NOTICES):
+    rows: list[tuple[set[str], int]] = []
+    for k, family in enumerate(families[:-1]):
         for notice in NOTICES[family]:
             words = words_of(notice)
-            for _ in range(12):
+            for _ in range(VARIANTS):
                 own = list(words)
-                if len(own) > 6 and rng.random() < 0.5:  # a part of the notice
+                if len(own) > 16 and rng.random() < 0.6:  # a wrapped line of the notice
+                    a = int(rng.integers(0, len(own) - 8))
+                    own = own[a : a + int(rng.integers(8, 15))]
+                elif len(own) > 6 and rng.random() < 0.5:  # a part of it
                     a = int(rng.integers(0, len(own) // 3))
                     own = own[a : a + max(5, int(len(own) * 0.7))]
                 if rng.random() < 0.5:
@@ -125,26 +163,47 @@ def model() -> dict:
                 rows.append((grams_of(own), k))
     for sentence in ORDINARY:
         words = words_of(sentence)
-        rows += [(grams_of(words), len(NOTICES))] * 6
-        rows += [(grams_of([str(x) for x in rng.choice(filler, int(rng.integers(3, 30)))]), len(NOTICES)) for _ in range(40)]
-    count = Counter(g for r, _ in rows for g in r)
-    vocabulary = sorted(g for g, n in count.items() if n >= 3)
+        rows += [(grams_of(words), len(families) - 1)] * 6
+        rows += [(grams_of([str(x) for x in rng.choice(filler, int(rng.integers(3, 30)))]), len(families) - 1) for _ in range(40)]
+    return [r for r, _ in rows], np.array([k for _, k in rows])
+
+
+@lru_cache(maxsize=1)
+def model() -> dict:
+    """vocabulary, weights per class, intercepts, families, the calibrated probability and the recall on held-out variants."""
+    families = [*NOTICES, UNKNOWN]
+    rows, classes = examples(2, families)
+    seen = Counter(g for r in rows for g in r)
+    vocabulary = sorted(g for g, n in seen.items() if n >= 3)
     place = {g: i for i, g in enumerate(vocabulary)}
-    x = np.zeros((len(rows), len(vocabulary)))
-    for i, (grams, _) in enumerate(rows):
-        x[i, [place[g] for g in grams if g in place]] = 1.0
-    y = np.eye(len(families))[[k for _, k in rows]]
-    balance = (1.0 / y.sum(0))[y.argmax(1)]
-    balance *= len(rows) / balance.sum()
-    w, b = np.zeros((len(vocabulary), len(families))), np.zeros(len(families))
-    for step in range(300):
+
+    def matrix(texts: list[set[str]]) -> np.ndarray:
+        x = np.zeros((len(texts), len(vocabulary)), np.float32)
+        for i, grams in enumerate(texts):
+            x[i, [place[g] for g in grams if g in place]] = 1.0
+        return x
+
+    def probabilities(x: np.ndarray) -> np.ndarray:
         z = x @ w + b
         z = np.exp(z - z.max(1, keepdims=True))
-        g = (z / z.sum(1, keepdims=True) - y) * balance[:, None] / len(rows)
+        return z / z.sum(1, keepdims=True)
+
+    x, y = matrix(rows), np.eye(len(families), dtype=np.float32)[classes]
+    balance = (1.0 / y.sum(0))[classes]
+    balance *= len(rows) / balance.sum()
+    w, b = np.zeros((len(vocabulary), len(families)), np.float32), np.zeros(len(families), np.float32)
+    for step in range(300):
+        g = (probabilities(x) - y) * balance[:, None] / len(rows)
         rate = 4.0 if step < 200 else 1.0
         w -= rate * (x.T @ g + 2e-4 * w)
         b -= rate * g.sum(0)
-    return {"families": families, "vocabulary": vocabulary, "weights": w, "bias": b}
+    texts, truth = examples(3, families)
+    found = probabilities(matrix(texts))
+    ordinary = found[truth == len(families) - 1, :-1].max(1)
+    least = max(0.3, float(np.quantile(ordinary, 1 - FALSE)))
+    named = (found.argmax(1) == truth) & (found.max(1) >= least)
+    recall = {f: float(named[truth == k].mean()) for k, f in enumerate(families[:-1])}
+    return {"families": families, "vocabulary": vocabulary, "weights": w, "bias": b, "least": least, "recall": recall}
 
 
 @lru_cache(maxsize=1)
@@ -164,9 +223,34 @@ def held_pattern() -> str:
     return "(?<![a-z0-9])" + pattern(tree)
 
 
-def table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """A small constant table without any Python on the executors."""
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+def _key(gram: str) -> int:
+    """What F.xxhash64 gives for a string."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(gram.encode("utf-8"), 42)).view(np.int64))
+
+
+def _buckets(entries: dict[str, object], kind: str) -> Column:
+    """An array constant: bucket -> the entries whose key falls there, as structs (h, x)."""
+    out: list[list[dict]] = [[] for _ in range(BUCKETS)]
+    for gram, x in entries.items():
+        out[_key(gram) % BUCKETS].append({"h": _key(gram), "x": x})
+    return F.from_json(F.lit(json.dumps(out)), f"array<array<struct<h:bigint,x:{kind}>>>")
+
+
+def _hits(grams: Column, buckets: Column) -> Column:
+    """What the bucket array holds for each of the n-grams that it has."""
+
+    def find(gram: Column) -> Column:
+        h = F.xxhash64(gram)
+        return F.transform(F.filter(F.get(buckets, F.pmod(h, F.lit(BUCKETS)).cast("int")), lambda e: e["h"] == h), lambda e: e["x"])
+
+    return F.flatten(F.transform(grams, find))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _words(segment: Column) -> Column:
@@ -198,32 +282,34 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     its lines, under the first one's number and with its lines joined by spaces. Null and empty texts, and texts without licence
     paragraphs, give no row. Ties of probability go to the earlier family name. A repeated row gives its
     paragraphs once per (doc_id, paragraph, text). Other columns are not read; an empty table gives an empty
-    result. Scores are sums over a paragraph's own n-grams, so no group is larger than a paragraph; the model
-    and the notices are constants (some thousand rows), which is why they may be broadcast.
+    result. A paragraph of any length is scored whole, by sums over its own n-grams.
     """
-    spark = docs.sparkSession
     m = model()
+    families, known = m["families"], {}
+    for k, family in enumerate(families[:-1]):
+        for triple in {t for n in NOTICES[family] for t in triples_of(words_of(n))}:
+            known[triple] = known.get(triple, 0) | 1 << k
+    weights = _buckets({g: [round(float(x), 6) for x in w] for g, w in zip(m["vocabulary"], m["weights"])}, "array<double>")
+    templates = _buckets(known, "bigint")
     holds = lambda c: F.lower(c).rlike(held_pattern())
     held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).filter(holds("_t"))
     lines = held.select("doc_id", F.posexplode(F.split("_t", SEGMENT)).alias("paragraph", "paragraph_text"))
     parts = lines.union(held.select("doc_id", F.inline(_wrapped(F.col("_t"))))).filter(holds("paragraph_text"))
-    parts = cut(parts.distinct(), "paragraphs")
-    words = _words(F.col("paragraph_text"))
-    key = ["doc_id", "paragraph", "paragraph_text"]
-    grams = parts.select(*key, F.explode(F.array_distinct(F.concat(words, _ngrams(words, 2)))).alias("gram"))
-    scores = [f"w{k}" for k in range(len(m["families"]))]
-    rows = [{"g": g, **{s: round(float(x), 6) for s, x in zip(scores, w)}} for g, w in zip(m["vocabulary"], m["weights"])]
-    weights = table(spark, rows, "g string, " + ", ".join(f"{s} double" for s in scores))
-    summed = grams.join(F.broadcast(weights), grams["gram"] == weights["g"]).groupBy(*key).agg(*[(F.sum(s) + float(b)).alias(s) for s, b in zip(scores, m["bias"])])
-    top = F.greatest(*scores)
-    best = F.lit(UNKNOWN)
-    for s, family in reversed(list(zip(scores, m["families"]))):
-        best = F.when(F.col(s) == top, F.lit(family)).otherwise(best)
-    total = sum((F.exp(F.col(s) - top) for s in scores), F.lit(0.0))
-    named = summed.select(*key, best.alias("family"), (1.0 / total).alias("probability")).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST))
-    known = [{"f": f, "t": t} for f, notices in NOTICES.items() for t in sorted({t for n in notices for t in triples_of(words_of(n))})]
-    notices = table(spark, known, "f string, t string")
-    mine = named.select("*", F.explode(_ngrams(words, 3)).alias("triple"))
-    matched = mine.join(F.broadcast(notices), (mine["family"] == notices["f"]) & (mine["triple"] == notices["t"]), "left")
-    confirmed = matched.groupBy(*key, "family", "probability").agg((F.count("t") / F.count(F.lit(1))).alias("shared"))
-    return confirmed.filter(F.col("shared") >= SHARED).select("doc_id", "paragraph", "family", "probability", "shared", "paragraph_text")
+    last = len(families) - 1
+    bias = F.array(*[F.lit(float(x)) for x in m["bias"]])
+    names, bits = F.array(*[F.lit(f) for f in families]), F.array(*[F.lit(1 << k) for k in range(len(families))]).cast("array<bigint>")
+
+    def judge(words: Column) -> Column:
+        scores = F.aggregate(_hits(F.array_distinct(F.concat(words, _ngrams(words, 2))), weights), bias, lambda s, w: F.zip_with(s, w, lambda x, y: x + y))
+        return _let(scores, lambda s: _let(F.struct(F.array_max(s).alias("top"), s.alias("s")), lambda t: confirm(words, t["s"], t["top"])))
+
+    def confirm(words: Column, s: Column, top: Column) -> Column:
+        best = F.array_position(s, top).cast("int")
+        chance = 1.0 / F.aggregate(s, F.lit(0.0), lambda total, x: total + F.exp(x - top))
+        named = (best <= last) & (chance >= m["least"])
+        shared = _let(_ngrams(words, 3), lambda t: F.size(F.filter(_hits(t, templates), lambda held: held.bitwiseAND(F.element_at(bits, best)) != 0)) / F.size(t))
+        return F.struct(F.element_at(names, best).alias("family"), chance.alias("probability"), F.when(named, shared).otherwise(0.0).alias("shared"))
+
+    judged = F.filter(F.transform(F.array(_words(F.col("paragraph_text"))), judge), lambda r: r["shared"] >= SHARED)
+    found = parts.select("doc_id", "paragraph", "paragraph_text", F.inline(judged))  # a generator, so that nothing is computed twice
+    return found.select("doc_id", "paragraph", "family", "probability", "shared", "paragraph_text").distinct()

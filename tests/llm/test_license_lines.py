@@ -1,7 +1,10 @@
 """Licence lines without any common notice word, and notices wrapped over lines."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from folium.llm import license_scan as L
 from folium.llm.license_scan import scan_licenses
 from tests.llm.test_near_and_leaks import docs
 
@@ -26,3 +29,49 @@ def test_wrapped_notice(spark, mark):
     text = "\n".join(mark + x if x else x for x in lines)
     got = [r for r in scan_licenses(docs(spark, [text, None, ""])).collect() if "Form is subject" in r["paragraph_text"] and "v. 2.0" in r["paragraph_text"]]
     assert [(r["doc_id"], r["paragraph"], r["family"], r["shared"] > 0.6) for r in got] == [(0, 1, "MPL", True)]
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+WHOLE = [
+    (MIT, "MIT", 6), ("The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability.", "MIT", 1),
+    ("Unless required by applicable law or agreed to in writing, software", "Apache-2.0", 1), ("This is under the Eclipse Public License 2.0", "EPL", 1),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense", 1),
+]
+
+
+def test_notices_beyond_the_first_line(spark):
+    rows = scan_licenses(docs(spark, [t for t, _, _ in WHOLE] + ["word " * 20_000 + "Released under the MIT License."])).collect()
+    for k, (_, family, least) in enumerate(WHOLE):
+        own = [r for r in rows if r["doc_id"] == k]
+        assert {r["family"] for r in own} == {family} and len(own) >= least
+
+
+def test_unknown_is_calibrated_on_held_out_texts():
+    """Of ordinary texts that training did not see hardly any is named; recall per family on held-out variants of notices."""
+    m = L.model()
+    texts, truth = L.examples(77, m["families"])
+    x = np.array([[g in t for g in m["vocabulary"]] for t in texts], float)
+    z = x @ m["weights"] + m["bias"]
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    named = (p.argmax(1) < len(m["families"]) - 1) & (p.max(1) >= m["least"])
+    recall = list(m["recall"].values())  # some wrapped lines of CC-BY are CC-BY-SA's as well
+    assert named[truth == len(m["families"]) - 1].mean() <= 2 * L.FALSE and min(recall) >= 0.85 and np.mean(recall) >= 0.97
+
+
+def test_the_classifier_decides(spark, monkeypatch):
+    """Without its weights nothing is found, however much of a notice stands there."""
+    m = L.model()
+    monkeypatch.setattr(L, "model", lambda: m | {"weights": np.zeros_like(m["weights"]), "bias": np.append(np.zeros(len(m["bias"]) - 1), 1.0)})
+    assert scan_licenses(docs(spark, [MIT])).count() == 0
+
+
+def test_keys_equal_sparks(spark):
+    words = ["", "mit", "licensed under the", "public license v 2 and some thirty two bytes more"]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()]
+    assert got == [L._key(w) for w in words]

@@ -1,10 +1,12 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are labelled rows of the training folds with quality 1; the unlabelled texts are web text
-sampled without regard to labels. The class prior is estimated from the labels of the training folds. A small network over
-document statistics minimises the non-negative unbiased risk: prior * loss(positives as positive) + max(0,
-loss(unlabelled as negative) - prior * loss(positives as negative)). Its output is calibrated on the training
-sample. Scoring is one map over the documents.
+sampled without regard to labels. No row with quality 0 is ever read. The class prior is estimated from the two
+samples: a first network tells positives from unlabelled texts, and on halves that it has not seen the prior is the
+least ratio of the unlabelled to the positive share above a threshold, with a margin for small shares (best-bin
+estimation). A small network over document statistics then minimises the non-negative unbiased risk: prior *
+loss(positives as positive) + max(0, loss(unlabelled as negative) - prior * loss(positives as negative)), with the
+logistic loss, under which its output is the log odds of a positive. Scoring is one map over the documents.
 """
 
 from __future__ import annotations
@@ -14,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.toxicity import LONGEST, logistic, sample, score_documents
+from folium.llm.toxicity import LONGEST, sample, score_documents
 from folium.llm.words import split_words
 
 SAMPLE = 2000
 THRESHOLD = 0.3
 FOLDS, HELD = 5, 0
 HIDDEN = 24
+#: Random halvings whose median is the prior; networks whose log odds are averaged.
+SPLITS, NETWORKS = 7, 3
 
 #: Classes of bytes: white space, lower, upper, digit, sentence marks, other ASCII marks, non-ASCII.
 CLASSES = np.full(256, 5, np.int64)
@@ -77,20 +81,41 @@ def features(texts: pa.Array) -> np.ndarray:
 
 
 class QualityModel:
-    """Standardised statistics, one hidden layer, non-negative PU risk, and a calibration."""
+    """Standardised statistics, one hidden layer, the prior, and the non-negative PU risk."""
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, seed: int = 4):
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 1500, seed: int = 4):
         every = np.concatenate([positive, unlabelled]) if len(positive) + len(unlabelled) else features(pa.array([""]))
         self.low, self.high = np.quantile(every, 0.005, axis=0), np.quantile(every, 0.995, axis=0)
         held = every.clip(self.low, self.high)
         self.mean, self.spread = held.mean(0), held.std(0) + 1e-3
-        rng = np.random.default_rng(seed)
-        d = every.shape[1]
+        self.prior = 0.5 if prior is None else prior
+        rng, self.trained = np.random.default_rng(seed), []
+        self._start(rng)
+        if len(positive) > 1 and len(unlabelled) > 1:
+            pos, unl = self._scale(positive), self._scale(unlabelled)
+            if prior is None:
+                self.prior = float(np.median([self._estimate(pos, unl, steps // 4, rng) for _ in range(SPLITS)]))
+            for _ in range(NETWORKS):
+                self._start(rng)
+                self._train(pos, unl, steps, rng)
+                self.trained.append(self.p)
+
+    def _start(self, rng) -> None:
+        d = len(self.mean)
         self.p = {"w": rng.standard_normal((d, HIDDEN)) / np.sqrt(d), "b": np.zeros(HIDDEN), "v": rng.standard_normal(HIDDEN) / np.sqrt(HIDDEN), "c": np.zeros(1)}
-        self.prior = min(max(prior, 0.02), 0.98)
-        self.calibration = np.array([1.0, 0.0])
-        if len(positive) and len(unlabelled):
-            self._train(self._scale(positive), self._scale(unlabelled), steps, rng)
+
+    def _estimate(self, pos: np.ndarray, unl: np.ndarray, steps: int, rng) -> float:
+        """The prior by best-bin estimation on halves that the first network has not seen."""
+        a, b = rng.permutation(len(pos)), rng.permutation(len(unl))
+        self._start(rng)
+        self._train(pos[a[::2]], unl[b[::2]], steps, rng, plain=True)
+        own, others = (np.sort(self._forward(x)[0]) for x in (pos[a[1::2]], unl[b[1::2]]))
+        cuts = own
+        p = 1 - np.searchsorted(own, cuts) / len(own)
+        u = 1 - np.searchsorted(others, cuts) / len(others)
+        margin = np.sqrt(np.log(40.0) / 2) * (1 / np.sqrt(len(own)) + 1 / np.sqrt(len(others)))
+        best = int(np.argmin((u + margin) / p))
+        return float(np.clip(u[best] / p[best], 0.02, 0.98))
 
     def _scale(self, x: np.ndarray) -> np.ndarray:
         return (x.clip(self.low, self.high) - self.mean) / self.spread
@@ -99,22 +124,25 @@ class QualityModel:
         h = np.tanh(x @ self.p["w"] + self.p["b"])
         return h @ self.p["v"] + self.p["c"][0], h
 
-    def _train(self, pos: np.ndarray, unl: np.ndarray, steps: int, rng) -> None:
+    def _train(self, pos: np.ndarray, unl: np.ndarray, steps: int, rng, plain: bool = False) -> None:
+        """Adam on the non-negative risk; `plain` tells the two samples apart instead."""
         sigmoid = lambda z: 1.0 / (1.0 + np.exp(-z.clip(-30, 30)))
+        soft = lambda z: np.logaddexp(0, z)
         m = {k: np.zeros_like(x) for k, x in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         for step in range(1, steps + 1):
             a, b = pos[rng.integers(len(pos), size=256)], unl[rng.integers(len(unl), size=512)]
             fa, ha = self._forward(a)
             fb, hb = self._forward(b)
-            # sigmoid loss: sigmoid(-f) for a positive, sigmoid(f) for a negative
-            negative = sigmoid(fb).mean() - self.prior * sigmoid(fa).mean()
-            slope = lambda f: sigmoid(f) * (1 - sigmoid(f))
-            ga, gb = -self.prior * slope(fa) / len(a), np.zeros(len(b))
-            if negative >= 0:
-                ga, gb = ga - self.prior * slope(fa) / len(a), slope(fb) / len(b)
-            else:  # step back from the overfit part of the risk
-                ga, gb = self.prior * slope(fa) / len(a), -slope(fb) / len(b)
+            # logistic loss: soft(-f) for a positive, soft(f) for a negative; their slopes are sigmoid(f) - 1 and sigmoid(f)
+            if plain:
+                ga, gb = (sigmoid(fa) - 1) / len(a), sigmoid(fb) / len(b)
+            else:
+                ga, gb = self.prior * (sigmoid(fa) - 1) / len(a), np.zeros(len(b))
+                if soft(fb).mean() - self.prior * soft(fa).mean() >= 0:
+                    ga, gb = ga - self.prior * sigmoid(fa) / len(a), sigmoid(fb) / len(b)
+                else:  # step back from the overfit part of the risk
+                    ga, gb = self.prior * sigmoid(fa) / len(a), -sigmoid(fb) / len(b)
             grads = {k: np.zeros_like(x) for k, x in self.p.items()}
             for x, h, g in ((a, ha, ga), (b, hb, gb)):
                 inner = g[:, None] * self.p["v"] * (1 - h**2)
@@ -128,32 +156,27 @@ class QualityModel:
                 v[k] += 0.01 * (g * g - v[k])
                 self.p[k] -= 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> None:
-        if len(set(labels.tolist())) == 2:
-            self.calibration = logistic(self._forward(self._scale(x))[0][:, None], labels, weight)
-
     def score(self, texts: pa.Array) -> np.ndarray:
-        f = self._forward(self._scale(features(texts)))[0]
-        return 1.0 / (1.0 + np.exp(-(f * self.calibration[0] + self.calibration[1]).clip(-30, 30)))
+        """The chance of a positive: the networks' mean log odds as a probability."""
+        x = self._scale(features(texts))
+        f = np.zeros(len(x))
+        for self.p in self.trained or [self.p]:
+            f += self._forward(x)[0] / max(1, len(self.trained))
+        return 1.0 / (1.0 + np.exp(-f.clip(-30, 30)))
 
 
-def web_sample(docs: DataFrame, most: int) -> list[str]:
-    """About `most` texts (never over twice as many), taken by the hash of their ids and without regard to labels."""
-    part = max(1, -(-docs.count() // most))
-    chosen = docs.filter((F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0) & (F.length("text") <= LONGEST))
-    rows = chosen.select("doc_id", "text").limit(2 * most).collect()  # about `most` of them
-    return [r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))]
+def web_sample(docs: DataFrame, most: int, longest: int = LONGEST) -> list[str]:
+    """`most` texts, the first by the hash of their ids and without regard to labels; none of over `longest` characters."""
+    part = max(1, docs.count() // (2 * most))  # some twice as many are ordered, not all
+    chosen = docs.filter((F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0) & (F.length("text") <= longest)).select("doc_id", "text")
+    rows = chosen.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text").limit(most).collect()
+    return [r["text"] for r in rows]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> QualityModel:
-    texts, known, counts = sample(docs, labels, "quality", FOLDS, HELD, most)
+    texts, _, _ = sample(docs, labels.filter("quality = 1"), "quality", FOLDS, HELD, most)
     web = web_sample(docs, 2 * most)
-    x = features(pa.array(texts, pa.string()))
-    prior = (counts[1] + 1) / (counts.sum() + 2)
-    model = QualityModel(x[known == 1], features(pa.array(web, pa.string())), prior)
-    share = np.maximum(np.bincount(known.astype(int), minlength=2), 1)
-    model.calibrate(x, known, (counts / max(counts.sum(), 1) / (share / share.sum()))[known.astype(int)])
-    return model
+    return QualityModel(features(pa.array(texts, pa.string())), features(pa.array(web, pa.string())))
 
 
 def quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.llm.url_filters import filter_urls, parse_rules
+from folium.llm.url_filters import DEEPEST, filter_urls, parse_rules
 from folium.session import spread
 
 #: The rules that the query's contract fixes.
@@ -16,7 +16,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, parse_rules(RULES)).select("page_id", "host", "path", "rule", "verdict", "template")
 
 
-OP1_SQL = r"""
+_SQL = r"""
 WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 p AS (
   SELECT page_id,
@@ -36,24 +36,7 @@ j AS (
 s AS (
   SELECT host, coalesce(shape, '') AS shape, count(*) AS n, count(*) FILTER (label = 'block') AS nb, count(*) FILTER (label = 'allow') AS na
   FROM j GROUP BY 1, 2),
-e AS (
-  SELECT host, shape, n, nb, na, k.depth, string_split(shape, '/')[k.depth + 1] AS segment,
-    array_to_string(string_split(shape, '/')[1:k.depth], '/') AS parent
-  FROM s, range(64) k(depth) WHERE k.depth < len(string_split(shape, '/'))),
-n AS (SELECT host, parent, depth, segment, sum(n) AS n, sum(nb) AS nb, sum(na) AS na FROM e GROUP BY ALL),
-f AS (SELECT host, parent, depth, count(*) AS kids, sum(n) AS pn, sum(nb) AS pb, sum(na) AS pa FROM n GROUP BY ALL),
-l AS (
-  SELECT n.host, n.parent, n.depth, n.segment, CASE
-    WHEN contains(segment, '#') THEN segment
-    WHEN kids >= 8 AND n * kids <= 2 * pn THEN '*'
-    WHEN nb + na >= 5 AND pb + pa - nb - na >= 5 AND
-      abs(CAST(nb AS DOUBLE) / (nb + na) - CAST(pb - nb AS DOUBLE) / (pb + pa - nb - na))
-      <= sqrt(CAST(pb AS DOUBLE) / (pb + pa) * (1 - CAST(pb AS DOUBLE) / (pb + pa)) * (1.0::DOUBLE / (nb + na) + 1.0::DOUBLE / (pb + pa - nb - na))) THEN '*'
-    ELSE segment END AS label
-  FROM n JOIN f USING (host, parent, depth)),
-t AS (
-  SELECT e.host, e.shape, any_value(e.nb) AS nb, any_value(e.na) AS na, string_agg(l.label, '/' ORDER BY e.depth) AS template
-  FROM e JOIN l ON e.host = l.host AND e.parent = l.parent AND e.depth = l.depth AND e.segment = l.segment GROUP BY e.host, e.shape),
+@TREE@
 o AS (SELECT (coalesce(sum(nb), 0) + 1.0::DOUBLE) / (coalesce(sum(nb) + sum(na), 0) + 2.0::DOUBLE) AS overall FROM t),
 h AS (SELECT host, template, sum(nb) AS nb, sum(na) AS na FROM t GROUP BY ALL),
 x AS (SELECT template, (sum(nb) + 4.0::DOUBLE * (SELECT overall FROM o)) / (sum(nb) + sum(na) + 4.0::DOUBLE) AS prior FROM h GROUP BY ALL),
@@ -61,3 +44,34 @@ v AS (SELECT host, template, (nb + 4.0::DOUBLE * prior) / (nb + na + 4.0::DOUBLE
 SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.label, CASE WHEN v.purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, t.template
 FROM j LEFT JOIN t ON j.host = t.host AND coalesce(j.shape, '') = t.shape LEFT JOIN v ON t.host = v.host AND t.template = v.template
 """
+
+
+def _tree_sql(deepest: int) -> str:
+    """The tree, depth by depth: x<d> has the shapes of at least d segments with the template of the first d."""
+    out = [
+        f"""x0 AS (
+  SELECT host, shape, n, nb, na, '' AS template,
+    CASE WHEN len(string_split(shape, '/')) > {deepest} THEN list_append(string_split(shape, '/')[1:{deepest - 1}], array_to_string(string_split(shape, '/')[{deepest}:], '/'))
+      ELSE string_split(shape, '/') END AS parts FROM s)"""
+    ]
+    for d in range(deepest):
+        path = "l.label" if d == 0 else "x.template || '/' || l.label"
+        out += [
+            f"n{d} AS MATERIALIZED (SELECT host, template, parts[{d + 1}] AS segment, sum(n) AS n, sum(nb) AS nb, sum(na) AS na FROM x{d} WHERE len(parts) > {d} GROUP BY ALL)",
+            f"f{d} AS MATERIALIZED (SELECT host, template, count(*) AS kids, sum(n) AS pn, sum(nb) AS pb, sum(na) AS pa FROM n{d} GROUP BY ALL)",
+            f"""l{d} AS MATERIALIZED (
+  SELECT n.host, n.template, n.segment, CASE
+    WHEN contains(segment, '#') THEN segment
+    WHEN kids >= 8 AND n * kids <= 2 * pn THEN '*'
+    WHEN nb + na >= 5 AND pb + pa - nb - na >= 5 AND
+      abs(CAST(nb AS DOUBLE) / (nb + na) - CAST(pb - nb AS DOUBLE) / (pb + pa - nb - na))
+      <= sqrt(CAST(pb AS DOUBLE) / (pb + pa) * (1 - CAST(pb AS DOUBLE) / (pb + pa)) * (1.0::DOUBLE / (nb + na) + 1.0::DOUBLE / (pb + pa - nb - na))) THEN '*'
+    ELSE segment END AS label
+  FROM n{d} n JOIN f{d} f ON n.host = f.host AND n.template = f.template)""",
+            f"x{d + 1} AS MATERIALIZED (SELECT x.host, x.shape, x.n, x.nb, x.na, {path} AS template, x.parts FROM x{d} x JOIN l{d} l ON x.host = l.host AND x.template = l.template AND x.parts[{d + 1}] = l.segment WHERE len(x.parts) > {d})",
+        ]
+    ends = " UNION ALL ".join(f"SELECT host, shape, nb, na, template FROM x{d} WHERE len(parts) = {d}" for d in range(1, deepest + 1))
+    return ",\n".join([*out, f"t AS ({ends})"]) + ","
+
+
+OP1_SQL = _SQL.replace("@TREE@", _tree_sql(DEEPEST))

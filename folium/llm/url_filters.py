@@ -1,9 +1,10 @@
 """URL filters by a path-template tree, in DataFrame operations only.
 
 Per host, the segments of a path form a tree. Segments that vary by form (runs of digits, identifiers) become
-wildcards at once. Then branches of one parent are compared: a child that is one of many and no more popular
-than chance is a variable segment, and a child whose labelled share of blocked urls does not differ from its
-siblings' is merged with them; both become "*". Urls that a rule judges are the labelled ones. A template is
+wildcards at once. Then branches of one parent are compared, depth by depth from the root: a child that is one of
+many and no more popular than chance is a variable segment, and a child whose labelled share of blocked urls does not
+differ from its siblings' is merged with them; both become "*", and their subtrees are one from there on, so at the
+next depth children of merged branches are pooled and compared together. Urls that a rule judges are the labelled ones. A template is
 rejected by its smoothed purity: blocked over labelled, shrunk towards the same template's share over all hosts,
 which is itself shrunk towards the overall share.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ MAX_RULES = 200
 FANOUT, TWICE = 8, 2
 #: Labelled urls on both sides that a comparison of shares needs, and the |z| below which shares are alike.
 LEAST, ALIKE = 5, 1.0
+#: Depths of the tree; the rest of a deeper path is one segment.
+DEEPEST = 12
 #: Pseudo-counts of the smoothing, and the purity from which a template is rejected.
 PRIOR, REJECT = 4.0, 0.5
 
@@ -93,24 +97,36 @@ def judged(pages: DataFrame, rules: Sequence[Rule], url: str = "url", page_id: s
 
 def template_tree(shapes: DataFrame) -> DataFrame:
     """(host, shape, template) for shapes: (host, shape, n, nb, na), one row each."""
-    parts = shapes.select("host", "shape", "n", "nb", "na", F.split("shape", "/").alias("parts"))
-    steps = parts.select("host", "shape", "n", "nb", "na", "parts", F.posexplode("parts").alias("depth", "segment"))
-    steps = steps.select("host", "shape", "n", "nb", "na", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("parent"), "segment")
+    cells = F.split("shape", "/")
+    deep = F.concat(F.slice(cells, 1, DEEPEST - 1), F.array(F.array_join(F.slice(cells, DEEPEST, F.greatest(F.lit(1), F.size(cells))), "/")))
+    parts = F.when(F.size(cells) > DEEPEST, deep).otherwise(cells)
+    live = cut(shapes.select("host", "shape", "n", "nb", "na", parts.alias("parts"), F.lit("").alias("template")), "tree")
     sums = [F.sum(c).alias(c) for c in ("n", "nb", "na")]
-    nodes = cut(steps.groupBy("host", "parent", "depth", "segment").agg(*sums), "nodes")
-    parents = cut(nodes.groupBy("host", "parent", "depth").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("pn"), F.sum("nb").alias("pb"), F.sum("na").alias("pa")), "parents")
-    both = nodes.join(parents, ["host", "parent", "depth"])
+    done: list[DataFrame] = []
+    for depth in range(DEEPEST):
+        done.append(live.filter(F.size("parts") <= depth).select("host", "shape", "template"))
+        live = live.filter(F.size("parts") > depth).withColumn("segment", F.element_at("parts", depth + 1))
+        nodes = cut(live.groupBy("host", "template", "segment").agg(*sums), "nodes")
+        if not nodes.limit(1).count():
+            break
+        parents = cut(nodes.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("pn"), F.sum("nb").alias("pb"), F.sum("na").alias("pa")), "parents")
+        named = cut(nodes.join(parents, ["host", "template"]).select("host", "template", "segment", _label().alias("label")), "labels")
+        path = F.when(F.lit(depth == 0), F.col("label")).otherwise(F.concat_ws("/", "template", "label"))
+        live = cut(live.join(named, ["host", "template", "segment"]).select("host", "shape", "n", "nb", "na", "parts", path.alias("template")), "tree")
+    else:
+        done.append(live.select("host", "shape", "template"))
+    return reduce(DataFrame.union, done)
+
+
+def _label() -> Column:
+    """A node's segment, or "*" where its branch is merged with its siblings'."""
     own, others = F.col("nb") + F.col("na"), F.col("pb") + F.col("pa") - F.col("nb") - F.col("na")
     pooled = (F.col("pb") / (F.col("pb") + F.col("pa"))).cast("double")
     gap = F.col("nb") / own - (F.col("pb") - F.col("nb")) / others
     error = F.sqrt(pooled * (1 - pooled) * (1.0 / own + 1.0 / others))
     alike = F.when((own >= LEAST) & (others >= LEAST), F.abs(gap) <= ALIKE * error).otherwise(False)
     varies = (F.col("kids") >= FANOUT) & (F.col("n") * F.col("kids") <= TWICE * F.col("pn"))
-    label = F.when(F.col("segment").contains("#"), F.col("segment")).when(varies | alike, F.lit("*")).otherwise(F.col("segment"))
-    named = cut(both.select("host", "parent", "depth", "segment", label.alias("label")), "labels")
-    back = steps.select("host", "shape", "parent", "depth", "segment").join(named, ["host", "parent", "depth", "segment"])
-    ordered = F.array_sort(F.collect_list(F.struct("depth", "label")))  # a path's own segments
-    return back.groupBy("host", "shape").agg(F.array_join(F.transform(ordered, lambda x: x["label"]), "/").alias("template"))
+    return F.when(F.col("segment").contains("#"), F.col("segment")).when(varies | alike, F.lit("*")).otherwise(F.col("segment"))
 
 
 def verdicts(shapes: DataFrame) -> DataFrame:
@@ -132,7 +148,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", page_
     """One row per input row: page_id, host, path, rule, verdict, template, purity.
 
     verdict is the longest fitting rule's, else "block" if the template's purity reaches REJECT, else "allow".
-    A null url or one without "://" has an empty host and path, and so an empty template. Ties of rule length
+    A null url or one without "://" has an empty host and path, and so an empty template. From its DEEPEST-th
+    segment on a path counts as one segment. Ties of rule length
     go to the later text. Repeated rows give repeated results; other columns are not read; an empty table
     gives an empty result.
     """

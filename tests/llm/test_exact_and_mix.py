@@ -156,6 +156,15 @@ def test_url_purity_follows_labels(spark):
     assert got[900]["verdict"] == "block" and got[901]["verdict"] == "allow" and got[900]["template"] == "de/#"
 
 
+def test_url_subtrees_of_merged_branches_are_pooled(spark):
+    """Many cities with few items each: cities become a wildcard, and then the items of all of them do."""
+    rules = parse_rules(["block com/shop/city1/", "block com/shop/city2/"])
+    rows = [(100 * c + i, f"http://a.com/shop/city{chr(97 + c)}x/item{chr(97 + (c * 3 + i) % 26)}z") for c in range(20) for i in range(3)]
+    deep = [(9000, "http://b.net/" + "/".join("abcdefghijklmnopqrstuvw")), (9001, "http://b.net/" + "x/" * 500)]
+    got = {r["page_id"]: r["template"] for r in filter_urls(spark.createDataFrame(rows + deep, "page_id long, url string"), rules).collect()}
+    assert {got[k] for k, _ in rows} == {"shop/*/*"} and got[9000] == "/".join("abcdefghijklmnopqrstuvw")
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):

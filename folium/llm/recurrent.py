@@ -16,6 +16,8 @@ STAT_WORDS, STAT_GRAMS = 1 << 18, 1 << 18
 EMB, HIDDEN, ATTEND = 6, 8, 8
 GRAMS = (4, 7)
 WINDOW, STRIDE = 64, 48
+#: Words that are hashed at once.
+PART = 16_384
 LEAST = 3
 _EDGE = string.punctuation + "…“”„«»¿¡"
 F32 = np.float32
@@ -35,6 +37,8 @@ class Words:
 
     @classmethod
     def of(cls, words: list[str]) -> Words:
+        if len(words) > PART:  # in parts, which bound the temporary arrays
+            return cls.joined([cls.of(words[k : k + PART]) for k in range(0, len(words), PART)])
         parts = [b"^" + bare(w) + b"$" for w in words]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
@@ -62,6 +66,11 @@ class Words:
         first = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(parts)))])
         return cls(_scramble(sums), np.concatenate(grams)[order], first)
 
+    @classmethod
+    def joined(cls, parts: list[Words]) -> Words:
+        counts = np.concatenate([p.counts for p in parts])
+        return cls(np.concatenate([p.hashes for p in parts]), np.concatenate([p.grams for p in parts]), np.concatenate([[0], np.cumsum(counts)]))
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -147,7 +156,11 @@ class Network:
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """(words + 1, 2, 3 HIDDEN): what each word adds to the gates of either direction."""
-        return np.einsum("vd,kdh->vkh", x, self.p["w"], optimize=True).astype(F32) + self.p["b"]
+        out = np.empty((2, len(x), 3 * HIDDEN), self.p["w"].dtype)
+        for k in range(2):  # without a second array of that size
+            np.matmul(x, self.p["w"][k], out=out[k])
+            out[k] += self.p["b"][k]
+        return out.transpose(1, 0, 2)
 
     def states(self, gates: np.ndarray, codes: np.ndarray, keep: bool = False):
         """Hidden states (T, 2, B, HIDDEN) over windows of word numbers (B, T); -1 pads."""

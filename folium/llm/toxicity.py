@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from folium.llm.recurrent import WINDOW, Network, Words, associations, windows
 from folium.llm.text import crc_mod
-from folium.llm.words import filter_rows, slices, split_words
+from folium.llm.words import filter_rows, release, slices, split_words
 
 #: Labelled rows per class that training reads at most, and the longest text among them.
 SAMPLE, LONGEST = 2000, 100_000
@@ -133,7 +133,9 @@ class ToxicityModel:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> ToxicityModel:
-    return ToxicityModel(*sample(docs, labels, "toxic", FOLDS, HELD, most))
+    model = ToxicityModel(*sample(docs, labels, "toxic", FOLDS, HELD, most))
+    release()
+    return model
 
 
 def score_documents(docs: DataFrame, model, folds: int, held: int, threshold: float = THRESHOLD) -> DataFrame:

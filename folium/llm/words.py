@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +27,13 @@ def slices(batch: pa.RecordBatch, column: int = 1, limit: int = SLICE) -> Iterat
             yield batch.slice(a, b - a)
 
 
+def release() -> None:
+    """Give memory that was freed back to the system, where the C library can; the driver goes on for long after training."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(codes, offsets, words): word k of text i is words[codes[offsets[i] + k]].
 

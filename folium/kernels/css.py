@@ -18,9 +18,7 @@ BORDERS = {"solid": "single", "double": "double", "dashed": "dashed", "dotted":
 ALIGN = {"left": "start", "start": "start", "center": "center", "right": "end", "end": "end", "justify": "both"}
 VALIGN = {"top": "top", "middle": "center", "center": "center", "bottom": "bottom"}
 _ASCII_SPACE = " \t\n\r\0\x0b"
-_LENGTH = re.compile(r"(-?\d+(?:\.\d+)?)\s*([a-z]+)?", re.A)
-_HEX = re.compile(r"#(?:[0-9a-f]{3}|[0-9a-f]{6})", re.A)
-_RGB = re.compile(r"rgba?\(\s*(\d+)[\s,]+(\d+)[\s,]+(\d+)", re.A)
+_DIGITS = "0123456789"
 _NUMBER = re.compile(r"[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?", re.A | re.I)
 
 
@@ -33,17 +31,28 @@ def clean(value: str) -> str:
     return value.strip(_ASCII_SPACE).lower()
 
 
-def twips(value: str | None) -> int | None:
-    found = _LENGTH.fullmatch(clean(value)) if value else None
-    if not found:
+def quantity(value: str | None) -> tuple[float, str] | None:
+    """A number and the unit after it ("" without one); None for anything else. A sign may only be a minus."""
+    text = clean(value or "")
+    whole, dot, rest = text.removeprefix("-").partition(".")
+    lead = rest if dot else whole
+    tail = lead.lstrip(_DIGITS)
+    digits = (whole, lead[: len(lead) - len(tail)]) if dot else (lead[: len(lead) - len(tail)], "0")
+    if not all(d and not d.strip(_DIGITS) for d in digits):
         return None
-    factor = TWIPS.get(found[2] or "px")
-    return None if factor is None else rounded(float(found[1]) * factor)
+    size = float(".".join(digits))
+    return (-size if text.startswith("-") else size), tail.strip()
+
+
+def twips(value: str | None) -> int | None:
+    size, unit = quantity(value) or (0.0, "?")
+    factor = TWIPS.get(unit or "px")
+    return None if factor is None else rounded(size * factor)
 
 
 def percent(value: str | None) -> float | None:
-    found = re.fullmatch(r"(-?\d+(?:\.\d+)?)\s*%", value.strip(_ASCII_SPACE), re.A) if value else None
-    return float(found[1]) if found else None
+    size, unit = quantity(value) or (0.0, "?")
+    return size if unit == "%" else None
 
 
 def half_points(value: str | None) -> int | None:
@@ -52,28 +61,38 @@ def half_points(value: str | None) -> int | None:
 
 
 def color(value: str | None) -> str | None:
-    v = clean(value) if value else ""
-    if _HEX.fullmatch(v):
-        return v[1:] if len(v) == 7 else "".join(c + c for c in v[1:])
-    if rgb := _RGB.match(v):
-        return "".join(f"{min(255, int(x)):02x}" for x in rgb.groups())
-    return COLORS.get(v)
+    """Six hex digits of a named colour, #rgb, #rrggbb, rgb() or rgba(); alpha is left out."""
+    v = clean(value or "")
+    if v.startswith("#"):
+        digits = v[1:] if len(v) != 4 else "".join(2 * c for c in v[1:])
+        return digits if len(digits) == 6 and not digits.strip("0123456789abcdef") else None
+    name, bracket, inside = v.partition("(")
+    if not bracket or name not in ("rgb", "rgba"):
+        return COLORS.get(v)
+    channels = inside.replace(",", " ").split()[:3]
+    if len(channels) == 3:
+        channels[2] = channels[2][: len(channels[2]) - len(channels[2].lstrip(_DIGITS))]  # the bracket or a fraction may follow
+    if len(channels) < 3 or not all(c and not c.strip(_DIGITS) for c in channels):
+        return None
+    return bytes(min(int(c), 255) for c in channels).hex()
+
+
+def _eighths(word: str) -> int | None:
+    """A border width in eighths of a point; a pixel, and a bare number, counts six."""
+    size, unit = quantity(word) or (-1.0, "?")
+    return rounded(size * {"": 6, "px": 6, "pt": 8}[unit]) if size >= 0 and unit in ("", "px", "pt") else None
 
 
 def border(value: str) -> dict:
-    v = clean(value)
-    if v in ("none", "0") or v.startswith("0 "):
+    """Style, size and colour from the words of a border in any order; the last word of each kind counts."""
+    words = clean(value).split()
+    if words and words[0] in (("none", "0") if len(words) == 1 else ("0",)):
         return {"style": "none", "size": 4, "color": "000000"}
-    out = {"style": "single", "size": 4, "color": "000000"}
-    for part in v.split():
-        if (hexed := color(part)) is not None:
-            out["color"] = hexed
-        elif width := re.fullmatch(r"(\d+(?:\.\d+)?)(px|pt)?", part, re.A):
-            out["size"] = rounded(float(width[1]) * (8 if width[2] == "pt" else 6))
-        elif part in BORDERS:
-            out["style"] = BORDERS[part]
-    out["size"] = max(2, out["size"])
-    return out
+    found: dict = {}
+    for word in words:
+        kinds = (("color", color(word)), ("size", _eighths(word)), ("style", BORDERS.get(word)))
+        found.update(next(([(kind, x)] for kind, x in kinds if x is not None), []))
+    return {"style": found.get("style", "single"), "size": max(2, found.get("size", 4)), "color": found.get("color", "000000")}
 
 
 def declarations(style: str | None) -> dict[str, str]:

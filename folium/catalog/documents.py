@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folium.catalog.values import table
 from folium.plans import convert as P
-from folium.session import spread
+from folium.session import cut, spread
 from folium.sources import documents as D
 
 
@@ -78,10 +78,12 @@ SELECT doc_id, md5(regexp_replace(text, '\n', '', 'g')) AS text_md5, len(regexp_
 
 
 def docx_deterministic(spark, sf_dir):
-    """Two writes of every page give the same bytes."""
-    pages = spread(table(spark, sf_dir, "pages"))
-    digest = lambda name: D.to_docx(pages, "page_id", "html").select("doc_id", F.sha2("content", 256).alias(name))
-    return digest("a").join(digest("b"), "doc_id").select(F.col("doc_id").alias("page_id"), (F.col("a") == F.col("b")).alias("same"))
+    """Two writes of every page give the same bytes: the first is written out, the second made anew, dealt to other workers."""
+    pages = table(spark, sf_dir, "pages")
+    digest = lambda of, name: D.to_docx(of, "page_id", "html").select("doc_id", F.sha2("content", 256).alias(name))
+    first = cut(digest(spread(pages), "a"), "first-write")
+    second = digest(pages.select("page_id", "html").repartition(7, F.xxhash64("page_id", F.lit(1))), "b")
+    return first.join(second, "doc_id").select(F.col("doc_id").alias("page_id"), (F.col("a") == F.col("b")).alias("same"))
 
 
 DOCX_DETERMINISTIC_SQL = "SELECT page_id, true AS same FROM pages"

@@ -146,7 +146,7 @@ def open_package(data: bytes) -> Package:
             load_rels(path)
         else:
             out.parts.setdefault(role, part)
-    out.media = {name: archive.read(name) for name in sorted(names) if name.startswith("word/media/") and not name.endswith("/")}
+    out.media = {name: read(name) for name in sorted(names) if name.startswith("word/media/") and not name.endswith("/")}
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions.text import PATTERNS, variables
+from folium.session import cut
 
 
 def cascade(*layers: Column) -> Column:
@@ -15,15 +16,15 @@ def cascade(*layers: Column) -> Column:
     return F.coalesce(*layers)
 
 
-def style_chains(styles: DataFrame, keys: Sequence[str], id: str, based_on: str, properties: Sequence[str], depth: int = 32) -> DataFrame:
+def style_chains(styles: DataFrame, keys: Sequence[str], id: str, based_on: str, properties: Sequence[str]) -> DataFrame:
     """Effective properties of every style: its own, else those of the style it is based on, and so on.
 
-    Pointers are doubled, so a chain of n styles takes log2(n) joins, not n. A chain that reaches itself stops
-    there, as does one to a missing style. depth: the longest chain that is followed.
+    Pointers are doubled until none is left, so chains of any length n take log2(n) joins; each step is written
+    out, so that the next one does not repeat it. A chain that reaches itself stops there, as does one to a
+    missing style.
     """
-    now = styles.select(*keys, F.col(id), F.col(based_on).alias("_up"), F.array(F.col(id)).alias("_line"), *properties)
-    steps = max(1, depth - 1).bit_length()
-    for _ in range(steps):
+    now = cut(styles.select(*keys, F.col(id), F.col(based_on).alias("_up"), F.array(F.col(id)).alias("_line"), *properties), "chains")
+    while now.filter(F.col("_up").isNotNull()).limit(1).count():
         above = now.select(*keys, F.col(id).alias("_id"), F.col("_up").alias("_next"), F.col("_line").alias("_above"), *[F.col(p).alias(f"_{p}") for p in properties])
         on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [F.col("l._up") == F.col("r._id")]
         joined = now.alias("l").join(above.alias("r"), on, "left")
@@ -31,11 +32,11 @@ def style_chains(styles: DataFrame, keys: Sequence[str], id: str, based_on: str,
         fresh = F.col("r._id").isNotNull() & ~F.coalesce(loops, F.lit(False))
         # where the line above closes a loop, only its styles before the loop count, one step at a time
         one = F.col("r._id").isNotNull() & ~F.array_contains("l._line", F.col("r._id"))
-        now = joined.select(
+        now = cut(joined.select(
             *[F.col(f"l.{k}") for k in keys], F.col(f"l.{id}"), F.when(fresh, F.col("r._next")).when(one, F.lit(None)).otherwise(F.lit(None)).alias("_up"),
             F.when(fresh, F.concat("l._line", "r._above")).otherwise(F.col("l._line")).alias("_line"),
             *[F.coalesce(F.col(f"l.{p}"), F.when(fresh | one, F.col(f"r._{p}"))).alias(p) for p in properties],
-        )
+        ), "chains")
     return now.drop("_up", "_line")
 
 

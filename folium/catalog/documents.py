@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folium.catalog.values import table
+from folium.functions.text import html_escape
 from folium.plans import convert as P
 from folium.session import cut, spread
 from folium.sources import documents as D
@@ -142,15 +143,17 @@ SELECT 'document' AS role, count(*) AS documents FROM pages UNION ALL SELECT 'st
 
 
 def conversations_docx(spark, sf_dir):
-    """Each conversation as one HTML document with a heading per turn, packed and outlined."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role").alias("t"))
+    """Each conversation as one HTML document, a heading and a paragraph per turn, packed and read back."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("t"))
     whole = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))  # one conversation's turns
-    html = F.array_join(F.transform("turns", lambda t: F.concat(F.lit("<h2>"), t["turn"].cast("string"), F.lit(" "), t["role"], F.lit("</h2>"))), "")
-    packed = D.to_docx(whole.select("conv_id", html.alias("html")), "conv_id", "html")
-    return P.outline(D.nodes(packed, "doc_id", "content", "docx")).select(F.col("doc_id").alias("conv_id"), "level", "text")
+    one = lambda t: F.concat(F.lit("<h2>"), t["turn"].cast("string"), F.lit(" "), t["role"], F.lit("</h2><p>"), html_escape(t["text"]), F.lit("</p>"))
+    packed = D.to_docx(whole.select("conv_id", F.array_join(F.transform("turns", one), "").alias("html")), "conv_id", "html")
+    return D.nodes(packed, "doc_id", "content", "docx").filter("kind = 'p'").select(F.col("doc_id").alias("conv_id"), F.col("heading").alias("level"), "text")
 
 
-CONVERSATIONS_DOCX_SQL = "SELECT conv_id, 2 AS level, turn || ' ' || role AS text FROM conversations"
+CONVERSATIONS_DOCX_SQL = r"""
+SELECT conv_id, 2 AS level, turn || ' ' || role AS text FROM conversations UNION ALL SELECT conv_id, NULL, regexp_replace(text, '\s+', ' ', 'g') FROM conversations
+"""
 
 
 def fidelity_report(spark, sf_dir):

@@ -213,11 +213,12 @@ SELECT p_partkey, CAST(coalesce(own, CASE WHEN flat THEN b ELSE a END) AS INT) A
 
 
 def relationship_ids(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    return S.relationship_ids(d, ["source", "lang"], ["doc_id"]).select("doc_id", "source", "lang", "rid")
+    """Ids within a document: an order's lines in their order."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return S.relationship_ids(lines, ["l_orderkey"], ["l_linenumber", "l_partkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "rid")
 
 
-RELATIONSHIP_IDS_SQL = "SELECT doc_id, source, lang, 'rId' || row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rid FROM documents"
+RELATIONSHIP_IDS_SQL = "SELECT l_orderkey, l_linenumber, l_partkey, 'rId' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rid FROM lineitem"
 
 
 def relationship_lookup(spark, sf_dir):

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.catalog import documents, structure, values
+from folium.catalog import documents, packages, structure, values
 
-ALL = [*documents.CATALOG, *structure.CATALOG, *values.CATALOG]
+ALL = [*documents.CATALOG, *packages.CATALOG, *structure.CATALOG, *values.CATALOG]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -14,11 +14,12 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from folium.kernels import docx_read, html_read, html_write
-from folium.kernels.docx_write import write_docx
+from folium.kernels.docx_write import assembled, write_docx
 from folium.kernels.nodes import NODE_SCHEMA, Document, flatten
 from folium.kernels.package import PackageError, open_package
 
@@ -119,6 +120,25 @@ def text_to_docx(df: DataFrame, id: str, value: str) -> DataFrame:
     return _map(df, id, value, lambda key, x: _packed(key, lambda: write_docx(Document([Section([paragraph([run(x)])])]))), DOCX_SCHEMA)
 
 
+def assemble(df: DataFrame, id: str, body: str, rels: str | None = None, parts: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Packages from columns of ready markup: (doc_id, content, error).
+
+    body holds what is inside the document's body, rels further <Relationship> elements; parts maps a relationship's
+    id to its role ("header", "styles", ...) and the column of the whole part. A null body gives no row, a null part
+    is left out. The markup is taken as it is: reading tells whether it is well-formed.
+    """
+    parts = parts or {}
+    columns = [df[body].alias("body"), (df[rels] if rels else F.lit("")).alias("rels")] + [df[c].alias(f"part{k}") for k, (_, c) in enumerate(parts.values())]
+    whole = df.select(df[id].alias("doc_id"), F.when(df[body].isNotNull(), F.to_json(F.struct(*columns))).alias("whole"))
+
+    def made(text: str) -> bytes:
+        given = json.loads(text)
+        held = {rid: (role, given[f"part{k}"]) for k, (rid, (role, _)) in enumerate(parts.items()) if given.get(f"part{k}") is not None}
+        return assembled(given["body"], given.get("rels") or "", held)
+
+    return _map(whole, "doc_id", "whole", lambda key, x: _packed(key, lambda: made(x)), DOCX_SCHEMA)
+
+
 def fidelity(df: DataFrame, id: str, value: str) -> DataFrame:
     """(doc_id, reads, covered, fixed_point) of every HTML document, all in one kernel.
 

@@ -22,7 +22,7 @@ def _mark(kind: str) -> str:
 
 
 def _filled(template: str, **columns: str):
-    """The template with {name} replaced by columns, as one Column."""
+    """The template with @name@ replaced by columns, as one Column."""
     pieces = [F.lit("")]
     for k, piece in enumerate(template.split("@")):
         pieces.append(F.expr(f"CAST({columns[piece]} AS STRING)") if k % 2 else F.lit(piece))
@@ -140,7 +140,44 @@ UNION ALL SELECT p_partkey, 'run', 'first', styled, styled, CAST(size AS INT), N
 UNION ALL SELECT p_partkey, 'run', 'second', direct, styled, CAST(size AS INT), NULL FROM p
 """
 
+def _level(k: int, start: str, kind: str) -> str:
+    return f'<w:lvl w:ilvl="{k}"><w:start w:val="{start}"/><w:numFmt w:val="{kind}"/><w:lvlText w:val="%{k + 1}."/></w:lvl>'
+
+
+def _item(text: str, num: int, level: int = 0) -> str:
+    return f'<w:p><w:pPr><w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="{num}"/></w:numPr></w:pPr>{_text(text)}</w:p>'
+
+
+NUMBERING = (
+    f'<w:numbering {W}><w:abstractNum w:abstractNumId="0">{_level(0, "@start@", "decimal")}{_level(1, "1", "lowerLetter")}</w:abstractNum><w:abstractNum w:abstractNumId="1">{_level(0, "1", "bullet")}</w:abstractNum>'
+    '<w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="1"/></w:num>'
+    '<w:num w:numId="3"><w:abstractNumId w:val="0"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="@own@"/></w:lvlOverride></w:num></w:numbering>'
+)
+LISTED = "".join([_item("@brand@", 1), _item("below", 1, 1), _item("also", 1, 1), _item("next", 1), "<w:p/>", _item("on", 1), _item("dot", 2), _item("own", 3), _item("none", 9)])
+
+
+def docx_lists(spark, sf_dir):
+    """Lists of packages: nesting, numbers that run on after a paragraph, a start of an instance's own, bullets, an unknown instance."""
+    p = spread(table(spark, sf_dir, "part"))
+    given = {"start": "p_size % 4 + 1", "own": "p_size + 10", "brand": "p_brand"}
+    packed = D.assemble(p.select("p_partkey", _filled(LISTED, **given).alias("body"), _filled(NUMBERING, **given).alias("numbers")), "p_partkey", "body", None, {"d1": ("numbering", "numbers")})
+    n = D.nodes(packed, "doc_id", "content", "docx").filter("kind IN ('list', 'p')")
+    return n.select(F.col("doc_id").alias("p_partkey"), "kind", "ord", "depth", "ordered", "format", "start_at")
+
+
+DOCX_LISTS_SQL = """
+WITH n AS (SELECT p_partkey, 'list' AS kind, 0 AS ord, 0 AS depth, true AS ordered, 'decimal' AS format, p_size % 4 + 1 AS start_at FROM part
+  UNION ALL SELECT p_partkey, 'list', 1, 2, true, 'lowerLetter', 1 FROM part
+  UNION ALL SELECT p_partkey, 'p', 1, 0, NULL, NULL, NULL FROM part
+  UNION ALL SELECT p_partkey, 'list', 2, 0, true, 'decimal', p_size % 4 + 3 FROM part
+  UNION ALL SELECT p_partkey, 'list', 3, 0, false, 'bullet', 1 FROM part
+  UNION ALL SELECT p_partkey, 'list', 4, 0, true, 'decimal', p_size + 10 FROM part
+  UNION ALL SELECT p_partkey, 'p', 5, 0, NULL, NULL, NULL FROM part)
+SELECT p_partkey, kind, CAST(ord AS INT) AS ord, CAST(depth AS INT) AS depth, ordered, format, CAST(start_at AS INT) AS start_at FROM n
+"""
+
 CATALOG = [
+    ("docx_lists", docx_lists, DOCX_LISTS_SQL),
     ("docx_form_variables", docx_form_variables, DOCX_FORM_VARIABLES_SQL), ("docx_structures", docx_structures, DOCX_STRUCTURES_SQL),
     ("docx_to_html", docx_to_html, DOCX_TO_HTML_SQL), ("docx_cascade", docx_cascade, DOCX_CASCADE_SQL),
 ]

@@ -1,22 +1,27 @@
 """Near-duplicates by similarity: the pipeline's stage keeps one of all texts whose 5-word shingles agree.
 
-1. Each text becomes the set of its 5-word shingles, and the set a fingerprint of two 64-bit SimHash words. Equal
+1. Each text becomes the set of its 5-word shingles, and the set a fingerprint of four 64-bit SimHash words. Equal
    sets are one point from here on.
-2. At this similarity fingerprints may differ in a quarter of their bits, where no triangle bound excludes anything
-   from a whole corpus. So points are first dealt to buckets: BANDS keys of ROWS min-wise samples of the set each.
-   Two sets of similarity s share a bucket with probability 1 - (1 - s^ROWS)^BANDS, 0.9997 at 0.8. Buckets with
-   one point only are dropped by a count before anything else of a point is moved.
-3. In every bucket all points are compared with one leader, in SQL and in linear time; what is verified is joined.
-   So a bucket of any number of near copies is mostly one component before pairs are looked for.
-4. Buckets are then searched for pairs of different components: vantage-point trees over the first words divide
-   large ones wherever the triangle bound excludes any; what stays together is compared in both words. A bucket of
-   more than BLOCK points is dealt out as pairs of blocks.
-5. Candidates are tested by the exact similarity of their shingle sets, the nearest first, and only while nothing
-   joins the two: a shard returns a spanning forest of its links, so no group emits its pairs.
+2. Points are searched for partners by vantage points and the triangle bound, and no pair within the bounds is left
+   out. The first vantage point is the empty set: a set's distance from it is its size, and the sizes of similar sets
+   differ by the factor SIMILAR at most. So points are dealt to bands of size, bands to blocks of bounded size, and
+   every pair of blocks in reach of each other is a shard.
+3. In a shard, balls around vantage points whose members are all within BITS of each other are linked at once.
+   Vantage-point trees over the first words divide the rest wherever the triangle bound excludes any; what stays
+   together is compared. Fingerprints of similar sets may differ in a quarter of their bits, where that bound seldom
+   excludes unrelated texts, so the work grows with the square of the points in reach by size.
+4. A shard returns a spanning forest of its links, contraction rounds make them groups of fingerprints. Texts
+   that are similar and within the bounds are in one group, so the exact check needs no more than the groups.
+5. In a group of more than BLOCK shingles all points are first compared with its leader, in SQL and in linear time;
+   what is verified is joined. Then every group is searched as in 3 for pairs of different components, one of more
+   than BLOCK shingles in pairs of blocks, and these are tested by the exact similarity of their shingle sets, the
+   nearest first, and only while nothing joins the two: a shard returns a spanning forest of its links, so no group
+   emits its pairs. Only the texts of groups are moved.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,19 +37,21 @@ from folium.session import cut
 
 WORDS = 5
 SIMILAR = 0.8
-#: Most differing bits of both words, and of the first alone. At similarity 0.8 some 19 of 128 differ, with a
-#: standard deviation of 4; sets of under FEW shingles, whose bits are often tied, differ in more.
-BITS, FIRST, FEW, FEW_BITS = 34, 24, 8, 44
-#: Buckets a point is in, and min-wise samples that make a bucket's key.
-BANDS, ROWS = 20, 5
-#: Share of equal samples that a pair needs before its texts are compared: four standard deviations below 0.8.
-LIKELY = SIMILAR - 4 * (SIMILAR * (1 - SIMILAR) / (BANDS * ROWS)) ** 0.5
+#: Words of a fingerprint; most differing bits of all of them, and of the first alone. At similarity 0.8 some 39 of
+#: 256 differ, with a standard deviation of 6; sets of under FEW shingles, whose bits are often tied, differ in more.
+PRINT, LEADER = ["f1", "f2", "f3", "f4"], ["l1", "l2", "l3", "l4"]
+BITS, FIRST, FEW, FEW_BITS = 72, 24, 8, 96
+#: Logarithm of the sizes that a band spans: similar sets are at most REACH bands apart (the rest is for rounding).
+REACH = 2
+BAND = -math.log(SIMILAR) / REACH * (1 + 1e-9)
+#: Points of a block: a part of all, but neither fewer nor more than these.
+PART, LEAST, MOST = 32, 1024, 1 << 18
+#: Vantage points of a shard whose balls are linked at once.
+BALLS = 64
 #: Shingles (8 bytes each) of a bucket that are searched together, and of the rows that one task searches.
 BLOCK, TASK = 1 << 20, 1 << 21
 #: Runs of up to so many points are compared without a tree.
 SMALL = 32
-_seeds = np.random.default_rng(20)
-_TIMES, _PLUS = _seeds.integers(0, 2**31, (BANDS * ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1), _seeds.integers(0, 2**32, (BANDS * ROWS, 1), np.uint32)
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -76,27 +83,17 @@ def word_of(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def samples_of(hashes: np.ndarray) -> np.ndarray:
-    """The set's BANDS * ROWS min-wise samples."""
-    low = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(low), 4096):
-        np.minimum(least, (_TIMES * low[None, k : k + 4096] + _PLUS).min(1), out=least)
-    return least
-
-
-def keys_of(samples: np.ndarray) -> np.ndarray:
-    """(points, BANDS) bucket keys of (points, BANDS * ROWS) samples."""
-    rows = samples.reshape(len(samples), BANDS, ROWS).astype(np.uint64)
-    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(samples), BANDS)).copy()
-    for k in range(ROWS):
-        out = (out ^ rows[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
+def fingerprint(hashes: np.ndarray) -> list[int]:
+    """The SimHash words of a set, each over hashes of its own."""
+    out = []
+    for _ in PRINT:
+        out.append(word_of(hashes))
+        hashes = _again(hashes)
     return out
 
 
 def prints_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n (distinct shingles), same (a hash of the set), the fingerprint's words f1 and f2, bucket keys, a byte of each sample."""
+    """doc_id, text_key, n (distinct shingles), same (a hash of the set) and the fingerprint's words."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -105,18 +102,12 @@ def prints_of(docs: DataFrame) -> DataFrame:
             for part in slices(batch):
                 sets = shingle_sets(part.column(1))
                 same = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
-                f1, f2 = [word_of(s) for s in sets], [word_of(_again(s)) for s in sets]
-                longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (same, f1, f2)]
-                samples = np.stack([samples_of(s) for s in sets])
-                keys = keys_of(samples).view(np.int64)
-                marks = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BANDS * ROWS), len(sets), [None, pa.py_buffer(samples.astype(np.uint8).tobytes())]).cast(pa.binary())
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), *longs, bands, marks], names=["doc_id", "text_key", "n", "same", "f1", "f2", "bands", "marks"]
-                )
+                words = np.array([fingerprint(s) for s in sets], np.uint64)
+                longs = [pa.array(x.view(np.int64)) for x in (np.array(same, np.uint64), *np.ascontiguousarray(words.T))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), *longs], names=["doc_id", "text_key", "n", "same", *PRINT])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(docs["text"]).alias("text_key"))
-    return plain.mapInArrow(kernel, "doc_id long, text_key long, n long, same long, f1 long, f2 long, bands array<long>, marks binary")
+    return plain.mapInArrow(kernel, "doc_id long, text_key long, n long, same long, f1 long, f2 long, f3 long, f4 long")
 
 
 def text_key(text: Column) -> Column:
@@ -137,55 +128,110 @@ def leaves(points: np.ndarray, index: np.ndarray, home: np.ndarray, rng) -> Iter
     yield index, home
 
 
-def candidates(n: np.ndarray, f1: np.ndarray, f2: np.ndarray, home: np.ndarray, rng) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, distance) of pairs of places, a at home, that may be similar; a pair can come twice."""
-    for index, own in leaves(f1, np.arange(len(n)), home, rng):
-        at = index[np.argsort(n[index], kind="stable")]
-        sizes, firsts, mine = n[at], f1[at], np.sort(index[own])
-        mine = mine[np.argsort(n[mine], kind="stable")]
+def _far(f: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The differing bits of the fingerprints at i and j; f has a row for every word."""
+    return sum(distance(words[i], words[j]).astype(np.int64) for words in f)
+
+
+def _similar(n: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Whether the sets at i and j may be similar, by their sizes and the differing bits."""
+    least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    return (far <= np.where(least < FEW, FEW_BITS, BITS)) & (least >= SIMILAR * most - 1e-9)
+
+
+def candidates(n: np.ndarray, f: np.ndarray, home: np.ndarray, other: np.ndarray, rng) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, distance) of pairs of places, a at home and b of the others, that may be similar; if a place is both, a pair can come twice."""
+    both = np.nonzero(home | other)[0]
+    for index, own in leaves(f[0][both], both, home[both], rng):
+        at, mine = index[other[index]], index[own]
+        if not len(at):
+            continue
+        at, mine = at[np.argsort(n[at], kind="stable")], mine[np.argsort(n[mine], kind="stable")]
+        sizes, firsts = n[at], f[0][at]
         low, high = np.searchsorted(sizes, np.ceil(SIMILAR * n[mine] - 1e-9)), np.searchsorted(sizes, np.floor(n[mine] / SIMILAR + 1e-9), "right")
         k = 0
         while k < len(mine):
             step = max(1, 1_000_000 // len(at))
             part = mine[k : k + step]
             a, b = int(low[k]), int(high[min(k + step, len(mine)) - 1])
-            i, j = np.nonzero(distance(f1[part][:, None], firsts[a:b][None, :]) <= FIRST)
+            i, j = np.nonzero(distance(f[0][part][:, None], firsts[a:b][None, :]) <= FIRST)
             i, j = part[i], at[a + j]
-            far = distance(f1[i], f1[j]).astype(np.int64) + distance(f2[i], f2[j])
-            least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            good = (i != j) & (far <= np.where(least < FEW, FEW_BITS, BITS)) & (least >= SIMILAR * most - 1e-9)
+            far = _far(f, i, j)
+            good = (i != j) & _similar(n, i, j, far)
             yield i[good], j[good], far[good]
             k += step
 
 
-def _near(n1: Column, n2: Column, far: Column) -> Column:
-    """Whether two sets may be similar, by their sizes and the differing bits."""
-    least, most = F.least(n1, n2), F.greatest(n1, n2)
-    return (least >= SIMILAR * most - 1e-9) & (far <= F.when(least < FEW, FEW_BITS).otherwise(BITS))
-
-
-def buckets_of(points: DataFrame) -> DataFrame:
-    """(key, size, point, n, f1, f2, lead, ln, l1, l2) of every point in every bucket of two or more, with the bucket's leader.
-
-    The leader is the point of the smallest number, so near copies that share several buckets mostly have the
-    same. Only keys and numbers are moved for all points, the rest for those that share a bucket.
+def met_in(table: pa.Table) -> pa.Table:
+    """A spanning forest (a, b) of the points of a shard's two blocks, or of its one, whose sets may be similar."""
+    point, n, home = (table.column(c).to_numpy() for c in ("point", "n", "home"))
+    f = np.stack([table.column(c).to_numpy() for c in PRINT]).view(np.uint64)
+    other = home if table.column("lo")[0].as_py() == table.column("hi")[0].as_py() else ~home
+    every, forest, rng = np.arange(len(n)), Forest(len(n)), np.random.default_rng(11)
+    if home.any() and other.any():
+        for k in rng.choice(len(n), min(BALLS, len(n)), replace=False):
+            ball = np.nonzero(_far(f, every, k) <= BITS // 2)[0]
+            forest.link(ball, np.full(len(ball), ball[0]))
+        label = forest.roots(every)
+        names, counts = np.unique(label, return_counts=True)
+        large = names[counts > LEAF]  # within these nothing is left to find
+        left = ~np.isin(label, large)
+        for mine, with_ in [(home & left, other), *((home & (label == x), other & (label != x)) for x in large)]:
+            for i, j, _ in candidates(n, f, mine, with_, rng):
+                forest.link(i, j)
+    root = forest.roots(every)
+    linked = root != every
+    return pa.table({"a": pa.array(point[linked]), "b": pa.array(point[root[linked]])})
+
+
+def met(points: DataFrame) -> DataFrame:
+    """Links (a, b) of points whose sets may be similar, a spanning forest of each shard: no such pair is left unconnected.
+
+    points: (point, band, n, *PRINT), n > 0. The bands' counts reach the driver, nine bands for every factor e of size.
+    A point goes to a shard for every block in its reach.
     """
-    keyed = points.select("point", F.explode("bands").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("point").alias("lead")).filter("size > 1"), "buckets")
-    held = cut(keyed.join(shared, "key"), "held")
-    slim = points.select("point", "n", "f1", "f2")
-    leaders = slim.toDF("lead", "ln", "l1", "l2")
-    return held.join(slim, "point").join(leaders, "lead").select("key", "size", "point", "n", "f1", "f2", "lead", "ln", "l1", "l2")
+    counts = dict(points.groupBy("band").count().collect())
+    block = min(max(LEAST, sum(counts.values()) // PART), MOST)
+    start, many = {}, {}
+    for band in sorted(counts):
+        start[band], many[band] = sum(many.values()), -(-counts[band] // block)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            point, bands = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            mixed = (point.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            for band in np.unique(bands).tolist():
+                rows = np.nonzero(bands == band)[0]
+                own = start[band] + (mixed[rows] % np.uint64(many[band])).astype(np.int64)
+                others = np.concatenate([start[b] + np.arange(many[b]) for b in range(band - REACH, band + REACH + 1) if b in many])
+                for k in range(0, len(rows), max(1, 200_000 // len(others))):
+                    part = slice(k, k + max(1, 200_000 // len(others)))
+                    mine, partner = np.repeat(own[part], len(others)), np.tile(others, len(own[part]))
+                    low = np.minimum(mine, partner)
+                    held = batch.select(["point", "n", *PRINT]).take(pa.array(np.repeat(rows[part], len(others))))
+                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(np.maximum(mine, partner)), pa.array(mine == low), *held.columns], names=["lo", "hi", "home", *held.schema.names])
+
+    dealt = points.select("point", "band", "n", *PRINT).mapInArrow(deal, "lo long, hi long, home boolean, point long, n long, f1 long, f2 long, f3 long, f4 long")
+    return dealt.groupBy("lo", "hi").applyInArrow(met_in, "a long, b long")
+
+
+def buckets_of(groups: DataFrame, points: DataFrame) -> DataFrame:
+    """(key, point, n, *PRINT, lead, ln, l1, ...) of every point in a group (node, root), with its leader, the group's smallest point."""
+    slim = points.select("point", "n", *PRINT)
+    leaders = slim.toDF("lead", "ln", *LEADER)
+    held = groups.select(F.col("node").alias("point"), F.col("root").alias("key"), F.col("root").alias("lead"))
+    return held.join(slim, "point").join(leaders, "lead").select("key", "point", "n", *PRINT, "lead", "ln", *LEADER)
 
 
 def led(buckets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b): each point and, of its buckets' leaders that may be similar, the one with the smallest number."""
-    far = F.bit_count(F.col("f1").bitwiseXOR(F.col("l1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("l2")))
-    close = buckets.filter((F.col("point") != F.col("lead")) & _near(F.col("n"), F.col("ln"), far))
-    return close.groupBy("point").agg(F.min("lead").alias("b")).select(F.col("point").alias("a"), "b")
+    """Candidate pairs (a, b): each point and its leader, if they may be similar."""
+    far = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(PRINT, LEADER)), F.lit(0))
+    least, most = F.least("n", "ln"), F.greatest("n", "ln")
+    near = (least >= SIMILAR * most - 1e-9) & (far <= F.when(least < FEW, FEW_BITS).otherwise(BITS))
+    return buckets.filter((F.col("point") != F.col("lead")) & near).select(F.col("point").alias("a"), F.col("lead").alias("b"))
 
 
-def _pairs_in(key: np.ndarray, label: np.ndarray, n: np.ndarray, f1: np.ndarray, f2: np.ndarray, rng) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs_in(key: np.ndarray, label: np.ndarray, n: np.ndarray, f: np.ndarray, rng) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, distance) of places in one run of equal keys each, with different labels, that may be similar; key is sorted."""
     edges = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1, [len(key)]])
     sizes = np.diff(edges)
@@ -198,15 +244,14 @@ def _pairs_in(key: np.ndarray, label: np.ndarray, n: np.ndarray, f1: np.ndarray,
         i, j = i[good], j[good]
         good = label[i] != label[j]
         i, j = i[good], j[good]
-        far = distance(f1[i], f1[j]).astype(np.int64) + distance(f2[i], f2[j])
-        least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        good = (far <= np.where(least < FEW, FEW_BITS, BITS)) & (least >= SIMILAR * most - 1e-9)
+        far = _far(f, i, j)
+        good = _similar(n, i, j, far)
         yield i[good], j[good], far[good]
     for k in np.nonzero(sizes > SMALL)[0].tolist():
         run = slice(edges[k], edges[k + 1])
         names, counts = np.unique(label[run], return_counts=True)
         if len(names) > 1:  # of any pair of different labels, one has not the most frequent label
-            for i, j, far in candidates(n[run], f1[run], f2[run], label[run] != names[counts.argmax()], rng):
+            for i, j, far in candidates(n[run], f[:, run], label[run] != names[counts.argmax()], np.ones(sizes[k], np.bool_), rng):
                 good = label[run][i] != label[run][j]
                 yield i[good] + edges[k], j[good] + edges[k], far[good]
 
@@ -217,29 +262,17 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / max(1, len(a) + len(b) - shared)
 
 
-def likely(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs whose samples agree as often as those of similar sets do, but for one pair of similar sets in 30,000."""
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((one == other).mean(1) >= LIKELY, pa.bool_()))
-
-    marks = points.select("point", "marks")
-    both = pairs.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b")
-    return both.select("a", "b", "marks_a", "marks_b").mapInArrow(kernel, "a long, b long")
-
-
 def texts_of(wanted: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
-    """(point, text) of the wanted points; only their texts are kept."""
-    keys = cut(points.select("point", "text_key").join(wanted, "point", "left_semi"), "wanted").withColumnRenamed("text_key", "_key")
+    """wanted, a table with a row for each wanted `point`, with `text`; only the texts of these are kept."""
+    keys = cut(wanted.join(points.select("point", "text_key"), "point"), "wanted").withColumnRenamed("text_key", "_key")
     plain = docs.select(F.col("text").cast("string").alias("text"), text_key(docs["text"]).alias("text_key"))
-    found = plain.join(keys, plain["text_key"] == keys["_key"]).select("point", "text")
-    return found.groupBy("point").agg(F.min("text").alias("text"))  # rows of one text_key have one text
+    found = plain.join(keys, plain["text_key"] == keys["_key"])
+    others = [F.first(c).alias(c) for c in wanted.columns if c != "point"]
+    return found.groupBy("point").agg(F.min("text").alias("text"), *others)  # rows of one text_key have one text
 
 
 def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of points whose texts' shingle sets are similar. Only texts of points in a likely pair are moved."""
+    """The pairs (a, b) of points whose texts' shingle sets are similar. Only texts of points in a pair are moved."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,22 +280,23 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
                 ones, others = shingle_sets(part.column(2)), shingle_sets(part.column(3))
                 yield part.select([0, 1]).filter(pa.array([similarity(x, y) >= SIMILAR for x, y in zip(ones, others)], pa.bool_()))
 
-    pairs = cut(likely(pairs, points), "likely")
-    texts = cut(texts_of(pairs.select(F.col("a").alias("point")).union(pairs.select("b")).distinct(), points, docs), "texts")
+    texts = cut(texts_of(pairs.select(F.col("a").alias("point")).union(pairs.select("b")).distinct(), points, docs).select("point", "text"), "texts")
     first = pairs.join(texts.withColumnsRenamed({"point": "a", "text": "text_a"}), "a")
     both = first.join(texts.withColumnsRenamed({"point": "b", "text": "text_b"}), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(kernel, "a long, b long")
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
-    """(point, hashes): the shingle sets of (point, text), 8 bytes a shingle."""
+    """texts with `hashes`, the shingle set at 8 bytes a shingle, in place of `text`, which comes first."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in shingle_sets(part.column(1))], pa.binary())], names=["point", "hashes"])
+            for part in slices(batch, 0):
+                hashes = pa.array([x.tobytes() for x in shingle_sets(part.column(0))], pa.binary())
+                yield pa.RecordBatch.from_arrays([hashes, *part.columns[1:]], names=["hashes", *part.schema.names[1:]])
 
-    return texts.select("point", "text").mapInArrow(kernel, "point long, hashes binary")
+    others = texts.drop("text")
+    return texts.select("text", *others.columns).mapInArrow(kernel, "hashes binary, " + ", ".join(f"{x} {kind}" for x, kind in others.dtypes))
 
 
 def linked_in(table: pa.Table) -> pa.Table:
@@ -270,7 +304,7 @@ def linked_in(table: pa.Table) -> pa.Table:
     first, each tested by its exact similarity unless the forest or a common label joins the two already."""
     table = table.sort_by("run")
     run, point, label, n = (table.column(c).to_numpy() for c in ("run", "point", "label", "n"))
-    f1, f2 = (table.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2"))
+    f = np.stack([table.column(c).to_numpy() for c in PRINT]).view(np.uint64)
     hashes = table.column("hashes")
     held: dict[int, np.ndarray] = {}
 
@@ -283,7 +317,7 @@ def linked_in(table: pa.Table) -> pa.Table:
 
     names, own = np.unique(label, return_inverse=True)
     forest, out = Forest(len(names)), []
-    for i, j, far in _pairs_in(run, label, n, f1, f2, np.random.default_rng(11)):
+    for i, j, far in _pairs_in(run, label, n, f, np.random.default_rng(11)):
         order = np.argsort(far, kind="stable")
         for k in range(0, len(order), 4096):
             at = order[k : k + 4096]
@@ -302,17 +336,16 @@ def linked_in(table: pa.Table) -> pa.Table:
 def forests(buckets: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) of similar points of different labels, a spanning forest of each shard; never all pairs.
 
-    buckets: (key, size, point, label, n, f1, f2). Only points of buckets with several labels are moved, with their
+    buckets: (key, point, label, n, *PRINT). Only points of buckets with several labels are moved, with their
     shingle sets. A bucket of over BLOCK shingles is dealt out as pairs of blocks, each a run of its own.
     """
     mixed = buckets.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.sum("n").alias("weight")).filter("_lo <> _hi").select("key", "weight")
-    left = cut(buckets.drop("size").join(mixed, "key"), "mixed")
-    sets = cut(sets_of(texts_of(left.select("point").distinct(), points, docs)), "sets")
-    dealt = left.withColumn("m", F.ceil(F.col("weight") / F.lit(BLOCK)).cast("int")).withColumn("x", F.pmod(F.xxhash64("point"), F.col("m")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    left = buckets.join(mixed, "key").withColumn("m", F.ceil(F.col("weight") / F.lit(BLOCK)).cast("int")).drop("weight")
+    left = cut(left.withColumn("x", F.pmod(F.xxhash64("point"), F.col("m")).cast("int")), "mixed")
+    tasks = max(1, -(-(left.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0) // TASK))
+    dealt = sets_of(texts_of(left, points, docs)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     dealt = dealt.withColumn("run", F.when(F.col("m") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("x", "other"), F.greatest("x", "other"))))
-    tasks = max(1, -(-(dealt.agg(F.sum("n")).first()[0] or 0) // TASK))
-    shards = dealt.join(sets, "point").select(F.pmod(F.xxhash64("run"), F.lit(tasks)).alias("shard"), "run", "point", "label", "n", "f1", "f2", "hashes")
+    shards = dealt.select(F.pmod(F.xxhash64("run"), F.lit(tasks)).alias("shard"), "run", "point", "label", "n", *PRINT, "hashes")
     return shards.groupBy("shard").applyInArrow(linked_in, "a long, b long")
 
 
@@ -332,13 +365,18 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     read. An empty table gives an empty result.
     """
     prints = cut(prints_of(docs), "prints")
-    sets = ["same", "n", "f1", "f2"]
-    points = prints.groupBy(*sets).agg(F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.min("text_key").alias("text_key"))  # equal sets have equal bands
-    points = cut(points.withColumn("point", F.monotonically_increasing_id()), "points")  # written once, so numbers stay
-    buckets = cut(buckets_of(points.filter("n > 0")), "dealt")
-    near = cut(verified(cut(led(buckets), "led"), points, docs), "near")
+    sets = ["same", "n", *PRINT]
+    points = prints.groupBy(*sets).agg(F.min("text_key").alias("text_key"))
+    band = F.when(F.col("n") > 0, F.floor(F.log("n") / F.lit(BAND)).cast("long")).alias("band")
+    points = cut(points.select("*", F.monotonically_increasing_id().alias("point"), band), "points")  # written once, so numbers stay
+    groups = cut(components(met(points.filter("n > 0"))), "groups")
+    buckets = cut(buckets_of(groups, points), "dealt")
+    large = cut(buckets.groupBy("key").agg(F.sum("n").alias("weight")).filter(F.col("weight") > BLOCK).select("key"), "large")
+    near = groups.toDF("a", "b").limit(0)
+    if large.limit(1).count():
+        near = cut(verified(cut(led(buckets.join(large, "key")), "led"), points, docs), "near")
     linked = cut(components(near), "linked")
-    apart = _labelled(buckets.drop("lead", "ln", "l1", "l2"), linked)
+    apart = _labelled(buckets.drop("lead", "ln", *LEADER), linked)
     rest = cut(forests(cut(apart, "labelled"), points, docs), "rest")
     if rest.limit(1).count():
         linked = cut(components(near.union(rest)), "linked")

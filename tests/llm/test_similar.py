@@ -87,3 +87,49 @@ def test_stage_keeps_one_of_near_copies(spark):
     kept = corpus_pipeline.near_dedup(spark, docs(spark, [text, text + " end", half, text.replace("word9 ", "other "), None]), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4] and len(kept.columns) == 5
     assert corpus_pipeline.near_dedup(spark, docs(spark, []), "").count() == 0
+
+
+def test_similar_pairs_that_share_no_minwise_bucket(spark):
+    """Two pairs at a similarity of 0.8 exactly, of which buckets by 20 keys of 5 min-wise samples find neither."""
+    texts = []
+    for seed in (8248, 19409):
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(54)]
+        texts += [" ".join(words), " ".join(words[:44])]
+    assert {r["doc_id"]: r["keep_id"] for r in N.similar_groups(docs(spark, texts)).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_search_loses_no_pair_of_near_fingerprints(spark, monkeypatch):
+    """Every pair within the bounds of size and bits is connected, over blocks and bands; only connected points are."""
+    rng = random.Random(4)
+    points = []
+    for _ in range(300):
+        n, prints = rng.choice([4, 5, 30, 40, 300]), [rng.getrandbits(64) for _ in N.PRINT]
+        for _ in range(rng.choice([1, 1, 2, 6])):
+            own = [x ^ sum(1 << k for k in rng.sample(range(64), rng.choice([0, 6, 12, 18, 24, 30]))) for x in prints]
+            points.append((len(points) << 20, max(1, n + rng.randint(-n // 4, n // 4)), own))
+    far = lambda x, y: [(a ^ b).bit_count() for a, b in zip(x, y)]
+    up = list(range(len(points)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, (_, n, x) in enumerate(points):
+        for j in range(i):
+            _, m, y = points[j]
+            bits = far(x, y)
+            if min(n, m) >= 0.8 * max(n, m) and bits[0] <= N.FIRST and sum(bits) <= (N.FEW_BITS if min(n, m) < N.FEW else N.BITS):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    expected = {points[i][0]: points[root(i)][0] for i in range(len(points))}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(p, n, *map(signed, x)) for p, n, x in points]
+    table = spark.createDataFrame(rows, "point long, n long, f1 long, f2 long, f3 long, f4 long")
+    table = table.withColumn("band", F.floor(F.log("n") / F.lit(N.BAND)).cast("long"))
+    for least in (N.LEAST, 7):
+        monkeypatch.setattr(N, "LEAST", least)
+        got = {p: p for p in expected} | {r["node"]: r["root"] for r in N.components(N.met(table)).collect()}
+        wide = [p for p in expected if got[p] != expected[p]]  # balls may connect more, whatever the sizes and first words
+        assert all(got[p] == got[expected[p]] for p in expected) and len(wide) < len(points) // 10

@@ -38,6 +38,8 @@ Q = 0.05
 VOWELS = "aeiouyAEIOUY"
 #: Upper ends of the length bands.
 BANDS = (24, 32, 40, 48, 64, 96, 128)
+#: Characters of runs that a task of the battery takes, and a file of their tables.
+PART = 1 << 16
 
 
 def spans(text: Column, pattern: str, whole: Column, kind: str, group: int = 0, least: int = 1) -> Column:
@@ -151,6 +153,12 @@ def thresholds(tested: DataFrame) -> dict[int, float]:
     return out
 
 
+def _parts(read: DataFrame) -> int:
+    """How many parts, and so files, hold the runs of read: by their characters, not by the shuffle partitions."""
+    chars = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + F.length(r["value"]))
+    return (read.agg(F.sum(chars)).head()[0] or 0) // PART + 1
+
+
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id and `found`, its spans (start, end, kind, value) by start, then kind.
 
@@ -165,17 +173,18 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     matched = matched.select("doc_id", "_t", *[F.regexp_extract_all("_t", F.lit(p), F.lit(0)).alias(f"_{kind}") for kind, (p, _, _) in rules.items()])
     placed = {kind: spans(F.col("_t"), p, F.col(f"_{kind}"), kind, group, least) for kind, (p, group, least) in rules.items()}
     read = cut(matched.select("doc_id", F.concat(placed["assign"], placed["access"], placed["hex"]).alias("base"), placed["random"].alias("runs")), "spans")
-    values = cut(read.select(F.explode("runs.value").alias("value")).groupBy("value").count(), "candidates")
-    made = decoys_of(docs, text, doc_id).groupBy("value").count().withColumn("decoy", F.lit(True))
-    every = values.withColumn("decoy", F.lit(False)).unionByName(made)
-    tested = cut(battery(every).select("value", "decoy", "p", band_of(F.col("n")).alias("band")), "tested")
+    parts = _parts(read)
+    values = read.select(F.explode("runs.value").alias("value")).distinct().coalesce(parts)
+    judged = lambda found: battery(found).select("value", "p", band_of(F.col("n")).alias("band"))
+    tested = cut(judged(values), "tested")
+    made = judged(decoys_of(docs, text, doc_id).distinct())  # counted by band and not written
     pass_at = F.lit(2.0)
-    for band, least in thresholds(tested).items():
+    for band, least in thresholds(tested.withColumn("decoy", F.lit(False)).unionByName(made.withColumn("decoy", F.lit(True)))).items():
         pass_at = F.when(F.col("band") == band, least).otherwise(pass_at)
-    secret = cut(tested.filter(~F.col("decoy") & (F.col("p") >= pass_at)).select(F.col("value").alias("secret")), "secrets")
+    secret = cut(tested.filter(F.col("p") >= pass_at).select(F.col("value").alias("secret")), "secrets")
     one = read.filter(F.size("runs") > 0).select("doc_id", "runs", F.explode("runs").alias("run"))
     kept = one.join(secret, one["run.value"] == secret["secret"]).groupBy("doc_id", "runs").agg(F.collect_set("run").alias("random"))
-    kept = cut(kept, "random").withColumnsRenamed({"doc_id": "_id", "runs": "_runs"})
+    kept = cut(kept.coalesce(parts), "random").withColumnsRenamed({"doc_id": "_id", "runs": "_runs"})
     out = read.join(kept, read["doc_id"].eqNullSafe(kept["_id"]) & (read["runs"] == kept["_runs"]), "left")
     extra = F.filter(F.coalesce("random", F.array().cast(SPANS)), lambda r: ~F.exists("base", lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))
     rank = F.array(*[F.lit(k) for k in KINDS])

@@ -38,6 +38,28 @@ def test_planted_secrets_and_false_finds(spark):
     assert len(found) == 2001 and caught >= 0.75 * len(planted) and wrong == 0 and found[2000] == []
 
 
+def test_small_tables_take_few_files(spark, monkeypatch):
+    """A file in a local folder costs the executor child processes (chmod): a few runs are not to take one a shuffle partition."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(400)]
+    for k, secret in enumerate(secrets(rng, 100)):
+        texts[k] += f" auth: {secret} end"
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    written, cut = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df, name: written.append(cut(df, name)) or written[-1])
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in held}
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        found = {r["doc_id"]: r["found"] for r in S.scan(table).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(bool(found[k]) for k in range(100)) >= 75 and len(found) == 400
+    assert sum(len(x.inputFiles()) for x in written) <= 8
+
+
 def test_no_decoys_no_finds(spark):
     one = "auth: b9Kx2QpLm7ZtR4vWn8YcJd3HsGf6TzUq"
     assert [r["found"] for r in S.scan(spark.createDataFrame([(1, one)], "doc_id long, text string")).collect()] == [[]]

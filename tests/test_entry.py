@@ -11,8 +11,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SHOW = "import __spark_entry__ as e; print(len(e.queries()), sorted(q for q in e.queries() if q.startswith(('op', 'pipeline'))), len(e.oracle_sql()))"
 
 
+@pytest.mark.parametrize("path", [None, ROOT])  # a path that holds this repository offers its corpus_pipeline too
 @pytest.mark.parametrize("gone", [["folium/llm", "tests/llm"], ["folium/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
-def test_entry_without_optional_parts(tmp_path, gone):
+def test_entry_without_optional_parts(tmp_path, gone, path):
     for name in ("folium", "__spark_entry__.py", "corpus_pipeline.py"):
         source = os.path.join(ROOT, name)
         if os.path.isdir(source):
@@ -25,7 +26,8 @@ def test_entry_without_optional_parts(tmp_path, gone):
             shutil.rmtree(target)
         elif target.exists():
             target.unlink()
-    done = subprocess.run([sys.executable, "-c", SHOW], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | ({"PYTHONPATH": path} if path else {})
+    done = subprocess.run([sys.executable, "-c", SHOW], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
     assert "pipeline" not in done.stdout
     if "folium/llm" in gone:

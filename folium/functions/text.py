@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folium.build.style import UNITS
 from folium.kernels.docx_read import PATTERNS
+from folium.kernels.nodes import FIELD_TAGS, MERGE_CHARS, WORDS
 
 #: The white space that collapses: Unicode's, the no-break space included.
 SPACE = r"[\t-\r\x{85}\p{Z}]+"
@@ -45,8 +46,18 @@ def run_parts(text: Column) -> Column:
     return F.transform(found, lambda p: F.struct(kind(p).alias("kind"), p.alias("text")))
 
 
+def instruction_words(instr: Column) -> Column:
+    """The words of a field's instruction; those in quotes keep them."""
+    return F.regexp_extract_all(instr, F.lit(WORDS), F.lit(1))
+
+
 def merge_name(instr: Column) -> Column:
-    return F.nullif(F.regexp_extract(instr, r'(?i)^\s*MERGEFIELD\s+("?)([A-Za-z0-9_.]+)(\1)', 2), F.lit(""))
+    """The name in a MERGEFIELD instruction: a word in quotes as a whole, else what a bare word begins with."""
+    words = instruction_words(instr)
+    word = F.get(words, 1)
+    quoted = F.regexp_extract(word, f'^"([{MERGE_CHARS}]+)"$', 1)
+    name = F.when(quoted != "", quoted).otherwise(F.regexp_extract(word, f"^[{MERGE_CHARS}]+", 0))
+    return F.when(F.upper(F.get(words, 0)) == "MERGEFIELD", F.nullif(name, F.lit("")))
 
 
 def variables(text: Column, patterns: Sequence[str] = PATTERNS) -> Column:
@@ -104,15 +115,18 @@ def field_instruction(name: Column, format: Column) -> Column:
 
 
 def field_html(instr: Column) -> Column:
-    head = F.upper(F.trim(instr))
-    quoted, merge = F.regexp_extract(instr, '"([^"]+)"', 1), F.regexp_extract(instr, r"(?i)^MERGEFIELD\s+([A-Za-z0-9_.]+)", 1)
-    return (
-        F.when(head.startswith("PAGE"), "<page-number/>")
-        .when(head.startswith("NUMPAGES"), "<page-total/>")
-        .when(head.startswith("DATE"), F.when(quoted != "", F.concat(F.lit('<current-date format="'), html_escape(quoted), F.lit('"/>'))).otherwise("<current-date/>"))
-        .when(head.startswith("TIME"), "<current-time/>")
-        .when(merge != "", F.concat(F.lit('<var data-name="'), html_escape(merge), F.lit('">'), html_escape(merge), F.lit("</var>")))
-        .otherwise(F.concat(F.lit('<var data-instr="'), html_escape(instr), F.lit('"></var>')))
+    """A field as markup: a tag by its name, a variable by its merge name, else its instruction."""
+    words = instruction_words(instr)
+    first = F.upper(F.coalesce(F.get(words, 0), F.lit("")))
+    tag = F.coalesce(*[F.when(first.startswith(begins), F.lit(tag)) for begins, tag in FIELD_TAGS.items()])
+    format = F.when(tag == "current-date", F.btrim(F.get(F.filter(words, lambda w: w.rlike('^"[^"]+"$')), 0), F.lit('"')))
+    name = F.when(~F.get(words, 1).startswith('"') & ~instr.rlike(r"^\s"), merge_name(instr))
+    named = F.concat(F.lit('<var data-name="'), html_escape(name), F.lit('">'), html_escape(name), F.lit("</var>"))
+    return F.coalesce(
+        F.concat(F.lit("<"), tag, F.lit(' format="'), html_escape(format), F.lit('"/>')),
+        F.concat(F.lit("<"), tag, F.lit("/>")),
+        named,
+        F.concat(F.lit('<var data-instr="'), html_escape(instr), F.lit('"></var>')),
     )
 
 

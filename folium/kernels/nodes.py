@@ -8,6 +8,7 @@ only what differs from the defaults below. A document is a Document of sections
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -84,6 +85,26 @@ def instruction(name: str, format: str | None = None) -> str:
     return FIELDS[name].format(format or {"date": "dd.MM.yyyy", "time": "HH:mm"}.get(name, ""))
 
 
+#: A field's instruction is words, some in quotes; its first word names the field.
+WORDS = r'(?:^|\s)("[^"]*"|\S+)'
+#: The characters of a merge field's name, and the markup of a field by what its name begins with.
+MERGE_CHARS = "A-Za-z0-9_."
+FIELD_TAGS = {"PAGE": "page-number", "NUMPAGES": "page-total", "DATE": "current-date", "TIME": "current-time"}
+
+
+def instruction_words(instr: str) -> list[str]:
+    return re.findall(WORDS, instr)
+
+
+def merge_name(instr: str) -> str | None:
+    """The name in a MERGEFIELD instruction: a word in quotes as a whole, else what a bare word begins with."""
+    field, name, *_ = [*instruction_words(instr), "", ""]
+    if field.upper() != "MERGEFIELD":
+        return None
+    quoted = re.fullmatch(f'"([{MERGE_CHARS}]+)"', name)
+    return quoted[1] if quoted else re.match(f"[{MERGE_CHARS}]*", name)[0] or None
+
+
 def page_size(page: dict) -> tuple[int, int]:
     """Width and height in twips; landscape exchanges the sides of a named paper."""
     if page.get("width", 0) > 0 and page.get("height", 0) > 0:

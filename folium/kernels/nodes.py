@@ -126,8 +126,26 @@ NODE_SCHEMA = (
 )
 
 
+#: What node tables hold of a node beside its columns, in the style map: attribute, name there.
+KEPT = (("indent", "indent"), ("hidden", "hidden"), ("cant_split", "cant_split"), ("marker_class", "marker_class"), ("grid", "grid"), ("alt", "alt"), ("width", "width"), ("height", "height"))
+
+
 def _flat_style(style: dict) -> dict[str, str]:
-    return {k: (str(v).lower() if isinstance(v, bool) else str(v)) for k, v in style.items() if v is not None}
+    """Values as text; the borders of a style as border_<side>_<style, size or color>."""
+    out = {}
+    for k, v in style.items():
+        if k == "borders":
+            out |= {f"border_{side}_{part}": str(x) for side, b in (v or {}).items() if b for part, x in ({"style": "single", "size": 4, "color": "000000"} | b).items()}
+        elif v is not None:
+            out[k] = str(v).lower() if isinstance(v, bool) else str(v)
+    return out
+
+
+def _flat_attrs(node: Node) -> dict[str, str]:
+    kept = {name: node.attrs[key] for key, name in KEPT if node.attrs.get(key) not in (None, False, [])}
+    if node.kind == "footnote" and node.attrs.get("size") is not None:
+        kept["note_size"] = node.attrs["size"]
+    return {k: ",".join(map(str, v)) if isinstance(v, (list, tuple)) else str(v).lower() if isinstance(v, bool) else str(v) for k, v in kept.items()}
 
 
 def flatten(doc_id: int, doc: Document) -> list[dict]:
@@ -152,7 +170,7 @@ def flatten(doc_id: int, doc: Document) -> list[dict]:
                         "is_continue": bool(style.get("continue")) if node.kind == "cell" else None, "is_header": bool(a.get("header")) if node.kind == "row" else None,
                         "bold": bool(style.get("bold")) if node.kind == "run" else None, "italic": bool(style.get("italic")) if node.kind == "run" else None,
                         "underline": bool(style.get("underline")) if node.kind == "run" else None, "strike": bool(style.get("strike")) if node.kind == "run" else None,
-                        "style": _flat_style(style), "media_sha": hashlib.sha256(binary).hexdigest() if binary else None,
+                        "style": _flat_style(style) | _flat_attrs(node), "media_sha": hashlib.sha256(binary).hexdigest() if binary else None,
                     }
                 )
                 stack.extend((c, number, k, depth + 1) for k, c in reversed(list(enumerate(node.children))))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folium.build.bulk import compile_template, docs_from_rows
 from folium.catalog.documents import HTML_SERIALIZE_SQL
 from folium.catalog.values import table
+from folium.operators.content import violations, xml_elements
 from folium.operators.markup import nodes_to_docx, nodes_to_html
 from folium.session import spread
 from folium.sources import documents as D
@@ -99,7 +101,84 @@ SELECT o_orderkey AS doc_id, md5('<h1>' || o_orderkey || '</h1><ul>'
 FROM j GROUP BY o_orderkey, o_orderpriority
 """
 
+def _parts(spark, sf_dir):
+    """Document parts made of parts' rows, some with planted faults."""
+    p = spread(table(spark, sf_dir, "part")).select("p_partkey", "p_size")
+    markup = F.expr("""concat('<?xml version="1.0"?><w:document><w:body><!-- <w:x> -->',
+      CASE WHEN p_partkey % 5 = 0 THEN '<w:p><w:pPr><w:jc w:val="x > y"/><w:spacing/></w:pPr></w:p>' ELSE '<w:p><w:pPr><w:spacing/><w:jc/></w:pPr><w:r><w:t>a</w:t></w:r></w:p>' END,
+      '<w:tbl>', CASE WHEN p_partkey % 7 = 1 THEN '<w:tblGrid/><w:tblPr/>' WHEN p_partkey % 7 = 2 THEN '<w:tblPr/>' ELSE '<w:tblPr/><w:tblGrid><w:gridCol/></w:tblGrid>' END,
+      '<w:tr><w:tc><w:tcPr><w:tcW/></w:tcPr>', CASE WHEN p_partkey % 11 = 3 THEN '' ELSE repeat('<w:p/>', p_size % 4 + 1) END, '</w:tc></w:tr></w:tbl>',
+      CASE WHEN p_partkey % 13 = 4 THEN '<w:p><w:r><w:rPr><w:b/><w:b/><w:foo/></w:rPr></w:r></w:p>' ELSE '' END, '<w:sectPr/>', CASE WHEN p_partkey % 17 = 5 THEN '<w:p/>' ELSE '' END, '</w:body></w:document>')""")
+    return p.select("p_partkey", markup.alias("xml"))
+
+
+def xml_tree(spark, sf_dir):
+    """Elements of those parts: how many, how deep, and how many hold others, by name."""
+    e = xml_elements(_parts(spark, sf_dir), ["p_partkey"], "xml")
+    return e.groupBy("p_partkey", "name").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("deepest"), F.count_if(F.col("end_id") > F.col("node_id") + 1).alias("full"), F.max("pos").alias("most"))
+
+
+_PART_XML_SQL = r"""
+x AS (SELECT p_partkey AS k, p_size, p_partkey % 5 = 0 AS a, p_partkey % 7 AS b, p_partkey % 11 = 3 AS c, p_partkey % 13 = 4 AS d, p_partkey % 17 = 5 AS e FROM part)
+"""
+
+XML_TREE_SQL = f"""
+WITH {_PART_XML_SQL},
+u AS (
+  SELECT k, 'w:document' AS name, 1 AS n, 0 AS deepest, 1 AS "full", 1 AS most FROM x UNION ALL SELECT k, 'w:body', 1, 1, 1, 1 FROM x
+  UNION ALL SELECT k, 'w:p', 1 + CASE WHEN c THEN 0 ELSE p_size % 4 + 1 END + CAST(d AS INT) + CAST(e AS INT), CASE WHEN c THEN 2 ELSE 5 END, 1 + CAST(d AS INT),
+    greatest(CASE WHEN c THEN 1 ELSE p_size % 4 + 2 END, CASE WHEN d THEN 3 ELSE 1 END, CASE WHEN e THEN 4 + CAST(d AS INT) ELSE 1 END) FROM x
+  UNION ALL SELECT k, 'w:pPr', 1, 3, 1, 1 FROM x UNION ALL SELECT k, 'w:spacing', 1, 4, 0, CASE WHEN a THEN 2 ELSE 1 END FROM x UNION ALL SELECT k, 'w:jc', 1, 4, 0, CASE WHEN a THEN 1 ELSE 2 END FROM x
+  UNION ALL SELECT k, 'w:r', 1, 3, 1, CASE WHEN a THEN 1 ELSE 2 END FROM x WHERE NOT a AND NOT d UNION ALL SELECT k, 'w:r', 2, 3, 2, 2 FROM x WHERE NOT a AND d UNION ALL SELECT k, 'w:r', 1, 3, 1, 1 FROM x WHERE a AND d
+  UNION ALL SELECT k, 'w:t', 1, 4, 0, 1 FROM x WHERE NOT a
+  UNION ALL SELECT k, 'w:tbl', 1, 2, 1, 2 FROM x UNION ALL SELECT k, 'w:tblPr', 1, 3, 0, CASE WHEN b = 1 THEN 2 ELSE 1 END FROM x UNION ALL SELECT k, 'w:tblGrid', 1, 3, CASE WHEN b = 1 THEN 0 ELSE 1 END, CASE WHEN b = 1 THEN 1 ELSE 2 END FROM x WHERE b <> 2
+  UNION ALL SELECT k, 'w:gridCol', 1, 4, 0, 1 FROM x WHERE b NOT IN (1, 2)
+  UNION ALL SELECT k, 'w:tr', 1, 3, 1, CASE WHEN b = 2 THEN 2 ELSE 3 END FROM x UNION ALL SELECT k, 'w:tc', 1, 4, 1, 1 FROM x UNION ALL SELECT k, 'w:tcPr', 1, 5, 1, 1 FROM x UNION ALL SELECT k, 'w:tcW', 1, 6, 0, 1 FROM x
+  UNION ALL SELECT k, 'w:rPr', 1, 4, 1, 1 FROM x WHERE d UNION ALL SELECT k, 'w:b', 2, 5, 0, 2 FROM x WHERE d UNION ALL SELECT k, 'w:foo', 1, 5, 0, 3 FROM x WHERE d
+  UNION ALL SELECT k, 'w:sectPr', 1, 2, 0, CASE WHEN d THEN 4 ELSE 3 END FROM x)
+SELECT k AS p_partkey, name, n, deepest, "full", most FROM u
+"""
+
+
+def content_violations(spark, sf_dir):
+    """Content models run over the elements of those parts: a row per planted fault."""
+    e = xml_elements(_parts(spark, sf_dir), ["p_partkey"], "xml")
+    return violations(e.filter("parent_id IS NOT NULL"), ["p_partkey", "parent_id"]).select("p_partkey", "parent", "pos", "name", "fault")
+
+
+CONTENT_VIOLATIONS_SQL = f"""
+WITH {_PART_XML_SQL}
+SELECT k AS p_partkey, 'w:pPr' AS parent, 2 AS pos, 'w:spacing' AS name, 'misplaced' AS fault FROM x WHERE a
+UNION ALL SELECT k, 'w:tbl', 1, 'w:tblPr', 'missing' FROM x WHERE b = 1 UNION ALL SELECT k, 'w:tbl', 2, 'w:tblPr', 'misplaced' FROM x WHERE b = 1 UNION ALL SELECT k, 'w:tbl', 2, 'w:tblGrid', 'missing' FROM x WHERE b = 2
+UNION ALL SELECT k, 'w:tc', NULL, 'w:p|w:tbl|w:sdt|w:bookmarkStart|w:bookmarkEnd', 'missing' FROM x WHERE c
+UNION ALL SELECT k, 'w:rPr', 2, 'w:b', 'repeated' FROM x WHERE d UNION ALL SELECT k, 'w:rPr', 3, 'w:foo', 'unknown' FROM x WHERE d
+UNION ALL SELECT k, 'w:body', CASE WHEN d THEN 5 ELSE 4 END, 'w:p', 'misplaced' FROM x WHERE e
+"""
+
+#: A run's properties as children of a line; every second line belongs to order 0, whose children fill many chunks.
+_CHILD_NAMES = ("w:rStyle", "w:b", "w:i", "w:color", "w:sz", "w:u", "w:lang", "w:bar")
+
+
+def content_violations_wide(spark, sf_dir):
+    """One parent with most of all children, far over a chunk: lines in order, their names by what was ordered."""
+    names = F.array(*map(F.lit, _CHILD_NAMES))
+    line = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_partkey") % 2 == 0, 0).otherwise(F.col("l_orderkey")).alias("k"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    place = Window.partitionBy("k").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    children = line.select("k", F.lit("w:rPr").alias("parent"), F.row_number().over(place).alias("pos"), F.get(names, (F.col("l_partkey") % 8).cast("int")).alias("name"))
+    return violations(children, ["k"]).groupBy("k", "name", "fault").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.sum("pos").alias("places"))
+
+
+CONTENT_VIOLATIONS_WIDE_SQL = """
+WITH c AS (
+  SELECT CASE WHEN l_partkey % 2 = 0 THEN 0 ELSE l_orderkey END AS k, l_partkey % 8 AS i, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem),
+p AS (SELECT k, i, CAST(row_number() OVER w AS INT) AS pos, max(CASE WHEN i < 7 THEN i END) OVER (PARTITION BY k ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM c WINDOW w AS (PARTITION BY k ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+f AS (SELECT k, pos, ['w:rStyle', 'w:b', 'w:i', 'w:color', 'w:sz', 'w:u', 'w:lang', 'w:bar'][i + 1] AS name, CASE WHEN i = 7 THEN 'unknown' WHEN i = before THEN 'repeated' WHEN i < before THEN 'misplaced' END AS fault FROM p)
+SELECT k, name, fault, count(*) AS n, min(pos) AS first, CAST(sum(pos) AS BIGINT) AS places FROM f WHERE fault IS NOT NULL GROUP BY k, name, fault
+"""
+
 CATALOG = [
     ("nodes_html", nodes_html, HTML_SERIALIZE_SQL), ("nodes_html_edited", nodes_html_edited, NODES_HTML_EDITED_SQL), ("nodes_docx", nodes_docx, NODES_DOCX_SQL),
     ("docs_from_order_rows", docs_from_order_rows, DOCS_FROM_ORDER_ROWS_SQL), ("docs_from_rows_html", docs_from_rows_html, DOCS_FROM_ROWS_HTML_SQL),
+    ("xml_tree", xml_tree, XML_TREE_SQL), ("content_violations", content_violations, CONTENT_VIOLATIONS_SQL), ("content_violations_wide", content_violations_wide, CONTENT_VIOLATIONS_WIDE_SQL),
 ]

@@ -28,9 +28,9 @@ HASHES, BITS = 1 << 22, 1 << 28
 #: What ends a piece. Each becomes the word ".", which no other word can be.
 ENDS = "[.,;:!?\\x0A-\\x0D]"
 #: Distinct words of a task and sums it holds before it hands them over; word numbers take 21 bits, so three fit a key.
-WORDS, SUMS = 1 << 20, 1 << 20
+WORDS, SUMS = 1 << 19, 1 << 19
 #: Bytes of text that are split into words at once.
-PART = 8 << 20
+PART = 6 << 20
 NUMBER = 21
 
 
@@ -78,8 +78,9 @@ class Counter:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[tuple[str, str], int] = {}
-        self.names: list[tuple[str, str]] = []
+        self.numbers: dict[str, dict[str, int]] = {}
+        self.words: list[str] = []
+        self.langs: list[str] = []
         self.hashes = np.zeros(1024, np.uint64)
         self.frequent = np.zeros(0, np.bool_)
         self.keys: list[np.ndarray] = []
@@ -89,20 +90,18 @@ class Counter:
     def _numbered(self, lang: str, words: list[str]) -> np.ndarray:
         import xxhash
 
-        get, names, start = self.numbers, self.names, len(self.names)
-        out = np.empty(len(words), np.int64)
-        for i, word in enumerate(words):
-            key = (lang, word)
-            number = get.get(key)
-            if number is None:
-                number = get[key] = len(names)
-                names.append(key)
-            out[i] = number
-        if len(names) > len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros(max(len(names), len(self.hashes)), np.uint64)])
-        for j in range(start, len(names)):
-            self.hashes[j] = xxhash.xxh64_intdigest(f"{names[j][0]}\x00{names[j][1]}")
-        return out
+        known, start = self.numbers.setdefault(lang, {}), len(self.words)
+        out = [known.setdefault(word, start) for word in words]  # new words all get `start` here
+        new = [i for i, number in enumerate(out) if number == start]
+        for number, i in enumerate(new, start):
+            known[words[i]] = out[i] = number
+        self.words += [words[i] for i in new]
+        self.langs += [lang] * len(new)
+        if len(self.words) > len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros(max(len(self.words), len(self.hashes)), np.uint64)])
+        digest = xxhash.xxh64_intdigest
+        self.hashes[start : len(self.words)] = np.fromiter((digest(f"{lang}\x00{words[i]}") for i in new), np.uint64, len(new))
+        return np.array(out, np.int64)
 
     def add(self, langs: pa.Array, texts: pa.Array) -> None:
         codes = langs.dictionary_encode()
@@ -126,7 +125,7 @@ class Counter:
             ok &= usable[j : n - k + 1 + j]
         at = np.nonzero(ok)[0]
         if self.before is not None and k == 2:
-            new = self.before.holds(self.hashes[len(self.frequent) : len(self.names)])  # looked up once a word
+            new = self.before.holds(self.hashes[len(self.frequent) : len(self.words)])  # looked up once a word
             self.frequent = np.concatenate([self.frequent, new])
             at = at[self.frequent[numbers[at]] & self.frequent[numbers[at + 1]]]
         key = numbers[at]
@@ -153,14 +152,13 @@ class Counter:
         self.held = len(first)
 
     def full(self) -> bool:
-        return self.held > SUMS or len(self.names) > WORDS
+        return self.held > SUMS or len(self.words) > WORDS
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """What was counted since the last call, as lang, phrase, h, f."""
         self._merge()
         keys, sums, k = self.keys[0], self.sums[0], self.k
-        langs = pa.array([x[0] for x in self.names], pa.string())
-        words = pa.array([x[1] for x in self.names], pa.string())
+        langs, words = pa.array(self.langs, pa.string()), pa.array(self.words, pa.string())
         for a in range(0, len(keys), 1 << 16):
             part = keys[a : a + (1 << 16)]
             numbers = [(part >> (NUMBER * (k - 1 - j))) & ((1 << NUMBER) - 1) for j in range(k)]
@@ -184,7 +182,8 @@ def counted(texts: DataFrame, k: int, before: Known | None) -> DataFrame:
         yield from counter.rows()
 
     found = texts.mapInArrow(kernel, "lang string, phrase string, h long, f long")
-    return found.groupBy("lang", "phrase").agg(F.max("h").alias("h"), F.sum("f").alias("f"))
+    # dealt by the hash before the sum: tasks have summed already, so a second partial sum before the shuffle would only hold memory
+    return found.repartition("h").groupBy("h", "lang", "phrase").agg(F.sum("f").alias("f")).select("lang", "phrase", "h", "f")
 
 
 def levels(docs: DataFrame, least: int = LEAST, length: int = LENGTH, text: str = "text", lang: str = "lang", most: int = HASHES, bits: int = BITS) -> tuple[DataFrame, list[DataFrame]]:

@@ -10,7 +10,8 @@ from folium.catalog.documents import HTML_SERIALIZE_SQL
 from folium.catalog.values import table
 from folium.operators.content import violations, xml_elements
 from folium.operators.markup import nodes_to_docx, nodes_to_html
-from folium.session import spread
+from folium.operators.selectors import cascaded, inline_sheet, sheet_tables
+from folium.session import cut, spread
 from folium.sources import documents as D
 
 
@@ -177,8 +178,46 @@ f AS (SELECT k, pos, ['w:rStyle', 'w:b', 'w:i', 'w:color', 'w:sz', 'w:u', 'w:lan
 SELECT k, name, fault, count(*) AS n, min(pos) AS first, CAST(sum(pos) AS BIGINT) AS places FROM f WHERE fault IS NOT NULL GROUP BY k, name, fault
 """
 
+SHEET = """
+article p { margin-top: 1pt } nav > ul > li > a[href^="/"] { color: #111111; text-indent: 1pt }
+/* wins by place, not by weight */ nav ul li:first-child a { color: #222222 }
+.ad { color: blue !important } body div.ad { color: red; margin-top: 2pt }
+h1 + p, article > p:last-child { text-indent: 3pt } nav ~ article > h1 { color: #333333 } li:nth-child(2n+1) { margin-top: 4pt } nav p, a > li { color: black }
+"""
+
+
+def selector_matches(spark, sf_dir):
+    """Descendant, child, sibling, attribute and position selectors over pages: how many elements get each declaration."""
+    dom = D.elements(spread(table(spark, sf_dir, "pages")), "page_id", "html")
+    return cascaded(cut(dom, "elements"), *sheet_tables(spark, SHEET)).groupBy(F.col("doc_id").alias("page_id"), "property", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+SELECTOR_MATCHES_SQL = r"""
+WITH t AS (
+  SELECT page_id, len(regexp_extract_all(html, '<li>')) AS li, len(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')) AS p, len(regexp_extract_all(html, '<ul>')) AS ul,
+    len(regexp_extract_all(html, '<div class="ad">')) AS ad, len(regexp_extract_all(html, '</h1>')) AS h1, len(regexp_extract_all(html, '<a href="/')) AS a FROM pages),
+u AS (
+  SELECT page_id, 'margin-top' AS property, '1pt' AS value, p AS n FROM t UNION ALL SELECT page_id, 'margin-top', '4pt', (li + 1) // 2 FROM t UNION ALL SELECT page_id, 'margin-top', '2pt', ad FROM t
+  UNION ALL SELECT page_id, 'color', '#222222', ul FROM t UNION ALL SELECT page_id, 'color', '#111111', a - ul FROM t UNION ALL SELECT page_id, 'text-indent', '1pt', a FROM t
+  UNION ALL SELECT page_id, 'color', 'blue', ad FROM t UNION ALL SELECT page_id, 'color', '#333333', h1 FROM t UNION ALL SELECT page_id, 'text-indent', '3pt', least(p, 2) FROM t)
+SELECT page_id, property, value, n FROM u WHERE n > 0
+"""
+
+
+def sheet_inlined(spark, sf_dir):
+    """The same sheet moved into style attributes, and the pages read again: their runs' colours."""
+    inlined = inline_sheet(spread(table(spark, sf_dir, "pages")), "page_id", "html", SHEET)
+    n = D.nodes(inlined, "doc_id", "html").filter("kind = 'run'")
+    return n.groupBy(F.col("doc_id").alias("page_id")).agg(F.count_if(F.expr("style['color'] = '222222'")).alias("first"), F.count_if(F.expr("style['color'] = '111111'")).alias("others"), F.count_if(F.expr("style['color'] = '333333'")).alias("titles"))
+
+
+SHEET_INLINED_SQL = """
+SELECT page_id, len(regexp_extract_all(html, '<ul>')) AS first, len(regexp_extract_all(html, '<a href="/')) - len(regexp_extract_all(html, '<ul>')) AS others, len(regexp_extract_all(html, '<h1>')) AS titles FROM pages
+"""
+
 CATALOG = [
     ("nodes_html", nodes_html, HTML_SERIALIZE_SQL), ("nodes_html_edited", nodes_html_edited, NODES_HTML_EDITED_SQL), ("nodes_docx", nodes_docx, NODES_DOCX_SQL),
     ("docs_from_order_rows", docs_from_order_rows, DOCS_FROM_ORDER_ROWS_SQL), ("docs_from_rows_html", docs_from_rows_html, DOCS_FROM_ROWS_HTML_SQL),
     ("xml_tree", xml_tree, XML_TREE_SQL), ("content_violations", content_violations, CONTENT_VIOLATIONS_SQL), ("content_violations_wide", content_violations_wide, CONTENT_VIOLATIONS_WIDE_SQL),
+    ("selector_matches", selector_matches, SELECTOR_MATCHES_SQL), ("sheet_inlined", sheet_inlined, SHEET_INLINED_SQL),
 ]

@@ -79,6 +79,41 @@ def nodes(df: DataFrame, id: str, value: str, kind: str = "html") -> DataFrame:
     return _map(df, id, value, one, NODE_SCHEMA)
 
 
+ELEMENT_SCHEMA = "doc_id long, node_id int, end_id int, parent_id int, ord int, depth int, nth int, nth_last int, tag string, text string, attrs map<string,string>"
+
+
+def elements(df: DataFrame, id: str, value: str) -> DataFrame:
+    """The body of every HTML document as rows (ELEMENT_SCHEMA): elements, and texts as rows without a tag.
+
+    Ids are pre-order; an element holds the ids up to its end_id. nth and nth_last count an element among its
+    sibling elements, from 1; ord counts all children. The body itself has depth 0.
+    """
+
+    def one(key: int, html: str) -> list[dict]:
+        rows: list[dict] = []
+        stack: list = [(html_read.parse(html)[0], None, 0, 0, 1, 1)]
+        while stack:
+            node, parent, at, depth, nth, back = stack.pop()
+            if depth is None:  # all below has been numbered
+                rows[node]["end_id"] = len(rows) - 1
+                continue
+            number = len(rows)
+            row = {"doc_id": key, "node_id": number, "end_id": number, "parent_id": parent, "ord": at, "depth": depth}
+            if isinstance(node, str):
+                rows.append(row | {"text": node, "attrs": {}})
+                continue
+            rows.append(row | {"nth": nth, "nth_last": back, "tag": node.tag, "attrs": node.attrs})
+            stack.append((number, None, 0, None, 0, 0))
+            total, seen, below = sum(not isinstance(c, str) for c in node.children), 0, []
+            for k, child in enumerate(node.children):
+                seen += not isinstance(child, str)
+                below.append((child, number, k, depth + 1, seen, total - seen + 1))
+            stack.extend(reversed(below))
+        return rows
+
+    return _map(df, id, value, one, ELEMENT_SCHEMA)
+
+
 def _html_row(key: int, doc: Document, variables: list | None = None) -> dict:
     made = html_write.to_html(doc, variables)
     page = json.dumps(made.page) if made.page else None

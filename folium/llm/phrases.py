@@ -63,7 +63,7 @@ def known(level: DataFrame, most: int = HASHES, bits: int = BITS) -> Known:
     if level.limit(most + 1).count() <= most:
         return Known(np.sort(level.select("h").toArrow().column("h").to_numpy().view(np.uint64)))
     place = F.pmod(F.col("h"), F.lit(bits))  # bits is a power of two: the same for signed and unsigned
-    words = level.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("word"))
+    words = level.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("word"))
     found = words.toArrow()  # at most bits / 64 rows
     out = np.zeros(bits // 64, np.uint64)
     out[found.column("at").to_numpy()] = found.column("word").to_numpy().view(np.uint64)

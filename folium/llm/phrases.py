@@ -1,12 +1,14 @@
 """Phrases of two and three words by level-wise passes (Apriori), scored at their weakest cut.
 
 1. A pass over the texts counts the words of each lang; those of `least` occurrences or more make the first level.
-2. Each later pass sends the hashes of the level before to the tasks and counts a k-gram only where both of its
-   (k-1)-grams are frequent. A hash that collides lets through a phrase too many, never too few, and such a phrase
-   fails the level's own threshold, which is exact. Up to HASHES grams the hashes go as a sorted list; beyond, as a
-   bit map of BITS bits, so what is sent is bounded however many grams are frequent.
-3. A task counts in arrays of word numbers and hands over sums, so a frequent phrase costs one row a task and flush.
-4. Cuts take their counts from the level tables by joins; scores are exact (decimals of 38 digits).
+2. A level's candidates are the k-grams both of whose (k-1)-grams are frequent. A pass counts them by hash alone: a task
+   hands over sorted 32-bit hashes with saturated counts, packed by bucket, five bytes a distinct gram. Hashes that
+   reach `least` hold every frequent gram and few others, as grams that share a hash only add up.
+3. The next pass counts the grams of those hashes as they are, which gives the level exactly, and at the same time hashes
+   the candidates of the next level.
+4. Hashes of frequent grams go to the tasks as a sorted list, up to HASHES of them; beyond, as a bit map of BITS bits, so
+   what is sent is bounded however many grams are frequent. Both only let through too many grams, never too few.
+5. Cuts take their counts from the level tables by joins; scores are exact (decimals of 38 digits).
 """
 
 from __future__ import annotations
@@ -23,15 +25,19 @@ from folium.llm.words import slices, split_words
 from folium.session import cut
 
 LEAST, TOP, LENGTH, COVER = 10, 2000, 3, 50
-#: Frequent grams that are sent as a list of hashes (8 bytes each); beyond, the bits of the map that stands for it.
+#: Frequent hashes that are sent as a list (8 bytes each); beyond, the bits of the map that stands for it.
 HASHES, BITS = 1 << 22, 1 << 28
 #: What ends a piece. Each becomes the word ".", which no other word can be.
 ENDS = "[.,;:!?\\x0A-\\x0D]"
-#: Distinct words of a task and sums it holds before it hands them over; word numbers take 21 bits, so three fit a key.
+#: Distinct words of a task, and sums it holds before it hands them over; word numbers take 21 bits, so three fit a key.
 WORDS, SUMS = 1 << 19, 1 << 19
+#: Hashes a task holds before it packs them, and words of the corpus for each bucket.
+HELD, BUCKET = 1 << 21, 1 << 22
 #: Bytes of text that are split into words at once.
 PART = 6 << 20
 NUMBER = 21
+#: Counts by hash stop here.
+MOST = 255
 
 
 def gram_hash(parts: list[np.ndarray]) -> np.ndarray:
@@ -39,16 +45,24 @@ def gram_hash(parts: list[np.ndarray]) -> np.ndarray:
     out = parts[0].copy()
     for x in parts[1:]:
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + x
-    return out
+    return out ^ (out >> np.uint64(31)) if len(parts) > 1 else out
+
+
+def short(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket (a power of two many) and 32 bits of a hash."""
+    bits = buckets.bit_length() - 1
+    low = h & np.uint64(0xFFFFFFFF)
+    return low | ((h >> np.uint64(64 - bits)) << np.uint64(32)) if bits else low
 
 
 class Known:
-    """Membership among the hashes of a level, with no false absence."""
+    """Membership among the short hashes of a level, with no false absence."""
 
-    def __init__(self, hashes: np.ndarray | None, bits: np.ndarray | None = None):
-        self.hashes, self.bits = hashes, bits
+    def __init__(self, buckets: int, hashes: np.ndarray | None, bits: np.ndarray | None = None):
+        self.buckets, self.hashes, self.bits = buckets, hashes, bits
 
-    def holds(self, found: np.ndarray) -> np.ndarray:
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        found = short(h, self.buckets)
         if self.hashes is None:
             at = found % np.uint64(len(self.bits) * 64)
             return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
@@ -58,84 +72,97 @@ class Known:
         return self.hashes[at] == found
 
 
-def known(level: DataFrame, most: int = HASHES, bits: int = BITS) -> Known:
-    """The level's hashes in bounded memory: a list of at most `most`, else a map of `bits` bits."""
+def known(level: DataFrame, buckets: int, most: int = HASHES, bits: int = BITS) -> Known:
+    """The short hashes `s` of a level in bounded memory: a list of at most `most`, else a map of `bits` bits."""
     if level.limit(most + 1).count() <= most:
-        return Known(np.sort(level.select("h").toArrow().column("h").to_numpy().view(np.uint64)))
-    place = F.pmod(F.col("h"), F.lit(bits))  # bits is a power of two: the same for signed and unsigned
+        return Known(buckets, np.unique(level.select("s").toArrow().column("s").to_numpy().view(np.uint64)))
+    place = F.pmod(F.col("s"), F.lit(bits))
     words = level.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("word"))
     found = words.toArrow()  # at most bits / 64 rows
     out = np.zeros(bits // 64, np.uint64)
     out[found.column("at").to_numpy()] = found.column("word").to_numpy().view(np.uint64)
-    return Known(None, out)
+    return Known(buckets, None, out)
+
+
+class Slice:
+    """The words of one lang in a slice of texts: their numbers, hashes, and where grams of k words begin."""
+
+    def __init__(self, lang: str, texts: pa.Array):
+        import xxhash
+
+        self.lang = lang
+        self.found, offsets, self.words = split_words(pc.replace_substring_regex(pc.ascii_lower(texts), ENDS, " . "))
+        digest = xxhash.xxh64_intdigest
+        self.hashes = np.fromiter((digest(f"{lang}\x00{w}") for w in self.words), np.uint64, len(self.words))
+        self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        self.usable = np.ones(len(self.found), np.bool_) if "." not in self.words else self.found != self.words.index(".")
+
+    def begins(self, k: int) -> np.ndarray:
+        n = len(self.found)
+        if n < k:
+            return np.zeros(0, np.int64)
+        ok = self.usable[: n - k + 1] & (self.text[: n - k + 1] == self.text[k - 1 :])
+        for j in range(1, k):
+            ok &= self.usable[j : n - k + 1 + j]
+        return np.nonzero(ok)[0]
+
+    def grams(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the k-grams that begin at `at`."""
+        return gram_hash([self.hashes[self.found[at + j]] for j in range(k)])
 
 
-class Counter:
-    """Counts k-grams of a task; words are numbered per lang as they come."""
+def merged(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by key, the keys sorted."""
+    key, value = np.concatenate(keys), np.concatenate(sums)
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    first = np.nonzero(np.append(True, key[1:] != key[:-1]))[0] if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(value, first) if len(first) else value
 
-    def __init__(self, k: int, before: Known | None):
-        self.k, self.before = k, before
+
+class Exact:
+    """Counts the k-grams of a task that `wanted` holds, as they are; words are numbered per lang as they come."""
+
+    def __init__(self, k: int, wanted: Known | None):
+        self.k, self.wanted = k, wanted
         self.clear()
 
     def clear(self) -> None:
         self.numbers: dict[str, dict[str, int]] = {}
         self.words: list[str] = []
         self.langs: list[str] = []
-        self.hashes = np.zeros(1024, np.uint64)
-        self.frequent = np.zeros(0, np.bool_)
-        self.keys: list[np.ndarray] = []
-        self.sums: list[np.ndarray] = []
+        self.hashes: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.sums: list[np.ndarray] = [np.zeros(0, np.int64)]
         self.held = 0
 
-    def _numbered(self, lang: str, words: list[str]) -> np.ndarray:
-        import xxhash
-
-        known, start = self.numbers.setdefault(lang, {}), len(self.words)
-        out = [known.setdefault(word, start) for word in words]  # new words all get `start` here
+    def _numbered(self, part: Slice, used: np.ndarray) -> np.ndarray:
+        """Task-wide numbers of a slice's word codes; only `used` codes get one."""
+        have, start = self.numbers.setdefault(part.lang, {}), len(self.words)
+        words = [part.words[i] for i in used.tolist()]
+        out = [have.setdefault(word, start) for word in words]  # new words all get `start` here
         new = [i for i, number in enumerate(out) if number == start]
         for number, i in enumerate(new, start):
-            known[words[i]] = out[i] = number
+            have[words[i]] = out[i] = number
         self.words += [words[i] for i in new]
-        self.langs += [lang] * len(new)
-        if len(self.words) > len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros(max(len(self.words), len(self.hashes)), np.uint64)])
-        digest = xxhash.xxh64_intdigest
-        self.hashes[start : len(self.words)] = np.fromiter((digest(f"{lang}\x00{words[i]}") for i in new), np.uint64, len(new))
-        return np.array(out, np.int64)
-
-    def add(self, langs: pa.Array, texts: pa.Array) -> None:
-        codes = langs.dictionary_encode()
-        for c, lang in enumerate(codes.dictionary.to_pylist()):
-            own = texts.filter(pc.equal(codes.indices, c)) if len(codes.dictionary) > 1 else texts
-            marked = pc.replace_substring_regex(pc.ascii_lower(own), ENDS, " . ")
-            found, offsets, words = split_words(marked)
-            if not len(found):
-                continue
-            numbers = self._numbered(lang, words)[found]
-            usable = np.ones(len(found), np.bool_) if "." not in words else found != words.index(".")
-            self._grams(numbers, usable, offsets)
-
-    def _grams(self, numbers: np.ndarray, usable: np.ndarray, offsets: np.ndarray) -> None:
-        k, n = self.k, len(numbers)
-        if n < k:
+        self.langs += [part.lang] * len(new)
+        self.hashes.append(part.hashes[used[new]] if new else np.zeros(0, np.uint64))
+        table = np.zeros(len(part.words), np.int64)
+        table[used] = out
+        return table
+
+    def add(self, part: Slice) -> None:
+        k, at = self.k, part.begins(self.k)
+        if self.wanted is not None:
+            at = at[self.wanted.holds(part.grams(at, k))]
+        if not len(at):
             return
-        text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        ok = usable[: n - k + 1] & (text[: n - k + 1] == text[k - 1 :])
-        for j in range(1, k):
-            ok &= usable[j : n - k + 1 + j]
-        at = np.nonzero(ok)[0]
-        if self.before is not None and k == 2:
-            new = self.before.holds(self.hashes[len(self.frequent) : len(self.words)])  # looked up once a word
-            self.frequent = np.concatenate([self.frequent, new])
-            at = at[self.frequent[numbers[at]] & self.frequent[numbers[at + 1]]]
-        key = numbers[at]
-        for j in range(1, k):
-            key = (key << NUMBER) | numbers[at + j]
+        codes = [part.found[at + j] for j in range(k)]
+        table = self._numbered(part, np.unique(np.concatenate([np.unique(c) for c in codes])))
+        key = table[codes[0]]
+        for c in codes[1:]:
+            key = (key << NUMBER) | table[c]
         keys, sums = np.unique(key, return_counts=True)
-        if self.before is not None and k > 2:  # both (k-1)-grams, once a distinct k-gram
-            parts = [self.hashes[(keys >> (NUMBER * (k - 1 - j))) & ((1 << NUMBER) - 1)] for j in range(k)]
-            both = self.before.holds(gram_hash(parts[:-1])) & self.before.holds(gram_hash(parts[1:]))
-            keys, sums = keys[both], sums[both]
         self.keys.append(keys)
         self.sums.append(sums)
         self.held += len(keys)
@@ -143,57 +170,144 @@ class Counter:
             self._merge()
 
     def _merge(self) -> None:
-        keys = np.concatenate([*self.keys, np.zeros(0, np.int64)])
-        sums = np.concatenate([*self.sums, np.zeros(0, np.int64)])
-        order = np.argsort(keys, kind="stable")
-        keys, sums = keys[order], sums[order]
-        first = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0] if len(keys) else np.zeros(0, np.int64)
-        self.keys, self.sums = [keys[first]], [np.add.reduceat(sums, first) if len(first) else sums]
-        self.held = len(first)
+        keys, sums = merged(self.keys, self.sums)
+        self.keys, self.sums, self.held = [keys], [sums], len(keys)
 
     def full(self) -> bool:
         return self.held > SUMS or len(self.words) > WORDS
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        """What was counted since the last call, as lang, phrase, h, f."""
+        """What was counted since the last call."""
         self._merge()
         keys, sums, k = self.keys[0], self.sums[0], self.k
         langs, words = pa.array(self.langs, pa.string()), pa.array(self.words, pa.string())
+        hashes = np.concatenate([*self.hashes, np.zeros(0, np.uint64)])
         for a in range(0, len(keys), 1 << 16):
             part = keys[a : a + (1 << 16)]
             numbers = [(part >> (NUMBER * (k - 1 - j))) & ((1 << NUMBER) - 1) for j in range(k)]
             phrase = pc.binary_join_element_wise(*[words.take(pa.array(x)) for x in numbers], " ") if k > 1 else words.take(pa.array(numbers[0]))
-            h = gram_hash([self.hashes[x] for x in numbers]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([langs.take(pa.array(numbers[0])), phrase, pa.array(h), pa.array(sums[a : a + (1 << 16)])], names=["lang", "phrase", "h", "f"])
+            h = gram_hash([hashes[x] for x in numbers]).view(np.int64)
+            yield _rows(len(part), lang=langs.take(pa.array(numbers[0])), phrase=phrase, h=pa.array(h), f=pa.array(sums[a : a + (1 << 16)]))
         self.clear()
 
 
-def counted(texts: DataFrame, k: int, before: Known | None) -> DataFrame:
-    """lang, phrase, h (its hash) and f of the k-grams of texts whose (k-1)-grams `before` holds."""
-    sent = texts.sparkSession.sparkContext.broadcast(before)
+class Hashed:
+    """Counts the hashes of a task's k-grams whose (k-1)-grams `before` holds."""
+
+    def __init__(self, k: int, before: Known, buckets: int):
+        self.k, self.before, self.buckets = k, before, buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys: list[np.ndarray] = [np.zeros(0, np.uint64)]
+        self.sums: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.held = 0
+
+    def add(self, part: Slice) -> None:
+        k, at = self.k, part.begins(self.k)
+        if not len(at):
+            return
+        if k == 2:  # once a word
+            frequent = self.before.holds(part.hashes)
+            at = at[frequent[part.found[at]] & frequent[part.found[at + 1]]]
+        else:
+            at = at[self.before.holds(part.grams(at, k - 1))]
+            at = at[self.before.holds(part.grams(at + 1, k - 1))]
+        keys, sums = np.unique(short(part.grams(at, k), self.buckets), return_counts=True)
+        self.keys.append(keys)
+        self.sums.append(np.minimum(sums, MOST))
+        self.held += len(keys)
+        if self.held > HELD:
+            keys, sums = merged(self.keys, self.sums)
+            self.keys, self.sums, self.held = [keys], [np.minimum(sums, MOST)], len(keys)
+
+    def full(self) -> bool:
+        return self.held > HELD // 2
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        keys, sums = merged(self.keys, self.sums)
+        sums, bucket = np.minimum(sums, MOST).astype(np.uint8), (keys >> np.uint64(32)).astype(np.int32)
+        names, starts = np.unique(bucket, return_index=True)
+        ends = np.append(starts[1:], len(keys))
+        lows = keys.astype(np.uint32)
+        packs = [lows[a:b].tobytes() + sums[a:b].tobytes() for a, b in zip(starts, ends)]
+        yield _rows(len(names), bucket=pa.array(names), pack=pa.array(packs, pa.binary()))
+        self.clear()
+
+
+_KINDS = {"lang": pa.string(), "phrase": pa.string(), "h": pa.int64(), "f": pa.int64(), "bucket": pa.int32(), "pack": pa.binary()}
+_SCHEMA = "lang string, phrase string, h long, f long, bucket int, pack binary"
+
+
+def _rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(n, kind)) for name, kind in _KINDS.items()], names=list(_KINDS))
+
+
+def swept(texts: DataFrame, exact: tuple[int, Known | None] | None, hashed: tuple[int, Known, int] | None) -> DataFrame:
+    """One pass: rows of exact counts (lang, phrase, h, f), and packs of hashes (bucket, pack)."""
+    sent = texts.sparkSession.sparkContext.broadcast((exact, hashed))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(k, sent.value)
+        exact, hashed = sent.value
+        counters = [*([Exact(*exact)] if exact else []), *([Hashed(*hashed)] if hashed else [])]
         for batch in batches:
             for part in slices(batch, limit=PART):
-                counter.add(part.column(0), part.column(1))
-                if counter.full():
-                    yield from counter.rows()
-        yield from counter.rows()
+                codes = part.column(0).dictionary_encode()
+                for c, lang in enumerate(codes.dictionary.to_pylist()):
+                    own = Slice(lang, part.column(1).filter(pc.equal(codes.indices, c)) if len(codes.dictionary) > 1 else part.column(1))
+                    for counter in counters:
+                        counter.add(own)
+                for counter in counters:
+                    if counter.full():
+                        yield from counter.rows()
+        for counter in counters:
+            yield from counter.rows()
+
+    return texts.mapInArrow(kernel, _SCHEMA)
+
 
-    found = texts.mapInArrow(kernel, "lang string, phrase string, h long, f long")
-    # dealt by the hash before the sum: tasks have summed already, so a second partial sum before the shuffle would only hold memory
-    return found.repartition("h").groupBy("h", "lang", "phrase").agg(F.sum("f").alias("f")).select("lang", "phrase", "h", "f")
+def summed(rows: DataFrame) -> DataFrame:
+    """Exact counts of all tasks. Dealt by the hash before the sum: tasks have summed already, so a second partial sum would only hold memory."""
+    return rows.filter(F.col("phrase").isNotNull()).select("lang", "phrase", "h", "f").repartition("h").groupBy("h", "lang", "phrase").agg(F.sum("f").alias("f")).select("lang", "phrase", "h", "f")
+
+
+def frequent_hashes(rows: DataFrame, least: int) -> DataFrame:
+    """s: the short hashes whose counts reach `least`; a bucket holds some BUCKET hashes at most."""
+
+    def reached(table: pa.Table) -> pa.Table:
+        keys, sums = [], []
+        for pack in table.column("pack").to_pylist():
+            n = len(pack) // 5
+            keys.append(np.frombuffer(pack, np.uint32, n))
+            sums.append(np.frombuffer(pack, np.uint8, n, 4 * n).astype(np.int64))
+        key, total = merged(keys, sums)
+        kept = key[total >= min(least, MOST)].astype(np.int64)
+        return pa.table({"s": pa.array(kept | (table.column("bucket")[0].as_py() << 32))})
+
+    return rows.filter(F.col("pack").isNotNull()).select("bucket", "pack").groupBy("bucket").applyInArrow(reached, "s long")
 
 
 def levels(docs: DataFrame, least: int = LEAST, length: int = LENGTH, text: str = "text", lang: str = "lang", most: int = HASHES, bits: int = BITS) -> tuple[DataFrame, list[DataFrame]]:
     """(totals, levels): words of each lang (lang, n), and the frequent k-grams (lang, phrase, h, f) for k = 1..length."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    words = cut(counted(texts, 1, None), "words")
+    words = cut(summed(swept(texts, (1, None), None)), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    found = [cut(words.filter(F.col("f") >= least), "level")]
-    for k in range(2, length + 1):
-        found.append(cut(counted(texts, k, known(found[-1], most, bits)).filter(F.col("f") >= least), "level"))
+    total = words.agg(F.sum("f")).first()[0] or 0
+    buckets = 1 << max(0, total // BUCKET).bit_length()
+    level = cut(words.filter(F.col("f") >= least), "level")
+    found, exact = [level], None
+    # the short hash of a level's own h, as `short` makes it
+    width = buckets.bit_length() - 1
+    low = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))
+    named = level.select((low.bitwiseOR(F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - width)), F.lit(32))) if width else low).alias("s"))
+    before = known(named, buckets, most, bits)
+    for k in range(2, length + 2):
+        rows = cut(swept(texts, exact, (k, before, buckets) if k <= length else None), "sweep") if k <= length else swept(texts, exact, None)
+        if exact is not None:
+            found.append(cut(summed(rows).filter(F.col("f") >= least), "level"))
+        if k <= length:
+            before = known(cut(frequent_hashes(rows, least), "hashes"), buckets, most, bits)
+            exact = (k, before)
     return totals, found
 
 

@@ -55,6 +55,8 @@ def test_phrases_against_plain_counts(spark, monkeypatch, bounds):
     if bounds:  # many hand-overs, small slices, and the bit map in place of hashes
         monkeypatch.setattr(P, "WORDS", bounds[0])
         monkeypatch.setattr(P, "SUMS", 8)
+        monkeypatch.setattr(P, "HELD", 16)
+        monkeypatch.setattr(P, "BUCKET", 512)
         monkeypatch.setattr(P, "PART", bounds[1])
         most = 3
     rows = corpus()
@@ -71,10 +73,10 @@ def test_phrases_of_nothing(spark):
 
 
 def test_bit_map_holds_what_it_was_given(spark):
-    level = spark.range(5000).select(F.xxhash64("id").alias("h"))
-    hashes = np.array([r["h"] for r in level.collect()], np.int64).view(np.uint64)
+    hashes = np.random.default_rng(2).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(3)
+    level = spark.createDataFrame([(int(s),) for s in P.short(hashes, 8)], "s long")
     for most in (10_000, 10):
-        known = P.known(level, most, 1 << 16)
+        known = P.known(level, 8, most, 1 << 16)
         assert (known.hashes is None) == (most == 10) and known.holds(hashes).all()
     assert known.holds(np.random.default_rng(1).integers(0, 1 << 63, 10_000).astype(np.uint64)).mean() < 0.1
 

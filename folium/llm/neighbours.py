@@ -288,7 +288,8 @@ def nearest(vectors: DataFrame, query: F.Column, k: int = 20, embedding: str = "
     sent = spark.sparkContext.broadcast(forest)
 
     asked = rows.filter(query).select(F.col("vec_id").alias("query_id"), "vec").distinct()
-    texts = cut(asked.groupBy("vec").agg(F.min("query_id").alias("id")), "queries")
+    # each vector once, under a number of its own that is written with it; few rows that cost much work, dealt to all cores
+    texts = cut(asked.select("vec").distinct().repartition(spark.sparkContext.defaultParallelism).withColumn("id", F.monotonically_increasing_id()), "queries")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

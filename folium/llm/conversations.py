@@ -126,8 +126,8 @@ def segments(rows: DataFrame) -> DataFrame:
     light = rows.select("conv_id", "part", "turn", "role", "digest", "copies", "fault")
     same = Window.partitionBy("conv_id", "role", "digest").orderBy(F.asc_nulls_first("turn"))
     live = light.filter(F.col("copies") > 0).withColumn("again", F.row_number().over(same) > 1)
-    initial = F.coalesce(F.nullif(F.instr(F.lit(INITIALS), F.substring("role", 1, 1)), F.lit(0)), F.lit(4)) - 1
-    initial = F.when(F.substring("role", 1, 1) == "-", 3).otherwise(initial)
+    first_letter = F.substring("role", 1, 1)
+    initial = F.when(first_letter.isin(*INITIALS[:3]), F.instr(F.lit(INITIALS), first_letter) - 1).otherwise(3)
     symbol = lambda fault: F.chr(F.lit(ord("A")) + 4 * fault + initial)
     first = F.when(F.col("fault") == 1, 1).when(F.col("again"), 2).otherwise(F.col("fault"))
     # a repeated row is its own duplicate, unless it is blank

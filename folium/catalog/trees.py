@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folium.build.bulk import compile_template, docs_from_rows
 from folium.catalog.documents import HTML_SERIALIZE_SQL
 from folium.catalog.values import table
+from folium.operators.alignment import aligned, fidelity_lines
 from folium.operators.content import violations, xml_elements
 from folium.operators.markup import nodes_to_docx, nodes_to_html
 from folium.operators.selectors import cascaded, inline_sheet, sheet_tables
@@ -215,9 +216,42 @@ SHEET_INLINED_SQL = """
 SELECT page_id, len(regexp_extract_all(html, '<ul>')) AS first, len(regexp_extract_all(html, '<a href="/')) - len(regexp_extract_all(html, '<ul>')) AS others, len(regexp_extract_all(html, '<h1>')) AS titles FROM pages
 """
 
+def lines_aligned(spark, sf_dir):
+    """Orders' lines before and after: every fifth is lost, the first of every third order moves to the end, one is added."""
+    place = Window.partitionBy("k").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    old = line.select("k", F.row_number().over(place).alias("pos"), F.count(F.lit(1)).over(Window.partitionBy("k")).alias("n")).withColumn("line", F.concat(F.lit("line "), F.col("pos").cast("string")))
+    left = old.filter("pos % 5 <> 2")
+    moved = left.withColumn("pos", F.when((F.col("pos") == 1) & (F.col("k") % 3 == 0) & (F.col("n") >= 5), F.col("n") + 1).otherwise(F.col("pos")))
+    new = moved.unionByName(left.filter("pos = 1 AND k % 4 = 1").withColumns({"pos": F.lit(0), "line": F.lit("new")}))
+    return aligned(old, new, ["k"]).groupBy("k", "fate").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"))
+
+
+LINES_ALIGNED_SQL = """
+WITH r AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+f AS (SELECT k, 'line ' || i AS line, CASE WHEN i % 5 = 2 THEN 'lost' WHEN i = 1 AND k % 3 = 0 AND n >= 5 THEN 'moved' ELSE 'kept' END AS fate FROM r UNION ALL SELECT DISTINCT k, 'new', 'added' FROM r WHERE k % 4 = 1)
+SELECT k, fate, count(*) AS n, min(line) AS first FROM f GROUP BY k, fate
+"""
+
+
+def fidelity_lines_report(spark, sf_dir):
+    """Pages through three stages: the lines that stay, moved, were lost or added, stage by stage."""
+    found = fidelity_lines(spread(table(spark, sf_dir, "pages")), "page_id", "html")
+    count = lambda fate: F.count_if(F.col("fate") == fate).alias(fate)
+    return found.groupBy(F.col("doc_id").alias("page_id"), "stage").agg(*map(count, ("kept", "moved", "lost", "added")))
+
+
+FIDELITY_LINES_SQL = f"""
+WITH s AS ({HTML_SERIALIZE_SQL}),
+t AS (SELECT page_id, unnest(string_split_regex(body, '</?(?:p|li|ul|h1)>')) AS line FROM s),
+n AS (SELECT page_id, count(*) FILTER (regexp_replace(regexp_replace(line, '<[^>]*>', '', 'g'), '\\s|&nbsp;', '', 'g') <> '') AS kept FROM t GROUP BY page_id)
+SELECT page_id, stage, kept, 0 AS moved, 0 AS lost, 0 AS added FROM n, (VALUES ('package'), ('back'), ('again')) v(stage)
+"""
+
 CATALOG = [
     ("nodes_html", nodes_html, HTML_SERIALIZE_SQL), ("nodes_html_edited", nodes_html_edited, NODES_HTML_EDITED_SQL), ("nodes_docx", nodes_docx, NODES_DOCX_SQL),
     ("docs_from_order_rows", docs_from_order_rows, DOCS_FROM_ORDER_ROWS_SQL), ("docs_from_rows_html", docs_from_rows_html, DOCS_FROM_ROWS_HTML_SQL),
     ("xml_tree", xml_tree, XML_TREE_SQL), ("content_violations", content_violations, CONTENT_VIOLATIONS_SQL), ("content_violations_wide", content_violations_wide, CONTENT_VIOLATIONS_WIDE_SQL),
     ("selector_matches", selector_matches, SELECTOR_MATCHES_SQL), ("sheet_inlined", sheet_inlined, SHEET_INLINED_SQL),
+    ("lines_aligned", lines_aligned, LINES_ALIGNED_SQL), ("fidelity_lines", fidelity_lines_report, FIDELITY_LINES_SQL),
 ]

@@ -17,7 +17,7 @@ Positions are code points, computed from the matches and the gaps between them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.session import cut
@@ -38,6 +38,8 @@ Q = 0.05
 VOWELS = "aeiouyAEIOUY"
 #: Upper ends of the length bands.
 BANDS = (24, 32, 40, 48, 64, 96, 128)
+#: Matches of a text that are placed together.
+BLOCK = 256
 #: Characters of runs that a task of the battery takes, and a file of their tables.
 PART = 1 << 16
 
@@ -51,14 +53,20 @@ def spans(text: Column, pattern: str, whole: Column, kind: str, group: int = 0,
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(whole))
     pairs = F.zip_with(F.zip_with(gaps, whole, lambda g, w: F.struct(F.length(g).alias("gap"), F.length(w).alias("n"))), part, lambda x, v: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), v.alias("value")))
     empty = F.array().cast(SPANS)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
 
     def step(state: Column, x: Column) -> Column:
         a = state["at"] + x["gap"]
         one = F.struct(a.alias("start"), (a + x["n"]).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
         return F.struct((a + x["n"]).alias("at"), F.when(F.length(x["value"]) >= least, F.concat(state["found"], F.array(one))).otherwise(state["found"]).alias("found"))
 
-    return F.when(F.size(whole) > 0, F.aggregate(pairs, start, step, lambda s: s["found"])).otherwise(empty)
+    def block(state: Column, pairs: Column) -> Column:
+        """A block's spans from where the one before it ended; appending copies a block, not all that was found."""
+        own = F.aggregate(pairs, F.struct(state["at"].alias("at"), empty.alias("found")), step)
+        return F.get(F.transform(F.array(own), lambda x: F.struct(x["at"].alias("at"), F.concat(state["blocks"], F.array(x["found"])).alias("blocks"))), 0)
+
+    blocks = F.get(F.transform(F.array(pairs), lambda p: F.transform(F.sequence(F.lit(1), F.size(p), F.lit(BLOCK)), lambda i: F.slice(p, i, F.lit(BLOCK)))), 0)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("blocks"))
+    return F.when(F.size(whole) > 0, F.flatten(F.aggregate(blocks, start, block, lambda s: s["blocks"]))).otherwise(empty)
 
 
 def normal_tail(z: Column) -> Column:
@@ -172,7 +180,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     matched = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     matched = matched.select("doc_id", "_t", *[F.regexp_extract_all("_t", F.lit(p), F.lit(0)).alias(f"_{kind}") for kind, (p, _, _) in rules.items()])
     placed = {kind: spans(F.col("_t"), p, F.col(f"_{kind}"), kind, group, least) for kind, (p, group, least) in rules.items()}
-    read = cut(matched.select("doc_id", F.concat(placed["assign"], placed["access"], placed["hex"]).alias("base"), placed["random"].alias("runs")), "spans")
+    read = cut(matched.select("doc_id", F.monotonically_increasing_id().alias("row"), F.concat(placed["assign"], placed["access"], placed["hex"]).alias("base"), placed["random"].alias("runs")), "spans")
     parts = _parts(read)
     values = read.select(F.explode("runs.value").alias("value")).distinct().coalesce(parts)
     judged = lambda found: battery(found).select("value", "p", band_of(F.col("n")).alias("band"))
@@ -182,13 +190,18 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     for band, least in thresholds(tested.withColumn("decoy", F.lit(False)).unionByName(made.withColumn("decoy", F.lit(True)))).items():
         pass_at = F.when(F.col("band") == band, least).otherwise(pass_at)
     secret = cut(tested.filter(F.col("p") >= pass_at).select(F.col("value").alias("secret")), "secrets")
-    one = read.filter(F.size("runs") > 0).select("doc_id", "runs", F.explode("runs").alias("run"))
-    kept = one.join(secret, one["run.value"] == secret["secret"]).groupBy("doc_id", "runs").agg(F.collect_set("run").alias("random"))
-    kept = cut(kept.coalesce(parts), "random").withColumnsRenamed({"doc_id": "_id", "runs": "_runs"})
-    out = read.join(kept, read["doc_id"].eqNullSafe(kept["_id"]) & (read["runs"] == kept["_runs"]), "left")
-    extra = F.filter(F.coalesce("random", F.array().cast(SPANS)), lambda r: ~F.exists("base", lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))
+    # runs go by the number of their row, which is written with it; the base spans follow where a run is secret
+    one = read.filter(F.size("runs") > 0).select("row", F.explode("runs").alias("span"))
+    kept = cut(one.join(secret, one["span.value"] == secret["secret"]).select("row", "span").coalesce(parts), "random")
+    base = read.join(kept.select(F.col("row").alias("_row")).distinct(), F.col("row") == F.col("_row"), "left_semi").select("row", F.explode("base").alias("span"))
+    # a run is covered if a base span that starts before it, or with it, ends behind it: the furthest end so far tells
+    line = Window.partitionBy("row").orderBy("span.start", F.col("span.kind") == "random").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("span.kind") != "random", F.col("span.end"))).over(line)
+    extra = kept.unionByName(base).withColumn("_reach", reach).filter((F.col("span.kind") == "random") & F.coalesce(F.col("_reach") < F.col("span.end"), F.lit(True)))
+    extra = extra.groupBy(F.col("row").alias("_row")).agg(F.collect_list("span").alias("random"))
+    out = read.join(extra, F.col("row") == F.col("_row"), "left")
     rank = F.array(*[F.lit(k) for k in KINDS])
-    keyed = F.transform(F.concat("base", extra), lambda s: F.struct(s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
+    keyed = F.transform(F.concat("base", F.coalesce("random", F.array().cast(SPANS))), lambda s: F.struct(s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
     return out.select("doc_id", F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))).alias("found"))
 
 

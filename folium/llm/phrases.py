@@ -1,18 +1,18 @@
 """Phrases of two and three words by level-wise passes (Apriori), scored at their weakest cut.
 
-1. A pass over the texts counts the words of each lang; those of `least` occurrences or more make the first level.
-2. A level's candidates are the k-grams both of whose (k-1)-grams are frequent. A pass counts them by hash alone: a task
-   hands over sorted 32-bit hashes with saturated counts, packed by bucket, five bytes a distinct gram. Hashes that
+1. A level's candidates are words, or the k-grams both of whose (k-1)-grams are frequent. A pass counts them by hash alone:
+   a task hands over sorted 32-bit hashes with saturated counts, packed by bucket, five bytes a distinct gram. Hashes that
    reach `least` hold every frequent gram and few others, as grams that share a hash only add up.
-3. The next pass counts the grams of those hashes as they are, which gives the level exactly, and at the same time hashes
-   the candidates of the next level.
-4. Hashes of frequent grams go to the tasks as a sorted list, up to HASHES of them; beyond, as a bit map of BITS bits, so
+2. The next pass counts the grams of those hashes as they are, which gives the level exactly, and at the same time hashes
+   the candidates of the next level. Exact counts travel packed too: a bucket's phrases in order, compressed.
+3. Hashes of frequent grams go to the tasks as a sorted list, up to HASHES of them; beyond, as a bit map of BITS bits, so
    what is sent is bounded however many grams are frequent. Both only let through too many grams, never too few.
-5. Cuts take their counts from the level tables by joins; scores are exact (decimals of 38 digits).
+4. Cuts take their counts from the level tables by joins; scores are exact (decimals of 38 digits).
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,8 +123,8 @@ def merged(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray,
 class Exact:
     """Counts the k-grams of a task that `wanted` holds, as they are; words are numbered per lang as they come."""
 
-    def __init__(self, k: int, wanted: Known | None):
-        self.k, self.wanted = k, wanted
+    def __init__(self, k: int, wanted: Known):
+        self.k, self.wanted, self.buckets = k, wanted, wanted.buckets
         self.clear()
 
     def clear(self) -> None:
@@ -153,8 +153,7 @@ class Exact:
 
     def add(self, part: Slice) -> None:
         k, at = self.k, part.begins(self.k)
-        if self.wanted is not None:
-            at = at[self.wanted.holds(part.grams(at, k))]
+        at = at[self.wanted.holds(part.grams(at, k))]
         if not len(at):
             return
         codes = [part.found[at + j] for j in range(k)]
@@ -177,37 +176,57 @@ class Exact:
         return self.held > SUMS or len(self.words) > WORDS
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        """What was counted since the last call."""
+        """What was counted since the last call: packs of (phrases, counts) by lang and bucket."""
         self._merge()
         keys, sums, k = self.keys[0], self.sums[0], self.k
-        langs, words = pa.array(self.langs, pa.string()), pa.array(self.words, pa.string())
+        langs = np.array(self.langs, object)
+        words = pa.array(self.words, pa.string())
         hashes = np.concatenate([*self.hashes, np.zeros(0, np.uint64)])
-        for a in range(0, len(keys), 1 << 16):
-            part = keys[a : a + (1 << 16)]
-            numbers = [(part >> (NUMBER * (k - 1 - j))) & ((1 << NUMBER) - 1) for j in range(k)]
-            phrase = pc.binary_join_element_wise(*[words.take(pa.array(x)) for x in numbers], " ") if k > 1 else words.take(pa.array(numbers[0]))
-            h = gram_hash([hashes[x] for x in numbers]).view(np.int64)
-            yield _rows(len(part), lang=langs.take(pa.array(numbers[0])), phrase=phrase, h=pa.array(h), f=pa.array(sums[a : a + (1 << 16)]))
+        numbers = [(keys >> (NUMBER * (k - 1 - j))) & ((1 << NUMBER) - 1) for j in range(k)]
+        bucket = (short(gram_hash([hashes[x] for x in numbers]), self.buckets) >> np.uint64(32)).astype(np.int32)
+        for lang in self.numbers:
+            own = np.nonzero(langs[numbers[0]] == lang)[0] if len(self.numbers) > 1 else np.arange(len(keys))
+            own = own[np.argsort(bucket[own], kind="stable")]
+            parts = [words.take(pa.array(x[own])) for x in numbers]
+            phrases = (pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]).to_pylist()
+            names, starts = np.unique(bucket[own], return_index=True)
+            packs = [packed(phrases[x:y], sums[own[x:y]]) for x, y in zip(starts, np.append(starts[1:], len(own)))]
+            yield _rows(len(names), lang=pa.array([lang] * len(names), pa.string()), bucket=pa.array(names), pack=pa.array(packs, pa.binary()))
         self.clear()
 
 
+def packed(phrases: list[str], sums: np.ndarray) -> bytes:
+    """How many, their counts, and the phrases in order, one a line (no word holds a line end)."""
+    order = sorted(range(len(phrases)), key=phrases.__getitem__)
+    return zlib.compress(np.append(len(order), sums[order]).astype(np.int64).tobytes() + "\n".join([phrases[i] for i in order]).encode(), 1)
+
+
+def unpacked(pack: bytes) -> tuple[list[str], np.ndarray]:
+    raw = zlib.decompress(pack)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    return raw[8 + 8 * n :].decode().split("\n"), np.frombuffer(raw, np.int64, n, 8)
+
+
 class Hashed:
-    """Counts the hashes of a task's k-grams whose (k-1)-grams `before` holds."""
+    """Counts the hashes of a task's words, or of its k-grams whose (k-1)-grams `before` holds; of words also their number by lang."""
 
-    def __init__(self, k: int, before: Known, buckets: int):
+    def __init__(self, k: int, before: Known | None, buckets: int):
         self.k, self.before, self.buckets = k, before, buckets
         self.clear()
 
     def clear(self) -> None:
         self.keys: list[np.ndarray] = [np.zeros(0, np.uint64)]
         self.sums: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.totals: dict[str, int] = {}
         self.held = 0
 
     def add(self, part: Slice) -> None:
         k, at = self.k, part.begins(self.k)
         if not len(at):
             return
-        if k == 2:  # once a word
+        if k == 1:
+            self.totals[part.lang] = self.totals.get(part.lang, 0) + len(at)
+        elif k == 2:  # once a word
             frequent = self.before.holds(part.hashes)
             at = at[frequent[part.found[at]] & frequent[part.found[at + 1]]]
         else:
@@ -232,19 +251,20 @@ class Hashed:
         lows = keys.astype(np.uint32)
         packs = [lows[a:b].tobytes() + sums[a:b].tobytes() for a, b in zip(starts, ends)]
         yield _rows(len(names), bucket=pa.array(names), pack=pa.array(packs, pa.binary()))
+        yield _rows(len(self.totals), lang=pa.array(list(self.totals), pa.string()), n=pa.array(list(self.totals.values()), pa.int64()))
         self.clear()
 
 
-_KINDS = {"lang": pa.string(), "phrase": pa.string(), "h": pa.int64(), "f": pa.int64(), "bucket": pa.int32(), "pack": pa.binary()}
-_SCHEMA = "lang string, phrase string, h long, f long, bucket int, pack binary"
+_KINDS = {"lang": pa.string(), "n": pa.int64(), "bucket": pa.int32(), "pack": pa.binary()}
+_SCHEMA = "lang string, n long, bucket int, pack binary"
 
 
-def _rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(n, kind)) for name, kind in _KINDS.items()], names=list(_KINDS))
+def _rows(count: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(count, kind)) for name, kind in _KINDS.items()], names=list(_KINDS))
 
 
-def swept(texts: DataFrame, exact: tuple[int, Known | None] | None, hashed: tuple[int, Known, int] | None) -> DataFrame:
-    """One pass: rows of exact counts (lang, phrase, h, f), and packs of hashes (bucket, pack)."""
+def swept(texts: DataFrame, exact: tuple[int, Known] | None, hashed: tuple[int, Known | None, int] | None) -> DataFrame:
+    """One pass, written: packs of exact counts (lang, bucket, pack), of hashes (bucket, pack), and numbers of words (lang, n)."""
     sent = texts.sparkSession.sparkContext.broadcast((exact, hashed))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,12 +283,20 @@ def swept(texts: DataFrame, exact: tuple[int, Known | None] | None, hashed: tupl
         for counter in counters:
             yield from counter.rows()
 
-    return texts.mapInArrow(kernel, _SCHEMA)
+    return cut(texts.mapInArrow(kernel, _SCHEMA), "sweep")
+
+
+def summed(rows: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, f): exact counts of all tasks that reach `least`. A group holds some BUCKET phrases at most."""
 
+    def total(table: pa.Table) -> pa.Table:
+        parts = [unpacked(pack) for pack in table.column("pack").to_pylist()]
+        every = pa.table({"phrase": pa.chunked_array([pa.array(p, pa.string()) for p, _ in parts]), "f": np.concatenate([f for _, f in parts])})
+        sums = every.group_by("phrase").aggregate([("f", "sum")])
+        kept = sums.filter(pc.greater_equal(sums.column("f_sum"), least))
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * kept.num_rows, pa.string()), "phrase": kept.column("phrase"), "f": kept.column("f_sum")})
 
-def summed(rows: DataFrame) -> DataFrame:
-    """Exact counts of all tasks. Dealt by the hash before the sum: tasks have summed already, so a second partial sum would only hold memory."""
-    return rows.filter(F.col("phrase").isNotNull()).select("lang", "phrase", "h", "f").repartition("h").groupBy("h", "lang", "phrase").agg(F.sum("f").alias("f")).select("lang", "phrase", "h", "f")
+    return rows.filter(F.col("lang").isNotNull() & F.col("pack").isNotNull()).select("lang", "bucket", "pack").groupBy("lang", "bucket").applyInArrow(total, "lang string, phrase string, f long")
 
 
 def frequent_hashes(rows: DataFrame, least: int) -> DataFrame:
@@ -284,30 +312,22 @@ def frequent_hashes(rows: DataFrame, least: int) -> DataFrame:
         kept = key[total >= min(least, MOST)].astype(np.int64)
         return pa.table({"s": pa.array(kept | (table.column("bucket")[0].as_py() << 32))})
 
-    return rows.filter(F.col("pack").isNotNull()).select("bucket", "pack").groupBy("bucket").applyInArrow(reached, "s long")
+    return rows.filter(F.col("lang").isNull()).select("bucket", "pack").groupBy("bucket").applyInArrow(reached, "s long")
 
 
 def levels(docs: DataFrame, least: int = LEAST, length: int = LENGTH, text: str = "text", lang: str = "lang", most: int = HASHES, bits: int = BITS) -> tuple[DataFrame, list[DataFrame]]:
-    """(totals, levels): words of each lang (lang, n), and the frequent k-grams (lang, phrase, h, f) for k = 1..length."""
+    """(totals, levels): words of each lang (lang, n), and the frequent k-grams (lang, phrase, f) for k = 1..length."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    words = cut(summed(swept(texts, (1, None), None)), "words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    total = words.agg(F.sum("f")).first()[0] or 0
-    buckets = 1 << max(0, total // BUCKET).bit_length()
-    level = cut(words.filter(F.col("f") >= least), "level")
-    found, exact = [level], None
-    # the short hash of a level's own h, as `short` makes it
-    width = buckets.bit_length() - 1
-    low = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))
-    named = level.select((low.bitwiseOR(F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - width)), F.lit(32))) if width else low).alias("s"))
-    before = known(named, buckets, most, bits)
-    for k in range(2, length + 2):
-        rows = cut(swept(texts, exact, (k, before, buckets) if k <= length else None), "sweep") if k <= length else swept(texts, exact, None)
-        if exact is not None:
-            found.append(cut(summed(rows).filter(F.col("f") >= least), "level"))
-        if k <= length:
-            before = known(cut(frequent_hashes(rows, least), "hashes"), buckets, most, bits)
-            exact = (k, before)
+    # buckets by the size of the table: a bucket takes the hashes of some 4 bytes a word and BUCKET words
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 << (size // 4 // BUCKET).bit_length()
+    rows = swept(texts, None, (1, None, buckets))
+    totals = rows.filter(F.col("n").isNotNull()).groupBy("lang").agg(F.sum("n").alias("n"))
+    found = []
+    for k in range(1, length + 1):
+        held = known(cut(frequent_hashes(rows, least), "hashes"), buckets, most, bits)
+        rows = swept(texts, (k, held), (k + 1, held, buckets) if k < length else None)
+        found.append(cut(summed(rows, least), "level"))
     return totals, found
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,10 +12,12 @@ from folium.catalog.documents import HTML_SERIALIZE_SQL
 from folium.catalog.values import table
 from folium.operators.alignment import aligned, fidelity_lines
 from folium.operators.content import violations, xml_elements
+from folium.operators.marks import bookmarks, fields
 from folium.operators.markup import nodes_to_docx, nodes_to_html
 from folium.operators.selectors import cascaded, inline_sheet, sheet_tables
-from folium.session import cut, spread
+from folium.session import cut, shared_dir, spread
 from folium.sources import documents as D
+from folium.sources.packages import read_packages, write_packages
 
 
 def _nodes(spark, sf_dir):
@@ -248,10 +252,73 @@ n AS (SELECT page_id, count(*) FILTER (regexp_replace(regexp_replace(line, '<[^>
 SELECT page_id, stage, kept, 0 AS moved, 0 AS lost, 0 AS added FROM n, (VALUES ('package'), ('back'), ('again')) v(stage)
 """
 
+def _marks(spark, sf_dir, kinds):
+    """Lines of each supplier in order as marks, by what was sold."""
+    place = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    line = table(spark, sf_dir, "lineitem")
+    return line.select(F.col("l_suppkey").alias("k"), F.row_number().over(place).alias("pos"), F.get(F.array(*map(F.lit, kinds)), (F.col("l_partkey") % len(kinds)).cast("int")).alias("mark"), F.col("l_linenumber").cast("string").alias("text"), (F.col("l_orderkey") % 7).alias("id"))
+
+
+def field_marks(spark, sf_dir):
+    """Complex fields over many rows, nested, some never closed, some ends without a begin."""
+    found = fields(_marks(spark, sf_dir, ("begin", "end", "separate", "instr", "text")), ["k"])
+    return found.select("k", "start", "separate", "end", F.md5("instr").alias("instr"), F.md5("value").alias("value"), "status")
+
+
+_MARKS_SQL = """
+l AS (SELECT l_suppkey AS k, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS INT) AS pos, l_partkey AS p, CAST(l_linenumber AS VARCHAR) AS text, l_orderkey % 7 AS id FROM lineitem)
+"""
+
+FIELD_MARKS_SQL = f"""
+WITH {_MARKS_SQL},
+m AS (SELECT k, pos, ['begin', 'end', 'separate', 'instr', 'text'][p % 5 + 1] AS mark, text, sum(CASE p % 5 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END) OVER (PARTITION BY k ORDER BY pos) AS s FROM l),
+b AS (SELECT m.k, m.pos AS start, m.s, min(e.pos) AS "end" FROM m LEFT JOIN m e ON e.k = m.k AND e.mark = 'end' AND e.s = m.s - 1 AND e.pos > m.pos WHERE m.mark = 'begin' GROUP BY ALL),
+o AS (SELECT m.k, m.pos, m.mark, m.text, max(b.start) AS start FROM m JOIN b ON b.k = m.k AND b.s = m.s AND b.start < m.pos AND (b."end" IS NULL OR b."end" > m.pos) WHERE m.mark NOT IN ('begin', 'end') GROUP BY ALL),
+c AS (SELECT k, start, min(pos) AS cut FROM o WHERE mark = 'separate' GROUP BY ALL),
+t AS (
+  SELECT b.k, b.start, c.cut, b."end", coalesce(string_agg(o.text, '' ORDER BY o.pos) FILTER (o.mark = 'instr' AND (c.cut IS NULL OR o.pos < c.cut)), '') AS instr, coalesce(string_agg(o.text, '' ORDER BY o.pos) FILTER (o.mark = 'text' AND o.pos > c.cut), '') AS value
+  FROM b LEFT JOIN c ON c.k = b.k AND c.start = b.start LEFT JOIN o ON o.k = b.k AND o.start = b.start GROUP BY ALL)
+SELECT k, start, cut AS separate, "end", md5(instr) AS instr, md5(value) AS value, CASE WHEN "end" IS NULL THEN 'unclosed' ELSE 'closed' END AS status FROM t
+UNION ALL SELECT k, NULL, NULL, pos, md5(''), md5(''), 'stray' FROM m WHERE mark = 'end' AND NOT EXISTS (SELECT 1 FROM b WHERE b.k = m.k AND b."end" = m.pos)
+"""
+
+
+def bookmark_marks(spark, sf_dir):
+    """Bookmarks by id: closed, crossing, unclosed and stray ones."""
+    marks = _marks(spark, sf_dir, ("begin", "end", "x")).withColumn("name", F.concat(F.lit("b"), F.col("id").cast("string")))
+    return bookmarks(marks, ["k"]).groupBy("k", "id", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
+BOOKMARK_MARKS_SQL = f"""
+WITH {_MARKS_SQL},
+m AS (SELECT k, pos, id, p % 3 = 0 AS opens, lead(p % 3 = 0) OVER w AS next_opens, lead(pos) OVER w AS next, lag(p % 3 = 0) OVER w AS last_opens FROM l WHERE p % 3 < 2 WINDOW w AS (PARTITION BY k, id ORDER BY pos)),
+b AS (SELECT k, id, pos AS s, CASE WHEN NOT next_opens THEN next END AS e FROM m WHERE opens),
+u AS (SELECT k, s AS pos, 1 AS d, id, s, e FROM b WHERE e IS NOT NULL UNION ALL SELECT k, e, -1, id, s, e FROM b WHERE e IS NOT NULL),
+r AS (SELECT *, sum(d) OVER (PARTITION BY k ORDER BY pos) - CASE WHEN d = 1 THEN 1 ELSE 0 END AS v FROM u),
+x AS (SELECT k, s, bool_or(other <> id) AS crosses FROM (SELECT *, CASE WHEN d = 1 THEN lead(id) OVER w ELSE lag(id) OVER w END AS other FROM r WINDOW w AS (PARTITION BY k, v ORDER BY pos)) GROUP BY k, s),
+f AS (
+  SELECT b.k, b.id, b.s, b.e, CASE WHEN e IS NULL THEN 'unclosed' WHEN crosses THEN 'crossing' ELSE 'closed' END AS status FROM b LEFT JOIN x ON x.k = b.k AND x.s = b.s
+  UNION ALL SELECT k, id, NULL, pos, 'stray' FROM m WHERE NOT opens AND last_opens IS NOT TRUE)
+SELECT k, id, status, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM f GROUP BY ALL
+"""
+
+def packages_committed(spark, sf_dir):
+    """Pages as packages in a folder of the store that the session shares, read back: which, and whether the bytes are the same."""
+    packed = cut(D.to_docx(spread(table(spark, sf_dir, "pages")), "page_id", "html"), "packed")
+    folder = f"{shared_dir(spark).rstrip('/')}/folium-packages-{uuid.uuid4().hex}"
+    write_packages(packed, folder)
+    back = read_packages(spark, folder).select(F.col("name").cast("long").alias("page_id"), F.sha2("content", 256).alias("_sha"))
+    return packed.join(back, F.col("doc_id") == F.col("page_id"), "full").select("page_id", (F.sha2("content", 256) == F.col("_sha")).alias("same"))
+
+
+PACKAGES_COMMITTED_SQL = "SELECT page_id, true AS same FROM pages"
+
 CATALOG = [
     ("nodes_html", nodes_html, HTML_SERIALIZE_SQL), ("nodes_html_edited", nodes_html_edited, NODES_HTML_EDITED_SQL), ("nodes_docx", nodes_docx, NODES_DOCX_SQL),
     ("docs_from_order_rows", docs_from_order_rows, DOCS_FROM_ORDER_ROWS_SQL), ("docs_from_rows_html", docs_from_rows_html, DOCS_FROM_ROWS_HTML_SQL),
     ("xml_tree", xml_tree, XML_TREE_SQL), ("content_violations", content_violations, CONTENT_VIOLATIONS_SQL), ("content_violations_wide", content_violations_wide, CONTENT_VIOLATIONS_WIDE_SQL),
     ("selector_matches", selector_matches, SELECTOR_MATCHES_SQL), ("sheet_inlined", sheet_inlined, SHEET_INLINED_SQL),
     ("lines_aligned", lines_aligned, LINES_ALIGNED_SQL), ("fidelity_lines", fidelity_lines_report, FIDELITY_LINES_SQL),
+    ("field_marks", field_marks, FIELD_MARKS_SQL), ("bookmark_marks", bookmark_marks, BOOKMARK_MARKS_SQL),
+    ("packages_committed", packages_committed, PACKAGES_COMMITTED_SQL),
 ]

@@ -11,6 +11,7 @@ from folium.build.bulk import compile_template, docs_from_rows
 from folium.catalog.documents import HTML_SERIALIZE_SQL
 from folium.catalog.values import table
 from folium.operators.alignment import aligned, fidelity_lines
+from folium.operators.cascade import cascade_runs
 from folium.operators.content import violations, xml_elements
 from folium.operators.marks import bookmarks, fields
 from folium.operators.markup import nodes_to_docx, nodes_to_html
@@ -313,6 +314,46 @@ def packages_committed(spark, sf_dir):
 
 PACKAGES_COMMITTED_SQL = "SELECT page_id, true AS same FROM pages"
 
+def cascade_of_runs(spark, sf_dir):
+    """Lines as runs of orders, customers' groups as documents: six layers, style chains, toggles and theme colours."""
+    o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    doc = spark.range(25).select(F.col("id").alias("doc_id"))
+    k = doc.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("k"))
+    sid = lambda n: F.concat(F.lit("s"), n.cast("string"))
+    styles = k.select("doc_id", sid(F.col("k")).alias("style_id"), F.when(F.col("k") == 1, "character").otherwise("paragraph").alias("kind"), F.when(F.col("k") >= 3, sid(F.col("k") - 3)).when((F.col("k") == 0) & (F.col("doc_id") == 7), "s6").alias("based_on"), (F.col("k") < 2).alias("is_default"))
+    lines = line.join(o.select("o_orderkey", (F.col("o_custkey") % 25).alias("doc_id")), F.col("l_orderkey") == F.col("o_orderkey"))
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = lines.withColumn("run_id", F.concat_ws(".", F.col("l_orderkey").cast("string"), F.row_number().over(place).cast("string")))
+    runs = lines.select("doc_id", "run_id", F.when(F.col("l_orderkey") % 7 != 0, sid(F.col("l_orderkey") % 5 + 2)).alias("p_style"), F.when(F.col("l_partkey") % 3 == 0, sid(F.col("l_partkey") % 9)).alias("r_style"))
+    own = lambda where, name, value, theme="CAST(NULL AS STRING)": k.filter(where).selectExpr("doc_id", "'style' AS owner", "concat('s', k) AS owner_id", f"'{name}' AS name", f"{value} AS value", f"{theme} AS theme")
+    rows = own("(k + doc_id) % 2 = 0", "size", "CAST(10 + k AS STRING)").unionByName(own("(k * doc_id) % 3 = 1", "bold", "CASE WHEN k % 2 = 1 THEN 'off' END")).unionByName(own("(k + doc_id) % 4 = 0", "color", "CASE WHEN k % 8 <> 4 THEN concat('00000', k) END", "concat('Accent', k % 3 + 1)"))
+    rows = rows.unionByName(doc.selectExpr("doc_id", "'defaults' AS owner", "CAST(NULL AS STRING) AS owner_id", "explode(map('size', '20', 'color', '111111', 'font', 'Doc')) AS (name, value)", "CAST(NULL AS STRING) AS theme"))
+    rows = rows.unionByName(lines.filter("l_linenumber = 2").selectExpr("doc_id", "'run' AS owner", "run_id AS owner_id", "'bold' AS name", "'0' AS value", "CAST(NULL AS STRING) AS theme"))
+    rows = rows.unionByName(lines.filter("l_linenumber = 3").selectExpr("doc_id", "'run' AS owner", "run_id AS owner_id", "'color' AS name", "CASE WHEN l_suppkey % 2 = 0 THEN 'abcdef' END AS value", "concat('accent', l_suppkey % 5) AS theme"))
+    theme = doc.filter("doc_id % 5 <> 0").selectExpr("doc_id", "explode(map('accent1', 'aa0001', 'accent2', 'aa0002', 'accent3', 'aa0003')) AS (theme, value)")
+    return cascade_runs(runs, styles, rows, theme).groupBy("doc_id", "name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+CASCADE_OF_RUNS_SQL = """
+WITH RECURSIVE l AS (
+  SELECT o_custkey % 25 AS doc_id, l_orderkey || '.' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS run_id, l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+s AS (SELECT d AS doc_id, k, CASE WHEN k >= 3 THEN k - 3 WHEN k = 0 AND d = 7 THEN 6 END AS up FROM range(25) a(d), range(8) b(k)),
+c AS (SELECT doc_id, k AS id, k AS at, 0 AS distance, [k] AS seen FROM s UNION ALL SELECT c.doc_id, c.id, s.up, c.distance + 1, list_append(c.seen, s.up) FROM c JOIN s ON s.doc_id = c.doc_id AND s.k = c.at WHERE s.up IS NOT NULL AND NOT list_contains(c.seen, s.up)),
+th AS (SELECT d AS doc_id, 'accent' || i AS theme, 'aa000' || i AS value FROM range(25) a(d), range(1, 4) b(i) WHERE d % 5 <> 0),
+p AS (
+  SELECT doc_id, k, 'size' AS name, CAST(10 + k AS VARCHAR) AS value FROM s WHERE (k + doc_id) % 2 = 0 UNION ALL SELECT doc_id, k, 'bold', CASE WHEN k % 2 = 1 THEN 'false' ELSE 'true' END FROM s WHERE (k * doc_id) % 3 = 1
+  UNION ALL SELECT s.doc_id, k, 'color', coalesce(th.value, CASE WHEN k % 8 <> 4 THEN '00000' || k END) FROM s LEFT JOIN th ON th.doc_id = s.doc_id AND th.theme = 'accent' || (k % 3 + 1) WHERE (k + s.doc_id) % 4 = 0),
+e AS (SELECT c.doc_id, c.id, p.name, arg_min(p.value, c.distance) AS value FROM c JOIN p ON p.doc_id = c.doc_id AND p.k = c.at WHERE p.value IS NOT NULL GROUP BY ALL),
+a AS (SELECT doc_id, run_id, 1 AS rank, 0 AS style FROM l UNION ALL SELECT doc_id, run_id, 2, 1 FROM l UNION ALL SELECT doc_id, run_id, 3, l_orderkey % 5 + 2 FROM l WHERE l_orderkey % 7 <> 0 UNION ALL SELECT doc_id, run_id, 4, l_partkey % 9 FROM l WHERE l_partkey % 3 = 0),
+v AS (
+  SELECT a.doc_id, a.run_id, a.rank, e.name, e.value FROM a JOIN e ON e.doc_id = a.doc_id AND e.id = a.style
+  UNION ALL SELECT doc_id, run_id, 0, d.name, d.value FROM l, (VALUES ('size', '20'), ('color', '111111'), ('font', 'Doc')) d(name, value)
+  UNION ALL SELECT doc_id, run_id, 5, 'bold', 'false' FROM l WHERE l_linenumber = 2
+  UNION ALL SELECT l.doc_id, run_id, 5, 'color', coalesce(th.value, CASE WHEN l_suppkey % 2 = 0 THEN 'abcdef' END) FROM l LEFT JOIN th ON th.doc_id = l.doc_id AND th.theme = 'accent' || (l_suppkey % 5) WHERE l_linenumber = 3),
+w AS (SELECT doc_id, run_id, name, arg_max(value, rank) AS value FROM v WHERE value IS NOT NULL GROUP BY ALL)
+SELECT doc_id, name, value, count(*) AS n FROM w GROUP BY ALL
+"""
+
 CATALOG = [
     ("nodes_html", nodes_html, HTML_SERIALIZE_SQL), ("nodes_html_edited", nodes_html_edited, NODES_HTML_EDITED_SQL), ("nodes_docx", nodes_docx, NODES_DOCX_SQL),
     ("docs_from_order_rows", docs_from_order_rows, DOCS_FROM_ORDER_ROWS_SQL), ("docs_from_rows_html", docs_from_rows_html, DOCS_FROM_ROWS_HTML_SQL),
@@ -321,4 +362,5 @@ CATALOG = [
     ("lines_aligned", lines_aligned, LINES_ALIGNED_SQL), ("fidelity_lines", fidelity_lines_report, FIDELITY_LINES_SQL),
     ("field_marks", field_marks, FIELD_MARKS_SQL), ("bookmark_marks", bookmark_marks, BOOKMARK_MARKS_SQL),
     ("packages_committed", packages_committed, PACKAGES_COMMITTED_SQL),
+    ("cascade_of_runs", cascade_of_runs, CASCADE_OF_RUNS_SQL),
 ]

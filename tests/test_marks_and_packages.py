@@ -98,3 +98,33 @@ def test_a_failing_task_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="not a file name"):
         write_packages(spark.createDataFrame([("../x", b"y")], "doc_id string, content binary"), folder)
     assert len(files(folder)) == 59
+
+
+def test_lineage_of_loops_and_gaps(spark):
+    from folium.operators.cascade import lineage
+
+    ups = {1: 2, 2: 3, 3: 1, 4: 3, 5: 99, 6: None, **{k: k - 1 for k in range(11, 40)}, 10: None}
+    styles = spark.createDataFrame([(None, str(k), None if v is None else str(v)) for k, v in ups.items()], "doc int, id string, up string")
+    got: dict = {}
+    for r in lineage(styles, ["doc"], "id", "up").orderBy("distance").collect():
+        got.setdefault(int(r["id"]), []).append(int(r["ancestor"]))
+    for k in ups:
+        line, at = [k], ups[k]
+        while at in ups and at not in line:
+            line.append(at)
+            at = ups[at]
+        assert got[k] == line, k
+
+
+def test_cascade_layers(spark):
+    from folium.operators.cascade import cascade_runs
+
+    styles = spark.createDataFrame([(1, "N", "paragraph", None, True), (1, "C", "character", None, True), (1, "H", "paragraph", "N", False), (1, "R", "character", None, False)], "doc_id int, style_id string, kind string, based_on string, is_default boolean")
+    rows = [("defaults", None, "size", "20", None), ("style", "N", "size", "22", None), ("style", "N", "bold", None, None), ("style", "H", "color", "000001", "Accent1"), ("style", "R", "bold", "0", None), ("style", "R", "color", None, "gone"), ("run", "r3", "bold", "off", None), ("run", "r3", "color", "00ff00", None), ("run", "none", "size", "9", None)]
+    properties = spark.createDataFrame([(1, *r) for r in rows], "doc_id int, owner string, owner_id string, name string, value string, theme string")
+    theme = spark.createDataFrame([(1, "accent1", "abcdef")], "doc_id int, theme string, value string")
+    runs = spark.createDataFrame([(1, "r1", None, None), (1, "r2", "H", "R"), (1, "r3", "H", "missing"), (2, "r4", None, None)], "doc_id int, run_id string, p_style string, r_style string")
+    got = {(r["run_id"], r["name"]): r["value"] for r in cascade_runs(runs, styles, properties, theme).collect()}
+    assert got == {
+        ("r1", "size"): "22", ("r1", "bold"): "true", ("r2", "size"): "22", ("r2", "bold"): "false", ("r2", "color"): "abcdef", ("r3", "size"): "22", ("r3", "bold"): "false", ("r3", "color"): "00ff00",
+    }

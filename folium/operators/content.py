@@ -84,10 +84,16 @@ def automaton(places: Sequence[Slot]) -> tuple[dict[str, list[int]], dict[str, l
     return moves, faults, skips, [skipped(s, len(places)) for s in states]
 
 
-def model_table(spark: SparkSession, models: dict[str, str] = MODELS) -> DataFrame:
-    """One row a parent: its automaton as maps from names to arrays over states. As large as the models, whatever is checked."""
-    rows = [(parent, *automaton(slots(model))) for parent, model in models.items()]
-    return spark.createDataFrame(rows, "_parent string, moves map<string,array<int>>, faults map<string,array<string>>, skips map<string,array<string>>, ends array<string>")
+def model_table(spark: SparkSession, models: dict[str, str] = MODELS) -> tuple[DataFrame, DataFrame]:
+    """(automata, codes): one row a parent, its tables by code and state; and the code of each name. As large as the models, whatever is checked."""
+    automata, codes = [], []
+    for parent, model in models.items():
+        moves, faults, skips, ends = automaton(slots(model))
+        names = sorted(moves)
+        automata.append((parent, [moves[n] for n in names], [faults[n] for n in names], [skips[n] for n in names], ends))
+        codes += [(parent, n, k) for k, n in enumerate(names)]
+    tables = spark.createDataFrame(automata, "_parent string, moves array<array<int>>, faults array<array<string>>, skips array<array<string>>, ends array<string>")
+    return tables, spark.createDataFrame(codes, "_parent string, _name string, code int")
 
 
 def xml_elements(df: DataFrame, keys: Sequence[str], xml: str) -> DataFrame:
@@ -133,14 +139,18 @@ def violations(children: DataFrame, keys: Sequence[str], models: dict[str, str]
     null if the children end before it). Parents without a model are not checked; a parent without children is not seen, so
     rows with a null name stand for empty ones. Equal positions are taken in the order of their names.
     """
-    table = model_table(children.sparkSession, models)
+    tables, codes = model_table(children.sparkSession, models)
     part = F.floor((F.coalesce("pos", F.lit(1)) - 1) / chunk)
-    grouped = children.groupBy(*keys, "parent", part.alias("chunk")).agg(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("pos", "name")))).alias("items"))
-    named = cut(grouped.join(F.broadcast(table), F.col("parent") == F.col("_parent")).drop("_parent"), "content")
-    at = lambda column, name, state: F.get(F.try_element_at(F.col(column), name), state)
-    go = lambda name, state: F.coalesce(at("moves", name, state), at("moves", F.lit("ANY"), state), state)
+    rest = codes.filter("_name = 'ANY'").select(F.col("_parent").alias("_any"), F.col("code").alias("any_code"))
+    # a child's code; the models' own tables are what is broadcast. -1: a name that has no place
+    coded = children.join(F.broadcast(codes), (F.col("parent") == F.col("_parent")) & (F.col("name") == F.col("_name")), "left").join(F.broadcast(rest), F.col("parent") == F.col("_any"), "left")
+    entry = F.when(F.col("name").isNotNull(), F.struct("pos", "name", F.coalesce("code", "any_code", F.lit(-1)).alias("code")))
+    grouped = coded.groupBy(*keys, "parent", part.alias("chunk")).agg(F.array_sort(F.collect_list(entry)).alias("items"))
+    named = cut(grouped.join(F.broadcast(tables), F.col("parent") == F.col("_parent")).drop("_parent"), "content")
+    at = lambda column, code, state: F.get(F.get(F.col(column), code), state)
+    go = lambda code, state: F.coalesce(at("moves", code, state), state)
     identity = F.transform(F.sequence(F.lit(0), F.size("ends") - 1), lambda s: s)
-    maps = named.filter(F.col("items").isNotNull()).select(*keys, "parent", "chunk", F.aggregate("items", identity, lambda m, x: F.transform(m, lambda s: go(x["name"], s))).alias("map"))
+    maps = named.filter(F.col("items").isNotNull()).select(*keys, "parent", "chunk", F.aggregate("items", identity, lambda m, x: F.transform(m, lambda s: go(x["code"], s))).alias("map"))
     chunks = F.array_sort(F.collect_list(F.struct("chunk", "map")))
     start = F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<chunk:bigint,state:int>>").alias("entries"))
     walk = lambda acc, x: F.struct(F.get(x["map"], acc["state"]).alias("state"), F.concat(acc["entries"], F.array(F.struct(x["chunk"].alias("chunk"), acc["state"].alias("state")))).alias("entries"))
@@ -149,15 +159,15 @@ def violations(children: DataFrame, keys: Sequence[str], models: dict[str, str]
     entries = entries.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("parent").alias("_parent"), F.col("e.chunk").alias("_chunk"), F.col("e.state").alias("state"), (F.row_number().over(Window.partitionBy(*keys, "parent").orderBy(F.desc("e.chunk"))) == 1).alias("last"))
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("parent") == F.col("_parent"), F.col("chunk") == F.col("_chunk")]
     ready = named.join(entries, on).drop(*[f"_{k}" for k in keys], "_parent", "_chunk")
-    fault = lambda name, state: F.when(F.map_contains_key("faults", name), at("faults", name, state)).when(F.map_contains_key("faults", F.lit("ANY")), at("faults", F.lit("ANY"), state)).otherwise("unknown")
-    skip = lambda name, state: F.coalesce(at("skips", name, state), F.when(~F.map_contains_key("skips", name), at("skips", F.lit("ANY"), state)))
+    fault = lambda code, state: F.when(code < 0, "unknown").otherwise(at("faults", code, state))
+    skip = lambda code, state: at("skips", code, state)
     found = "array<struct<pos:int,name:string,fault:string>>"
 
     def replay(acc, x):
-        state, name = acc["state"], x["name"]
-        own = F.when(fault(name, state).isNotNull(), F.array(F.struct(x["pos"].cast("int").alias("pos"), name.alias("name"), fault(name, state).alias("fault")))).otherwise(F.array().cast(found))
-        gone = F.when(skip(name, state).isNotNull(), F.array(F.struct(x["pos"].cast("int").alias("pos"), skip(name, state).alias("name"), F.lit("missing").alias("fault")))).otherwise(F.array().cast(found))
-        return F.struct(go(name, state).alias("state"), F.concat(acc["found"], own, gone).alias("found"))
+        state, code = acc["state"], x["code"]
+        told = lambda name, what: F.struct(x["pos"].cast("int").alias("pos"), name.alias("name"), what.alias("fault"))
+        own = F.filter(F.array(told(x["name"], fault(code, state)), told(skip(code, state), F.lit("missing"))), lambda v: v["fault"].isNotNull() & v["name"].isNotNull())
+        return F.struct(go(code, state).alias("state"), F.when(F.size(own) > 0, F.concat(acc["found"], own)).otherwise(acc["found"]).alias("found"))
 
     begun = F.struct(F.col("state").alias("state"), F.array().cast(found).alias("found"))
     done = ready.withColumn("r", F.aggregate("items", begun, replay))

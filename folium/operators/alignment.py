@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions.text import normalize_text
+from folium.session import cut
 from folium.sources import documents as D
 
 
@@ -93,12 +94,12 @@ def fidelity_lines(df: DataFrame, id: str, html: str) -> DataFrame:
     package: written as a package and read; back: that package as HTML, read; again: a second round of both. Each stage is
     aligned with the one before it.
     """
-    packed = D.to_docx(df, id, html).select("doc_id", "content")
-    page = D.to_html(packed, "doc_id", "content").select("doc_id", "body")
+    packed = cut(D.to_docx(df, id, html).select("doc_id", "content"), "packed")
+    page = cut(D.to_html(packed, "doc_id", "content").select("doc_id", "body"), "page")
     steps = [("package", D.nodes(packed, "doc_id", "content", "docx")), ("back", D.nodes(page, "doc_id", "body")), ("again", D.nodes(D.to_docx(page, "doc_id", "body").select("doc_id", "content"), "doc_id", "content", "docx"))]
-    before, out = text_lines(D.nodes(df, id, html)), None
+    before, out = cut(text_lines(D.nodes(df, id, html)), "lines"), None
     for stage, nodes in steps:
-        now = text_lines(nodes)
+        now = cut(text_lines(nodes), "lines")  # each is compared with the stage before and the one behind
         found = aligned(before, now, ["doc_id"]).select("doc_id", F.lit(stage).alias("stage"), "line", "old_pos", "new_pos", "fate")
         out, before = found if out is None else out.unionByName(found), now
     return out

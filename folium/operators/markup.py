@@ -137,7 +137,7 @@ def nodes_to_html(nodes: DataFrame, media: DataFrame | None = None) -> DataFrame
     media(media_sha, mime, content) gives the images; one that is not in it keeps its digest as its source.
     A document without a body row has a null body, an "error" row gives no markup, and an empty table an empty result.
     """
-    placed = _list_places(nodes.filter(F.col("kind") != "error"))
+    placed = _list_places(cut(nodes.filter(F.col("kind") != "error"), "nodes"))  # read several times: lists, cells and the fold
     if media is not None:
         found = media.select("media_sha", F.concat(F.lit("data:"), "mime", F.lit(";base64,"), F.base64("content")).alias("_src")).dropDuplicates(["media_sha"])
         placed = placed.join(found, "media_sha", "left")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.catalog import documents, packages, structure, trees, values
+from folium.catalog import documents, layout, packages, structure, trees, values
 
-ALL = [*documents.CATALOG, *packages.CATALOG, *structure.CATALOG, *trees.CATALOG, *values.CATALOG]
+ALL = [*documents.CATALOG, *layout.CATALOG, *packages.CATALOG, *structure.CATALOG, *trees.CATALOG, *values.CATALOG]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.llm.url_filters import DEEPEST, filter_urls, parse_rules
+from folium.llm.url_filters import filter_urls, parse_rules
 from folium.session import spread
 
 #: The rules that the query's contract fixes.
@@ -47,13 +47,8 @@ FROM j LEFT JOIN t ON j.host = t.host AND coalesce(j.shape, '') = t.shape LEFT J
 
 
 def _tree_sql(deepest: int) -> str:
-    """The tree, depth by depth: x<d> has the shapes of at least d segments with the template of the first d."""
-    out = [
-        f"""x0 AS (
-  SELECT host, shape, n, nb, na, '' AS template,
-    CASE WHEN len(string_split(shape, '/')) > {deepest} THEN list_append(string_split(shape, '/')[1:{deepest - 1}], array_to_string(string_split(shape, '/')[{deepest}:], '/'))
-      ELSE string_split(shape, '/') END AS parts FROM s)"""
-    ]
+    """The tree, depth by depth: x<d> has the shapes of at least d segments with the template of the first d. Deeper shapes would be missing."""
+    out = ["x0 AS (SELECT host, shape, n, nb, na, '' AS template, string_split(shape, '/') AS parts FROM s)"]
     for d in range(deepest):
         path = "l.label" if d == 0 else "x.template || '/' || l.label"
         out += [
@@ -74,4 +69,4 @@ def _tree_sql(deepest: int) -> str:
     return ",\n".join([*out, f"t AS ({ends})"]) + ","
 
 
-OP1_SQL = _SQL.replace("@TREE@", _tree_sql(DEEPEST))
+OP1_SQL = _SQL.replace("@TREE@", _tree_sql(16))

@@ -15,6 +15,7 @@ first, so that Spark broadcasts them if they are small and adaptive execution sp
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -25,14 +26,12 @@ from pyspark.sql import functions as F
 from folium.llm.text import lower_ascii
 from folium.session import cut
 
-#: Rules become literals of one expression; more would not compile to one method.
-MAX_RULES = 200
+#: Buckets of the constant in which the rules of a host are looked up.
+BUCKETS = 1024
 #: A child among at least so many, with at most TWICE the even share of rows, is a variable segment.
 FANOUT, TWICE = 8, 2
 #: Labelled urls on both sides that a comparison of shares needs, and the |z| below which shares are alike.
 LEAST, ALIKE = 5, 1.0
-#: Depths of the tree; the rest of a deeper path is one segment.
-DEEPEST = 12
 #: Pseudo-counts of the smoothing, and the purity from which a template is rejected.
 PRIOR, REJECT = 4.0, 0.5
 
@@ -57,8 +56,6 @@ def parse_rules(lines: Sequence[str]) -> list[Rule]:
         if verdict not in ("allow", "block") or not slash:
             raise ValueError(f"not a rule: {line}")
         found.append(Rule(verdict, host.lower(), slash + path))
-    if len(found) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     return found
 
 
@@ -71,12 +68,25 @@ def path_of(url: Column) -> Column:
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """The text of the longest rule that fits, else null."""
-    out = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: (len(r.text), r.text)):
-        fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
-        out = F.when(fits, F.lit(rule.text)).otherwise(out)
-    return out
+    """struct(text, verdict) of the longest rule that fits, else null; of equally long ones the later text.
+
+    The rules are a constant, an array of buckets by the hash of their host, and a host's suffixes are looked up in it:
+    a row's work does not grow with the number of rules. If rules of one text differ in verdict, the last counts.
+    """
+    import xxhash
+
+    last = {r.text: r for r in rules}
+    buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
+    for rule in last.values():
+        place = xxhash.xxh64_intdigest(rule.host.encode("utf-8"), 42)  # what F.xxhash64 gives
+        buckets[(place - (1 << 64) if place >> 63 else place) % BUCKETS].append({"host": rule.host, "path": rule.path, "size": len(rule.text), "text": rule.text, "verdict": rule.verdict})
+    kind = "struct<host:string,path:string,size:int,text:string,verdict:string>"
+    known = F.from_json(F.lit(json.dumps(buckets)), f"array<array<{kind}>>")
+    labels = F.split(host, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    near = F.flatten(F.transform(suffixes, lambda s: F.filter(F.get(known, F.pmod(F.xxhash64(s), F.lit(BUCKETS)).cast("int")), lambda r: r["host"] == s)))
+    fits = F.transform(F.filter(near, lambda r: path.startswith(r["path"])), lambda r: F.struct(r["size"], r["text"].alias("text"), r["verdict"].alias("verdict")))
+    return F.array_max(fits)
 
 
 def shape_of(path: Column) -> Column:
@@ -88,34 +98,36 @@ def shape_of(path: Column) -> Column:
 
 def judged(pages: DataFrame, rules: Sequence[Rule], url: str = "url", page_id: str = "page_id") -> DataFrame:
     """page_id, host, path, rule, labelled verdict and shape of every page."""
-    by_text = {r.text: r.verdict for r in rules}
     parsed = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    ruled = parsed.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
-    blocked = F.col("rule").isin([t for t, v in by_text.items() if v == "block"])
-    return ruled.withColumn("label", F.when(F.col("rule").isNull(), F.lit(None)).when(blocked, F.lit("block")).otherwise("allow")).withColumn("shape", shape_of(F.col("path")))
+    ruled = parsed.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
+    return ruled.select("page_id", "host", "path", F.col("_rule.text").alias("rule"), F.col("_rule.verdict").alias("label"), shape_of(F.col("path")).alias("shape"))
 
 
 def template_tree(shapes: DataFrame) -> DataFrame:
-    """(host, shape, template) for shapes: (host, shape, n, nb, na), one row each."""
-    cells = F.split("shape", "/")
-    deep = F.concat(F.slice(cells, 1, DEEPEST - 1), F.array(F.array_join(F.slice(cells, DEEPEST, F.greatest(F.lit(1), F.size(cells))), "/")))
-    parts = F.when(F.size(cells) > DEEPEST, deep).otherwise(cells)
-    live = cut(shapes.select("host", "shape", "n", "nb", "na", parts.alias("parts"), F.lit("").alias("template")), "tree")
+    """(host, shape, template) for shapes: (host, shape, n, nb, na), one row each.
+
+    Each round takes every branch to its next fork: what all shapes below a template begin with is an only child at each
+    depth, which no comparison changes, so it is passed over at once. Rounds are as many as forks lie on one path,
+    not as paths have segments.
+    """
+    live = shapes.select("host", "shape", "n", "nb", "na", F.split("shape", "/").alias("parts"), F.lit("").alias("template"))
     sums = [F.sum(c).alias(c) for c in ("n", "nb", "na")]
+    below = lambda label: F.when(F.col("template") == "", label).otherwise(F.concat_ws("/", "template", label))
+    rest = lambda n: F.slice("parts", n + 1, F.greatest(F.lit(1), F.size("parts")))
     done: list[DataFrame] = []
-    for depth in range(DEEPEST):
-        done.append(live.filter(F.size("parts") <= depth).select("host", "shape", "template"))
-        live = live.filter(F.size("parts") > depth).withColumn("segment", F.element_at("parts", depth + 1))
+    while True:
+        same = F.array_position(F.zip_with(F.min("parts"), F.max("parts"), lambda a, b: a.eqNullSafe(b)), False).cast("int")
+        heads = cut(live.groupBy("host", "template").agg(F.when(same > 0, same - 1).otherwise(F.size(F.min("parts"))).alias("common")), "heads")
+        passed = F.when(F.col("common") > 0, below(F.array_join(F.slice("parts", F.lit(1), F.col("common")), "/"))).otherwise(F.col("template"))
+        live = cut(live.join(heads, ["host", "template"]).select("host", "shape", "n", "nb", "na", rest(F.col("common")).alias("parts"), passed.alias("template")), "tree")
+        done.append(live.filter(F.size("parts") == 0).select("host", "shape", "template"))
+        live = live.filter(F.size("parts") > 0).withColumn("segment", F.get("parts", 0))
         nodes = cut(live.groupBy("host", "template", "segment").agg(*sums), "nodes")
-        if not nodes.limit(1).count():
-            break
+        if nodes.isEmpty():
+            return reduce(DataFrame.union, done)
         parents = cut(nodes.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("pn"), F.sum("nb").alias("pb"), F.sum("na").alias("pa")), "parents")
         named = cut(nodes.join(parents, ["host", "template"]).select("host", "template", "segment", _label().alias("label")), "labels")
-        path = F.when(F.lit(depth == 0), F.col("label")).otherwise(F.concat_ws("/", "template", "label"))
-        live = cut(live.join(named, ["host", "template", "segment"]).select("host", "shape", "n", "nb", "na", "parts", path.alias("template")), "tree")
-    else:
-        done.append(live.select("host", "shape", "template"))
-    return reduce(DataFrame.union, done)
+        live = cut(live.join(named, ["host", "template", "segment"]).select("host", "shape", "n", "nb", "na", rest(F.lit(1)).alias("parts"), below(F.col("label")).alias("template")), "tree")
 
 
 def _label() -> Column:
@@ -148,9 +160,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", page_
     """One row per input row: page_id, host, path, rule, verdict, template, purity.
 
     verdict is the longest fitting rule's, else "block" if the template's purity reaches REJECT, else "allow".
-    A null url or one without "://" has an empty host and path, and so an empty template. From its DEEPEST-th
-    segment on a path counts as one segment. Ties of rule length
-    go to the later text. Repeated rows give repeated results; other columns are not read; an empty table
+    A null url or one without "://" has an empty host and path, and so an empty template. Paths may have any
+    number of segments, and there may be any number of rules that the driver holds. Ties of rule length go to the later text. Repeated rows give repeated results; other columns are not read; an empty table
     gives an empty result.
     """
     rows = judged(pages, rules, url, page_id)

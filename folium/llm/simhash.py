@@ -269,7 +269,7 @@ def shard_trees(distinct: DataFrame, bits: int, sample: int, most: int, shard: i
     wanted = min(max(sample, 16 * n // shard), most)
     part = max(1, -(-n // wanted))
     chosen = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(part)) == 0) if part > 1 else distinct
-    taken = np.array([r[0] for r in chosen.select("fp").limit(2 * wanted).collect()], np.int64).view(np.uint64)
+    taken = chosen.select("fp").limit(2 * wanted).toArrow().column("fp").to_numpy().astype(np.int64).view(np.uint64)  # 8 bytes each
     leaf = max(16, int(len(taken) * shard / max(n, 1)))
     return [Tree(taken, leaf, half, bits) for half in (HIGH, LOW)]
 

@@ -2,8 +2,8 @@
 
 A multinomial logistic regression over sparse word 1- and 2-grams tells licence families from each other and
 from ordinary text. It is fitted on the driver from the notices below, variants of them and ordinary sentences,
-all fixed and small. The unknown class is calibrated on variants and sentences that training did not see: the
-probability that a family needs is the least at which at most FALSE of the ordinary ones would be named. A named
+all fixed and small. The unknown class is calibrated by cross-fitting, on notices and sentences of which the judging
+model saw none: the probability that a family needs is the least at which at most FALSE of the ordinary texts would be named. A named
 paragraph must also share enough word 3-grams with the family's notices, its templates.
 
 Scoring needs no shuffle: the n-grams' weights and the templates' 3-grams are constants of some thousand entries,
@@ -122,8 +122,8 @@ ORDINARY = [
 ]
 #: A prediction needs this share of its word 3-grams among the family's notices. Share of held-out ordinary texts that may be named.
 SHARED, FALSE = 0.5, 0.01
-#: Buckets of the look-up arrays; variants of a notice in training, and as many again for calibration.
-BUCKETS, VARIANTS = 4096, 16
+#: Buckets of the look-up arrays; variants of a notice in training, and as many again for calibration; folds of the calibration.
+BUCKETS, VARIANTS, FOLDS = 4096, 16, 3
 SEGMENT = r"\n+|(?<=[.!?])\s+(?=[A-Z])"
 #: As SEGMENT, but a single line break that follows no end of a sentence divides nothing.
 SENTENCE = r"\n{2,}|(?<=[.!?])(?:\n|\s+(?=[A-Z]))"
@@ -142,13 +142,13 @@ def triples_of(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + 3]) for i in range(len(words) - 2)} or ({" ".join(words)} if words else set())
 
 
-def examples(seed: int, families: list[str]) -> tuple[list[set[str]], np.ndarray]:
+def examples(seed: int, families: list[str], notices: dict[str, list[str]], ordinary: list[str]) -> tuple[list[set[str]], np.ndarray]:
     """Seeded variants of the notices (parts, with ordinary words before them) and ordinary texts, with their classes."""
     rng = np.random.default_rng(seed)
-    filler = [w for s in ORDINARY for w in words_of(s)]
+    filler = [w for s in ordinary for w in words_of(s)]
     rows: list[tuple[set[str], int]] = []
     for k, family in enumerate(families[:-1]):
-        for notice in NOTICES[family]:
+        for notice in notices[family]:
             words = words_of(notice)
             for _ in range(VARIANTS):
                 own = list(words)
@@ -161,49 +161,70 @@ def examples(seed: int, families: list[str]) -> tuple[list[set[str]], np.ndarray
                 if rng.random() < 0.5:
                     own = [str(x) for x in rng.choice(filler, int(rng.integers(1, 5)))] + own
                 rows.append((grams_of(own), k))
-    for sentence in ORDINARY:
+    for sentence in ordinary:
         words = words_of(sentence)
         rows += [(grams_of(words), len(families) - 1)] * 6
         rows += [(grams_of([str(x) for x in rng.choice(filler, int(rng.integers(3, 30)))]), len(families) - 1) for _ in range(40)]
     return [r for r, _ in rows], np.array([k for _, k in rows])
 
 
-@lru_cache(maxsize=1)
-def model() -> dict:
-    """vocabulary, weights per class, intercepts, families, the calibrated probability and the recall on held-out variants."""
-    families = [*NOTICES, UNKNOWN]
-    rows, classes = examples(2, families)
-    seen = Counter(g for r in rows for g in r)
-    vocabulary = sorted(g for g, n in seen.items() if n >= 3)
+def fold(k: int) -> tuple[tuple[dict[str, list[str]], list[str]], tuple[dict[str, list[str]], list[str]]]:
+    """(notices, ordinary sentences) without those of fold k, and those of fold k; no sentence is in both."""
+    parts = lambda held: ({f: [n for i, n in enumerate(own) if (i % FOLDS == k) == held] for f, own in NOTICES.items()}, [s for i, s in enumerate(ORDINARY) if (i % FOLDS == k) == held])
+    return parts(False), parts(True)
+
+
+def matrix(texts: list[set[str]], vocabulary: list[str]) -> np.ndarray:
     place = {g: i for i, g in enumerate(vocabulary)}
+    x = np.zeros((len(texts), len(vocabulary)), np.float32)
+    for i, grams in enumerate(texts):
+        x[i, [place[g] for g in grams if g in place]] = 1.0
+    return x
 
-    def matrix(texts: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(texts), len(vocabulary)), np.float32)
-        for i, grams in enumerate(texts):
-            x[i, [place[g] for g in grams if g in place]] = 1.0
-        return x
 
-    def probabilities(x: np.ndarray) -> np.ndarray:
-        z = x @ w + b
-        z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
+def probabilities(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    z = x @ w + b
+    z = np.exp(z - z.max(1, keepdims=True))
+    return z / z.sum(1, keepdims=True)
 
-    x, y = matrix(rows), np.eye(len(families), dtype=np.float32)[classes]
+
+def fitted(rows: list[set[str]], classes: np.ndarray, count: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Vocabulary, weights and intercepts of a multinomial logistic regression with evenly weighing classes."""
+    seen = Counter(g for r in rows for g in r)
+    vocabulary = sorted(g for g, n in seen.items() if n >= 3)
+    x, y = matrix(rows, vocabulary), np.eye(count, dtype=np.float32)[classes]
     balance = (1.0 / y.sum(0))[classes]
     balance *= len(rows) / balance.sum()
-    w, b = np.zeros((len(vocabulary), len(families)), np.float32), np.zeros(len(families), np.float32)
+    w, b = np.zeros((len(vocabulary), count), np.float32), np.zeros(count, np.float32)
     for step in range(300):
-        g = (probabilities(x) - y) * balance[:, None] / len(rows)
+        g = (probabilities(x, w, b) - y) * balance[:, None] / len(rows)
         rate = 4.0 if step < 200 else 1.0
         w -= rate * (x.T @ g + 2e-4 * w)
         b -= rate * g.sum(0)
-    texts, truth = examples(3, families)
-    found = probabilities(matrix(texts))
+    return vocabulary, w, b
+
+
+@lru_cache(maxsize=1)
+def model() -> dict:
+    """vocabulary, weights per class, intercepts, families, the calibrated probability and the recall on unseen wordings.
+
+    Both figures come from folds: each fold's notices and sentences are judged by a model that was fitted without them. The
+    model that scores is fitted on all.
+    """
+    families = [*NOTICES, UNKNOWN]
+    held = []
+    for k in range(FOLDS):
+        own, other = fold(k)
+        vocabulary, w, b = fitted(*examples(2, families, *own), len(families))
+        texts, truth = examples(3, families, *other)
+        held.append((probabilities(matrix(texts, vocabulary), w, b), truth))
+    found, truth = np.concatenate([p for p, _ in held]), np.concatenate([t for _, t in held])
     ordinary = found[truth == len(families) - 1, :-1].max(1)
-    least = max(0.3, float(np.quantile(ordinary, 1 - FALSE)))
+    least = float(np.quantile(ordinary, 1 - FALSE))
     named = (found.argmax(1) == truth) & (found.max(1) >= least)
     recall = {f: float(named[truth == k].mean()) for k, f in enumerate(families[:-1])}
-    return {"families": families, "vocabulary": vocabulary, "weights": w, "bias": b, "least": least, "recall": recall}
+    vocabulary, w, b = fitted(*examples(2, families, NOTICES, ORDINARY), len(families))
+    return {"families": families, "vocabulary": vocabulary, "weights": w, "bias": b, "least": least, "recall": recall, "held": float((found.argmax(1) == truth).mean())}
 
 
 @lru_cache(maxsize=1)

@@ -127,7 +127,7 @@ NODE_SCHEMA = (
 
 
 #: What node tables hold of a node beside its columns, in the style map: attribute, name there.
-KEPT = (("indent", "indent"), ("hidden", "hidden"), ("cant_split", "cant_split"), ("marker_class", "marker_class"), ("grid", "grid"), ("alt", "alt"), ("width", "width"), ("height", "height"))
+KEPT = (("indent", "indent"), ("hidden", "hidden"), ("cant_split", "cant_split"), ("marker_class", "marker_class"), ("level_text", "level_text"), ("grid", "grid"), ("alt", "alt"), ("width", "width"), ("height", "height"))
 
 
 def _flat_style(style: dict) -> dict[str, str]:

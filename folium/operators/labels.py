@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.functions import labels as L
+from folium.session import cut
 
 
 def marker_sheets(levels: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -17,7 +19,12 @@ def marker_sheets(levels: DataFrame, keys: Sequence[str]) -> DataFrame:
     content stays. A document without such a class gives no row.
     """
     said = levels.withColumn("_tokens", L.tokens(F.col("level_text"))).select(*keys, "class", L.content(F.col("_tokens"), F.col("depth"), F.col("format")).alias("content"))
-    rules = said.filter("class IS NOT NULL AND content IS NOT NULL").groupBy(*keys, "class").agg(F.max("content").alias("content"))
+    return rules_css(said.filter("class IS NOT NULL AND content IS NOT NULL"), keys)
+
+
+def rules_css(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, css) of (keys, class, content): a rule per class in order of the classes, the greatest content of each."""
+    rules = rules.groupBy(*keys, "class").agg(F.max("content").alias("content"))
     one = F.concat(F.lit("."), "class", F.lit("::marker { content: "), "content", F.lit(" }\n"))
     return rules.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(one)), "").alias("css"))
 
@@ -35,3 +42,29 @@ def labels_of_items(items: DataFrame, sheets: DataFrame, keys: Sequence[str]) ->
     joined = items.join(per_doc, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*on)
     first = F.get(F.filter(F.transform("classes", lambda c: F.try_element_at("_rules", c)), lambda x: x.isNotNull()), 0)
     return joined.withColumn("_content", first).withColumn("level_text", L.level_text(F.col("_content"), F.col("depth"))).drop("_content", "_rules")
+
+
+def list_depths(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, list_depth): how many lists each list of a node table lies in, one join per depth of nesting."""
+    items = nodes.filter(F.col("kind") == "item").select("doc_id", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("_outer"))
+    nested = cut(nodes.filter(F.col("kind") == "list").select("doc_id", "node_id", "parent_id").join(items, ["doc_id", "parent_id"], "left").select("doc_id", "node_id", "_outer"), "lists")
+    level, found, depth = nested.filter("_outer IS NULL"), [], 0
+    while depth == 0 or not level.isEmpty():
+        found.append(level.select("doc_id", "node_id", F.lit(depth).alias("list_depth")))
+        level, depth = cut(nested.join(level.select("doc_id", F.col("node_id").alias("_outer")), ["doc_id", "_outer"]).select("doc_id", "node_id"), "inner-lists"), depth + 1
+    return reduce(DataFrame.union, found)
+
+
+def marked_lists(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, class, content): the numbered lists of a node table whose labels need a ::marker rule, and can have one."""
+    lists = nodes.filter((F.col("kind") == "list") & F.col("ordered")).select("doc_id", "node_id", "format", F.col("style")["marker_class"].alias("class"), F.col("style")["level_text"].alias("_text"))
+    lists = cut(lists.filter("class IS NOT NULL AND _text IS NOT NULL"), "labelled")
+    said = L.content(L.tokens(F.col("_text")), F.col("list_depth"), F.col("format"))
+    if lists.isEmpty():  # no nesting needs to be followed
+        return lists.select("doc_id", "node_id", "class", F.lit(None).cast("string").alias("content"))
+    return lists.join(list_depths(nodes), ["doc_id", "node_id"]).select("doc_id", "node_id", "class", said.alias("content")).filter("content IS NOT NULL")
+
+
+def nodes_css(nodes: DataFrame) -> DataFrame:
+    """(doc_id, css): the ::marker rules that go with the HTML of a node table; no row for documents that need none."""
+    return rules_css(marked_lists(nodes), ["doc_id"])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium.functions.text import field_html, html_escape, plain_number, points, run_html
+from folium.operators.labels import marked_lists, nodes_css
 from folium.session import cut
 
 #: Alignments, list types and border kinds as CSS and HTML write them.
@@ -135,6 +136,7 @@ def nodes_to_html(nodes: DataFrame, media: DataFrame | None = None) -> DataFrame
     Rows may have been filtered, changed or added before: a node's children are those whose parent_id names it, one depth
     below, in the order of `ord`. Sections follow each other behind a page break; headers and footers are the first section's.
     media(media_sha, mime, content) gives the images; one that is not in it keeps its digest as its source.
+    Items whose list's label needs a ::marker rule have its class; labels.nodes_css gives the rules.
     A document without a body row has a null body, an "error" row gives no markup, and an empty table an empty result.
     """
     placed = _list_places(cut(nodes.filter(F.col("kind") != "error"), "nodes"))  # read several times: lists, cells and the fold
@@ -148,7 +150,9 @@ def nodes_to_html(nodes: DataFrame, media: DataFrame | None = None) -> DataFrame
     cell_tag = F.when(F.coalesce("_header", F.lit(False)), "th").otherwise("td")
     rows = placed.filter(kind == "row").select("doc_id", F.col("node_id").alias("parent_id"), F.col("is_header").alias("_header"))
     cells = placed.filter(kind == "cell").select("doc_id", "node_id", "parent_id").join(rows, ["doc_id", "parent_id"]).select("doc_id", "node_id", "_header")
-    whole = placed.join(cells, ["doc_id", "node_id"], "left")
+    marked = marked_lists(placed).select("doc_id", F.col("node_id").alias("parent_id"), F.col("class").alias("_class"))
+    classes = placed.filter(kind == "item").select("doc_id", "node_id", "parent_id").join(marked, ["doc_id", "parent_id"]).select("doc_id", "node_id", "_class")
+    whole = placed.join(cells, ["doc_id", "node_id"], "left").join(classes, ["doc_id", "node_id"], "left")
     target = F.coalesce(F.concat(F.lit("#"), "anchor"), "href")
     types = F.when(F.col("ordered"), F.concat_ws("", *[F.when(F.col("format") == k, f' type="{v}"') for k, v in LIST_TYPES.items()], F.when(F.coalesce("start_at", F.lit(1)) != 1, F.concat(F.lit(' start="'), "start_at", F.lit('"'))))).otherwise("")
     left = F.when(F.col("list_left").isNotNull(), F.col("own_left") - F.col("outer_left"))
@@ -167,7 +171,7 @@ def nodes_to_html(nodes: DataFrame, media: DataFrame | None = None) -> DataFrame
         .when(kind == "footnote", F.concat(F.lit('<span class="footnote"'), note, F.lit(">"), html_escape(F.coalesce("text", F.lit("")))))
         .when(kind == "image", F.concat(F.when(F.col("depth") == 0, "<p>").otherwise(""), F.lit('<img src="'), source, F.lit('" alt="'), html_escape(F.coalesce(_style("alt"), F.lit(""))), F.lit('" width="'), pixels("width"), F.lit('" height="'), pixels("height"), F.lit('"/>'), F.when(F.col("depth") == 0, "</p>").otherwise("")))
         .when(kind == "list", F.concat(F.lit("<"), listed, F.when(_style("indent").isNotNull(), ' style="margin:0;padding-left:0"').otherwise(""), types, F.lit(">")))
-        .when(kind == "item", F.concat(F.lit("<li"), F.when(item_css != "", F.concat(F.lit(' style="'), item_css, F.lit('"'))).otherwise(""), F.lit(">")))
+        .when(kind == "item", F.concat(F.lit("<li"), F.when(F.col("_class").isNotNull() & ~F.coalesce(_on("hidden"), F.lit(False)), F.concat(F.lit(' class="'), "_class", F.lit('"'))).otherwise(""), F.when(item_css != "", F.concat(F.lit(' style="'), item_css, F.lit('"'))).otherwise(""), F.lit(">")))
         .when(kind == "table", F.concat(F.lit("<table"), _styled(table_css()), F.lit(">"), F.when(F.col("text") != "", F.concat(F.lit("<caption>"), html_escape("text"), F.lit("</caption>"))).otherwise(""), F.when(_style("grid").isNotNull(), F.concat(F.lit("<colgroup>"), F.array_join(grid, ""), F.lit("</colgroup>"))).otherwise("")))
         .when(kind == "row", F.concat(F.lit("<tr"), F.when(_on("cant_split"), ' style="break-inside:avoid"').otherwise(""), F.lit(">")))
         .when((kind == "cell") & ~F.coalesce("is_continue", F.lit(False)), F.concat(F.lit("<"), cell_tag, spans, _styled(cell_css()), F.lit(">")))
@@ -186,8 +190,9 @@ def nodes_to_html(nodes: DataFrame, media: DataFrame | None = None) -> DataFrame
 
 
 def nodes_to_docx(nodes: DataFrame, media: DataFrame | None = None, styles: dict | None = None) -> DataFrame:
-    """(doc_id, content, error): the bodies of a node table as DOCX packages, by way of their HTML."""
+    """(doc_id, content, error): the bodies of a node table as DOCX packages, by way of their HTML and their labels' rules."""
     from folium.sources.documents import to_docx
 
     made: Callable[[DataFrame], DataFrame] = lambda html: to_docx(html, "doc_id", "body", styles=styles)
-    return made(nodes_to_html(nodes, media).select("doc_id", "body"))
+    html = nodes_to_html(nodes, media).join(nodes_css(nodes), "doc_id", "left")
+    return made(html.select("doc_id", F.concat(F.coalesce(F.concat(F.lit("<style>"), "css", F.lit("</style>")), F.lit("")), "body").alias("body")))

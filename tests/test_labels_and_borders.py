@@ -9,7 +9,9 @@ from folium.functions import labels as L
 from folium.kernels import html_read, html_write
 from folium.kernels.nodes import Node
 from folium.operators import borders as B
-from folium.operators.labels import labels_of_items, marker_sheets
+from folium.operators.labels import labels_of_items, list_depths, marker_sheets, nodes_css
+from folium.operators.markup import nodes_to_docx, nodes_to_html
+from folium.sources import documents as D
 
 TEXTS = [None, "", "%1", "%1.", "%2.", "%1.%2", "%1.%2.", "%1.%2/%3", "%2%1", "%1%2%3", "§ %1-%2-%3 ", "100% of %1", "%%1%", "%0 %1", 'say "%1"\\', "{%1;%2}", "%1 \n %2", "a/*%1*/", "%1.%1", "x", "é%1…"]
 
@@ -52,6 +54,23 @@ def test_sheets_of_documents(spark):
     assert labels_of_items(items, sheets.limit(0), ["doc"]).filter("level_text IS NOT NULL").count() == 0
 
 
+def test_labels_of_node_tables(spark):
+    """Node tables keep the labels of packages: the same classes and rules as the writer's, and the same level texts after another package."""
+    page = """<style>.a::marker { content: "4." counter(list-item) ") " } .b::marker { content: counters(list-item, ".") ". " }</style>
+    <ol><li class="a">one<ol><li class="b">two<ol type="i"><li>three</li></ol></li></ol></li></ol><ul><li>dot</li></ul><p>x</p>"""
+    packed = D.to_docx(spark.createDataFrame([(1, page), (2, "<ol><li>plain</li></ol>"), (3, "<p>none</p>")], "id long, html string"), "id", "html")
+    nodes = D.nodes(packed, "doc_id", "content", "docx")
+    texts = lambda n: {(r["doc_id"], r["list_depth"], r["t"]) for r in n.filter("kind = 'list' AND ordered").join(list_depths(n), ["doc_id", "node_id"]).selectExpr("doc_id", "list_depth", "style['level_text'] AS t").collect()}
+    said = texts(nodes)
+    assert {(1, 0, "4.%1)"), (1, 1, "%1.%2.")} <= said and {d for k, d, _ in said if k == 1} == {0, 1, 2}
+    wanted = {r["doc_id"]: (r["body"], r["css"]) for r in D.to_html(packed, "doc_id", "content").collect()}
+    css = {r["doc_id"]: r["css"] for r in nodes_css(nodes).collect()}
+    for r in nodes_to_html(nodes).collect():
+        assert r["body"] == wanted[r["doc_id"]][0] and css.get(r["doc_id"], "") == wanted[r["doc_id"]][1]
+    assert texts(D.nodes(nodes_to_docx(nodes), "doc_id", "content", "docx")) == said
+    assert nodes_css(nodes.limit(0)).count() == 0
+
+
 CELL = f"t int, row int, col int, row_span int, col_span int, {', '.join(f'{s} {B.BORDER}' for s in B.SIDES)}"
 
 

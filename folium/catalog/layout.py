@@ -9,6 +9,9 @@ from folium.catalog.values import table
 from folium.functions import labels as L
 from folium.operators import borders as B
 from folium.operators.labels import labels_of_items, marker_sheets
+from folium.operators.markup import nodes_to_docx
+from folium.session import cut, spread
+from folium.sources import documents as D
 
 #: Level texts by form, for a level's own number n and the numbers from the first, joined by a string.
 _FORMS = ("concat('%', n, '.')", "array_join(path, '.')", "concat('(%', n, ')')", "'%1-%3'", "concat('Art. ', array_join(path, '/'), ')')", "'x'", r"concat('\"%', n, '\\')", "array_join(path, '')", "'%1.%2/%3'", "concat('{', array_join(path, ';'), '}')")
@@ -44,6 +47,17 @@ d AS (SELECT *, CASE form WHEN 1 THEN more || ' " "' WHEN 2 THEN '"(" ' || one |
 SELECT form, depth, format, said, CASE WHEN content IS NOT NULL THEN said END AS back, content, count(*) AS n, true AS same FROM d GROUP BY ALL
 """
 
+def docx_labels(spark, sf_dir):
+    """Labels of parts' lists through a package, its node table and a second package: the level texts in the last."""
+    page = "concat('<style>.a::marker { content: \"', p_size, '.\" counter(list-item) \") \" } .b::marker { content: counters(list-item, \"', p_size % 10, '\") }</style><ol><li class=\"a\">', p_brand, '<ol><li class=\"b\">x</li></ol></li></ol>')"
+    parts = spread(table(spark, sf_dir, "part").selectExpr("p_partkey", f"{page} AS html"))
+    nodes = cut(D.nodes(D.to_docx(parts, "p_partkey", "html"), "doc_id", "content", "docx"), "first")
+    again = D.nodes(nodes_to_docx(nodes), "doc_id", "content", "docx").filter("kind = 'list'")
+    return again.selectExpr("doc_id AS p_partkey", "CAST(depth / 2 AS INT) AS depth", "style['level_text'] AS level_text")
+
+
+DOCX_LABELS_SQL = "SELECT p_partkey, 0 AS depth, p_size || '.%1)' AS level_text FROM part UNION ALL SELECT p_partkey, 1, '%1' || p_size % 10 || '%2' FROM part"
+
 #: A side's border by a number 0 to 7: none is said for the first three, then one that is "none", then drawn ones.
 _BORDER = "CASE WHEN x < 3 THEN NULL ELSE named_struct('style', element_at(array('none', 'single', 'double', 'dashed', 'thick'), x - 2), 'size', 2 + z * 2, 'color', element_at(array('000000', 'ff0000', '0000ff'), y + 1)) END"
 
@@ -115,4 +129,4 @@ f AS (SELECT k, r, col, coalesce(string_agg('border-' || ['top', 'left', 'bottom
 SELECT css, mixed, count(*) AS n, CAST(sum(k * 7 + r * 3 + col) AS BIGINT) AS which FROM f GROUP BY ALL
 """
 
-CATALOG = [("list_labels", list_labels, LIST_LABELS_SQL), ("border_strokes", border_strokes, BORDER_STROKES_SQL), ("border_cells", border_cells, BORDER_CELLS_SQL)]
+CATALOG = [("list_labels", list_labels, LIST_LABELS_SQL), ("docx_labels", docx_labels, DOCX_LABELS_SQL), ("border_strokes", border_strokes, BORDER_STROKES_SQL), ("border_cells", border_cells, BORDER_CELLS_SQL)]

@@ -6,6 +6,8 @@ says the same in CSS where CSS can, and `level_text` reads it back. All of it st
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def text_of(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.coalesce(t["literal"], F.concat(F.lit("%"), t["level"].cast("string")))), "")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(text, r'(["\\])', r"\\$1"), F.lit('"'))
 
@@ -46,7 +53,11 @@ def content(tokens: Column, depth: Column, format: Column) -> Column:
     Null for no tokens, for a level's own number with a mere "." behind, which browsers draw anyway, and for what CSS cannot say: it
     knows the level's own number, or all numbers from the first with one string between them.
     """
-    levels = F.transform(F.filter(tokens, lambda t: t["level"].isNotNull()), lambda t: t["level"])
+    numbers = lambda t: F.transform(F.filter(t, lambda x: x["level"].isNotNull()), lambda x: x["level"])
+    return _let(tokens, lambda t: _let(numbers(t), lambda levels: _content(t, levels, depth, format)))
+
+
+def _content(tokens: Column, levels: Column, depth: Column, format: Column) -> Column:
     edge = lambda place: F.coalesce(F.try_element_at(tokens, F.lit(place))["literal"], F.lit(""))
     front, back = edge(1), edge(-1)
     inner = F.filter(tokens, lambda t, i: t["level"].isNotNull() | ((i > 0) & (i < F.size(tokens) - 1)))

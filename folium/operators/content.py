@@ -1,18 +1,25 @@
 """Conformance of markup: elements as rows, and content models run over them as automata.
 
-`xml_elements` takes markup apart with columns: tags become rows, depths are running sums of their steps, and a parent
-is the last opening one level up. `violations` runs a deterministic automaton for each parent over its children. A
+`xml_elements` takes markup apart where it lies: a document is one value, so its tags are walked in one map and nothing is
+dealt out; a parent is the last opening one level up. `violations` runs a deterministic automaton for each parent over its children. A
 child is a map from states to states; maps compose, so the children of one parent may be cut into chunks that are composed
-in parallel, and each chunk is replayed from the state that the chunks before it lead to.
+in parallel, and each chunk is replayed from the state that the chunks before it lead to. The automata are constants of the
+tasks: rows hold children, never tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from folium.session import cut
 
@@ -84,16 +91,59 @@ def automaton(places: Sequence[Slot]) -> tuple[dict[str, list[int]], dict[str, l
     return moves, faults, skips, [skipped(s, len(places)) for s in states]
 
 
-def model_table(spark: SparkSession, models: dict[str, str] = MODELS) -> tuple[DataFrame, DataFrame]:
-    """(automata, codes): one row a parent, its tables by code and state; and the code of each name. As large as the models, whatever is checked."""
-    automata, codes = [], []
+@dataclass(frozen=True)
+class Model:
+    """A parent's automaton: codes of names, and its tables by code and state."""
+
+    codes: dict[str, int]
+    moves: list[list[int]]
+    faults: list[list[str | None]]
+    skips: list[list[str | None]]
+    ends: list[str | None]
+
+    def code(self, name: str) -> int:
+        """-1: a name that has no place."""
+        found = self.codes.get(name)
+        return self.codes.get("ANY", -1) if found is None else found
+
+
+def compiled(models: dict[str, str] = MODELS) -> dict[str, Model]:
+    """The automata by parent; as large as the models, whatever is checked."""
+    out = {}
     for parent, model in models.items():
         moves, faults, skips, ends = automaton(slots(model))
         names = sorted(moves)
-        automata.append((parent, [moves[n] for n in names], [faults[n] for n in names], [skips[n] for n in names], ends))
-        codes += [(parent, n, k) for k, n in enumerate(names)]
-    tables = spark.createDataFrame(automata, "_parent string, moves array<array<int>>, faults array<array<string>>, skips array<array<string>>, ends array<string>")
-    return tables, spark.createDataFrame(codes, "_parent string, _name string, code int")
+        out[parent] = Model({n: k for k, n in enumerate(names)}, [moves[n] for n in names], [faults[n] for n in names], [skips[n] for n in names], ends)
+    return out
+
+
+ELEMENT_SCHEMA = "node_id int, end_id int, parent_id int, parent string, pos int, depth int, name string, tag string"
+#: Elements that are handed over together.
+ROWS = 1 << 14
+_NAME = re.compile(r"</?([^\s/>]+)", re.ASCII)
+_TAGS, _OTHERS = re.compile(TAG), re.compile(NO_ELEMENTS)
+
+
+def elements_of(xml: str) -> list[list]:
+    """The elements of one document, in the order of ELEMENT_SCHEMA."""
+    rows: list[list] = []
+    opened: dict[int, list] = {}  # the last row opened at each depth
+    below: dict[int | None, int] = {}  # children so far
+    depth = 0
+    for at, tag in enumerate(_TAGS.findall(_OTHERS.sub("", xml))):
+        if tag[1] == "/":
+            depth -= 1
+            if depth in opened and opened[depth][1] is None:
+                opened[depth][1] = at
+            continue
+        up = opened.get(depth - 1, (None, None, None, None, None, None, None))
+        below[up[0]] = below.get(up[0], 0) + 1
+        alone = tag.endswith("/>")
+        rows.append([at, at if alone else None, up[0], up[6], below[up[0]], depth, _NAME.match(tag)[1], tag])
+        if not alone:
+            opened[depth] = rows[-1]
+            depth += 1
+    return rows
 
 
 def xml_elements(df: DataFrame, keys: Sequence[str], xml: str) -> DataFrame:
@@ -103,32 +153,24 @@ def xml_elements(df: DataFrame, keys: Sequence[str], xml: str) -> DataFrame:
     counts a parent's children from 1. Comments, instructions and character data sections hold no elements. Null markup gives
     no rows. A document that is not well-formed gives the elements that its tags make.
     """
-    tags = F.regexp_extract_all(F.regexp_replace(F.col(xml), NO_ELEMENTS, ""), F.lit(TAG), F.lit(0))
-    rows = df.select(*keys, F.posexplode(tags).alias("at", "tag"))
-    closes, alone = F.col("tag").startswith("</"), F.col("tag").endswith("/>")
-    step = F.when(closes, -1).when(alone, 0).otherwise(1)
-    order = Window.partitionBy(*keys).orderBy("at")
-    rows = rows.withColumn("after", F.sum(step).over(order)).withColumn("kind", F.when(closes, "close").when(alone, "alone").otherwise("open"))
-    # an opening tag is at the depth it leaves, a closing one at the depth it returns to
-    rows = rows.withColumn("depth", F.when(F.col("kind") == "open", F.col("after") - 1).otherwise(F.col("after")).cast("int"))
-    name = F.regexp_extract("tag", r"^</?([^\s/>]+)", 1)
-    # every tag at its own level, and every element at its parent's too
-    own = F.struct(F.col("depth").alias("level"), F.lit(False).alias("child"))
-    above = F.struct((F.col("depth") - 1).alias("level"), F.lit(True).alias("child"))
-    both = rows.select(*keys, "at", "tag", "kind", "depth", name.alias("name"), F.explode(F.when(F.col("kind") == "close", F.array(own)).otherwise(F.array(own, above))).alias("x"))
-    level = Window.partitionBy(*keys, "x.level").orderBy("at")
-    opened = F.when(~F.col("x.child") & (F.col("kind") == "open"), F.struct("at", "name"))
-    closed = F.when(~F.col("x.child") & (F.col("kind") == "close"), F.col("at"))
-    seen = both.withColumn("up", F.last(opened, ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, -1)))
-    seen = seen.withColumn("end", F.first(closed, ignorenulls=True).over(level.rowsBetween(1, Window.unboundedFollowing)))
-    elements = seen.filter(F.col("kind") != "close").groupBy(*keys, "at").agg(
-        F.max("tag").alias("tag"), F.max("name").alias("name"), F.max("depth").alias("depth"), F.max("kind").alias("kind"),
-        F.max(F.when(F.col("x.child"), F.col("up"))).alias("up"), F.max(F.when(~F.col("x.child"), F.col("end"))).alias("end"),
-    )
-    siblings = Window.partitionBy(*keys, "up.at").orderBy("at")
-    placed = elements.withColumn("pos", F.row_number().over(siblings))
-    end = F.when(F.col("kind") == "alone", F.col("at")).otherwise(F.col("end"))
-    return placed.select(*keys, F.col("at").alias("node_id"), end.alias("end_id"), F.col("up.at").alias("parent_id"), F.col("up.name").alias("parent"), "pos", "depth", "name", "tag")
+    given = df.select(*keys, F.col(xml).cast("string").alias("_xml"))
+    schema = StructType(given.select(*keys).schema.fields + StructType.fromDDL(ELEMENT_SCHEMA).fields)
+    arrow = to_arrow_schema(schema)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for k, text in enumerate(batch.column(len(keys)).to_pylist()):
+                if text is not None:
+                    rows += elements_of(text)
+                    at += [k] * (len(rows) - len(at))
+                if len(rows) >= ROWS or k + 1 == batch.num_rows:
+                    own = [batch.column(i).take(pa.array(at, pa.int32())) for i in range(len(keys))]
+                    found = zip(*rows) if rows else [[]] * (len(arrow) - len(keys))
+                    yield pa.RecordBatch.from_arrays(own + [pa.array(list(c), f.type) for c, f in zip(found, list(arrow)[len(keys) :])], schema=arrow)
+                    at, rows = [], []
+
+    return given.mapInArrow(kernel, schema)
 
 
 def violations(children: DataFrame, keys: Sequence[str], models: dict[str, str] = MODELS, chunk: int = CHUNK) -> DataFrame:
@@ -139,37 +181,79 @@ def violations(children: DataFrame, keys: Sequence[str], models: dict[str, str]
     null if the children end before it). Parents without a model are not checked; a parent without children is not seen, so
     rows with a null name stand for empty ones. Equal positions are taken in the order of their names.
     """
-    tables, codes = model_table(children.sparkSession, models)
+    automata = compiled(models)
     part = F.floor((F.coalesce("pos", F.lit(1)) - 1) / chunk)
-    rest = codes.filter("_name = 'ANY'").select(F.col("_parent").alias("_any"), F.col("code").alias("any_code"))
-    # a child's code; the models' own tables are what is broadcast. -1: a name that has no place
-    coded = children.join(F.broadcast(codes), (F.col("parent") == F.col("_parent")) & (F.col("name") == F.col("_name")), "left").join(F.broadcast(rest), F.col("parent") == F.col("_any"), "left")
-    entry = F.when(F.col("name").isNotNull(), F.struct("pos", "name", F.coalesce("code", "any_code", F.lit(-1)).alias("code")))
-    grouped = coded.groupBy(*keys, "parent", part.alias("chunk")).agg(F.array_sort(F.collect_list(entry)).alias("items"))
-    named = cut(grouped.join(F.broadcast(tables), F.col("parent") == F.col("_parent")).drop("_parent"), "content")
-    at = lambda column, code, state: F.get(F.get(F.col(column), code), state)
-    go = lambda code, state: F.coalesce(at("moves", code, state), state)
-    identity = F.transform(F.sequence(F.lit(0), F.size("ends") - 1), lambda s: s)
-    maps = named.filter(F.col("items").isNotNull()).select(*keys, "parent", "chunk", F.aggregate("items", identity, lambda m, x: F.transform(m, lambda s: go(x["code"], s))).alias("map"))
-    chunks = F.array_sort(F.collect_list(F.struct("chunk", "map")))
-    start = F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<chunk:bigint,state:int>>").alias("entries"))
-    walk = lambda acc, x: F.struct(F.get(x["map"], acc["state"]).alias("state"), F.concat(acc["entries"], F.array(F.struct(x["chunk"].alias("chunk"), acc["state"].alias("state")))).alias("entries"))
-    # maps of a parent, one row for each chunk of its children
-    entries = maps.groupBy(*keys, "parent").agg(chunks.alias("chunks")).select(*keys, "parent", F.explode(F.aggregate("chunks", start, walk, lambda acc: acc["entries"])).alias("e"), F.size("chunks").alias("of"))
-    entries = entries.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("parent").alias("_parent"), F.col("e.chunk").alias("_chunk"), F.col("e.state").alias("state"), (F.row_number().over(Window.partitionBy(*keys, "parent").orderBy(F.desc("e.chunk"))) == 1).alias("last"))
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("parent") == F.col("_parent"), F.col("chunk") == F.col("_chunk")]
-    ready = named.join(entries, on).drop(*[f"_{k}" for k in keys], "_parent", "_chunk")
-    fault = lambda code, state: F.when(code < 0, "unknown").otherwise(at("faults", code, state))
-    skip = lambda code, state: at("skips", code, state)
-    found = "array<struct<pos:int,name:string,fault:string>>"
-
-    def replay(acc, x):
-        state, code = acc["state"], x["code"]
-        told = lambda name, what: F.struct(x["pos"].cast("int").alias("pos"), name.alias("name"), what.alias("fault"))
-        own = F.filter(F.array(told(x["name"], fault(code, state)), told(skip(code, state), F.lit("missing"))), lambda v: v["fault"].isNotNull() & v["name"].isNotNull())
-        return F.struct(go(code, state).alias("state"), F.when(F.size(own) > 0, F.concat(acc["found"], own)).otherwise(acc["found"]).alias("found"))
-
-    begun = F.struct(F.col("state").alias("state"), F.array().cast(found).alias("found"))
-    done = ready.withColumn("r", F.aggregate("items", begun, replay))
-    end = F.when(F.col("last") & F.get("ends", F.col("r.state")).isNotNull(), F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.get("ends", F.col("r.state")).alias("name"), F.lit("missing").alias("fault")))).otherwise(F.array().cast(found))
-    return done.select(*keys, "parent", F.explode(F.concat("r.found", end)).alias("v")).select(*keys, "parent", "v.pos", "v.name", "v.fault")
+    entry = F.when(F.col("name").isNotNull(), F.struct(F.col("pos").cast("int").alias("pos"), "name"))
+    grouped = children.filter(F.col("parent").isin(*automata)).groupBy(*keys, "parent", part.alias("chunk")).agg(F.array_sort(F.collect_list(entry)).alias("items"))
+    named = cut(grouped, "content")
+    # only parents of several chunks need to know the state that a chunk begins with
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "parent")]
+    long = named.filter("chunk <> 0").select(*[F.col(k).alias(f"_{k}") for k in (*keys, "parent")]).distinct()
+    own = StructType(named.select(*keys, "parent", "chunk").schema.fields)
+    several = named.join(long, on, "left_semi").select(*keys, "parent", "chunk", F.col("items.name").alias("names"))
+    maps = several.mapInArrow(partial(_composed, automata), StructType(own.fields + StructType.fromDDL("map array<int>").fields))
+    entries = maps.repartition(*keys, "parent").sortWithinPartitions(*keys, "parent", "chunk").mapInArrow(_walked, StructType(own.fields + StructType.fromDDL("state int, last boolean").fields))
+    entries = entries.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "parent", "chunk")], "state", "last")
+    ready = named.join(entries, [*on, F.col("chunk") == F.col("_chunk")], "left").select(*keys, "parent", F.coalesce("state", F.lit(0)).alias("state"), F.coalesce("last", F.lit(True)).alias("last"), "items")
+    return ready.mapInArrow(partial(_replayed, automata), StructType(named.select(*keys, "parent").schema.fields + StructType.fromDDL("pos int, name string, fault string").fields))
+
+
+def _composed(automata: dict[str, Model], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A map from states to states for each chunk of children."""
+    moves = {p: np.array(m.moves, dtype=np.int32) for p, m in automata.items()}
+    for batch in batches:
+        maps = []
+        for parent, names in zip(*[batch.column(c).to_pylist() for c in ("parent", "names")]):
+            states = np.arange(len(automata[parent].ends), dtype=np.int32)
+            for name in names:
+                if (code := automata[parent].code(name)) >= 0:
+                    states = moves[parent][code][states]
+            maps.append(states)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(maps, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "map"])
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state that each chunk of a parent begins with, of maps in their order; a row waits for the one behind it."""
+    key, state, held = None, 0, None
+    for batch in batches:
+        states, lasts = [], []
+        first = held
+        for k, parent in enumerate(zip(*[c.to_pylist() for c in batch.columns[:-2]])):
+            if parent != key:
+                state = 0
+            if k or held is not None:
+                lasts.append(parent != key)
+            key = parent
+            states.append(state)
+            state = batch.column(batch.num_columns - 1)[k].values[state].as_py()
+        if not states:
+            continue
+        rows = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(states, pa.int32())], names=[*batch.schema.names[:-1], "state"])
+        ready = pa.Table.from_batches([first, rows] if first is not None else [rows]).combine_chunks()
+        held = ready.slice(ready.num_rows - 1).combine_chunks().to_batches()[0]
+        yield from ready.slice(0, ready.num_rows - 1).append_column("last", pa.array(lasts, pa.bool_())).to_batches()
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([*held.columns, pa.array([True])], names=[*held.schema.names, "last"])
+
+
+def _replayed(automata: dict[str, Model], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The faults of each chunk, from the state that it begins with."""
+    for batch in batches:
+        at, found = [], []
+        for k, (parent, state, last, items) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("parent", "state", "last", "items")])):
+            model = automata[parent]
+            for item in items:
+                code = model.code(item["name"])
+                fault = "unknown" if code < 0 else model.faults[code][state]
+                if fault is not None:
+                    found.append((item["pos"], item["name"], fault))
+                if code >= 0:
+                    if model.skips[code][state] is not None:
+                        found.append((item["pos"], model.skips[code][state], "missing"))
+                    state = model.moves[code][state]
+            if last and model.ends[state] is not None:
+                found.append((None, model.ends[state], "missing"))
+            at += [k] * (len(found) - len(at))
+        own = [batch.column(i).take(pa.array(at, pa.int32())) for i in range(batch.num_columns - 3)]
+        told = list(zip(*found)) if found else [[], [], []]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(told[0], pa.int32()), pa.array(told[1], pa.string()), pa.array(told[2], pa.string())], names=[*batch.schema.names[:-3], "pos", "name", "fault"])

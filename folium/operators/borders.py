@@ -1,8 +1,8 @@
 """Borders of adjoining cells: each edge of a table's grid as one row, with the one border that it shows.
 
 A cell's four sides are edges (axis, line, place): across the columns at a row's line, or down the rows at a column's. Cells that
-meet at an edge compete: what is drawn beats what is not, then by weight, width, darkness, and place in reading order. All
-grouping is by (table, edge); a table may have any number of cells.
+meet at an edge compete: what is drawn beats what is not, then by weight, width, darkness, and place in reading order. Cells are
+dealt by their table, before they become edges; grouping, joins and windows then stay where a table lies, in sorts that may spill.
 """
 
 from __future__ import annotations
@@ -20,6 +20,15 @@ SIDES = ("top", "left", "bottom", "right")
 STYLES = {"single": (1, 1), "thick": (2, 1), "double": (3, 2), "dotted": (4, 1), "dashed": (5, 1)}
 
 
+def _dealt(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows dealt by _key, which names a table: a struct of the keys is equal to another where nulls are too, and serves joins, groups and windows alike."""
+    return rows.withColumn("_key", F.struct(*keys)).drop(*keys).repartition("_key")
+
+
+def _keyed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.select("*", *[F.col("_key")[k].alias(k) for k in keys]).drop("_key")
+
+
 def sides_of(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, row, col, side, axis, line, place, border): every edge of every cell; spans below 1 count as 1."""
     tall, wide = F.greatest(F.lit(1), F.coalesce("row_span", F.lit(1))), F.greatest(F.lit(1), F.coalesce("col_span", F.lit(1)))
@@ -42,29 +51,53 @@ def edges(cells: DataFrame, keys: Sequence[str], tables: DataFrame | None = None
     null the table's border shows: tables has keys, one row each, and top, left, bottom, right, inside_h and inside_v. inner: cells lie on both
     sides. Unknown styles weigh as single; null sizes as 0.
     """
+    found = _edges(_dealt(cells, keys), None if tables is None else _dealt(tables, keys))
+    return _keyed(found, keys).select(*keys, "axis", "line", "place", "border", "inner")
+
+
+def _edges(cells: DataFrame, tables: DataFrame | None, members: bool = False) -> DataFrame:
+    """Edges by _key; members: with the sides that meet at each, mostly two."""
+    kept = ["_members"] if members else []
     b = F.col("border")
     drawn = F.when(b.isNull(), 0).when(b["style"] == "none", 1).otherwise(2)
     weight = F.coalesce(_choose(b["style"], {k: n * lines for k, (n, lines) in STYLES.items()}).cast("int"), F.lit(1))
     rank = F.struct(drawn, weight, F.coalesce(b["size"], F.lit(0)), *[F.coalesce(x, F.lit(-2000)) for x in _darkness(b["color"])], -F.col("row"), -F.col("col"))
     has = lambda *names: F.max(F.col("side").isin(*names))
-    found = sides_of(cells, keys).groupBy(*keys, "axis", "line", "place").agg(F.max_by("border", rank).alias("border"), has("top", "left").alias("_behind"), has("bottom", "right").alias("_before"))
+    found = sides_of(cells, ["_key"]).groupBy("_key", "axis", "line", "place").agg(F.max_by("border", rank).alias("border"), has("top", "left").alias("_behind"), has("bottom", "right").alias("_before"), *[F.collect_list(F.struct("row", "col", "side")).alias(c) for c in kept])
     found = found.withColumn("inner", F.col("_behind") & F.col("_before"))
     if tables is None:
         return found.drop("_behind", "_before")
-    own = tables.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*[F.col(c).cast(BORDER).alias(c) for c in (*SIDES, "inside_h", "inside_v")]).alias("_table"))
-    joined = found.join(own, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    own = tables.select("_key", F.struct(*[F.col(c).cast(BORDER).alias(c) for c in (*SIDES, "inside_h", "inside_v")]).alias("_table"))
+    joined = found.join(own, "_key", "left")
     t, across = F.col("_table"), F.col("axis") == "h"
     of_table = F.when(F.col("inner"), F.when(across, t["inside_h"]).otherwise(t["inside_v"])).when(F.col("_behind"), F.when(across, t["top"]).otherwise(t["left"])).otherwise(F.when(across, t["bottom"]).otherwise(t["right"]))
-    return joined.select(*keys, "axis", "line", "place", F.coalesce("border", of_table).alias("border"), "inner")
+    return joined.select("_key", "axis", "line", "place", F.coalesce("border", of_table).alias("border"), "inner", *kept)
 
 
 def edge_runs(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, axis, line, first, last, border): neighbouring edges of one line with equal borders as one stroke; edges without a drawn border are left out."""
+    return _keyed(_runs(_dealt(edges, keys)), keys).select(*keys, "axis", "line", "first", "last", "border")
+
+
+def _runs(edges: DataFrame) -> DataFrame:
     shown = edges.filter(F.col("border").isNotNull() & ~F.col("border.style").eqNullSafe(F.lit("none")))
-    line = Window.partitionBy(*keys, "axis", "line").orderBy("place")
+    line = Window.partitionBy("_key", "axis", "line").orderBy("place")
     new = ~(F.lag("place").over(line).eqNullSafe(F.col("place") - 1) & F.lag("border").over(line).eqNullSafe(F.col("border")))
     numbered = shown.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "axis", "line", "_run").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("border").alias("border")).drop("_run")
+    return numbered.groupBy("_key", "axis", "line", "_run").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("border").alias("border")).drop("_run")
+
+
+def strokes(cells: DataFrame, keys: Sequence[str], tables: DataFrame | None = None) -> DataFrame:
+    """edge_runs of edges, with cells dealt once."""
+    found = _edges(_dealt(cells, keys), None if tables is None else _dealt(tables, keys))
+    return _keyed(_runs(found), keys).select(*keys, "axis", "line", "first", "last", "border")
+
+
+def drawn_borders(cells: DataFrame, keys: Sequence[str], tables: DataFrame | None = None) -> DataFrame:
+    """cell_borders of the cells' own edges, with cells dealt once."""
+    found = _edges(_dealt(cells, keys), None if tables is None else _dealt(tables, keys), members=True)
+    joined = found.select("_key", "axis", "place", F.inline("_members"), F.col("border").alias("_border"), F.col("inner").alias("_inner"))
+    return _keyed(_drawn(joined), keys).select(*keys, "row", "col", "css", "mixed")
 
 
 def cell_borders(cells: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -73,12 +106,17 @@ def cell_borders(cells: DataFrame, edges: DataFrame, keys: Sequence[str]) -> Dat
     Bottom and right sides are drawn by their cell; a top or left side only where no cell lies before it. Along a side whose edges differ
     the first drawn one in order of its places stands for all, and mixed is true. css is empty if a cell draws nothing. Cells are told apart by keys, row and col.
     """
-    found = edges.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("axis").alias("_axis"), F.col("line").alias("_line"), F.col("place").alias("_place"), F.col("border").alias("_border"), F.col("inner").alias("_inner"))
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col(k) == F.col(f"_{k}") for k in ("axis", "line", "place")]
-    joined = sides_of(cells, keys).join(found, on, "left")
+    found = _dealt(edges, keys).select("_key", "axis", "line", "place", F.col("border").alias("_border"), F.col("inner").alias("_inner"))
+    joined = sides_of(_dealt(cells, keys), ["_key"]).join(found, ["_key", "axis", "line", "place"], "left")
+    return _keyed(_drawn(joined), keys).select(*keys, "row", "col", "css", "mixed")
+
+
+def _drawn(joined: DataFrame) -> DataFrame:
     shows = F.col("_border").isNotNull() & ~F.col("_border.style").eqNullSafe(F.lit("none")) & (F.col("side").isin("bottom", "right") | ~F.col("_inner"))
-    drawn = F.when(shows, border_css(F.col("_border")))
-    sides = joined.groupBy(*keys, "row", "col", "side").agg(F.min_by(drawn, F.when(drawn.isNotNull(), F.col("place"))).alias("one"), (F.count_distinct(F.coalesce(drawn, F.lit(""))) > 1).alias("mixed"))
-    names = F.transform(F.array(*map(F.lit, SIDES)), lambda s: F.concat(F.lit("border-"), s, F.lit(":"), F.try_element_at("_sides", s)))
-    per_cell = sides.groupBy(*keys, "row", "col").agg(F.map_from_entries(F.collect_list(F.struct("side", "one"))).alias("_sides"), F.max("mixed").alias("mixed"))
-    return per_cell.select(*keys, "row", "col", F.array_join(names, ";").alias("css"), "mixed")
+    drawn = joined.select("_key", "row", "col", "side", "place", F.when(shows, border_css(F.col("_border"))).alias("drawn"))
+    of = lambda s, value: F.when(F.col("side") == s, value)
+    shown = F.coalesce("drawn", F.lit(""))
+    sides = [F.min_by(of(s, F.col("drawn")), of(s, F.when(F.col("drawn").isNotNull(), F.col("place")))).alias(f"_{s}") for s in SIDES]
+    mixed = [F.coalesce(F.min(of(s, shown)) != F.max(of(s, shown)), F.lit(False)) for s in SIDES]
+    per_cell = drawn.groupBy("_key", "row", "col").agg(*sides, F.greatest(*mixed).alias("mixed"))
+    return per_cell.select("_key", "row", "col", F.concat_ws(";", *[F.concat(F.lit(f"border-{s}:"), f"_{s}") for s in SIDES]).alias("css"), "mixed")

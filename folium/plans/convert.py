@@ -18,6 +18,10 @@ def links(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind") == "link").select("doc_id", F.col("node_id").alias("ord"), "href", "anchor", "text")
 
 
+#: What table_cells needs of a node table.
+TABLE_KINDS, TABLE_COLUMNS = ("row", "cell"), ("doc_id", "node_id", "parent_id", "ord", "kind", "text", "row_span", "grid_span", "is_continue")
+
+
 def table_cells(nodes: DataFrame) -> DataFrame:
     """(doc_id, table_id, row, col, text) of table cells, continuing cells left out."""
     is_row = F.col("kind") == "row"

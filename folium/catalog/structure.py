@@ -8,6 +8,7 @@ from folium.catalog.values import table
 from folium.functions import model as M
 from folium.operators import layout as L
 from folium.operators import styles as S
+from folium.session import grouped
 
 
 def style_cascade(spark, sf_dir):
@@ -53,7 +54,8 @@ ITEMS = ", ".join(ITEM_COLUMNS)
 
 
 def _items(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").selectExpr(*ITEM_COLUMNS)
+    """Lines of orders as items, dealt by order as all windows over them are."""
+    return grouped(table(spark, sf_dir, "lineitem"), "l_orderkey").selectExpr(*ITEM_COLUMNS)
 
 
 def list_numbering(spark, sf_dir):

@@ -80,9 +80,12 @@ def _letters(spark, sf_dir):
     return D.assemble(ready, "p_partkey", "body", "rels", {"d1": ("header", "head"), "d2": ("footnotes", "notes")})
 
 
+STRUCTURES = ("doc_id", "part", "kind", "ord", "text", "href", "anchor", "name", "instr", "row_span", "grid_span", "is_continue")
+
+
 def docx_structures(spark, sf_dir):
     """Tables with merged cells, fields, links, bookmarks, footnotes and headers, read from packages."""
-    n = D.nodes(_letters(spark, sf_dir), "doc_id", "content", "docx").filter("kind IN ('bookmark', 'link', 'field', 'footnote', 'cell') OR part <> 'body' AND kind = 'p'")
+    n = D.nodes(_letters(spark, sf_dir), "doc_id", "content", "docx", kinds=("bookmark", "link", "field", "footnote", "cell", "p"), columns=STRUCTURES).filter("kind IN ('bookmark', 'link', 'field', 'footnote', 'cell') OR part <> 'body' AND kind = 'p'")
     return n.select(F.col("doc_id").alias("p_partkey"), "part", "kind", "ord", "text", "href", "anchor", "name", "instr", "row_span", "grid_span", "is_continue")
 
 
@@ -161,7 +164,7 @@ def docx_lists(spark, sf_dir):
     p = spread(table(spark, sf_dir, "part"))
     given = {"start": "p_size % 4 + 1", "own": "p_size + 10", "brand": "p_brand"}
     packed = D.assemble(p.select("p_partkey", _filled(LISTED, **given).alias("body"), _filled(NUMBERING, **given).alias("numbers")), "p_partkey", "body", None, {"d1": ("numbering", "numbers")})
-    n = D.nodes(packed, "doc_id", "content", "docx").filter("kind IN ('list', 'p')")
+    n = D.nodes(packed, "doc_id", "content", "docx", kinds=("list", "p"), columns=("doc_id", "kind", "ord", "depth", "ordered", "format", "start_at")).filter("kind IN ('list', 'p')")
     return n.select(F.col("doc_id").alias("p_partkey"), "kind", "ord", "depth", "ordered", "format", "start_at")
 
 

@@ -1,7 +1,7 @@
 """The style cascade of runs as property rows: layers ranked, the last wins, toggles and theme references resolved on the way.
 
 Document defaults, the default paragraph and character styles, the paragraph's style, the run's style and its own properties are
-layers of one table (document, run, rank, name, value). A style's properties are those of its line of ancestors, nearest first;
+layers of one table (document, pair of styles, rank, name, value); a run joins its pair, so only its own properties are dealt by run. A style's properties are those of its line of ancestors, nearest first;
 lines are found by doubling pointers, so a chain of n styles takes log2(n) joins.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium.functions.text import toggle
-from folium.session import cut
+from folium.session import cut, grouped
 
 #: Properties that are on without a value, and off for false, 0 and off.
 TOGGLES = ("bold", "italic", "strike", "all_caps", "small_caps", "keep_next", "keep_lines", "break_before")
@@ -58,25 +58,39 @@ def cascade_runs(runs: DataFrame, styles: DataFrame, properties: DataFrame, them
     runs(keys, run_id, p_style, r_style); styles(keys, style_id, kind, based_on, is_default), kind paragraph or character;
     properties(keys, owner, owner_id, name, value, theme), owner defaults (owner_id null), style or run, theme the name of a
     theme entry or null; theme(keys, theme, value). A null toggle value is on. Styles that are not there set nothing; a later
-    default beside another of its kind is the one of the larger id.
+    default beside another of its kind is the one of the larger id. A run's id is its own within the keys.
     """
-    known = cut(resolved(properties.withColumn("value", F.when(F.col("name").isin(*TOGGLES), F.coalesce("value", F.lit("true"))).otherwise(F.col("value"))), theme, keys), "properties")
+    given = properties.withColumn("value", F.when(F.col("name").isin(*TOGGLES), F.coalesce("value", F.lit("true"))).otherwise(F.col("value")))
+    known = cut(resolved(given.filter("owner IN ('defaults', 'style')"), theme, keys), "properties")
     own = known.filter("owner = 'style'").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("owner_id").alias("_owner"), "name", "value")
     line = lineage(styles.select(*keys, "style_id", "based_on").dropDuplicates([*keys, "style_id"]), keys, "style_id", "based_on")
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     # each style's effective properties: the nearest ancestor that sets one
     full = cut(line.join(own, [*on, F.col("ancestor") == F.col("_owner")]).groupBy(*keys, "style_id", "name").agg(F.min_by("value", "distance").alias("value")), "styles")
 
+    # what runs of equal styles have, told once for each pair of styles: runs are many, pairs few
+    pair = ("p_style", "r_style")
+    looks = cut(runs.select(*keys, *pair).distinct(), "looks")
     default = lambda kind: F.max(F.when((F.col("kind") == kind) & F.col("is_default"), F.col("style_id")))
     defaults = styles.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(default("paragraph").alias("_p"), default("character").alias("_c"))
-    placed = runs.join(defaults, on, "left")
+    placed = looks.join(defaults, on, "left")
     layer = lambda rank, style: F.struct(F.lit(rank).alias("rank"), style.alias("style"))
     layers = F.array(layer(PARAGRAPH_DEFAULT, F.col("_p")), layer(CHARACTER_DEFAULT, F.col("_c")), layer(PARAGRAPH, F.col("p_style")), layer(RUN, F.col("r_style")))
-    asked = placed.select(*keys, "run_id", F.explode(F.filter(layers, lambda x: x["style"].isNotNull())).alias("x")).select(*keys, "run_id", "x.rank", "x.style")
+    asked = placed.select(*keys, *pair, F.explode(F.filter(layers, lambda x: x["style"].isNotNull())).alias("x")).select(*keys, *pair, "x.rank", "x.style")
     named = full.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("style_id").alias("_style"), "name", "value")
-    by_style = asked.join(named, [*on, F.col("style") == F.col("_style")]).select(*keys, "run_id", "rank", "name", "value")
-    direct = known.filter("owner = 'run'").select(*keys, F.col("owner_id").cast(runs.schema["run_id"].dataType).alias("run_id"), F.lit(DIRECT).alias("rank"), "name", "value")
+    by_style = asked.join(named, [*on, F.col("style") == F.col("_style")]).select(*keys, *pair, "rank", "name", "value")
     base = known.filter("owner = 'defaults'").select(*[F.col(k).alias(f"_{k}") for k in keys], "name", "value")
-    lowest = runs.join(base, on).select(*keys, "run_id", F.lit(DEFAULTS).alias("rank"), "name", "value")
-    every = lowest.unionByName(by_style).unionByName(direct.join(runs.select(*keys, "run_id"), [*keys, "run_id"], "left_semi"))
-    return every.groupBy(*keys, "run_id", "name").agg(F.max_by("value", "rank").alias("value"))
+    lowest = looks.join(base, on).select(*keys, *pair, F.lit(DEFAULTS).alias("rank"), "name", "value")
+    told = lowest.unionByName(by_style).groupBy(*keys, *pair, "name").agg(F.max_by("value", "rank").alias("value"))
+    each = [F.col(k).alias(f"_{k}") for k in (*keys, *pair)]
+    told = cut(told.groupBy(*each).agg(F.collect_list(F.struct("name", "value")).alias("_told")), "told")
+
+    # a run's own properties hide the others; of two with one name the larger value counts
+    direct = resolved(given.filter("owner = 'run'"), theme, keys).select(*keys, F.col("owner_id").cast(runs.schema["run_id"].dataType).alias("run_id"), F.struct("name", "value").alias("x"))
+    direct = grouped(direct, *keys, "run_id").groupBy(*keys, "run_id").agg(F.sort_array(F.collect_list("x")).alias("_all"))
+    last = lambda x, k: F.coalesce(~x["name"].eqNullSafe(F.get("_all", k + 1)["name"]), F.lit(True)) | (k + 1 == F.size("_all"))
+    direct = direct.select(*keys, "run_id", F.filter("_all", last).alias("_own"))
+    dressed = runs.join(told, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, *pair)], "left").select(*keys, "run_id", F.coalesce("_told", F.array()).alias("_told"))
+    hidden = lambda x: F.exists("_own", lambda o: o["name"].eqNullSafe(x["name"]))
+    every = F.when(F.col("_own").isNull(), F.col("_told")).otherwise(F.concat("_own", F.filter("_told", lambda x: ~hidden(x))))
+    return dressed.join(direct, [*keys, "run_id"], "left").select(*keys, "run_id", F.inline(every))

@@ -71,13 +71,13 @@ LETTER = (
 RELS = f'<Relationship Id="h1" Type="{REL}/hyperlink" Target="http://parts/@size@" TargetMode="External"/>'
 
 
-def _letters(spark, sf_dir):
+def _letters(spark, sf_dir, then):
     p = spread(table(spark, sf_dir, "part"))
     given = {"key": "p_partkey", "type": "p_type", "size": "p_size", "brand": "p_brand", "span": "p_size % 3 + 2"}
     note = f'<w:footnotes {W}><w:footnote w:id="2"><w:p><w:r><w:footnoteRef/></w:r>{_text(" on  @type@")}</w:p></w:footnote></w:footnotes>'
     columns = {"body": _filled(LETTER, **given), "rels": _filled(RELS, **given), "notes": _filled(note, **given), "head": _filled(f"<w:hdr {W}><w:p>{_text('Head @size@')}</w:p></w:hdr>", **given)}
     ready = p.select("p_partkey", *[c.alias(name) for name, c in columns.items()])
-    return D.assemble(ready, "p_partkey", "body", "rels", {"d1": ("header", "head"), "d2": ("footnotes", "notes")})
+    return D.assemble(ready, "p_partkey", "body", "rels", {"d1": ("header", "head"), "d2": ("footnotes", "notes")}, then)
 
 
 STRUCTURES = ("doc_id", "part", "kind", "ord", "text", "href", "anchor", "name", "instr", "row_span", "grid_span", "is_continue")
@@ -85,7 +85,7 @@ STRUCTURES = ("doc_id", "part", "kind", "ord", "text", "href", "anchor", "name",
 
 def docx_structures(spark, sf_dir):
     """Tables with merged cells, fields, links, bookmarks, footnotes and headers, read from packages."""
-    n = D.nodes(_letters(spark, sf_dir), "doc_id", "content", "docx", kinds=("bookmark", "link", "field", "footnote", "cell", "p"), columns=STRUCTURES).filter("kind IN ('bookmark', 'link', 'field', 'footnote', 'cell') OR part <> 'body' AND kind = 'p'")
+    n = _letters(spark, sf_dir, D.nodes_reader("docx", kinds=("bookmark", "link", "field", "footnote", "cell", "p"), columns=STRUCTURES)).filter("kind IN ('bookmark', 'link', 'field', 'footnote', 'cell') OR part <> 'body' AND kind = 'p'")
     return n.select(F.col("doc_id").alias("p_partkey"), "part", "kind", "ord", "text", "href", "anchor", "name", "instr", "row_span", "grid_span", "is_continue")
 
 
@@ -108,7 +108,7 @@ SELECT p_partkey, part, kind, CAST(ord AS INT) AS ord, text, href, anchor, name,
 
 def docx_to_html(spark, sf_dir):
     """The same packages as HTML: body and header."""
-    return D.to_html(_letters(spark, sf_dir), "doc_id", "content").select(F.col("doc_id").alias("p_partkey"), "body", "header")
+    return _letters(spark, sf_dir, D.html_reader()).select(F.col("doc_id").alias("p_partkey"), "body", "header")
 
 
 DOCX_TO_HTML_SQL = """
@@ -131,8 +131,7 @@ def docx_cascade(spark, sf_dir):
     """Runs under document defaults, the default style, a chain of styles (that is a cycle) and direct toggles, read from packages."""
     p = spread(table(spark, sf_dir, "part"))
     given = {"after": "p_size * 20", "size": "p_size + 10", "style": "CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'N' END", "off": "p_partkey % 2"}
-    packed = D.assemble(p.select("p_partkey", _filled(STYLED, **given).alias("body"), _filled(STYLES, **given).alias("styles")), "p_partkey", "body", None, {"d1": ("styles", "styles")})
-    n = D.nodes(packed, "doc_id", "content", "docx").filter("kind IN ('p', 'run')")
+    n = D.assemble(p.select("p_partkey", _filled(STYLED, **given).alias("body"), _filled(STYLES, **given).alias("styles")), "p_partkey", "body", None, {"d1": ("styles", "styles")}, D.nodes_reader("docx", kinds=("p", "run"))).filter("kind IN ('p', 'run')")
     return n.select(F.col("doc_id").alias("p_partkey"), "kind", "text", "bold", "italic", F.expr("CAST(style['size'] AS INT)").alias("size"), F.expr("CAST(style['after'] AS INT)").alias("after"))
 
 
@@ -163,8 +162,8 @@ def docx_lists(spark, sf_dir):
     """Lists of packages: nesting, numbers that run on after a paragraph, a start of an instance's own, bullets, an unknown instance."""
     p = spread(table(spark, sf_dir, "part"))
     given = {"start": "p_size % 4 + 1", "own": "p_size + 10", "brand": "p_brand"}
-    packed = D.assemble(p.select("p_partkey", _filled(LISTED, **given).alias("body"), _filled(NUMBERING, **given).alias("numbers")), "p_partkey", "body", None, {"d1": ("numbering", "numbers")})
-    n = D.nodes(packed, "doc_id", "content", "docx", kinds=("list", "p"), columns=("doc_id", "kind", "ord", "depth", "ordered", "format", "start_at")).filter("kind IN ('list', 'p')")
+    read = D.nodes_reader("docx", kinds=("list", "p"), columns=("doc_id", "kind", "ord", "depth", "ordered", "format", "start_at"))
+    n = D.assemble(p.select("p_partkey", _filled(LISTED, **given).alias("body"), _filled(NUMBERING, **given).alias("numbers")), "p_partkey", "body", None, {"d1": ("numbering", "numbers")}, read).filter("kind IN ('list', 'p')")
     return n.select(F.col("doc_id").alias("p_partkey"), "kind", "ord", "depth", "ordered", "format", "start_at")
 
 

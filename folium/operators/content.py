@@ -16,6 +16,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -198,18 +199,41 @@ def violations(children: DataFrame, keys: Sequence[str], models: dict[str, str]
     return ready.mapInArrow(partial(_replayed, automata), StructType(named.select(*keys, "parent").schema.fields + StructType.fromDDL("pos int, name string, fault string").fields))
 
 
+#: Children that are held as Python values at once.
+ITEMS = 1 << 16
+
+
+def _bounded(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ITEMS children, which the lists in the column hold, or of one row: a batch counts rows, and a row is up to a chunk."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + ITEMS, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def _coded(names: pa.Array, parents: list[str], automata: dict[str, Model]) -> tuple[list[str], list[int], dict[str, list[int]]]:
+    """Distinct names, the place of each child's name among them, and their codes by parent."""
+    found = names.dictionary_encode()
+    distinct = found.dictionary.to_pylist()
+    return distinct, found.indices.to_pylist(), {p: [automata[p].code(n) for n in distinct] for p in set(parents)}
+
+
 def _composed(automata: dict[str, Model], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A map from states to states for each chunk of children."""
     moves = {p: np.array(m.moves, dtype=np.int32) for p, m in automata.items()}
     for batch in batches:
-        maps = []
-        for parent, names in zip(*[batch.column(c).to_pylist() for c in ("parent", "names")]):
-            states = np.arange(len(automata[parent].ends), dtype=np.int32)
-            for name in names:
-                if (code := automata[parent].code(name)) >= 0:
-                    states = moves[parent][code][states]
-            maps.append(states)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(maps, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "map"])
+        for part in _bounded(batch, "names"):
+            parents, maps, end = part.column("parent").to_pylist(), [], 0
+            _, which, codes = _coded(part.column("names").flatten(), parents, automata)
+            for parent, n in zip(parents, pc.list_value_length(part.column("names")).to_pylist()):
+                states, start, end = np.arange(len(automata[parent].ends), dtype=np.int32), end, end + n
+                for at in which[start:end]:
+                    if (code := codes[parent][at]) >= 0:
+                        states = moves[parent][code][states]
+                maps.append(states)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(maps, pa.list_(pa.int32()))], names=[*part.schema.names[:-1], "map"])
 
 
 def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,21 +263,26 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _replayed(automata: dict[str, Model], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The faults of each chunk, from the state that it begins with."""
     for batch in batches:
-        at, found = [], []
-        for k, (parent, state, last, items) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("parent", "state", "last", "items")])):
-            model = automata[parent]
-            for item in items:
-                code = model.code(item["name"])
-                fault = "unknown" if code < 0 else model.faults[code][state]
-                if fault is not None:
-                    found.append((item["pos"], item["name"], fault))
-                if code >= 0:
-                    if model.skips[code][state] is not None:
-                        found.append((item["pos"], model.skips[code][state], "missing"))
-                    state = model.moves[code][state]
-            if last and model.ends[state] is not None:
-                found.append((None, model.ends[state], "missing"))
-            at += [k] * (len(found) - len(at))
-        own = [batch.column(i).take(pa.array(at, pa.int32())) for i in range(batch.num_columns - 3)]
-        told = list(zip(*found)) if found else [[], [], []]
-        yield pa.RecordBatch.from_arrays([*own, pa.array(told[0], pa.int32()), pa.array(told[1], pa.string()), pa.array(told[2], pa.string())], names=[*batch.schema.names[:-3], "pos", "name", "fault"])
+        for part in _bounded(batch, "items"):
+            at, found, end = [], [], 0
+            items = part.column("items").flatten()
+            parents, places = part.column("parent").to_pylist(), items.field("pos").to_pylist()
+            names, which, codes = _coded(items.field("name"), parents, automata)
+            counts = pc.list_value_length(part.column("items")).to_pylist()
+            for k, (parent, state, last, n) in enumerate(zip(parents, part.column("state").to_pylist(), part.column("last").to_pylist(), counts)):
+                model, start, end = automata[parent], end, end + n
+                for i in range(start, end):
+                    code = codes[parent][which[i]]
+                    fault = "unknown" if code < 0 else model.faults[code][state]
+                    if fault is not None:
+                        found.append((places[i], names[which[i]], fault))
+                    if code >= 0:
+                        if model.skips[code][state] is not None:
+                            found.append((places[i], model.skips[code][state], "missing"))
+                        state = model.moves[code][state]
+                if last and model.ends[state] is not None:
+                    found.append((None, model.ends[state], "missing"))
+                at += [k] * (len(found) - len(at))
+            own = [part.column(i).take(pa.array(at, pa.int32())) for i in range(part.num_columns - 3)]
+            told = list(zip(*found)) if found else [[], [], []]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(told[0], pa.int32()), pa.array(told[1], pa.string()), pa.array(told[2], pa.string())], names=[*part.schema.names[:-3], "pos", "name", "fault"])

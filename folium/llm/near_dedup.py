@@ -75,23 +75,41 @@ def _again(hashes: np.ndarray) -> np.ndarray:
     return out * np.uint64(0xC4CEB9FE1A85EC53)
 
 
-def word_of(hashes: np.ndarray) -> int:
-    """The SimHash word of a set."""
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 4096):
-        ones += np.unpackbits(hashes[k : k + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+#: A byte's lowest bit in each byte of a word; hashes that bytes can count; hashes that are counted together.
+_LANES, _RUN, _TOGETHER = np.uint64(0x0101010101010101), 255, 1 << 15
 
 
-def fingerprint(hashes: np.ndarray) -> list[int]:
-    """The SimHash words of a set, each over hashes of its own."""
-    out = []
-    for _ in PRINT:
-        out.append(word_of(hashes))
-        hashes = _again(hashes)
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """The SimHash words of each set, a row each, every word over hashes of its own.
+
+    Every eighth bit of a hash becomes a byte of its own, so one addition counts eight bits, and many small sets are counted at once.
+    """
+    out = np.zeros((len(sets), len(PRINT)), np.uint64)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    full = np.nonzero(sizes)[0]
+    for at in np.split(full, np.nonzero(np.diff(np.cumsum(sizes[full]) // _TOGETHER))[0] + 1):
+        if not len(at):
+            continue
+        hashes, n = np.concatenate([sets[k] for k in at]), sizes[at]
+        runs = -(-n // _RUN)
+        first = np.cumsum(runs) - runs
+        starts = np.repeat(np.cumsum(n) - n - _RUN * first, runs) + _RUN * np.arange(runs.sum())
+        ones = np.zeros((len(at), 8, 8), np.int64)
+        for word in range(len(PRINT)):
+            for shift in range(8):
+                sums = np.add.reduceat((hashes >> np.uint64(shift)) & _LANES, starts)
+                ones[:, :, shift] = np.add.reduceat(sums.astype("<u8").view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+            more = 2 * ones.reshape(-1, 64) > n[:, None]
+            out[at, word] = np.packbits(more, axis=1, bitorder="little").view("<u8")[:, 0]
+            hashes = _again(hashes)
     return out
 
 
+def fingerprint(hashes: np.ndarray) -> list[int]:
+    """The SimHash words of one set."""
+    return fingerprints([hashes])[0].tolist()
+
+
 def prints_of(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n (distinct shingles), same (a hash of the set) and the fingerprint's words."""
 
@@ -102,7 +120,7 @@ def prints_of(docs: DataFrame) -> DataFrame:
             for part in slices(batch):
                 sets = shingle_sets(part.column(1))
                 same = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
-                words = np.array([fingerprint(s) for s in sets], np.uint64)
+                words = fingerprints(sets)
                 longs = [pa.array(x.view(np.int64)) for x in (np.array(same, np.uint64), *np.ascontiguousarray(words.T))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), *longs], names=["doc_id", "text_key", "n", "same", *PRINT])
 

@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", do
 
 
 def distance(a: np.ndarray, b, mask=ALL) -> np.ndarray:
-    return np.bitwise_count((a ^ b) & mask)
+    return np.bitwise_count(a ^ b if mask is ALL else (a ^ b) & mask)
 
 
 def split(points: np.ndarray, choices: np.ndarray, masks: list) -> tuple | None:
